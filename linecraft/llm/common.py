@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of bytes other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,10 +47,4 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def arrow_schema(ddl: str, spark: SparkSession):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
-__all__ = ["WORD", "fold", "os", "shared_dir", "size_in_words", "stored", "table"]
+__all__ = ["WORD", "fold", "shared_dir", "ship", "size_in_words", "stored", "table"]

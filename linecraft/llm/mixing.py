@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import size_in_words, stored, table
+from .common import ship, size_in_words, stored, table
 
 CHUNK = 4096
 MERGE = 1024
@@ -118,6 +118,7 @@ def balanced_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     ``docs`` needs doc_id, text and source; it may hold an optional ``size`` column of its own, which
     is ignored.
     """
+    ship(docs.sparkSession)
     sized = docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"))
     units = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     targets = stored(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most))
