@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import fold, ship, table
 from .textops import Hasher, lines, per_doc, shingles, slices, words
 
-SAMPLE, SAMPLE_LINES, SHARE = 3000, 400, 0.5
+SAMPLE, SAMPLE_LINES, SHARE = 3000, 64, 0.5
 MIN_WORDS, WINDOW = 20, 8
 
 
@@ -43,7 +43,7 @@ _SYMBOL, _PIPE, _SHOUT = _set("#*$%&|<>"), _set("|"), _set("!")
 _UPPER, _LETTER, _DIGIT = _set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), _set("0123456789")
 _STOP = _set(".?!:;,")
 #: One column of the line features each.
-FEATURES = ("bias", "symbols", "pipes", "upper", "shouts", "digits", "repeated line", "repeated words", "word length", "words", "stop")
+FEATURES = ("bias", "symbols", "pipes", "upper", "shouts", "digits", "repeated line", "repeated words", "doubled words", "word length", "words", "stop")
 
 
 @dataclass
@@ -62,7 +62,8 @@ def measure(data: np.ndarray, off: np.ndarray) -> Measured:
     at = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     lead = at((data & 0xC0) != 0x80)
     chars = per_doc(lead[w.end] - lead[w.start], w.first)
-    h, doc = shingles(hasher(w.start, w.end), w, WINDOW)
+    word = hasher(w.start, w.end)
+    h, doc = shingles(word, w, WINDOW)
     full = w.counts[doc] >= WINDOW
     h, doc = h[full], doc[full]
     order = np.lexsort((h, doc))
@@ -87,7 +88,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> Measured:
     in_words = at(np.diff(at(lead[w.end] - lead[w.start])))  # code points of words, by word
     l_chars = np.maximum(in_words[b] - in_words[a], 1).astype(float)
     part = lambda table_: (lambda c: (c[l_end] - c[l_start]).astype(float))(at(table_[data]))
-    rep = at(repeated)
+    rep, twin = at(repeated), at(np.concatenate([[False], word[1:] == word[:-1]])[: len(word)])
     last = w.end[b - 1] - 1 if len(b) else np.zeros(0, np.int64)
     features = np.stack([
         np.ones(len(lh)),
@@ -98,6 +99,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> Measured:
         np.minimum(part(_DIGIT) / l_chars * 2, 1),
         again.astype(float),
         (rep[b] - rep[a]) / n_words,
+        np.minimum((twin[b] - twin[np.minimum(a + 1, b)]) / n_words * 2, 1),
         np.minimum(l_chars / n_words / 12, 2),
         np.log1p(n_words) / 6,
         _STOP[data[last]].astype(float),
@@ -162,13 +164,17 @@ def viterbi(field: Field, features: np.ndarray, first: np.ndarray) -> np.ndarray
     return label
 
 
-def fit(features: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int = 3, steps: int = 200) -> Field:
-    """Maximise the likelihood of the line labels, relabelling the lines of bad documents in between."""
+def fit(features: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int = 4, steps: int = 200) -> Field:
+    """Maximise the likelihood of the line labels, relabelling the lines of bad documents in between.
+
+    The first rounds leave the chain out: while whole documents bear one label, neighbours agree by
+    construction and would teach the field to copy the label of the line before.
+    """
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     label = bad[doc].astype(np.int8)
     field = Field(np.zeros(features.shape[1]), np.zeros(2), np.zeros((2, 2)))
     for r in range(rounds):
-        field = _climb(features, first, label, steps)
+        field = _climb(features, first, label, steps, chain=r >= 2)
         if r + 1 < rounds:
             new = viterbi(field, features, first)
             raw = features @ field.weight
@@ -179,10 +185,10 @@ def fit(features: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int =
     return field
 
 
-def _climb(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int) -> Field:
+def _climb(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int, chain: bool) -> Field:
     n_lines, dim = features.shape
     theta, m, v = np.zeros(dim + 6), np.zeros(dim + 6), np.zeros(dim + 6)
-    rows = list(_rows(first))
+    rows = list(_rows(first)) if chain else []
     follows = np.ones(n_lines, bool)
     follows[first[:-1][np.diff(first) > 0]] = False
     after = np.flatnonzero(follows)
@@ -194,7 +200,7 @@ def _climb(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: in
     for k in range(1, steps + 1):
         weight, start, move = theta[:dim], theta[dim : dim + 2], theta[dim + 2 :].reshape(2, 2)
         score = np.stack([np.zeros(n_lines), features @ weight], axis=1)
-        alpha, beta = np.zeros((n_lines, 2)), np.zeros((n_lines, 2))
+        alpha, beta = score.copy(), np.zeros((n_lines, 2))
         for t, (_, line) in enumerate(rows):
             alpha[line] = score[line] + (start if t == 0 else lse(alpha[line - 1][:, :, None] + move, 1))
         for t in range(len(rows) - 1, 0, -1):
@@ -203,7 +209,7 @@ def _climb(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: in
         total = lse(alpha + beta, 1)
         p = np.exp(alpha + beta - total[:, None])
         pair = np.exp(alpha[after - 1][:, :, None] + move + (score[after] + beta[after])[:, None, :] - total[after][:, None, None])
-        grad = np.concatenate([seen_weight - features.T @ p[:, 1], seen_start - p[~follows].sum(0), (seen_move - pair.sum(0)).ravel()]) / max(n_lines, 1) - 1e-4 * theta
+        grad = np.concatenate([seen_weight - features.T @ p[:, 1], (seen_start - p[~follows].sum(0)) * chain, (seen_move - pair.sum(0)).ravel() * chain]) / max(n_lines, 1) - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Field(theta[:dim], theta[dim : dim + 2], theta[dim + 2 :].reshape(2, 2))

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import language, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": language.op3,
     "op6_mixing": mixing.op6,
+    "op10_quality": quality.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
