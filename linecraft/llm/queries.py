@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality
+from . import decontam, language, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": language.op3,
+    "op5_decontamination": decontam.op5,
     "op6_mixing": mixing.op6,
     "op10_quality": quality.op10,
 }
