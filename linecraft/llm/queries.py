@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, mixing, quality
+from . import decontam, language, linededup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": language.op3,
     "op5_decontamination": decontam.op5,
     "op6_mixing": mixing.op6,
+    "op8_line_dedup": linededup.op8,
     "op10_quality": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": linededup.ORACLE,
+}
