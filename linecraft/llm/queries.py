@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, linededup, mixing, quality
+from . import decontam, jaccard, language, linededup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": language.op3,
+    "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontam.op5,
     "op6_mixing": mixing.op6,
     "op8_line_dedup": linededup.op8,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }
