@@ -47,4 +47,15 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-__all__ = ["WORD", "fold", "shared_dir", "ship", "size_in_words", "stored", "table"]
+#: Ids up to which a list of documents is broadcast (8 bytes each); beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column, distinct)."""
+    ids = stored(ids.toDF("__gone"))
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+__all__ = ["WORD", "fold", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, ship, table
+from .common import ship, table
 from .textops import Hasher, lines, per_doc, shingles, slices, words
 
 SAMPLE, SAMPLE_LINES, SHARE = 3000, 64, 0.5
@@ -273,4 +273,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(docs, learn_field(docs, table(spark, sf_dir, "labels")))
 
 
-__all__ = ["Field", "fit", "fold", "label_documents", "learn_field", "measure", "op10", "viterbi"]
+
+
+def _kept(field: Field, share: float):
+    label = _label(field, share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(np.arange(batch.num_rows))
+            rows = pa.RecordBatch.from_arrays([ids, batch.column("text")], ["doc_id", "text"])
+            kept = [x.column("kept") for x in label(iter([rows]))]
+            yield batch.filter(pa.concat_arrays(kept)) if kept else batch
+
+    return run
+
+
+def keep_good(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_kept(field, share), docs.schema)
