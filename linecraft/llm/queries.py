@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, language, linededup, mixing, quality
+from . import decontam, jaccard, language, linededup, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1,
     "op3_language": language.op3,
     "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontam.op5,
