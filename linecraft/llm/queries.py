@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, language, linededup, mixing, quality, toxicity
+from . import decontam, jaccard, language, licenses, linededup, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontam.op5,
     "op6_mixing": mixing.op6,
+    "op7_licenses": licenses.op7,
     "op8_line_dedup": linededup.op8,
     "op10_quality": quality.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.ORACLE,
+    "op7_licenses": licenses.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }
