@@ -2,12 +2,14 @@
 
 With the distance d = 1 - |x & y| / |x | y|, two documents link if d <= r (r = 0.1).
 
-1. Equal sets are one point; the smallest id stands for them.
+1. Equal sets are one point; the smallest id stands for them.  A document that links with another has
+   at most 10 % of its shingles to itself; those with more are left out (see ``_candidates``).
 2. First level: the pivots are the one-shingle sets.  A document is at distance 1 - 1/|x| from each
    of its own shingles and at 1 from all others, so it is nearest to its own; the tie goes to the
    first in one global order, rarest first.  A document that links with x keeps 90 % of x, hence the
    first shingle that both have is among the first |x| - ceil(0.9 |x|) + 1 of x: x is replicated to
-   these cells and meets there every document that it can link with.  Cells of one document end here.
+   these cells and meets there every document that it can link with.  A cell is cut by size, as
+   linked sets differ in size by 10 % at most.  Cells of one document end here.
 3. Documents that are joined by cells form regions; no link leaves a region.  Inside a region,
    documents are the pivots: each document belongs to the Voronoi cell of its nearest pivot p and is
    replicated to that of q if d(x, q) <= d(x, p) + 2r, the bound that the triangle inequality gives
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ship, stored, table
+from .common import WORD, ship, stored, table, without
 from .components import components
 from .textops import Hasher, distinct, mix, shingles, slices, words
 
@@ -43,6 +45,8 @@ K, PERCENT = 3, 90
 SKETCH, PART = 1 << 21, 1 << 16
 #: Shingles of a region that one task joins (8 bytes each).
 LIMIT = 3_000_000
+#: Shingles that one task counts, and the share (one in PART_OF) of hash space of the first count.
+BUCKET, PART_OF = 3_000_000, 4
 LEAF, PIVOTS = 24, 8
 #: Rows up to which a list of documents is broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -54,17 +58,26 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return distinct(h, doc, len(off) - 1)
 
 
-def _sketch(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            for _, _, data, off in slices(batch.column("text")):
-                h, _ = _sets(data, off, k)
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        parts = np.minimum(total, 65535).astype("<u2").reshape(-1, PART)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for h in _flat(batch.column("set"), 1 << 22):
+            total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    parts = np.minimum(total, 65535).astype("<u2").reshape(-1, PART)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
-    return run
+
+def _flat(column: pa.Array, most: int) -> Iterator[np.ndarray]:
+    """The hashes of a column of sets, about ``most`` at a time."""
+    held, n = [], 0
+    for x in column:
+        held.append(np.frombuffer(x.as_buffer(), np.uint64))
+        n += len(held[-1])
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,38 +91,114 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "counts"])
 
 
-def frequency_levels(docs: DataFrame, k: int = K) -> np.ndarray:
-    """A quarter-octave level of frequency for each sketch cell, over all documents.
+def frequency_levels(sets: DataFrame) -> np.ndarray:
+    """A quarter-octave level of frequency for each sketch cell, over all sets.
 
     It only fixes the order of the shingles: any order gives the same links, a good one small cells.
     """
     schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(_sketch(k), schema).repartition(SKETCH // PART, "part").mapInArrow(_add, schema).collect()
+    rows = sets.select("set").mapInArrow(_sketch, schema).repartition(SKETCH // PART, "part").mapInArrow(_add, schema).collect()
     out = np.zeros((SKETCH // PART, PART), np.uint8)
     for part, level in rows:
         out[part] = np.frombuffer(bytes(level), np.uint8)
     return out.ravel()
 
 
-def _points(sent, k: int, percent: int):
+def _points(k: int):
+    """Size and 128-bit name of each document's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text")):
                 h, first = _sets(data, off, k)
-                n = np.diff(first)
-                doc = np.repeat(np.arange(hi - lo), n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(c)))]) for c in (1, 2)]
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(c)))]) for c in (1, 2)]
                 a, b = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
-                order = np.lexsort((h, level[(h & np.uint64(SKETCH - 1)).astype(np.int64)], doc))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "a", "b"])
+
+    return run
+
+
+def _pack(ids: np.ndarray, h: np.ndarray, first: np.ndarray, buckets: int, part: int) -> Iterator[tuple]:
+    """(bucket, ids, sizes, 32-bit hashes) of the shingles of one of ``part`` parts of hash space."""
+    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    mine = (h % np.uint64(part)) == 0
+    h, doc = h[mine], doc[mine]
+    bucket = ((h // np.uint64(part)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    h, doc, bucket = (h[order] >> np.uint64(32)).astype("<u4"), doc[order], bucket[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(new, len(h))).astype("<u4")
+    ends = np.searchsorted(bucket[new], np.arange(buckets + 1))
+    cuts = np.append(new, len(h))
+    for b in np.flatnonzero(np.diff(ends)):
+        lo, hi = ends[b], ends[b + 1]
+        yield int(b), ids[doc[new[lo:hi]]].astype("<i8").tobytes(), sizes[lo:hi].tobytes(), h[cuts[lo] : cuts[hi]].tobytes()
+
+
+PACKED = "bucket int, ids binary, sizes binary, hashes binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], ["bucket", "ids", "sizes", "hashes"])
+
+
+def _pack_texts(k: int, buckets: int, part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in slices(batch.column("text")):
+                yield _packed(list(_pack(ids[lo:hi], *_sets(data, off, k), buckets, part)))
+
+    return run
+
+
+def _pack_sets(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = batch.column("doc_id").to_numpy(zero_copy_only=False), _unpack(x.as_buffer() for x in batch.column("set"))
+            for lo in range(0, len(sets), 512):
+                some = sets[lo : lo + 512]
+                yield _packed(list(_pack(ids[lo : lo + 512], np.concatenate(some), np.concatenate([[0], np.cumsum([len(s) for s in some])]), buckets, 1)))
+
+    return run
+
+
+def _lonely(pdf: pd.DataFrame) -> pd.DataFrame:
+    """How many of a document's shingles in this bucket no other document has."""
+    ids = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
+    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sizes"]])
+    h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["hashes"]])
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    edge = np.concatenate([[True], s[1:] != s[:-1], [True]])
+    single = np.zeros(len(h), np.int64)
+    single[order] = edge[:-1] & edge[1:]
+    return pd.DataFrame({"doc_id": ids, "lonely": np.add.reduceat(single, np.concatenate([[0], np.cumsum(sizes.astype(np.int64))[:-1]]))})
+
+
+def _lonely_counts(packed: DataFrame) -> DataFrame:
+    counts = packed.groupBy("bucket").applyInPandas(_lonely, "doc_id long, lonely long")
+    return counts.groupBy("doc_id").agg(F.sum("lonely").alias("lonely"))
+
+
+def _cells(sent, percent: int):
+    """The first-level cells of each set: first shingles in the order, each with two size bands.
+
+    Linked sets differ in size by the factor ``percent`` / 100 at most, so they share a band.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = sent.value
+        for batch in batches:
+            out = []
+            for h in _unpack(x.as_buffer() for x in batch.column("set")):
+                n = len(h)
                 reach = n - -(-percent * n // 100) + 1
-                keep = np.arange(len(h)) - first[doc] < reach[doc]
-                cells = h[order][keep].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, reach, 0))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(cells)).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "a", "b", "cells"],
-                )
+                first = h[np.lexsort((h, level[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))[:reach]]
+                band = int(np.log(n) / -np.log(percent / 100) + 1e-9) if percent < 100 else n
+                out.append(np.concatenate([mix(first + np.uint64(band)), mix(first + np.uint64(band + 1))]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "cells"])
 
     return run
 
@@ -120,8 +209,7 @@ def _with_sets(k: int):
             for lo, hi, data, off in slices(batch.column("text")):
                 h, first = _sets(data, off, k)
                 raw = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                rest = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "region")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(raw, pa.binary())], ["doc_id", "region", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(raw, pa.binary())], ["doc_id", "set"])
 
     return run
 
@@ -309,24 +397,48 @@ def _large(members: DataFrame, percent: int, limit: int) -> DataFrame:
     return links.unionByName(met)
 
 
+def _candidates(docs: DataFrame, points: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id and set of the documents that may link with another one, one for each distinct set.
+
+    A document that links keeps ``percent`` of its shingles in the other, so it has at most the rest
+    to itself.  The count goes over a part of hash space for all documents first (what is alone there
+    is alone), then over all shingles of those that are left: shared with a document that cannot link
+    counts as alone.
+    """
+    bound = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    sizes = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    copies = points.filter("doc_id IS NOT NULL").join(classes, (F.col("doc_id") == F.col("rep")), "left_anti").select("doc_id").distinct()
+    texts = without(docs.filter("doc_id IS NOT NULL"), copies)
+    total = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    buckets = max(8, -(-total // (PART_OF * BUCKET)))
+    counts = _lonely_counts(texts.mapInArrow(_pack_texts(k, buckets, PART_OF), PACKED))
+    first = stored(sizes.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id", "n"))
+    n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    side = F.broadcast(first.select("id")) if n <= BROADCAST_ROWS else first.select("id")
+    sets = stored(docs.join(side, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_with_sets(k), "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    counts = _lonely_counts(sets.mapInArrow(_pack_sets(max(8, -(-int(total) // BUCKET))), PACKED))
+    second = first.join(counts, F.col("id") == F.col("doc_id")).filter(F.col("lonely") <= bound).select("id")
+    return sets.join(second, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(frequency_levels(docs, k))
-    points = stored(docs.mapInArrow(_points(order, k, percent), "doc_id long, n_shingles long, a long, b long, cells array<long>"))
+    points = stored(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, a long, b long"))
     known = points.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("cells", "doc_id").alias("cells")))
-    posts = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("cells").alias("cell"))
+    classes = stored(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    sets = stored(_candidates(docs, points, classes, k, percent))
+    order = spark.sparkContext.broadcast(frequency_levels(sets))
+    posts = sets.select("doc_id", "set").mapInArrow(_cells(order, percent), "doc_id long, cells array<long>").select("doc_id", F.explode("cells").alias("cell"))
+    posts = stored(posts)
     cells = posts.groupBy("cell").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre < last")
     stars = posts.join(cells, "cell").filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     regions = components(stars).select(F.col("node").alias("id"), F.col("root").alias("region"))
-    weights = stored(regions.join(classes, F.col("id") == F.col("rep")).groupBy("region").agg(F.sum("n_shingles").alias("weight")))
+    sets = sets.join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set")
+    weights = stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")))
     total, n_large = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count(F.when(F.col("weight") > limit, 1))).first()
-    n_regions = regions.count()
-    side = F.broadcast(regions) if n_regions <= BROADCAST_ROWS else regions
-    sets = docs.join(side, F.col("doc_id") == F.col("id")).select("doc_id", "region", "text").mapInArrow(_with_sets(k), "doc_id long, region long, set binary")
     buckets = max(1, -(-2 * int(total) // limit), spark.sparkContext.defaultParallelism)
     if n_large:
         sets = stored(sets.join(weights, "region"))
