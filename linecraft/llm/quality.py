@@ -59,7 +59,11 @@ def measure(data: np.ndarray, off: np.ndarray) -> Measured:
     """Base counts of each document and the features of each of its lines that has a word."""
     n = len(off) - 1
     w, ln, hasher = words(data, off), lines(data, off), Hasher(data, lower=False)
-    at = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    def at(flags: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 30 else np.int64)
+        np.cumsum(flags, out=out[1:])
+        return out
+
     lead = at((data & 0xC0) != 0x80)
     chars = per_doc(lead[w.end] - lead[w.start], w.first)
     word = hasher(w.start, w.end)
@@ -85,7 +89,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> Measured:
     if len(lh):
         again[order[1:]] = (lh[order][1:] == lh[order][:-1]) & (l_doc[order][1:] == l_doc[order][:-1])
     n_words = (b - a).astype(float)
-    in_words = at(np.diff(at(lead[w.end] - lead[w.start])))  # code points of words, by word
+    in_words = at(lead[w.end] - lead[w.start])  # code points of words, by word
     l_chars = np.maximum(in_words[b] - in_words[a], 1).astype(float)
     part = lambda table_: (lambda c: (c[l_end] - c[l_start]).astype(float))(at(table_[data]))
     rep, twin = at(repeated), at(np.concatenate([[False], word[1:] == word[:-1]])[: len(word)])

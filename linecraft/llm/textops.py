@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one slice of documents holds (a longer document is a slice of its own).
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
