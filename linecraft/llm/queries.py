@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, language, licenses, linededup, mixing, quality, toxicity
+from . import ctw, decontam, jaccard, language, licenses, linededup, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
+    "op2_ctw": ctw.op2,
     "op3_language": language.op3,
     "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontam.op5,

@@ -31,7 +31,7 @@ from .textops import _CODE_LOWER, Hasher, mix, slices, words
 
 T, STRIDE, HIDDEN, EMBED, ATTEND = 24, 12, 8, 6, 8
 BUCKETS, GRAMS = 1 << 15, (3, 4, 5)
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 60_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1800, 10_000
 STEPS, ROUNDS, BATCH, RATE = 200, 3, 96, 0.01
 #: Share of whole-word embeddings hidden in a training step, so that characters must do as well.
 HIDE = 0.4
@@ -201,7 +201,7 @@ def _rows(first: np.ndarray, counts: np.ndarray, doc: np.ndarray, start: np.ndar
     """Word rows (windows, T) of windows and which of them are words."""
     at = start[:, None] + np.arange(T)
     mask = at < (first[doc] + counts[doc])[:, None]
-    return np.where(mask, ids[np.minimum(at, len(ids) - 1)], pad), mask
+    return np.where(mask, ids[np.minimum(at, len(ids) - 1)], pad).astype(np.int32), mask
 
 
 def _part(v: Vocabulary, rows: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
@@ -214,6 +214,29 @@ def _part(v: Vocabulary, rows: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary(v.word[real], v.gram[at], np.concatenate([[0], np.cumsum(n)]), np.zeros(0, np.int64)), back.reshape(rows.shape)
 
 
+def _grams_of(v: Vocabulary, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``of_word``, bucket) of all n-grams of some words."""
+    n = v.first[of_word + 1] - v.first[of_word]
+    at = np.repeat(v.first[of_word] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(of_word)), n), v.gram[at]
+
+
+def _log_odds(w, v: Vocabulary, toxic: np.ndarray, buckets_of, block: int = 64) -> np.ndarray:
+    """Clipped log-odds of each bucket, by the documents of either label that have it."""
+    a, b = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for lo in range(0, len(toxic), block):
+        part = slice(w.first[lo], w.first[min(lo + block, len(toxic))])
+        key = np.unique((w.doc[part] - lo) * np.int64(len(v.word)) + v.ids[part])
+        of_doc, of_word = key // len(v.word), key % len(v.word)
+        at, bucket = buckets_of(of_word)
+        pair = np.unique(of_doc[at] * np.int64(BUCKETS) + bucket)
+        bad = toxic[lo + pair // BUCKETS]
+        a += np.bincount(pair[bad] % BUCKETS, minlength=BUCKETS)
+        b += np.bincount(pair[~bad] % BUCKETS, minlength=BUCKETS)
+    value = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
+    return np.where(a + b >= 4, np.clip(value, -1, 5), 0).astype(np.float32)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     """Fit on whole texts and their labels; windows of toxic texts are chosen as described above."""
     rng = np.random.default_rng(seed)
@@ -225,23 +248,13 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     doc, start = windows_of(w.counts, w.first)
     rows, mask = _rows(w.first, w.counts, doc, start, v.ids, len(v.word))
     net = Network(seed)
-    # log-odds of a bucket's documents
-    n_gram = np.diff(v.first)
-    def odds(doc_of: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        pair = np.unique(doc_of.astype(np.int64) * BUCKETS + bucket)
-        with_, is_toxic = pair % BUCKETS, toxic[pair // BUCKETS]
-        a, b = np.bincount(with_[is_toxic], minlength=BUCKETS), np.bincount(with_[~is_toxic], minlength=BUCKETS)
-        value = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
-        return np.where(a + b >= 4, np.clip(value, -1, 5), 0).astype(np.float32)
-    net.p["word"][:, 0] = odds(w.doc, v.word[v.ids]) / 4
-    key = np.unique(w.doc.astype(np.int64) * len(v.word) + v.ids)
-    of_doc, of_word = key // len(v.word), key % len(v.word)
-    at = np.repeat(v.first[of_word] - np.concatenate([[0], np.cumsum(n_gram[of_word])[:-1]]), n_gram[of_word]) + np.arange(n_gram[of_word].sum())
-    net.p["gram"][:, 0] = odds(np.repeat(of_doc, n_gram[of_word]), v.gram[at]) / 4
+    for name, at in (("word", lambda of_word: (np.arange(len(of_word)), v.word[of_word])), ("gram", lambda of_word: _grams_of(v, of_word))):
+        net.p[name][:, 0] = _log_odds(w, v, toxic, at) / 4
     each = net.embed(v)
     value = np.append(np.maximum(each[:, 0], 0) + np.maximum(each[:, EMBED], 0), 0)
     first_of = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ranking = (np.sort(value[rows] ** 2, axis=1)[:, -3:]).sum(1)
+    value = (value * value).astype(np.float32)
+    ranking = np.partition(value[rows], T - 3, axis=1)[:, -3:].sum(1)
     m, s2 = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
     for r in range(ROUNDS):
