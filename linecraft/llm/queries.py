@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, jaccard, language, licenses, linededup, mixing, quality, toxicity
+from . import ctw, decontam, jaccard, language, licenses, linededup, mixing, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6,
     "op7_licenses": licenses.op7,
     "op8_line_dedup": linededup.op8,
+    "op9_suffix_array": repeats.op9,
     "op10_quality": quality.op10,
 }
 
