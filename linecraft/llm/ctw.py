@@ -11,15 +11,16 @@ so a bit's probability mixes the KT predictions of all depths with the posterior
 training counts give.  A text's score is the sum over its bytes and one end byte (0), its code
 length per byte follows.
 
-Training counts the (DEPTH + 1)-byte strings of all training texts: partial counts in each task, a
-shuffle by string, exact totals; their size follows the input.  Tasks fold them into one table of
-``SLOTS`` hashed slots, the nodes of all depths: its size is fixed, so what the driver and the
-broadcast hold is bounded at any corpus size.  Colliding nodes share their counts, and any counts
-give a proper probability of each bit.
+The model is the table of all (DEPTH + 1)-byte strings of the texts with their training counts, in
+which strings of texts outside training count 0.  It grows with the corpus and stays distributed:
+strings go to tasks by their nearest ``TOP`` context bytes, and each task weights the subtrees of its
+contexts, whole.  Contexts above them are few whatever the corpus (at most 256 ** (TOP - 1) of them
+times 255 nodes); their sums reach the driver and go back as a broadcast, with which a second pass
+writes each string's log-probability.  Scoring reads the ``HOT_STRINGS`` most frequent strings from
+a broadcast of that fixed size and joins all others to the table; words of the base likewise.
 
 Tokens for the base are words in lower case (A-Z) and one end per text, add-half smoothed unigrams
-of the same training texts.  The counts of the ``HOT_WORDS`` most frequent words are broadcast; those
-of all others stay in a distributed table that is joined to the documents' other words.
+of the same training texts.
 
 Defined cases: null and empty texts are one end token and one end byte; without training texts every
 bit has probability 1/2 and every word an equal share; equal rows score alike; ids may be null;
@@ -32,68 +33,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, ship, stored, table
-from .textops import Hasher, mix, slices, words
+from .textops import Hasher, slices, words
 
-DEPTH = 4
-SLOTS = 1 << 22
-#: Distinct strings that one task folds into the table (64 MB), and words whose counts are broadcast.
-STRINGS_A_TASK, HOT_WORDS = 8_000_000, 1 << 16
+#: Context bytes, and those by which strings are dealt out.
+DEPTH, TOP = 5, 3
+#: Distinct strings in a task (of the tree), and strings and words whose values are broadcast.
+STRINGS_A_TASK, HOT_STRINGS, HOT_WORDS = 400_000, 1 << 21, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
 
 
-def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte and the end of each text with its DEPTH bytes before, packed, and its document."""
+def strings(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte and the end of each text with its ``depth`` bytes before, packed, and its document."""
     n_docs = len(off) - 1
     length = np.diff(off) + 1
-    first = np.concatenate([[0], np.cumsum(length + DEPTH)])
-    padded = np.zeros(first[-1], np.uint64)
+    first = np.concatenate([[0], np.cumsum(length + depth)])
+    padded = np.zeros(first[-1], np.int64)
     doc = np.repeat(np.arange(n_docs), np.diff(off))
-    padded[np.arange(len(data)) + (first[:-1] - off[:-1])[doc] + DEPTH] = _LOWER[data]
-    packed = padded[DEPTH:].copy()
-    for d in range(1, DEPTH + 1):
-        packed |= padded[DEPTH - d : len(padded) - d] << np.uint64(8 * d)
-    owner = np.repeat(np.arange(n_docs), length + DEPTH)
+    padded[np.arange(len(data)) + (first[:-1] - off[:-1])[doc] + depth] = _LOWER[data]
+    packed = padded[depth:].copy()
+    for d in range(1, depth + 1):
+        packed |= padded[depth - d : len(padded) - d] << (8 * d)
+    owner = np.repeat(np.arange(n_docs), length + depth)
     real = np.ones(len(padded), bool)
-    real[(first[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return packed[real[DEPTH:]], owner[DEPTH:][real[DEPTH:]]
+    real[(first[:-1, None] + np.arange(depth)).ravel()] = False
+    return packed[real[depth:]], owner[depth:][real[depth:]]
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        for _, _, data, off in slices(batch.column("text")):
-            s = np.sort(strings(data, off)[0])
-            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            both, back = np.unique(np.concatenate([keys, s[new]]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, np.diff(np.append(new, len(s)))]), len(both)).astype(np.int64)
-            keys = both
-            if len(keys) > 2_000_000:
-                yield _counted(keys, counts)
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(keys):
-        yield _counted(keys, counts)
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["s", "n"])
-
+def _tally(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, data, off in slices(batch.column("text")):
+                s, doc = strings(data, off, depth)
+                s = np.sort(s << 1 | learn[lo:hi][doc])
+                new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                found, size = s[new], np.diff(np.append(new, len(s)))
+                both, back = np.unique(np.concatenate([keys, found >> 1]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, size * (found & 1)]), len(both)).astype(np.int64)
+                keys = both
+                if len(keys) > 2_000_000:
+                    yield _columns(s=keys, n=counts)
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(keys):
+            yield _columns(s=keys, n=counts)
 
-def _slot(context: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
-    return (mix(context * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(depth)) & np.uint64(SLOTS - 1)).astype(np.int32)
+    return run
 
 
-def _path(packed: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slot, bit) of the eight decisions of each string's last byte in its context of ``depth`` bytes."""
-    byte = packed & np.uint64(255)
-    context = (packed >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-    for k in range(8):
-        node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        yield _slot(context, depth, node), (byte >> np.uint64(7 - k)) & np.uint64(1)
+def _columns(**arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], list(arrays))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -110,91 +104,109 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - 1.1447298858494002
 
 
-PART = 1 << 16
-_SUMS = "part int, zero binary, one binary, up binary"
+def _weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior weight of the own estimate, and the weighted log probability."""
+    return 1 / (1 + np.exp(np.clip(below - own, -60, 60))), np.logaddexp(own, below) - np.log(2)
 
 
-def _fold(depth: int):
-    """Counts of both bits of all slots, and the slot of each one's shorter context."""
+def _nodes(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of bit ``k`` over sorted (context, byte) keys: each key's node, the first key, zeros and ones of each node."""
+    group = keys >> (8 - k)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    node = np.cumsum(new) - 1
+    bit = (keys >> (7 - k)) & 1
+    one = np.bincount(node, counts * bit)
+    return node, np.flatnonzero(new), np.bincount(node, counts) - one, one
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, up = np.zeros((2, SLOTS), np.int64), np.full(SLOTS, -1, np.int64)
-        for batch in batches:
-            packed = batch.column("s").to_numpy().view(np.uint64)
-            n = batch.column("n").to_numpy()
-            shorter = [None] * 8
-            for d in range(depth + 1):
-                for k, (slot, bit) in enumerate(_path(packed, d)):
-                    for b in (0, 1):
-                        total[b] += np.bincount(slot[bit == b], n[bit == b], SLOTS).astype(np.int64)
-                    np.maximum.at(up, slot, (np.int64(d) << 32) | (shorter[k] if d else np.int64(0)))
-                    shorter[k] = slot.astype(np.int64)
-        rows = [(i, *(np.minimum(total[b, i * PART : (i + 1) * PART], 0xFFFFFFFF).astype("<u4").tobytes() for b in (0, 1)), up[i * PART : (i + 1) * PART].astype("<i8").tobytes()) for i in range(SLOTS // PART)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], ["part", "zero", "one", "up"])
 
-    return run
+class Top:
+    """Weights and predictions of the contexts of fewer than ``TOP`` bytes."""
 
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for part, zero, one, up in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("zero", "one", "up")), strict=True):
-            was = held.setdefault(part, [np.zeros(PART, np.int64), np.zeros(PART, np.int64), np.full(PART, -1, np.int64)])
-            was[0] += np.frombuffer(zero.as_buffer(), "<u4")
-            was[1] += np.frombuffer(one.as_buffer(), "<u4")
-            np.maximum(was[2], np.frombuffer(up.as_buffer(), "<i8"), out=was[2])
-    for part, (zero, one, up) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()) for x in (zero, one)), pa.array([up.tobytes()], pa.binary())], ["part", "zero", "one", "up"])
-
-
-class Tree:
-    """KT prediction of a one (``kt``) and weight of the own estimate (``own``) of all slots."""
-
-    def __init__(self, zero: np.ndarray, one: np.ndarray, up: np.ndarray, depth: int = DEPTH):
-        self.depth = depth
-        self.kt = ((one + 0.5) / (zero + one + 1.0)).astype(np.float32)
-        self.own = np.full(SLOTS, 0.5, np.float32)
-        level, parent = up >> 32, up & 0xFFFFFFFF
-        sums = np.zeros(SLOTS, np.float64)
-        for d in range(depth, -1, -1):
-            at = np.flatnonzero(level == d)
-            own = _kt(zero[at].astype(float), one[at].astype(float))
-            if d == depth:
-                self.own[at], weighted = 1.0, own
-            else:
-                gap = np.clip(sums[at] - own, -60, 60)
-                self.own[at] = 1 / (1 + np.exp(gap))
-                weighted = own + np.where(gap > 50, gap, np.log1p(np.exp(gap))) - np.log(2)
-                weighted = np.maximum(weighted, sums[at] - np.log(2))
+    def __init__(self, key: np.ndarray, zero: np.ndarray, one: np.ndarray, below: np.ndarray):
+        self.levels = []
+        for d in range(TOP - 1, -1, -1):
+            own, weighted = _weigh(_kt(zero, one), below)
+            self.levels.append((key, (one + 0.5) / (zero + one + 1), own))
             if d:
-                sums += np.bincount(parent[at], weighted, SLOTS)
+                context = (key >> 8) & ((1 << (8 * (d - 1))) - 1)
+                key, back = np.unique(context << 8 | key & 255, return_inverse=True)
+                zero, one, below = (np.bincount(back, x, len(key)) for x in (zero, one, weighted))
+
+    def mix(self, p: np.ndarray, packed: np.ndarray, k: int) -> np.ndarray:
+        node = (1 << k) | (packed & 255) >> (8 - k)
+        for d, (key, kt, own) in zip(range(TOP - 1, -1, -1), self.levels, strict=True):
+            at = np.searchsorted(key, ((packed >> 8) & ((1 << (8 * d)) - 1)) << 8 | node)
+            p = p + own[at] * (kt[at] - p)
+        return p
+
+
+def _subtrees(depth: int, sent=None):
+    """Sums for the contexts above the subtrees of a task, or (with those sent) each string's log2 probability."""
 
-    def log2(self, packed: np.ndarray) -> np.ndarray:
-        """log2 probability of the last byte of each string, given the bytes before."""
-        total = np.zeros(len(packed))
-        paths = [list(_path(packed, d)) for d in range(self.depth + 1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        s, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("s", "n"))
+        order = np.argsort(s)
+        keys, counts, up = [s[order]], [n[order].astype(float)], []
+        for d in range(depth - 1, TOP - 1, -1):
+            u, back = np.unique(keys[-1] & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            up.append(back)
+            keys.append(u)
+            counts.append(np.bincount(back, counts[-1], len(u)))
+        total = np.zeros(len(s))
+        sums: list[tuple[np.ndarray, ...]] = []
         for k in range(8):
-            p = None
-            for d in range(self.depth, -1, -1):
-                slot = paths[d][k][0]
-                kt = self.kt[slot].astype(np.float64)
-                p = kt if p is None else p + self.own[slot] * (kt - p)
-            total += np.log2(np.where(paths[0][k][1] == 1, p, 1 - p))
-        return total
+            p = below = None
+            at = np.arange(len(s))  # each string's key of this depth
+            for level in range(len(keys)):
+                node, first, zero, one = _nodes(keys[level], counts[level], k)
+                kt, estimate = (one + 0.5) / (zero + one + 1), _kt(zero, one)
+                own, weighted = _weigh(estimate, below) if level else (np.ones(len(kt)), estimate)
+                if sent is not None:
+                    mine = node[at]
+                    p = kt[mine] if p is None else p + own[mine] * (kt[mine] - p)
+                if level + 1 < len(keys):
+                    above = _nodes(keys[level + 1], counts[level + 1], k)[0]
+                    below = np.bincount(above[up[level][first]], weighted, above[-1] + 1)
+                    at = up[level][at]
+            if sent is None:
+                context = (keys[-1][first] >> 8) & ((1 << (8 * (TOP - 1))) - 1)
+                u, back = np.unique(context << 8 | (1 << k) | (keys[-1][first] & 255) >> (8 - k), return_inverse=True)
+                sums.append((u, *(np.bincount(back, x, len(u)) for x in (zero, one, weighted))))
+            else:
+                p = sent.value.mix(p, keys[0], k)
+                total += np.log2(np.where((keys[0] >> (7 - k)) & 1 == 1, p, 1 - p))
+        if sent is None:
+            yield _columns(**dict(zip(("key", "zero", "one", "below"), (np.concatenate(x) for x in zip(*sums, strict=True)), strict=True)))
+        else:
+            yield _columns(s=keys[0], n=counts[0].astype(np.int64), l=total)
 
+    return run
 
-def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of ``docs`` (text): exact distributed string counts, folded into the fixed table."""
-    ship(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_tally, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    few = max(1, -(-counts.count() // STRINGS_A_TASK))
-    rows = counts.coalesce(few).mapInArrow(_fold(depth), _SUMS).repartition(SLOTS // PART, "part").mapInArrow(_merge, _SUMS).collect()
-    zero, one, up = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.full(SLOTS, -1, np.int64)
-    for part, z, o, u in rows:
-        at = slice(part * PART, (part + 1) * PART)
-        zero[at], one[at], up[at] = np.frombuffer(bytes(z), "<u4"), np.frombuffer(bytes(o), "<u4"), np.frombuffer(bytes(u), "<i8")
-    return Tree(zero, one, up, depth)
+
+def model(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """s, n, l: all strings of ``docs`` (text, learn), training counts and log2 probabilities, stored."""
+    spark = docs.sparkSession
+    counts = stored(docs.select("text", "learn").mapInArrow(_tally(depth), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")))
+    parts = max(spark.sparkContext.defaultParallelism, -(-counts.count() // STRINGS_A_TASK))
+    dealt = counts.repartition(parts, F.shiftright("s", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1)))
+    above = dealt.mapInArrow(_subtrees(depth), "key long, zero double, one double, below double")
+    above = above.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).toArrow().sort_by("key")
+    top = Top(*(above.column(c).to_numpy() for c in ("key", "zero", "one", "below")))
+    return stored(dealt.mapInArrow(_subtrees(depth, spark.sparkContext.broadcast(top)), "s long, n long, l double"))
+
+
+def _most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the highest counts, at most ``most`` of them, without a sort of all."""
+    level = F.floor(F.log2(F.col(count) + 1) * 16).alias("level")
+    kept, lowest = 0, None
+    for found, size in sorted(rows.groupBy(level).count().collect(), reverse=True):
+        if kept + size > most:
+            break
+        kept, lowest = kept + size, found
+    return rows.filter(level >= lowest) if lowest is not None else rows.limit(0)
 
 
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,69 +223,99 @@ def _word_tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["h", "c"])
 
 
-def _score(sent):
+def _look(keys: np.ndarray, values: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each key that is there (0 else), and whether it is."""
+    if not len(keys):
+        return np.zeros(len(what)), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(keys, what), len(keys) - 1)
+    there = keys[at] == what
+    return np.where(there, values[at], 0.0), there
+
+
+def _rest(what: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(what))
+
+
+def _score(sent, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hot, logs = sent.value
-        keys, values = np.zeros(0, np.uint64), np.zeros(0)
+        hot, bits, frequent, logs = sent.value
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text")):
-                packed, doc = strings(data, off)
-                order = np.argsort(packed)
-                s = packed[order]
-                first = np.concatenate([[True], s[1:] != s[:-1]])
-                new = s[first]
-                at = np.minimum(np.searchsorted(keys, new), max(len(keys) - 1, 0))
-                missing = new[keys[at] != new] if len(keys) else new
-                if len(missing):
-                    keys = np.concatenate([keys, missing])
-                    by = np.argsort(keys, kind="stable")
-                    keys, values = keys[by], np.concatenate([values, tree.log2(missing)])[by]
-                    at = np.searchsorted(keys, new)
-                each = np.empty(len(packed))
-                each[order] = values[at][np.cumsum(first) - 1]
-                bits = np.bincount(doc, each, hi - lo)
+                n = hi - lo
+                s, doc = strings(data, off, depth)
+                order = np.argsort(s)
+                new = np.concatenate([[True], s[order][1:] != s[order][:-1]])
+                value, there = _look(hot, bits, s[order][new])
+                back = np.empty(len(s), np.int64)
+                back[order] = np.cumsum(new) - 1
+                value, there = value[back], there[back]
                 h, ends = _word_hashes(data, off)
-                near = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-                known = hot[near] == h if len(hot) else np.zeros(len(h), bool)
-                of = np.repeat(np.arange(hi - lo), np.diff(ends))
-                rare_ends = np.concatenate([[0], np.cumsum(np.bincount(of[~known], minlength=hi - lo))])
-                rare = pa.LargeListArray.from_arrays(pa.array(rare_ends.astype(np.int64)), pa.array(h[~known])).cast(pa.list_(pa.int64()))
-                base = np.bincount(of[known], logs[near[known]], hi - lo) if known.any() else np.zeros(hi - lo)
-                ids, held = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out"))
-                yield pa.RecordBatch.from_arrays([ids, held, pa.array(np.diff(ends).astype(np.int64) + 1), pa.array(np.diff(off).astype(np.int64)), pa.array(bits * np.log10(2)), pa.array(base), pa.array(np.bincount(of[known], minlength=hi - lo).astype(np.int64)), rare], ["doc_id", "held_out", "n_tokens", "n_bytes", "score", "hot", "n_hot", "rare"])
-                if len(keys) > 4_000_000:
-                    keys, values = np.zeros(0, np.uint64), np.zeros(0)
+                of = np.repeat(np.arange(n), np.diff(ends))
+                log, known = _look(frequent, logs, h)
+                ids, held = (batch.column(c).slice(lo, n) for c in ("doc_id", "held_out"))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, held, pa.array(np.diff(ends).astype(np.int64) + 1), pa.array(np.diff(off).astype(np.int64)), pa.array(np.bincount(doc, value, n)), _rest(s[~there], doc[~there], n), pa.array(np.bincount(of, log, n)), pa.array(np.bincount(of, known, n).astype(np.int64)), _rest(h[~known], of[~known], n)],
+                    ["doc_id", "held_out", "n_tokens", "n_bytes", "bits", "strings", "logs", "n_known", "words"],
+                )
 
     return run
 
 
 def score(docs: DataFrame, train_docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Base and tree scores of ``docs`` (doc_id, held_out, text) after learning ``train_docs`` (text)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     empty = F.coalesce("text", F.lit("")).alias("text")
-    train_docs = train_docs.select(empty)
-    tree = train(train_docs, depth)
+    both = train_docs.select(empty, F.lit(True).alias("learn")).unionByName(docs.select(empty, F.lit(False).alias("learn")))
+    return _scored(docs.select("doc_id", "held_out", empty), train_docs.select(empty), both, depth)
+
+
+def score_by_flag(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Scores of ``docs`` (doc_id, held_out, text) after learning those not held out; one scan fewer."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
+    return _scored(docs, docs.filter(~F.col("held_out")).select("text"), docs.select("text", (~F.col("held_out")).alias("learn")), depth)
+
+
+def _scored(docs: DataFrame, train_docs: DataFrame, both: DataFrame, depth: int) -> DataFrame:
+    table_ = model(both, depth)
     counts = stored(train_docs.mapInArrow(_word_tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     ends = train_docs.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + ends, v + (ends > 0)
-    top = counts.orderBy(F.col("c").desc(), "h").limit(HOT_WORDS).toPandas().sort_values("h")
-    hot, logs = top["h"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 0.5)
-    sent = spark.sparkContext.broadcast((tree, hot, logs))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, hot double, n_hot long, rare array<long>"
-    rows = stored(docs.select("doc_id", "held_out", empty).mapInArrow(_score(sent), schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select(F.col("row").alias("r"), F.explode("rare").alias("w"))
-    known = rare.join(counts, F.col("w") == F.col("h")).groupBy("r").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("more"), F.count(F.lit(1)).alias("n_more"))
-    out = rows.drop("rare").join(known, F.col("row") == F.col("r"), "left")
-    n_known = F.col("n_hot") + F.coalesce("n_more", F.lit(0))
+    hot = _most_frequent(table_, "n", HOT_STRINGS).select("s", F.col("l").cast("float").alias("l")).toArrow()
+    top = _most_frequent(counts, "c", HOT_WORDS).toArrow()
+    hot_s, hot_l, word, c = (t.column(x).to_numpy() for t, x in ((hot, "s"), (hot, "l"), (top, "h"), (top, "c")))
+    by, by_word = np.argsort(hot_s), np.argsort(word)
+    sent = docs.sparkSession.sparkContext.broadcast((hot_s[by], hot_l[by], word[by_word], np.log10(c[by_word] + 0.5)))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, bits double, strings array<long>, logs double, n_known long, words array<long>"
+    rows = stored(docs.mapInArrow(_score(sent, depth), schema).withColumn("row", F.monotonically_increasing_id()))
+
+    def joined(column: str, other: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        each = rows.select(F.col("row").alias(name + "_row"), F.explode(column).alias("what"))
+        found = each.join(other.withColumnRenamed(key, "what"), "what").groupBy(name + "_row")
+        return found.agg(F.sum(value).alias(name), F.count(F.lit(1)).alias("n_" + name))
+
+    out = rows.drop("strings", "words")
+    out = out.join(joined("strings", table_, "s", F.col("l"), "more_bits"), F.col("row") == F.col("more_bits_row"), "left")
+    out = out.join(joined("words", counts, "h", F.log10(F.col("c") + 0.5), "more_logs"), F.col("row") == F.col("more_logs_row"), "left")
+    n_known = F.col("n_known") + F.coalesce("n_more_logs", F.lit(0))
     unknown = F.col("n_tokens") - 1 - n_known
-    sums = F.col("hot") + F.coalesce("more", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.5))) + F.lit(float(np.log10(ends + 0.5)))
+    sums = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + unknown * F.lit(float(np.log10(0.5))) + F.lit(float(np.log10(ends + 0.5)))
     base = sums - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
-    per_byte = -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)
-    return out.select("doc_id", "held_out", "n_tokens", (n_known + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", per_byte.alias("bits_per_byte"))
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
+    return out.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (n_known + int(ends > 0)).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (bits * F.lit(float(np.log10(2)))).alias("score"),
+        (-bits / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+    )
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
-    return score(docs, docs.filter(~F.col("held_out")))
+    return score_by_flag(docs)
