@@ -255,7 +255,7 @@ def _score(sent, depth: int):
                 log, known = _look(frequent, logs, h)
                 ids, held = (batch.column(c).slice(lo, n) for c in ("doc_id", "held_out"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, held, pa.array(np.diff(ends).astype(np.int64) + 1), pa.array(np.diff(off).astype(np.int64)), pa.array(np.bincount(doc, value, n)), _rest(s[~there], doc[~there], n), pa.array(np.bincount(of, log, n)), pa.array(np.bincount(of, known, n).astype(np.int64)), _rest(h[~known], of[~known], n)],
+                    [ids, held, pa.array(np.diff(ends).astype(np.int64) + 1), pa.array(np.diff(off).astype(np.int64)), pa.array(np.bincount(doc, value, n).astype(float)), _rest(s[~there], doc[~there], n), pa.array(np.bincount(of, log, n).astype(float)), pa.array(np.bincount(of, known, n).astype(np.int64)), _rest(h[~known], of[~known], n)],
                     ["doc_id", "held_out", "n_tokens", "n_bytes", "bits", "strings", "logs", "n_known", "words"],
                 )
 
