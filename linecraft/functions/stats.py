@@ -25,10 +25,12 @@ NORM_CDF_SQL = """(CASE WHEN {z} >= 0 THEN 1 - {u} ELSE {u} END)""".replace(
 
 def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval in [0, 1], rounded to 4 digits; (0, 0) without a trial."""
-    p, n = wins / F.nullif(n, F.lit(0)), F.nullif(n, F.lit(0)).cast("double")
-    centre, spread = p + z * z / (2 * n), z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
-    low, high = (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
-    return F.coalesce(F.round(F.greatest(low, F.lit(0.0)), 4), F.lit(0.0)), F.coalesce(F.round(F.least(high, F.lit(1.0)), 4), F.lit(0.0))
+    m = F.nullif(n, F.lit(0)).cast("double")
+    p = wins / m
+    centre, spread = p + z * z / (2 * m), z * F.sqrt((p * (1 - p) + z * z / (4 * m)) / m)
+    low, high = (centre - spread) / (1 + z * z / m), (centre + spread) / (1 + z * z / m)
+    none = m.isNull()
+    return F.when(none, 0.0).otherwise(F.round(F.greatest(low, F.lit(0.0)), 4)), F.when(none, 0.0).otherwise(F.round(F.least(high, F.lit(1.0)), 4))
 
 
 def adjusted(df: DataFrame, p: str, key: str, group: list[str]) -> DataFrame:
