@@ -159,7 +159,9 @@ def test_learned_operators_hold_out(spark, sf_dir, docs):
     lang = QUERIES["op3_language"](spark, sf_dir).toPandas().merge(docs[["doc_id", "lang"]])
     lang = lang[lang["held_out"] & lang["lang"].notna()]
     assert (lang["lang_pred"] == lang["lang"]).mean() > 0.9
-    more = sf_dir.replace("sf0.001", "sf0.01")  # the small table holds out five toxic documents
+    # The smaller tables have too few toxic labels to learn from (under 40 for training at scale 0.01,
+    # where recall was measured as 0.11).
+    more = sf_dir.replace("sf0.001", "sf0.1")
     labels = pq.read_table(f"{more}/labels.parquet").to_pandas()
     tox = QUERIES["op1_toxicity"](spark, more).toPandas().merge(labels)
     held = tox[tox["held_out"]]
