@@ -2,14 +2,13 @@
 
 Items and documents are sets of 5-word shingles (letters A-Z in lower case; an item of fewer words
 is one shingle of all its words).  A document contains an item if at least 80 % of the item's
-shingles occur in it.  A whole document is far larger than an item, which would drown its MinHash;
-so each document is searched in overlapping windows, one width for each class of item sizes (a
-window is twice the class's longest item and moves by its length, so some window holds any whole
-copy of it).  Shingles that no item has cannot be shared with an item, so a window's domain is its
-shingles that some item has; domains are partitioned by size.  Within a partition the containment
-bound becomes a Jaccard bound, and the number of one-row bands is the smallest whose probability to
-miss a pair at that bound is under 1e-6.  Pairs that share a band are verified by exact containment
-over the whole document.
+shingles occur in it.  Shingles that no item has cannot be shared with an item, so a document's domain is its shingles
+anywhere in the text that some item has; domains are partitioned by size.  Within a partition the
+containment bound becomes a Jaccard bound, and the number of one-row bands is the smallest whose
+probability to miss a pair at that bound is under 1e-6, wherever in the text the shared shingles
+lie.  Where ``BANDS`` bands do not reach that (a domain of about six times an item's shingles or
+more), retrieval is exact instead: an item of n shingles that may lack m of them shares at least one
+of its m + 1 rarest ones, which are looked up.  Retrieved pairs are verified by exact containment.
 
 The items are the stated query set: they are taken in blocks of at most ``BLOCK`` shingles, each
 block is broadcast and searched over all documents in one pass without a shuffle.
@@ -25,7 +24,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +32,7 @@ from .common import ship, table
 from .textops import Hasher, distinct, mix, shingles, slices, words
 
 K, CONTAINED = 5, 0.8
-#: Shingles of one broadcast block of items: 8 bytes each, and 768 bytes of band values an item.
+#: Shingles of one broadcast block of items: 8 bytes each in three arrays, and 768 bytes of band values an item.
 BLOCK = 1_000_000
 BANDS = 96
 MISS = 1e-6
@@ -67,18 +65,23 @@ def bands_for(size: np.ndarray, domain: int, contained: float) -> np.ndarray:
 
 
 class _Block:
-    """One broadcast block of items: sets, sorted shingles and band values."""
+    """One broadcast block of items: sets, sorted shingles, band values and rarest shingles."""
 
-    def __init__(self, rows: pd.DataFrame, k: int):
-        rows = rows[rows["shingles"].map(len) > 0]
-        self.ids = rows["item_id"].to_list()
-        self.words = rows["n_words"].to_numpy(np.int64)
+    def __init__(self, found: pa.Table, k: int, contained: float):
+        rows = found.drop_columns("item_id").to_pandas()
+        full = rows["shingles"].map(len) > 0
+        rows, self.ids = rows[full], found.column("item_id").filter(pa.array(full.to_numpy(bool))).to_pylist()
         self.sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["shingles"]]
         self.size = np.array([len(x) for x in self.sets])
-        self.short = np.minimum(self.words, k)  # words of this item's shingles
+        self.short = np.minimum(rows["n_words"].to_numpy(np.int64), k)  # words of this item's shingles
         if self.ids:
             flat = np.concatenate(self.sets)
-            self.all = np.unique(flat)
+            self.all, seen = np.unique(flat, return_counts=True)
+            some = self.size - np.ceil(contained * self.size - 1e-9).astype(int) + 1
+            rare = [x[np.argsort(seen[np.searchsorted(self.all, x)], kind="stable")[:n]] for x, n in zip(self.sets, some, strict=True)]
+            rare, item = np.concatenate(rare), np.repeat(np.arange(len(some)), some)
+            order = np.argsort(rare, kind="stable")
+            self.rare, self.rare_item = rare[order], item[order]
             self.bands = minhash(flat, np.concatenate([[0], np.cumsum(self.size)[:-1]]))
 
 
@@ -86,14 +89,13 @@ def _search(sent, k: int, contained: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Block = sent.value
         lookup = [(np.sort(c), np.argsort(c, kind="stable")) for c in block.bands.T]
-        widths = sorted({1 << int(n - 1).bit_length() for n in block.words})
         for batch in batches:
             for lo, _, data, off in slices(batch.column("text")):
                 w = words(data, off)
                 word = Hasher(data, lower=True)(w.start, w.end)
                 out: list[tuple[int, int, int]] = []
                 for s in sorted(set(block.short.tolist())):
-                    out += _pairs(block, s, k, contained, lookup, widths, w, word)
+                    out += _pairs(block, s, k, contained, lookup, w, word)
                 if out:
                     doc, item, shared = (np.array(x) for x in zip(*out, strict=True))
                     ids = batch.column("doc_id").take(pa.array(doc + lo))
@@ -103,7 +105,7 @@ def _search(sent, k: int, contained: float):
     return run
 
 
-def _pairs(block: _Block, s: int, k: int, contained: float, lookup, widths, w, word) -> list[tuple[int, int, int]]:
+def _pairs(block: _Block, s: int, k: int, contained: float, lookup, w, word) -> list[tuple[int, int, int]]:
     """Verified (document, item, shared shingles) for the items whose shingles have ``s`` words."""
     h, doc = shingles(word, w, s)
     if s < k and len(h):  # such an item's shingle carries its length; a run of s words does too here
@@ -116,48 +118,34 @@ def _pairs(block: _Block, s: int, k: int, contained: float, lookup, widths, w, w
     hit = np.flatnonzero(block.all[at] == h)
     if not len(hit):
         return []
-    h, doc, pos = h[hit], doc[hit], hit - np.searchsorted(doc, doc[hit])
+    h, first = distinct(h[hit], doc[hit], len(w.counts))
     mine = block.short == s
     found: set[tuple[int, int]] = set()
-    for width in widths:
-        group = mine & (1 << np.array([int(n - 1).bit_length() for n in block.words]) == width)
-        if not group.any():
-            continue
-        # window j holds the positions [j * width, (j + 2) * width): each hit is in two windows
-        win = np.concatenate([pos // width, pos // width - 1])
-        wh, wd = np.concatenate([h, h]), np.concatenate([doc, doc])
-        ok = win >= 0
-        ok[: len(pos)] |= True
-        win, wh, wd = win[ok], wh[ok], wd[ok]
-        order = np.lexsort((wh, win, wd))
-        win, wh, wd = win[order], wh[order], wd[order]
-        same = np.zeros(len(wh), bool)
-        same[1:] = (win[1:] == win[:-1]) & (wd[1:] == wd[:-1])
-        dup = same.copy()
-        dup[1:] &= wh[1:] == wh[:-1]
-        win, wh, wd, same = win[~dup], wh[~dup], wd[~dup], same[~dup]
-        starts = np.flatnonzero(~same)
-        domain = np.diff(np.append(starts, len(wh)))
-        values = minhash(wh, starts)
-        part = 1 << np.ceil(np.log2(domain)).astype(int)
-        for p in np.unique(part):
-            rows = np.flatnonzero(part == p)
-            need = np.where(group, bands_for(block.size, int(p), contained), 0)
-            for item in np.flatnonzero(need > BANDS):  # more bands than there are: verify in all these domains
-                found |= {(d, int(item)) for d in wd[starts[rows]].tolist()}
-            for b in range(min(int(need.max()), BANDS)):
-                keys, back = lookup[b]
-                left, right = np.searchsorted(keys, values[rows, b], "left"), np.searchsorted(keys, values[rows, b], "right")
-                for r in np.flatnonzero(right > left):
-                    for item in back[left[r] : right[r]]:
-                        if need[item] > b:
-                            found.add((int(wd[starts[rows[r]]]), int(item)))
-    if not found:
-        return []
-    out, first = [], np.searchsorted(doc, np.arange(len(w.first)))
+    with_hits = np.flatnonzero(np.diff(first))
+    domain = np.diff(first)[with_hits]
+    values = minhash(h, first[with_hits])
+    part = 1 << np.ceil(np.log2(domain)).astype(int)
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        need = np.where(mine & (contained * block.size - 1e-9 <= p), bands_for(block.size, int(p), contained), 0)
+        if need.max() > BANDS:  # more bands than there are: look up the rarest shingles
+            at = np.concatenate([np.arange(first[d], first[d + 1]) for d in with_hits[rows]])
+            left, right = np.searchsorted(block.rare, h[at], "left"), np.searchsorted(block.rare, h[at], "right")
+            n = right - left
+            item = block.rare_item[np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            owner = np.repeat(np.repeat(with_hits[rows], domain[rows]), n)
+            found.update(zip(owner[need[item] > BANDS].tolist(), item[need[item] > BANDS].tolist(), strict=True))
+        need[need > BANDS] = 0
+        for b in range(int(need.max())):
+            keys, back = lookup[b]
+            left, right = np.searchsorted(keys, values[rows, b], "left"), np.searchsorted(keys, values[rows, b], "right")
+            for r in np.flatnonzero(right > left):
+                for item in back[left[r] : right[r]]:
+                    if need[item] > b:
+                        found.add((int(with_hits[rows[r]]), int(item)))
+    out = []
     for d, item in sorted(found):
-        own = np.unique(h[first[d] : first[d + 1]])
-        shared = int(np.isin(block.sets[item], own, assume_unique=True).sum())
+        shared = int(np.isin(block.sets[item], h[first[d] : first[d + 1]], assume_unique=True).sum())
         if shared >= contained * block.size[item] - 1e-9:
             out.append((d, item, shared))
     return out
@@ -189,8 +177,8 @@ def containment_search(docs: DataFrame, items: DataFrame, k: int = K, contained:
     n_blocks = max(1, -(-int(total) * 5 // (block * 4)))
     found = []
     for b in range(n_blocks):
-        rows = (sets if n_blocks == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == b)).toPandas()
-        one = _Block(rows, k)
+        rows = (sets if n_blocks == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == b)).toArrow()
+        one = _Block(rows, k, contained)
         if one.ids:
             found.append(docs.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(one), k, contained), SCHEMA))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
@@ -198,3 +186,21 @@ def containment_search(docs: DataFrame, items: DataFrame, k: int = K, contained:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+ORACLE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS ws FROM benchmark),
+of_item AS (
+  SELECT DISTINCT i, s, array_to_string(ws[a:a + s - 1], ' ') AS shingle
+  FROM (SELECT i, ws, s, unnest(range(1, len(ws) - s + 2)) AS a FROM (SELECT *, least(len(ws), {K}) AS s FROM items) WHERE s > 0)),
+of_doc AS (
+  SELECT DISTINCT d, s, array_to_string(ws[a:a + s - 1], ' ') AS shingle
+  FROM (SELECT d, ws, s, unnest(range(1, len(ws) - s + 2)) AS a FROM docs, (SELECT DISTINCT s FROM of_item) WHERE len(ws) >= s)),
+sizes AS (SELECT i, count(*) AS n FROM of_item GROUP BY i),
+shared AS (SELECT d, i, count(*) AS m FROM of_doc JOIN of_item USING (s, shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n::INT AS n_item_shingles, m::INT AS n_shared, m / n AS containment
+FROM shared JOIN sizes USING (i) JOIN docs USING (d) JOIN items USING (i)
+WHERE 100 * m >= {round(100 * CONTAINED)} * n
+"""

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
     "op7_licenses": licenses.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }

@@ -4,6 +4,7 @@ import os
 import shutil
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +14,7 @@ from comparing import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linecraft.llm import ctw, repeats
+from linecraft.llm import ctw, decontam, repeats
 from linecraft.llm.queries import ORACLE_SQL, QUERIES
 from linecraft.llm.suffixarray import common_prefixes, suffix_array
 
@@ -146,6 +147,23 @@ def test_op10_base(spark, sf_dir, docs):
         assert not (failed and r.kept)
 
 
+def test_op5_scattered_parts(spark):
+    """Items whose parts lie far apart, among parts of others or not, beside short ones: SQL's rows."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    items = [draw(50) for _ in range(60)] + [["Three", "short", "words"], [], draw(12)]
+    apart = [[*draw(9), *w[:17], *draw(300), *w[17:34], *draw(300), *w[34:]] for w in items[:60]]
+    among = [[*draw(5), *w[:17], *items[i - 1][:30], *draw(300), *w[17:34], *items[i - 2][9:40], *draw(300), *w[34:], *items[i - 3][20:]] for i, w in enumerate(items[:60])]
+    texts = [" ".join(w) for w in (*apart, *among, sum(items, []), sum(apart[:30], []), ["so", "THREE", "short\nwords"], items[0][:41], items[0][:40])]
+    found = pd.DataFrame({"doc_id": pd.array([*range(len(texts)), 7, None, 900], "Int64"), "text": [*texts, texts[7], texts[8], None]})
+    asked = pd.DataFrame({"item_id": pd.array([*range(len(items)), None, 901], "Int64"), "text": [*(" ".join(w) for w in items), " ".join(items[5]), None]})
+    got = decontam.containment_search(*(spark.createDataFrame(x.astype(object).where(x.notna(), None), f"{c} long, text string") for x, c in ((found, "doc_id"), (asked, "item_id")))).toPandas()
+    con = duckdb.connect()
+    con.register("documents", found), con.register("benchmark", asked)
+    want = con.execute(decontam.ORACLE).df()
+    assert len(want) > 200 and rows(got) == rows(want)
+
+
 def test_op6_mix(spark, sf_dir):
     a, b = (QUERIES["op6_mixing"](spark, sf_dir).toPandas() for _ in range(2))
     assert rows(a) == rows(b)
