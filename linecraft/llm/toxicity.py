@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Every word enters as a word embedding (by hash) beside the sum of the embeddings of its character
-n-grams.  A forward and a backward gated recurrent network read windows of ``T`` words that overlap
+n-grams.  A word of more than ``PIECE`` bytes (joined tokens, scripts without spaces) enters as pieces
+of that size that overlap by half: each piece is an input word of its own, with the n-grams of its
+bytes, an edge mark only where the word has its edge, and the whole word's embedding.  A forward and a backward gated recurrent network read windows of ``T`` words that overlap
 by half; attention pools the states of a window into one, and a logistic unit scores it.  All
 windows of the whole text are scored and a document's score is that of its worst window.
 
@@ -13,7 +15,7 @@ give random windows and those that the network takes for toxic.
 
 Defined cases: null and empty texts and texts without a word score 0; without a label of either
 kind every text scores 0; a text of fewer than ``T`` words is one padded window; equal rows score
-alike; labels that contradict each other for one id count as toxic; further columns are ignored.
+alike; ``n_windows`` counts windows of words and pieces; labels that contradict each other for one id count as toxic; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, ship, table
-from .textops import _CODE_LOWER, Hasher, mix, slices, words
+from .textops import _CODE_LOWER, Hasher, Words, mix, slices, words
 
 T, STRIDE, HIDDEN, EMBED, ATTEND = 24, 12, 8, 6, 8
 BUCKETS, GRAMS = 1 << 15, (3, 4, 5)
+PIECE = 40
+#: Characters or n-grams worked on at once.
+CHUNK = 1 << 20
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1800, 10_000
 STEPS, ROUNDS, BATCH, RATE = 200, 3, 96, 0.01
 #: Share of whole-word embeddings hidden in a training step, so that characters must do as well.
@@ -40,7 +45,7 @@ CUT = 0.7
 
 @dataclass
 class Vocabulary:
-    """Distinct words of some texts: bucket of each word, buckets of its n-grams, ids of all words."""
+    """Distinct words and pieces of some texts: bucket of each word, buckets of its n-grams, ids of all words."""
 
     word: np.ndarray
     gram: np.ndarray
@@ -48,32 +53,60 @@ class Vocabulary:
     ids: np.ndarray
 
 
-def vocabulary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Vocabulary:
-    h = Hasher(data, lower=True)(start, end)
-    distinct, at, ids = np.unique(h, return_index=True, return_inverse=True)
-    start, end = start[at], end[at]
-    size = np.minimum(end - start, 40)
-    # characters of the distinct words, with an edge mark on both sides
-    length = size + 2
-    first = np.concatenate([[0], np.cumsum(length)])
-    owner = np.repeat(np.arange(len(at)), length)
-    place = np.arange(first[-1]) - first[owner]
-    inner = (place > 0) & (place <= size[owner])
-    code = np.full(first[-1], np.uint64(0x51ED270B))
-    code[inner] = _CODE_LOWER[data[start[owner[inner]] + place[inner] - 1]]
-    parts, owners = [], []
-    for n in GRAMS:
-        if len(code) < n:
-            continue
-        total = np.zeros(len(code) - n + 1, np.uint64)
-        for j in range(n):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + code[j : len(code) - n + 1 + j]
-        ok = owner[: len(total)] == owner[n - 1 :]
-        parts.append((mix(total[ok] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
-        owners.append(owner[: len(total)][ok])
-    gram, own = (np.concatenate(parts), np.concatenate(owners)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    order = np.argsort(own, kind="stable")
-    return Vocabulary((mix(distinct) % np.uint64(BUCKETS)).astype(np.int32), gram[order], np.searchsorted(own[order], np.arange(len(at) + 1)), ids)
+@dataclass
+class Pieces(Words):
+    """Words and pieces of long words, in order of the text, with the hash of the whole word."""
+
+    whole: np.ndarray
+    head: np.ndarray  # whether the word begins here
+    tail: np.ndarray  # whether the word ends here
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> Pieces:
+    w = words(data, off)
+    size, step = w.end - w.start, PIECE // 2
+    n = 1 + np.maximum(0, -(-(size - PIECE) // step))
+    so_far = np.concatenate([[0], np.cumsum(n)])
+    of = np.repeat(np.arange(len(n)), n)
+    start = w.start[of] + np.minimum((np.arange(len(of)) - so_far[of]) * step, np.maximum(size[of] - PIECE, 0))
+    end = np.minimum(start + PIECE, w.end[of])
+    return Pieces(start, end, w.doc[of], so_far[w.first], Hasher(data, lower=True)(w.start, w.end)[of], start == w.start[of], end == w.end[of])
+
+
+def vocabulary(data: np.ndarray, w: Pieces) -> Vocabulary:
+    h = w.whole.copy()
+    part = np.flatnonzero(~(w.head & w.tail))
+    if len(part):
+        edges = (w.head[part] + 2 * w.tail[part]).astype(np.uint64)
+        h[part] = mix(mix(Hasher(data, lower=True)(w.start[part], w.end[part]) + edges) ^ h[part])
+    _, at, ids = np.unique(h, return_index=True, return_inverse=True)
+    start, size, head = w.start[at], w.end[at] - w.start[at], w.head[at].astype(np.int64)
+    # characters of the distinct words, with a mark on the edges of the word
+    length = size + head + w.tail[at]
+    so_far = np.concatenate([[0], np.cumsum(length)])
+    grams, counts, lo = [np.zeros(0, np.int32)], np.zeros(len(at), np.int64), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(so_far, so_far[lo] + CHUNK, "right")) - 1)
+        owner = np.repeat(np.arange(lo, hi), length[lo:hi])
+        place = np.arange(so_far[lo], so_far[hi]) - so_far[owner] - head[owner]
+        inner = (place >= 0) & (place < size[owner])
+        code = np.full(len(owner), np.uint64(0x51ED270B))
+        code[inner] = _CODE_LOWER[data[start[owner[inner]] + place[inner]]]
+        parts, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for n in GRAMS:
+            if len(code) < n:
+                continue
+            total = np.zeros(len(code) - n + 1, np.uint64)
+            for j in range(n):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + code[j : len(code) - n + 1 + j]
+            ok = owner[: len(total)] == owner[n - 1 :]
+            parts.append((mix(total[ok] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
+            owners.append(owner[: len(total)][ok])
+        own = np.concatenate(owners)
+        grams.append(np.concatenate(parts)[np.argsort(own, kind="stable")])
+        counts[lo:hi] = np.bincount(own - lo, minlength=hi - lo)
+        lo = hi
+    return Vocabulary((mix(w.whole[at]) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(grams), np.concatenate([[0], np.cumsum(counts)]), ids)
 
 
 def windows_of(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +143,13 @@ class Network:
         """Word inputs; ``known`` (0 or 1 a word) hides whole-word embeddings in training."""
         n = np.diff(v.first)
         grams = np.zeros((len(v.word), EMBED), np.float32)
-        if len(v.gram):
-            some = n > 0
-            grams[some] = np.add.reduceat(self.p["gram"][v.gram], v.first[:-1][some], axis=0) / np.sqrt(n[some])[:, None]
+        some = np.flatnonzero(n > 0)
+        begin, lo = v.first[some], 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + CHUNK)))
+            at, last = some[lo:hi], v.first[some[hi - 1] + 1]
+            grams[at] = np.add.reduceat(self.p["gram"][v.gram[begin[lo] : last]], begin[lo:hi] - begin[lo], axis=0) / np.sqrt(n[at])[:, None]
+            lo = hi
         word = self.p["word"][v.word]
         return np.concatenate([word if known is None else word * known[:, None], grams], axis=1)
 
@@ -243,8 +280,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     column = pa.array(texts, pa.large_string())
     off = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[: off[-1]]
-    w = words(data, off)
-    v = vocabulary(data, w.start, w.end)
+    w = pieces(data, off)
+    v = vocabulary(data, w)
     doc, start = windows_of(w.counts, w.first)
     rows, mask = _rows(w.first, w.counts, doc, start, v.ids, len(v.word))
     net = Network(seed)
@@ -311,11 +348,11 @@ def _score(sent):
             net.p = sent.value
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text"), 2 << 20):
-                w = words(data, off)
+                w = pieces(data, off)
                 score = np.zeros(hi - lo)
                 n_windows = np.zeros(hi - lo, np.int64)
                 if len(w.start) and sent is not None:
-                    v = vocabulary(data, w.start, w.end)
+                    v = vocabulary(data, w)
                     doc, start = windows_of(w.counts, w.first)
                     rows, mask = _rows(w.first, w.counts, doc, start, v.ids, len(v.word))
                     np.maximum.at(score, doc, net.scores(rows, mask, v).astype(float))

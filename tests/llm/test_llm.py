@@ -14,7 +14,7 @@ from comparing import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linecraft.llm import ctw, decontam, repeats
+from linecraft.llm import ctw, decontam, repeats, toxicity
 from linecraft.llm.queries import ORACLE_SQL, QUERIES
 from linecraft.llm.suffixarray import common_prefixes, suffix_array
 
@@ -189,6 +189,21 @@ def test_learned_operators_hold_out(spark, sf_dir, docs):
     assert (toxic >= 0.7).mean() >= 0.4 and (clean >= 0.7).mean() <= 0.02
 
 
+def test_op1_reads_long_words_to_their_end(spark):
+    """Abuse behind byte 40 of joined tokens that were never seen before is found."""
+    rng = np.random.default_rng(8)
+    filler = ["".join(rng.choice(list("abdefghiklmnoprstu"), int(n))) for n in rng.integers(3, 9, 300)]
+    token = lambda end: "_".join([*rng.choice(filler, 12), *end, *rng.choice(filler, 2)])
+    text = lambda bad: " ".join([*rng.choice(filler, 20), token(["zorkvyxq"] if bad else []), *rng.choice(filler, 20)])
+    bad = [i % 3 == 0 for i in range(700)]
+    data = [(i, i >= 500, text(b)) for i, b in enumerate(bad)]
+    docs = spark.createDataFrame(data, "doc_id long, held_out boolean, text string")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad[:500])], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.learn(docs.filter("NOT held_out"), labels)).toPandas().sort_values("doc_id")
+    hit, toxic = (got["score"] >= 0.7).to_numpy()[500:], np.array(bad[500:])
+    assert hit[toxic].mean() >= 0.8 and hit[~toxic].mean() <= 0.1
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
