@@ -1,54 +1,195 @@
-"""Beam search over filter combinations: one Spark job a round, the driver holds only the beam."""
+"""Beam search over filter combinations: one Spark job a round, the driver holds only the beam.
+
+Three searches run side by side, each with its own beam: spread bets, overs and unders.  A candidate
+takes one condition of a dimension at most: favourite or underdog, the away side, a bound on the line
+(spread bets), a bound on the total, and one condition of each feature.  Bounds are the nearest-rank
+quartiles and levels the ``LEVELS`` most frequent values of the in-sample games; features of a team
+are read from the candidate's side, their bounds pool both sides.  Without the away condition the
+side is the home team's, so a home condition would repeat its parent and is not generated.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import wilson
-from ..operators.systems import SystemFilter, evaluate, grade
+from ..operators.running import entering
+from ..operators.systems import SystemFilter, grade, side_line
+from ..session import ship
+
+QUARTILES, LEVELS = (0.25, 0.5, 0.75), 8
+#: Features of the game, of a team by number, of a team by level.
+GAME_LEVELS, TEAM_LEVELS = ("season_type",), ("conference",)
+GAME_NUMBERS = ("week",)
+TEAM_NUMBERS = ("games_played", "win_pct", "ats_pct", "rest_days", "last3_points", "streak")
+SEARCHES = {"spread": ("home", "away"), "over": ("over", "over"), "under": ("under", "under")}
+SIDES = ("home", "away")
+BREAK_EVEN, PAYS = 110 / 210, 90.9091
+SCHEMA = "candidate string, place int, wilson_low double, roi_inside double, bets_inside long, bets long, wins long, losses long, roi double, p_value double, bh double"
+
+
+def with_features(games: DataFrame) -> DataFrame:
+    """Games with the entering statistics of both teams."""
+    known = entering(games)
+    for side in SIDES:
+        names = [F.col(n).alias(f"{side}_{n}") for n in TEAM_NUMBERS]
+        games = games.join(known.select("game_id", F.col("team").alias(f"{side}_team"), *names), ["game_id", f"{side}_team"], "left")
+    return games
+
+
+def _values(games: DataFrame, columns: dict[str, list[str]], kind: str) -> DataFrame:
+    """How often each dimension has each value."""
+    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).cast(kind).alias("value")) for d, names in columns.items() for c in names))
+    return games.select(F.explode(cells).alias("s")).select("s.*").filter("value IS NOT NULL").groupBy("dimension", "value").count()
+
+
+def thresholds(games: DataFrame) -> dict[str, list[float]]:
+    """Distinct nearest-rank quartiles of each numeric dimension."""
+    columns = {"line": ["spread"], "total": ["total"], **{n: [n] for n in GAME_NUMBERS}, **{n: [f"{s}_{n}" for s in SIDES] for n in TEAM_NUMBERS}}
+    by = Window.partitionBy("dimension")
+    upto = _values(games, columns, "double").withColumn("upto", F.sum("count").over(by.orderBy("value"))).withColumn("n", F.sum("count").over(by))
+    place = [F.bround(F.lit(q) * (F.col("n") - 1), 0) for q in QUARTILES]
+    holds = reduce(lambda a, b: a | b, [(F.col("upto") > p) & (F.col("upto") - F.col("count") <= p) for p in place])
+    found: dict[str, list[float]] = {}
+    for r in sorted(upto.filter(holds).collect(), key=lambda r: (r["dimension"], r["value"])):
+        found.setdefault(r["dimension"], []).append(r["value"])
+    return found
+
+
+def levels(games: DataFrame) -> dict[str, list[str]]:
+    """The most frequent values of each categorical dimension."""
+    columns = {**{n: [n] for n in GAME_LEVELS}, **{n: [f"{s}_{n}" for s in SIDES] for n in TEAM_LEVELS}}
+    order = Window.partitionBy("dimension").orderBy(F.desc("count"), "value")
+    found: dict[str, list[str]] = {}
+    for r in _values(games, columns, "string").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= LEVELS).orderBy("dimension", "i").collect():
+        found.setdefault(r["dimension"], []).append(r["value"])
+    return found
+
+
+def grammar(games: DataFrame) -> list[tuple[str, str, tuple[Column, Column]]]:
+    """(dimension, name, test from the home side and from the away side) of all single conditions."""
+    out = [("favorite", "favorite", tuple(side_line(s) < 0 for s in SIDES)), ("favorite", "underdog", tuple(side_line(s) > 0 for s in SIDES)), ("side", "away", (F.lit(True), F.lit(True)))]
+    for d, bounds in sorted(thresholds(games).items()):
+        read = [side_line(s) if d == "line" else F.col(f"{s}_{d}" if d in TEAM_NUMBERS else d) for s in SIDES]
+        for v in bounds:
+            out += [(d, f"{d} >= {v:g}", tuple(c >= v for c in read)), (d, f"{d} <= {v:g}", tuple(c <= v for c in read))]
+    for d, values in sorted(levels(games).items()):
+        out += [(d, f"{d} = {v}", tuple(F.col(f"{s}_{d}" if d in TEAM_LEVELS else d).cast("string") == v for s in SIDES)) for v in values]
+    return out
+
+
+def _bets(games: DataFrame, conditions: list) -> DataFrame:
+    """Graded bets of each search and side (``part``) with one boolean a condition."""
+    out = []
+    for s, (search, bets) in enumerate(SEARCHES.items()):
+        for i, _ in enumerate(SIDES):
+            graded = grade(games, SystemFilter(side=bets[i], market="spread" if search == "spread" else "total"))
+            out.append(graded.select("season", F.lit(2 * s + i).alias("part"), "result", *(F.coalesce(test[i], F.lit(False)).alias(f"c{k}") for k, (_, _, test) in enumerate(conditions))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _records(bets: DataFrame, n_conditions: int, candidates: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
+    """Bets, wins and losses of each (part, conditions): bit sets in the tasks, one sum over tasks."""
+    ship(bets.sparkSession)
+    longest = max(len(c) for _, c in candidates)
+    sets = np.array([[*c, *[n_conditions] * (longest - len(c))] for _, c in candidates]).reshape(len(candidates), -1)
+    part_of = np.array([p for p, _ in candidates])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sets), 3), np.int64)
+        for batch in batches:
+            part, result = batch.column("part").to_numpy(), np.array(batch.column("result").to_pylist())
+            flags = np.stack([*(batch.column(f"c{k}").to_numpy(zero_copy_only=False) for k in range(n_conditions)), np.ones(len(part), bool), result == "W", result == "L"])
+            for p in np.unique(part):
+                mine = flags[:, part == p]
+                mine = np.pad(mine, ((0, 0), (0, -mine.shape[1] % 64)))
+                words = np.ascontiguousarray(np.packbits(mine, axis=1)).view(np.uint64)
+                which = np.flatnonzero(part_of == p)
+                for lo in range(0, len(which), 4096):
+                    at = which[lo : lo + 4096]
+                    met = reduce(np.bitwise_and, [words[c] for c in sets[at].T])
+                    for j, of in enumerate((met, met & words[-2], met & words[-1])):
+                        total[at, j] += np.bitwise_count(of).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j]) for j in range(3))], ["i", "bets", "wins", "losses"])
+
+    rows = bets.select("part", "result", *(f"c{k}" for k in range(n_conditions))).mapInArrow(count, "i long, bets long, wins long, losses long")
+    out = np.zeros((len(sets), 3), np.int64)
+    for r in rows.groupBy("i").agg(F.sum("bets"), F.sum("wins"), F.sum("losses")).collect():
+        out[r[0]] = r[1:]
+    return out
+
+
+def wilson_low(wins: int, decided: int, z: float = 1.96) -> float:
+    if not decided:
+        return 0.0
+    p = round(wins / decided, 4)
+    margin = z * math.sqrt((p * (1 - p) + z * z / (4 * decided)) / decided)
+    return round(max(0.0, (p + z * z / (2 * decided) - margin) / (1 + z * z / decided)), 4)
+
+
+def p_value(wins: int, decided: int) -> float:
+    """One-sided test of the hit rate against the break-even rate."""
+    if not decided:
+        return 1.0
+    z = (round(wins / decided, 4) - BREAK_EVEN) / math.sqrt(BREAK_EVEN * (1 - BREAK_EVEN) / decided)
+    return round(0.5 * math.erfc(z / math.sqrt(2)), 4)
+
 
-#: Single conditions by dimension; a combination takes one of a dimension at most.
-GRAMMAR = {
-    "side": ["spread < 0", "spread > 0"],
-    "size": ["abs(spread) >= 3", "abs(spread) >= 7", "abs(spread) < 7", "abs(spread) >= 10"],
-    "total": ["total <= 45", "total >= 50", "total >= 55"],
-    "week": ["week <= 13", "week BETWEEN 14 AND 38", "week >= 39"],
-    "conference": [f"home_conference = 'C{i}'" for i in range(5)],
-}
+def benjamini_hochberg(p: list[float]) -> list[float]:
+    out, least = [1.0] * len(p), 1.0
+    for rank, i in sorted(enumerate(sorted(range(len(p)), key=p.__getitem__), 1), reverse=True):
+        least = out[i] = min(least, p[i] * len(p) / rank)
+    return out
 
 
-def _dimension(test: str) -> str:
-    return next(d for d, tests in GRAMMAR.items() if test in tests)
+def _roi(bets: int, wins: int, losses: int) -> float:
+    return round((wins * PAYS - losses * 100) / (bets * 100), 4) if bets else 0.0
 
 
-def beam(games: DataFrame, width: int = 20, depth: int = 3, least: int = 30, top: int = 20) -> DataFrame:
-    """The best ``top`` combinations of up to ``depth`` conditions, ranked by the lower Wilson bound.
+def beam(games: DataFrame, width: int = 100, depth: int = 4, least: int = 100, top: int = 20) -> DataFrame:
+    """The best ``top`` combinations of each search, of up to ``depth`` conditions with ``least`` decided bets.
 
-    The last season is held out; survivors are graded on it once, in one job.
+    They are ranked by lower Wilson bound, return and decided bets.  The last season is held out;
+    survivors are graded on it once, in one job; those without a bet there are left out, the others'
+    p-values are corrected as one batch (Benjamini-Hochberg).
     """
-    graded = grade(games, SystemFilter())
-    last = graded.agg(F.max("season")).first()[0]
-    inside = graded.filter(F.col("season") < F.lit(last))
-    low, _ = wilson(F.col("wins"), F.col("wins") + F.col("losses"))
-    live: list[tuple[str, ...]] = [()]
-    best: dict[tuple[str, ...], tuple] = {}
+    spark = games.sparkSession
+    last = games.filter("home_points IS NOT NULL AND away_points IS NOT NULL").agg(F.max("season")).first()[0]
+    games = with_features(games)
+    conditions = grammar(games.filter(F.col("season") < F.lit(last)))
+    dimension, name = [c[0] for c in conditions], [c[1] for c in conditions]
+    bets = _bets(games, conditions).persist()
+    inside = bets.filter(F.col("season") < F.lit(last))
+    away, n = name.index("away"), len(conditions)
+    key = lambda s, c: (2 * s + (away in c), c)
+    called = lambda s, c: f"{list(SEARCHES)[s]}: " + " AND ".join(name[k] for k in c)
+    live: list[list[tuple[int, ...]]] = [[()] for _ in SEARCHES]
+    seen: set[tuple[int, tuple[int, ...]]] = set()
+    best: list[list[tuple]] = [[] for _ in SEARCHES]
     for _ in range(depth):
-        tried = {tuple(sorted((*c, t))) for c in live for d, tests in GRAMMAR.items() if d not in map(_dimension, c) for t in tests} - set(best)
-        tests = [(" AND ".join(c), reduce(lambda a, b: a & b, [F.expr(t) for t in c])) for c in sorted(tried)]
-        if not tests:
+        tried = []
+        for s, search in enumerate(SEARCHES):
+            new = {tuple(sorted((*c, k))) for c in live[s] for k in range(n) if dimension[k] not in {dimension[x] for x in c} and (search == "spread" or dimension[k] != "line")}
+            tried += sorted({(s, c) for c in new} - seen)
+        if not tried:
             break
-        rows = evaluate(inside, tests).withColumn("low", low).filter((F.col("wins") + F.col("losses") >= least) & (F.col("roi") > 0))
-        kept = rows.orderBy(F.desc("low"), F.desc("roi"), F.desc("bets"), "candidate").limit(width).collect()
-        names = {" AND ".join(c): c for c in tried}
-        live = [names[r["candidate"]] for r in kept]
-        best |= {names[r["candidate"]]: (r["low"], r["roi"], r["bets"]) for r in kept}
-    ranked = sorted(best, key=lambda c: (*(-x for x in best[c]), c))[:top]
-    schema = "candidate string, place int, wilson_low double, roi_inside double, bets_inside long"
-    found = games.sparkSession.createDataFrame([(" AND ".join(c), i + 1, *map(float, best[c][:2]), best[c][2]) for i, c in enumerate(ranked)], schema)
-    if not ranked:
-        return found.selectExpr("*", "CAST(NULL AS BIGINT) AS bets", "CAST(NULL AS DOUBLE) AS roi")
-    outside = evaluate(graded.filter(F.col("season") == F.lit(last)), [(" AND ".join(c), reduce(lambda a, b: a & b, [F.expr(t) for t in c])) for c in ranked])
-    return found.join(F.broadcast(outside.select("candidate", "bets", "wins", "losses", "roi")), "candidate", "left")
+        seen |= set(tried)
+        kept: list[list[tuple]] = [[] for _ in SEARCHES]
+        for (s, c), (m, w, l) in zip(tried, _records(inside, n, [key(*t) for t in tried]).tolist(), strict=True):  # noqa: E741
+            if w + l >= least and _roi(m, w, l) > 0:
+                kept[s].append((-wilson_low(w, w + l), -_roi(m, w, l), -(w + l), called(s, c), s, c, m))
+        live = [[r[5] for r in sorted(k)[:width]] for k in kept]
+        best = [a + b for a, b in zip(best, kept, strict=True)]
+    ranked = sorted(r for b in best for r in sorted(b)[:top])
+    graded = _records(bets.filter(F.col("season") == F.lit(last)), n, [key(*r[4:6]) for r in ranked]).tolist() if ranked else []
+    bets.unpersist()
+    left = [(r, g, p_value(g[1], g[1] + g[2])) for r, g in zip(ranked, graded, strict=True) if g[0]]
+    bh = benjamini_hochberg([p for _, _, p in left])
+    return spark.createDataFrame([(r[3], i, -r[0], -r[1], r[6], *g, _roi(*g), p, q) for i, ((r, g, p), q) in enumerate(zip(left, bh, strict=True), 1)], SCHEMA)
