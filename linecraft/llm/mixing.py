@@ -5,8 +5,10 @@ each of its documents is taken.  The whole part is taken for sure, the rest is a
 probability.  The cube method moves these probabilities along null vectors of the constraints
 (number of documents, number of words), which keeps both totals, until each is 0 or 1.  Chunks of
 documents fly side by side, large documents first; what each leaves undecided (two documents at
-most) flies on in merged chunks; the last one or two of a source land on the choice nearest to the
-balance.
+most) flies on in merged chunks.  ``LAND`` documents of the first chunk of a source, whose sizes fall
+from the largest by about 40 % each, stay on the ground until the end; together with the last one or two in flight they
+are the small landing problem, whose choice nearest to the balance of words (then of documents) is
+taken.
 
 Defined cases: a null or empty text has size 0 and takes nothing; null sources form one source, the
 last; equal rows are merged before the flight and share what they take; an empty table gives an
@@ -26,6 +28,8 @@ from .common import ship, size_in_words, stored, table
 
 CHUNK = 4096
 MERGE = 1024
+#: Documents of a source that wait for the landing: 2^(LAND + 2) choices are weighed at most.
+LAND = 12
 #: Sources up to which the table of sources is broadcast; beyond it the join is shuffled.
 BROADCAST_SOURCES = 100_000
 
@@ -91,22 +95,36 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
     return out
 
 
+def grounded(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each document waits for the landing: ``LAND`` undecided ones of geometrically falling sizes."""
+    out = np.zeros(len(prob), bool)
+    todo = np.flatnonzero((prob > 1e-9) & (prob < 1 - 1e-9) & (size > 0))
+    for j in range(min(LAND, len(todo))):
+        rest = todo[~out[todo]]
+        out[rest[np.abs(size[rest] - size[todo].max() * 0.6**j).argmin()]] = True
+    return out
+
+
 def landing(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Decide the last undecided documents: of all choices, the one nearest to the expected words."""
     out = prob.copy()
     left = np.flatnonzero((out > 0) & (out < 1))
-    want, want_n = float((out[left] * size[left]).sum()), float(out[left].sum())
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[j] for b, j in enumerate(left) if m >> b & 1) - want), abs(bin(m).count("1") - want_n), m))
-    for b, j in enumerate(left):
-        out[j] = best >> b & 1
+    choice = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    off = np.abs(choice @ size[left] - (out[left] * size[left]).sum())
+    off_n = np.abs(choice.sum(1) - out[left].sum())
+    out[left] = choice[np.lexsort((off_n.round(6), off.round(6)))[0]]
     return out
 
 
-def _fly(last: bool):
+def _fly(first: bool, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "m"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
-        size = pdf["size"].to_numpy(float)
-        prob = flight(pdf["p"].to_numpy(float), size, np.random.default_rng([7, int(pdf["chunk"].iloc[0]), len(pdf)]))
+        size, prob = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
+        if first and pdf["chunk"].iloc[0] == 0:
+            pdf["waits"] = grounded(prob, size)
+        up = ~pdf["waits"].to_numpy(bool)
+        prob = prob.copy()
+        prob[up] = flight(prob[up], size[up], np.random.default_rng([7, int(pdf["chunk"].iloc[0]), len(pdf)]))
         return pdf.assign(p=landing(prob, size) if last else prob)
 
     return run
@@ -129,13 +147,13 @@ def balanced_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     whole = F.floor(ratio + 1e-9)
     units = units.join(side, F.col("source").eqNullSafe(F.col("src"))).drop("src")
     units = units.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(ratio - whole, F.lit(0.0)))
-    units = units.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / chunk)).cast("long")).drop("n")
+    units = units.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / chunk)).cast("long")).drop("n").withColumn("waits", F.lit(False))
     levels = 1 + max(0, math.ceil(math.log(max(math.ceil((largest or 1) / chunk), 1), MERGE) - 1e-9))
     keys = [F.col("source"), F.col("chunk")]
     done = None
     for level in range(levels):
         last = level == levels - 1
-        flown = units.groupBy(*keys).applyInPandas(_fly(last), units.schema)
+        flown = units.groupBy(*keys).applyInPandas(_fly(level == 0, last), units.schema)
         if last:
             done = flown if done is None else done.unionByName(flown)
             break
