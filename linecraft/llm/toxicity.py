@@ -3,19 +3,21 @@
 Every word enters as a word embedding (by hash) beside the sum of the embeddings of its character
 n-grams.  A word of more than ``PIECE`` bytes (joined tokens, scripts without spaces) enters as pieces
 of that size that overlap by half: each piece is an input word of its own, with the n-grams of its
-bytes, an edge mark only where the word has its edge, and the whole word's embedding.  A forward and a backward gated recurrent network read windows of ``T`` words that overlap
-by half; attention pools the states of a window into one, and a logistic unit scores it.  All
+bytes, an edge mark only where the word has its edge, and the whole word's embedding.  A forward and
+a backward gated recurrent network read windows of ``T`` words that overlap by half; attention pools the states of a window into one, and a logistic unit scores it.  All
 windows of the whole text are scored and a document's score is that of its worst window.
 
 The network learns on the driver from a bounded sample of labelled documents (``SAMPLE_TOXIC`` toxic
-and ``SAMPLE_CLEAN`` clean ones, by hash of the id, texts of at most ``SAMPLE_CHARS`` characters).
+and ``SAMPLE_CLEAN`` clean ones, by hash of the id, whole texts of any length until ``SAMPLE_CHARS``
+characters of a label are reached; of rows that share an id the first by hash of the text).
 Labels belong to documents, so training picks the windows: first the window with the highest sum of
 log-odds of its words and n-grams, then the one that the network scores highest; clean documents
 give random windows and those that the network takes for toxic.
 
 Defined cases: null and empty texts and texts without a word score 0; without a label of either
 kind every text scores 0; a text of fewer than ``T`` words is one padded window; equal rows score
-alike; ``n_windows`` counts windows of words and pieces; labels that contradict each other for one id count as toxic; further columns are ignored.
+alike; ``n_windows`` counts windows of words and pieces; labels that contradict each other for one id
+count as toxic; very long texts are scored whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ BUCKETS, GRAMS = 1 << 15, (3, 4, 5)
 PIECE = 40
 #: Characters or n-grams worked on at once.
 CHUNK = 1 << 20
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1800, 10_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 1800, 6_000_000
 STEPS, ROUNDS, BATCH, RATE = 200, 3, 96, 0.01
 #: Share of whole-word embeddings hidden in a training step, so that characters must do as well.
 HIDE = 0.4
@@ -328,13 +331,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     ship(spark)
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     known = known.withColumn("place", F.crc32(F.concat_ws("/", F.lit("t"), F.col("doc_id").cast("string")).cast("binary")))
+    first = F.struct(F.xxhash64("text").alias("key"), F.char_length("text").alias("chars"))
+    ids = docs.filter(F.col("text").rlike(r"\S")).groupBy("doc_id").agg(F.min(first).alias("one")).join(known, "doc_id")
+    ids = ids.select("doc_id", "toxic", "place", "one.key", "one.chars")
     rows = []
-    candidates = docs.filter(F.char_length("text") <= SAMPLE_CHARS).filter(F.col("text").rlike(r"\S")).select("doc_id", "text")
-    ids = candidates.select("doc_id").join(known, "doc_id")
     for is_toxic, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN)):
-        rows.append(ids.filter(F.col("toxic") == is_toxic).orderBy("place", "doc_id").limit(most).select("doc_id", "toxic"))
-    sample = rows[0].unionByName(rows[1]).dropDuplicates(["doc_id"])
-    got = candidates.join(F.broadcast(sample), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+        some = ids.filter(F.col("toxic") == is_toxic).orderBy("place", "doc_id").limit(most).toPandas()
+        rows.append(some[some["chars"].cumsum() <= SAMPLE_CHARS])
+    chosen = pd.concat(rows)
+    if not len(chosen):
+        return None
+    sample = spark.createDataFrame(chosen[["doc_id", "toxic", "key"]])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(F.xxhash64("text") == F.col("key"))
+    got = texts.dropDuplicates(["doc_id", "key"]).toPandas().sort_values("doc_id", kind="stable")
     toxic = got["toxic"].to_numpy(bool)
     if not toxic.any() or toxic.all():
         return None
