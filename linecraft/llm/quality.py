@@ -8,8 +8,9 @@ words or more; at most 30 % of its words inside repeated 8-word windows).
 The field learns from documents that are labelled good or bad as a whole: all lines of a good one
 are content; lines of a bad one start as boilerplate and are then relabelled by the fitted field, at
 least one line of each staying boilerplate.  It is fitted on the driver from line features of a
-bounded sample, ``SAMPLE`` labelled documents of at most ``SAMPLE_LINES`` lines each; the features,
-the decoding and the counts cover every document and whole texts.
+bounded sample: labelled documents, however long, are cut into sequences of at most ``RUN`` lines,
+and of the sequences of ``SAMPLE`` documents ``SAMPLE`` are taken by the hash of document and place.
+The features, the decoding and the counts cover every document and whole texts.
 
 Defined cases: null and empty texts have no words and are not kept; equal rows are judged alike;
 without labels every line is content, so that the base rules decide alone; further columns are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .textops import Hasher, lines, per_doc, shingles, slices, words
 
-SAMPLE, SAMPLE_LINES, SHARE = 3000, 64, 0.5
+SAMPLE, RUN, SHARE = 3000, 64, 0.5
 MIN_WORDS, WINDOW = 20, 8
 
 
@@ -223,18 +224,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, off in slices(batch.column("text")):
             found = measure(data, off)
-            rows = [found.features[a:b].ravel() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
             ids, bad = batch.column("doc_id").slice(lo, hi - lo), batch.column("bad").slice(lo, hi - lo)
-            keep = np.array([0 < len(r) <= SAMPLE_LINES * len(FEATURES) for r in rows])
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), bad.filter(pa.array(keep)), pa.array([r for r, k in zip(rows, keep, strict=True) if k], pa.list_(pa.float64()))], ["doc_id", "bad", "f"])
+            runs = [(doc, k, found.features[x : min(x + RUN, b)].ravel()) for doc, (a, b) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)) for k, x in enumerate(range(a, b, RUN))]
+            for at in range(0, len(runs), 4096):
+                doc, place, rows = zip(*runs[at : at + 4096], strict=True)
+                of = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(of), pa.array(place, pa.int32()), bad.take(of), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "place", "bad", "f"])
 
 
 def learn_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit the field on ``sample`` labelled documents, chosen by the hash of their id."""
+    """Fit the field on ``sample`` sequences of lines of as many labelled documents, chosen by hash."""
     ship(docs.sparkSession)
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     chosen = chosen.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, bad boolean, f array<double>").toPandas().sort_values("doc_id", kind="stable")
+    runs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, place int, bad boolean, f array<double>")
+    by = F.crc32(F.concat_ws("/", F.col("doc_id").cast("string"), "place").cast("binary"))
+    rows = runs.orderBy(by, "doc_id", "place", "f").limit(sample).toPandas().sort_values(["doc_id", "place"], kind="stable")
     if not len(rows):
         return Field.content_only()
     sizes = np.array([len(x) // len(FEATURES) for x in rows["f"]])
@@ -277,8 +282,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(docs, learn_field(docs, table(spark, sf_dir, "labels")))
 
 
-
-
 def _kept(field: Field, share: float):
     label = _label(field, share)
 
