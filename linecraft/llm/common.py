@@ -17,10 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a local folder is made once and set.
+    Where the setting is absent a local folder is made once and set, but only if the session runs on
+    this machine alone (``local`` masters); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linecraft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +34,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linecraft-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` whose successors are written, so that nothing reads them again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it takes to differ from the columns ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +77,4 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(side, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
-__all__ = ["WORD", "fold", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]
+__all__ = ["WORD", "fold", "free", "fresh", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]
