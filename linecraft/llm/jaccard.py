@@ -2,8 +2,9 @@
 
 With the distance d = 1 - |x & y| / |x | y|, two documents link if d <= r (r = 0.1).
 
-1. Equal sets are one point; the smallest id stands for them.  A document that links with another has
-   at most 10 % of its shingles to itself; those with more are left out (see ``_candidates``).
+1. Equal sets are one point, known by a 64-bit name of the set (equal sets are told apart from others
+   by 128 bits).  A document that links with another has at most 10 % of its shingles to itself;
+   those with more are left out (see ``_candidates``).
 2. First level: the pivots are the one-shingle sets.  A document is at distance 1 - 1/|x| from each
    of its own shingles and at 1 from all others, so it is nearest to its own; the tie goes to the
    first in one global order, rarest first.  A document that links with x keeps 90 % of x, hence the
@@ -13,30 +14,35 @@ With the distance d = 1 - |x & y| / |x | y|, two documents link if d <= r (r = 0
 3. Documents that are joined by cells form regions; no link leaves a region.  Inside a region,
    documents are the pivots: each document belongs to the Voronoi cell of its nearest pivot p and is
    replicated to that of q if d(x, q) <= d(x, p) + 2r, the bound that the triangle inequality gives
-   for a linked document of q's cell.  Cells are joined recursively; what is linked already needs no
-   further comparison, and small cells are compared exactly.
-4. A region beyond ``LIMIT`` shingles is first dealt to many tasks: all its documents are compared
-   with its pivots; those linked with the largest group of linked pivots are settled, and only the
-   others are compared with the rest, chunk against chunk.
+   for a linked document of q's cell.  In the cell of q, documents linked with q form one group, and
+   those of them nearer to q than any other document's distance minus r can have no further link:
+   they leave.  Cells are joined recursively.
+4. Regions beyond ``LIMIT`` shingles are cut this way in Spark rounds (``_cut``): distances to the
+   pivots chunk by chunk, cells as the regions of the next round.  Regions within the limit are
+   finished in one task each.  A cell that keeps nearly all of its region (no pivot tells its
+   documents apart) is compared chunk against chunk, in many tasks, without what is linked already.
 
 Only links that join two groups are kept, so the result is a spanning set of each component.
 
 Defined cases: null or empty texts and texts without words have an empty set and link with nothing;
-a text of one or two words has its whole sequence as one shingle; equal rows are one point; a null
-id gets a null component and links nothing; further columns are ignored.
+a text of one or two words has its whole sequence as one shingle; equal rows are one point; rows that
+share an id are one document for the component, whatever their texts, and keep their own sizes; a null
+id gets a null component and links nothing; very long texts enter whole; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ship, stored, table, without
+from .common import WORD, free, ship, stored, table, without
 from .components import components
 from .textops import Hasher, distinct, mix, shingles, slices, words
 
@@ -44,7 +50,9 @@ K, PERCENT = 3, 90
 #: Cells of the sketch that orders shingles by frequency, and how they are split for its sum.
 SKETCH, PART = 1 << 21, 1 << 16
 #: Shingles of a region that one task joins (8 bytes each).
-LIMIT = 3_000_000
+LIMIT = 1_500_000
+#: A cell with more than this share of its region is not cut any further.
+STUCK = 0.8
 #: Shingles that one task counts, and the share (one in PART_OF) of hash space of the first count.
 BUCKET, PART_OF = 3_000_000, 4
 LEAF, PIVOTS = 24, 8
@@ -104,6 +112,12 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _names(h: np.ndarray, first: np.ndarray, seeds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """64-bit names of consecutive sets, one for each seed."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(c)))]) for c in seeds]
+    return [(x[first[1:]] - x[first[:-1]]).view(np.int64) for x in sums]
+
+
 def _points(k: int):
     """Size and 128-bit name of each document's set."""
 
@@ -111,28 +125,39 @@ def _points(k: int):
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text")):
                 h, first = _sets(data, off, k)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(c)))]) for c in (1, 2)]
-                a, b = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+                a, b = _names(h, first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "a", "b"])
 
     return run
 
 
+#: Stands for two or more documents of one slice that have a shingle.
+SEVERAL = np.iinfo(np.int64).min
+
+
 def _pack(ids: np.ndarray, h: np.ndarray, first: np.ndarray, buckets: int, part: int) -> Iterator[tuple]:
-    """(bucket, ids, sizes, 32-bit hashes) of the shingles of one of ``part`` parts of hash space."""
-    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    """(bucket, ids, sizes, 32-bit hashes) of the shingles of one of ``part`` parts of hash space.
+
+    Each shingle is sent once a slice, by its document, or by ``SEVERAL`` where more have it: a shingle
+    of a third of all documents weighs as much as there are slices.
+    """
     mine = (h % np.uint64(part)) == 0
-    h, doc = h[mine], doc[mine]
+    own, h = np.repeat(ids, np.diff(first))[mine], h[mine]
+    order = np.lexsort((own, h))
+    own, h = own[order], h[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    last = np.append(begin[1:], len(h)) - 1
+    own, h = np.where(own[begin] == own[last], own[begin], SEVERAL), h[begin]
     bucket = ((h // np.uint64(part)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    h, doc, bucket = (h[order] >> np.uint64(32)).astype("<u4"), doc[order], bucket[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
+    order = np.lexsort((own, bucket))
+    h, own, bucket = (h[order] >> np.uint64(32)).astype("<u4"), own[order], bucket[order]
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(new, len(h))).astype("<u4")
     ends = np.searchsorted(bucket[new], np.arange(buckets + 1))
     cuts = np.append(new, len(h))
     for b in np.flatnonzero(np.diff(ends)):
         lo, hi = ends[b], ends[b + 1]
-        yield int(b), ids[doc[new[lo:hi]]].astype("<i8").tobytes(), sizes[lo:hi].tobytes(), h[cuts[lo] : cuts[hi]].tobytes()
+        yield int(b), own[new[lo:hi]].astype("<i8").tobytes(), sizes[lo:hi].tobytes(), h[cuts[lo] : cuts[hi]].tobytes()
 
 
 PACKED = "bucket int, ids binary, sizes binary, hashes binary"
@@ -146,9 +171,9 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 def _pack_texts(k: int, buckets: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in slices(batch.column("text")):
-                yield _packed(list(_pack(ids[lo:hi], *_sets(data, off, k), buckets, part)))
+            for _, _, data, off in slices(batch.column("text")):
+                h, first = _sets(data, off, k)
+                yield _packed(list(_pack(_names(h, first, (1,))[0], h, first, buckets, part)))
 
     return run
 
@@ -169,12 +194,14 @@ def _lonely(pdf: pd.DataFrame) -> pd.DataFrame:
     ids = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
     sizes = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sizes"]])
     h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["hashes"]])
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    edge = np.concatenate([[True], s[1:] != s[:-1], [True]])
-    single = np.zeros(len(h), np.int64)
-    single[order] = edge[:-1] & edge[1:]
-    return pd.DataFrame({"doc_id": ids, "lonely": np.add.reduceat(single, np.concatenate([[0], np.cumsum(sizes.astype(np.int64))[:-1]]))})
+    ids = np.repeat(ids, sizes)
+    order = np.lexsort((ids, h))
+    ids, h = ids[order], h[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.append(begin[1:], len(h)) - 1
+    alone = begin[(ids[begin] == ids[last]) & (ids[begin] != SEVERAL)]
+    found, lonely = np.unique(ids[alone], return_counts=True)
+    return pd.DataFrame({"doc_id": found, "lonely": lonely})
 
 
 def _lonely_counts(packed: DataFrame) -> DataFrame:
@@ -206,10 +233,10 @@ def _cells(sent, percent: int):
 def _with_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column("text")):
+            for _, _, data, off in slices(batch.column("text")):
                 h, first = _sets(data, off, k)
                 raw = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(raw, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(_names(h, first, (1,))[0]), pa.array(raw, pa.binary())], ["doc_id", "set"])
 
     return run
 
@@ -334,19 +361,30 @@ def _join_bucket(percent: int):
     return run
 
 
+_NEAR = "doc_id long, region long, p long, d double, linked boolean, inside boolean"
+
+
 def _against_pivots(percent: int):
-    """One chunk of a large region against its pivots: links, and whether each document is settled."""
+    """One chunk of a large region against its pivots: the cells that each document enters, and its links."""
+    reach = 2 * (100 - percent) / 100 + 1e-9
 
     def run(pdf: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in _NEAR.split(", ")]
         if not len(pdf) or not len(pivots):
-            return pd.DataFrame({"doc_id": [], "region": [], "p": [], "linked": []}).astype({"doc_id": "int64", "region": "int64", "p": "int64", "linked": "bool"})
-        sets, out = _unpack(pdf["set"]), []
-        size = np.array([len(s) for s in sets])
-        for p, s in zip(pivots["p"], _unpack(pivots["pset"]), strict=True):
-            common = shared(sets, s)
-            linked = 100 * common >= percent * (size + len(s) - common)
-            out.append(pd.DataFrame({"doc_id": pdf["doc_id"], "region": pdf["region"], "p": p, "linked": linked}))
-        return pd.concat(out)
+            return pd.DataFrame({n: [] for n in names}).astype({"doc_id": "int64", "region": "int64", "p": "int64", "linked": "bool", "inside": "bool"})
+        sets = _unpack(pdf["set"])
+        size = np.array([len(x) for x in sets])
+        wide, linked = [], []
+        for x in _unpack(pivots["pset"]):
+            common = shared(sets, x)
+            union = size + len(x) - common
+            wide.append(1 - common / union)
+            linked.append(100 * common >= percent * union)
+        wide, linked = np.array(wide), np.array(linked)
+        inside = wide <= wide.min(0) + reach
+        p, x = np.nonzero(inside | linked)
+        ids = pdf["doc_id"].to_numpy()
+        return pd.DataFrame({"doc_id": ids[x], "region": pdf["region"].iloc[0], "p": pivots["p"].to_numpy()[p], "d": wide[p, x], "linked": linked[p, x], "inside": inside[p, x]})[names]
 
     return run
 
@@ -370,31 +408,60 @@ def _chunk_pairs(percent: int):
     return run
 
 
-def _large(members: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Links of the regions beyond ``limit`` shingles (doc_id, region, set, weight of the region)."""
+def _cut(members: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over the regions of ``members`` (doc_id, region, set, weight), all beyond ``limit`` shingles.
+
+    Links with the pivots, the cells (as members of the next round), and the members of cells that
+    hold more than ``STUCK`` of their region, with the pivot group that settles part of them.
+    """
+    chunks = F.ceil(F.col("weight") / limit).cast("int")
+    members = stored(members.withColumn("n", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")))
+    row = F.struct(F.col("doc_id").alias("p"), F.col("set").alias("pset"))
+    draws = [F.min_by(row, F.xxhash64("doc_id", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = members.groupBy("region", "n").agg(*draws).select("region", "n", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("x"))
+    pivots = pivots.select("region", "x.p", "x.pset", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+    near = stored(members.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(_against_pivots(percent), _NEAR))
+    links = near.filter("linked AND doc_id != p").select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
+    # what is linked with the pivot and deeper inside than any other document reaches has no further link
+    edge = near.filter("inside").groupBy("region", "p").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("first_out"))
+    r = (100 - percent) / 100 + 1e-9
+    kept = near.filter("inside").join(edge.filter("first_out IS NOT NULL"), ["region", "p"]).filter(~F.col("linked") | (F.col("d") >= F.col("first_out") - r))
+    cells = kept.join(members.select("doc_id", "region", "set", "weight"), ["doc_id", "region"])
+    cells = stored(cells.select("doc_id", F.xxhash64("region", "p").alias("region"), "set", F.col("weight").alias("was"), "linked"))
+    sizes = stored(cells.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight"), F.max("was").alias("before")))
+    cells = cells.join(sizes, "region")
+    stuck = (F.col("weight") > limit) & (F.col("weight") > STUCK * F.col("before"))
+    return links, cells.filter(~stuck).select("doc_id", "region", "set", "weight"), cells.filter(stuck).select("doc_id", "region", "set", "weight", F.col("linked").alias("settled"))
+
+
+def _compared(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links of documents that are not settled with all of their region, chunk against chunk."""
     chunks = F.ceil(F.col("weight") / limit).cast("int")
-    members = members.dropDuplicates(["region", "doc_id"]).withColumn("n", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    members = stored(members)
-    place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
-    pivots = members.withColumn("place", place).filter(F.col("place") <= PIVOTS)
-    pivots = pivots.select("region", F.col("doc_id").alias("p"), F.col("set").alias("pset"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    near = members.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(_against_pivots(percent), "doc_id long, region long, p long, linked boolean")
-    near = stored(near.filter("linked").filter("doc_id != p"))
-    links = near.select(F.col("doc_id").alias("a"), F.col("p").alias("b"))
-    # the largest group of linked pivots of each region is settled with its documents
-    groups = components(links)
-    named = members.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "region", "set", "n", "chunk", "root")
-    sizes = named.filter("root IS NOT NULL").groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"))
-    best = sizes.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("best"))
-    named = named.join(best, "region", "left").withColumn("settled", F.coalesce(F.col("root") == F.col("best"), F.lit(False)))
-    named = stored(named.select("doc_id", "region", "set", "n", "chunk", "settled"))
+    named = stored(members.withColumn("n", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     left = named.filter(~F.col("settled")).select("region", "doc_id", "set", F.col("chunk").alias("l"), other.alias("r"))
     used = left.select("region", "l").distinct()
     right = named.join(used, "region").select("region", "doc_id", "set", "l", F.col("chunk").alias("r"))
     left, right = left.toDF("region", "doc_id", "set", "l", "r"), right.toDF("region", "doc_id", "set", "l", "r")
-    met = left.groupBy("region", "l", "r").cogroup(right.groupBy("region", "l", "r")).applyInPandas(_chunk_pairs(percent), LINKS)
-    return links.unionByName(met)
+    return left.groupBy("region", "l", "r").cogroup(right.groupBy("region", "l", "r")).applyInPandas(_chunk_pairs(percent), LINKS)
+
+
+def _large(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links of regions beyond ``limit`` shingles: cells in rounds until each fits one task or is compared."""
+    links, found = [], True
+    while found:
+        more, cells, stuck = _cut(members, percent, limit)
+        links += [more, _compared(stuck, percent, limit), _regions(cells.filter(F.col("weight") <= limit), percent, limit)]
+        members = stored(cells.filter(F.col("weight") > limit))
+        found = not members.isEmpty()
+    return reduce(DataFrame.unionByName, links)
+
+
+def _regions(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links of regions that fit one task each; tasks take several of them."""
+    total = members.agg(F.coalesce(F.sum(F.octet_length("set") / 8), F.lit(0))).first()[0]
+    buckets = max(1, -(-2 * int(total) // limit), members.sparkSession.sparkContext.defaultParallelism)
+    return members.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(_join_bucket(percent), LINKS)
 
 
 def _candidates(docs: DataFrame, points: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -406,18 +473,20 @@ def _candidates(docs: DataFrame, points: DataFrame, classes: DataFrame, k: int,
     counts as alone.
     """
     bound = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    sizes = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    sizes = classes.select(F.col("a").alias("id"), "rep", F.col("n_shingles").alias("n"))
     copies = points.filter("doc_id IS NOT NULL").join(classes, (F.col("doc_id") == F.col("rep")), "left_anti").select("doc_id").distinct()
     texts = without(docs.filter("doc_id IS NOT NULL"), copies)
     total = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
     buckets = max(8, -(-total // (PART_OF * BUCKET)))
     counts = _lonely_counts(texts.mapInArrow(_pack_texts(k, buckets, PART_OF), PACKED))
-    first = stored(sizes.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id", "n"))
+    first = stored(sizes.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id", "rep", "n"))
     n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    side = F.broadcast(first.select("id")) if n <= BROADCAST_ROWS else first.select("id")
-    sets = stored(docs.join(side, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_with_sets(k), "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    reps = first.select("rep").distinct()
+    some = docs.join(F.broadcast(reps) if n <= BROADCAST_ROWS else reps, F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = some.mapInArrow(_with_sets(k), "doc_id long, set binary").filter(F.octet_length("set") > 0).dropDuplicates(["doc_id"])
+    sets = stored(sets.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, F.col("doc_id") == F.col("id"), "left_semi"))
     counts = _lonely_counts(sets.mapInArrow(_pack_sets(max(8, -(-int(total) // BUCKET))), PACKED))
-    second = first.join(counts, F.col("id") == F.col("doc_id")).filter(F.col("lonely") <= bound).select("id")
+    second = first.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id")
     return sets.join(second, F.col("doc_id") == F.col("id"), "left_semi")
 
 
@@ -429,30 +498,32 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, limi
     points = stored(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, a long, b long"))
     known = points.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    sets = stored(_candidates(docs, points, classes, k, percent))
-    order = spark.sparkContext.broadcast(frequency_levels(sets))
-    posts = sets.select("doc_id", "set").mapInArrow(_cells(order, percent), "doc_id long, cells array<long>").select("doc_id", F.explode("cells").alias("cell"))
-    posts = stored(posts)
+    unfiltered = stored(_candidates(docs, points, classes, k, percent))
+    order = spark.sparkContext.broadcast(frequency_levels(unfiltered))
+    posts = stored(unfiltered.mapInArrow(_cells(order, percent), "doc_id long, cells array<long>").select("doc_id", F.explode("cells").alias("cell")))
     cells = posts.groupBy("cell").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre < last")
     stars = posts.join(cells, "cell").filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     regions = components(stars).select(F.col("node").alias("id"), F.col("root").alias("region"))
-    sets = sets.join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set")
-    weights = stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")))
-    total, n_large = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count(F.when(F.col("weight") > limit, 1))).first()
-    buckets = max(1, -(-2 * int(total) // limit), spark.sparkContext.defaultParallelism)
-    if n_large:
-        sets = stored(sets.join(weights, "region"))
-        small = sets.filter(F.col("weight") <= limit)
+    sets = stored(unfiltered.join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set"))
+    free(posts, unfiltered)
+    weights = stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")).filter(F.col("weight") > limit))
+    if weights.isEmpty():
+        links = _regions(sets, percent, limit)
     else:
-        small = sets
-    links = small.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInPandas(_join_bucket(percent), LINKS)
-    if n_large:
-        links = links.unionByName(_large(sets.filter(F.col("weight") > limit), percent, limit))
-    roots = components(stored(links))
-    found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("a", "b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("component"))
-    out = points.select("doc_id", "n_shingles", "a", "b").join(found.withColumnsRenamed({"a": "x", "b": "y"}), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("n_shingles") == F.col("n")), "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+        links = _regions(sets.join(weights, "region", "left_anti"), percent, limit).unionByName(_large(sets.join(weights, "region"), percent, limit))
+    links = stored(links)
+    # from names of sets to documents; a document with several texts joins their components
+    one = classes.select(F.col("a").alias("name"), "rep")
+    ends = links.join(one, F.col("a") == F.col("name")).select("b", F.col("rep").alias("x"))
+    ends = ends.join(one, F.col("b") == F.col("name")).select(F.col("x").alias("a"), F.col("rep").alias("b"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("a", "b", "n_shingles")]
+    rows = stored(points.join(classes.toDF("a_", "b_", "n_shingles_", "rep"), reduce(Column.__and__, same), "left").select("doc_id", "n_shingles", "rep"))
+    several = rows.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
+    more = rows.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(ends.unionByName(more.filter("b IS NOT NULL")))
+    free(points, sets)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")))
+    return rows.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
