@@ -70,11 +70,11 @@ def size_in_words(text: Column) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column, distinct)."""
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``ids`` (one column, distinct)."""
     ids = stored(ids.toDF("__gone"))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(side, F.col(key) == F.col("__gone"), "left_anti")
 
 
 __all__ = ["WORD", "fold", "free", "fresh", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]

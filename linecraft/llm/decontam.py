@@ -171,6 +171,12 @@ def _inside(doc: np.ndarray, h: np.ndarray, w, s: int) -> tuple[np.ndarray, np.n
 def containment_search(docs: DataFrame, items: DataFrame, k: int = K, contained: float = CONTAINED, block: int = BLOCK) -> DataFrame:
     """One row per document (doc_id, text) and item (item_id, text) that it contains."""
     spark = docs.sparkSession
+    found = [docs.select("doc_id", "text").mapInArrow(_search(sent, k, contained), SCHEMA) for sent in _blocks(items, spark, k, contained, block)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def _blocks(items: DataFrame, spark: SparkSession, k: int, contained: float, block: int) -> list:
+    """The items in broadcast blocks; those without words are left out."""
     ship(spark)
     sets = items.select("item_id", "text").mapInArrow(_item_sets(k), "item_id long, n_words long, shingles array<long>")
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
@@ -180,8 +186,29 @@ def containment_search(docs: DataFrame, items: DataFrame, k: int = K, contained:
         rows = (sets if n_blocks == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == b)).toArrow()
         one = _Block(rows, k, contained)
         if one.ids:
-            found.append(docs.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(one), k, contained), SCHEMA))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+            found.append(spark.sparkContext.broadcast(one))
+    return found
+
+
+def _clean(sent, k: int, contained: float):
+    search = _search(sent, k, contained)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["doc_id", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for hits in search(iter([places])):
+                keep[hits.column("doc_id").to_numpy()] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, k: int = K, contained: float = CONTAINED, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns; decided row by row, whatever the ids."""
+    for sent in _blocks(items, docs.sparkSession, k, contained, block):
+        docs = docs.mapInArrow(_clean(sent, k, contained), docs.schema)
+    return docs
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

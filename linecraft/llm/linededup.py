@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, size_in_words, table
+from .common import WORD, fresh, size_in_words, table
 
 MIN_WORDS = 10
 #: Column names of this operator inside a plan; a document table does not use them.
@@ -94,8 +94,10 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its text rid of later copies of repeated runs, and three further columns.
 
-    n_lines and n_removed count the text's lines; n_spans counts the maximal deleted runs.
+    n_lines and n_removed count the text's lines; n_spans counts the maximal deleted runs.  A column of
+    ``docs`` that has one of these names stays, and the operator's own gets an underscore.
     """
+    names = [fresh(c, docs.columns) for c in ("n_lines", "n_removed", "n_spans")]
     gone = deleted_lines(docs, min_words).select(F.col("doc_id").alias(f"{_P}id"), F.col("key").alias(f"{_P}key"), F.col("gone").alias(f"{_P}gone"))
     match = F.col(f"{_P}id").eqNullSafe(F.col("doc_id")) & (F.col(f"{_P}key") == F.xxhash64("text"))
     out = docs.join(gone, match, "left").withColumn(f"{_P}all", F.split("text", "\n", -1))
@@ -104,8 +106,24 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     text = F.when(cut.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "\n"))
     begins = F.size(F.filter(cut, lambda x, i: (i == 0) | (F.get(cut, i - 1) != x - 1)))
     count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": count(pieces), "n_removed": count(cut), "n_spans": F.coalesce(F.when(cut.isNotNull(), begins), F.lit(0)).cast("long"), f"{_P}text": text})
-    return out.select(*[F.col(f"{_P}text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed", "n_spans")
+    counts = (count(pieces), count(cut), F.coalesce(F.when(cut.isNotNull(), begins), F.lit(0)).cast("long"))
+    out = out.withColumns({**dict(zip(names, counts, strict=True)), f"{_P}text": text})
+    return out.select(*[F.col(f"{_P}text").alias("text") if c == "text" else F.col(c) for c in docs.columns], *names)
+
+
+def without_repeated_lines(docs: DataFrame, share: int = 20, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` (same columns) without later copies of runs, and without what such copies leave over.
+
+    A document that keeps less than ``share`` percent of its words, all others being copies of runs of
+    earlier ones, is a near copy: its remnant goes too, as it would stand for no document of its own.
+    """
+    before, text = fresh(f"{_P}before", docs.columns), fresh("n_removed", docs.columns)
+    counted = docs.withColumn(before, size_in_words(F.col("text")))
+    out = drop_repeated_lines(counted, min_words)
+    left = F.when(F.col(text) > 0, 100 * size_in_words(F.col("text")) >= share * F.col(before)).otherwise(True)
+    out = out.filter(left & ((F.col(text) == 0) | F.col("text").rlike(WORD)))
+    chars = {"n_chars": F.when(F.col(text) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns(chars).select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

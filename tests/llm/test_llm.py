@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import os
 import shutil
 import zlib
@@ -14,7 +15,7 @@ from comparing import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linecraft.llm import ctw, decontam, repeats, toxicity
+from linecraft.llm import ctw, decontam, jaccard, language, mixing, quality, repeats, toxicity
 from linecraft.llm.queries import ORACLE_SQL, QUERIES
 from linecraft.llm.suffixarray import common_prefixes, suffix_array
 
@@ -170,7 +171,7 @@ def test_op6_mix(spark, sf_dir):
     assert (a["taken"] <= 3 * a["size"]).all() and (a["taken"] >= 0).all()
     by = a.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), largest=("size", "max"), told=("source_size", "first"))
     assert (by["size"] == by["told"]).all() and (by["target"] <= 3 * by["size"] + 1e-6).all()
-    assert ((by["taken"] - by["target"]).abs() <= by["largest"] * 2).all()
+    assert ((by["taken"] - by["target"]).abs() <= 0.02 * by["target"] + 2).all()  # ten documents a source
 
 
 def test_learned_operators_hold_out(spark, sf_dir, docs):
@@ -204,16 +205,190 @@ def test_op1_reads_long_words_to_their_end(spark):
     assert hit[toxic].mean() >= 0.8 and hit[~toxic].mean() <= 0.1
 
 
+def shingle_set(text, k):
+    ws = [w.lower() for w in words(text)]
+    return {tuple(ws[i : i + k]) for i in range(max(len(ws) - k + 1, 1))} if ws else set()
+
+
+def plain_jaccard(data, k, percent):
+    """Component of each row's id: rows of one id are one document."""
+    sets = [shingle_set(t, k) for _, t in data]
+    up = {i: i for i, _ in data}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, (i, _) in enumerate(data):
+        for y, (j, _) in enumerate(data[:x]):
+            if sets[x] and sets[y] and i != j and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return sorted((i, len(s), find(i) if s else i) for (i, _), s in zip(data, sets, strict=True))
+
+
+@pytest.mark.parametrize("limit", [jaccard.LIMIT, 900])
+def test_jaccard_shared_ids_and_large_regions(spark, limit):
+    """One id with several texts, groups of near copies of a base, chains; both region sizes."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [list(rng.choice(vocabulary, 60)) for _ in range(4)]
+    data = []
+    for i in range(90):
+        ws = list(base[i % 4])
+        for _ in range(int(rng.integers(0, 4))):
+            ws[int(rng.integers(0, 60))] = str(rng.choice(vocabulary))
+        data.append((i, " ".join(ws)))
+    data += [(5, data[6][1]), (300, data[1][1]), (300, "alone in the world"), (301, "alone in the WORLD"), (302, ""), (303, "two words")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.jaccard_components(frame, percent=80, limit=limit).collect()))
+    assert got == plain_jaccard(data, 3, 80)
+
+
+def test_mix_lands_on_the_target(spark):
+    """Few documents, one far larger than the others: the words come within a few of the target."""
+    data = [(i, f"s{i % 3}", "w " * (3000 if i == 6 else 5 + 17 * (i % 23))) for i in range(240)]
+    got = mixing.balanced_mix(spark.createDataFrame(data, "doc_id long, source string, text string")).toPandas()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by["taken"] - by["target"]).abs() <= 10).all()
+
+
+def test_viterbi_is_the_best_of_all_sequences():
+    rng = np.random.default_rng(2)
+    field = quality.Field(rng.standard_normal(3), rng.standard_normal(2), rng.standard_normal((2, 2)))
+    first = np.array([0, 5, 5, 6, 13])
+    x = rng.standard_normal((13, 3))
+    label = quality.viterbi(field, x, first)
+
+    def value(seq, rows_):
+        own = sum(float(r @ field.weight) for s_, r in zip(seq, rows_, strict=True) if s_)
+        return own + field.start[seq[0]] + sum(field.move[a, b] for a, b in itertools.pairwise(seq))
+
+    for a, b in itertools.pairwise(first):
+        if b > a:
+            assert tuple(label[a:b]) == max(itertools.product((0, 1), repeat=b - a), key=lambda q: value(q, x[a:b]))
+
+
+def test_op1_gradient():
+    """Back-propagation against differences of the loss."""
+    rng = np.random.default_rng(6)
+    column = pa.array(["some words here " * 4, "others stand there too", "a b"], pa.large_string())
+    off = np.frombuffer(column.buffers()[1], np.int64)[:4]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[: off[-1]]
+    w = toxicity.pieces(data, off)
+    v = toxicity.vocabulary(data, w)
+    doc, start = toxicity.windows_of(w.counts, w.first)
+    at, mask = toxicity._rows(w.first, w.counts, doc, start, v.ids, len(v.word))
+    net = toxicity.Network(3)
+    net.p = {k: (x + rng.standard_normal(x.shape) * 0.3).astype(np.float64) for k, x in net.p.items()}
+    y, known = np.array([1.0, 0.0, 1.0])[doc], np.ones(len(v.word))
+
+    def loss():
+        logit = net.pool(net.read(at.T, net.project(net.embed(v, known)))[0], mask.T)[0].astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(logit)) - y * logit))
+
+    g = net.gradients(np.ascontiguousarray(at.T), mask.T, v, y, known)
+    for name in net.p:
+        flat = net.p[name].reshape(-1)
+        for i in np.abs(g[name].reshape(-1)).argsort()[-3:]:
+            held, step = flat[i], 1e-2
+            flat[i] = held + step
+            up = loss()
+            flat[i] = held - step
+            down = loss()
+            flat[i] = held
+            assert (up - down) / (2 * step) == pytest.approx(g[name].reshape(-1)[i], rel=0.05, abs=2e-4), name
+
+
+def test_op3_is_the_out_of_place_distance(spark):
+    """Profiles and distances against a plain version, on a few texts."""
+    data = [(1, "en", "the cat sat on the mat and the dog"), (2, "de", "der Hund und die Katze auf der Matte"), (3, "en", "a dog"), (4, "fr", "le chat et le chien sur le tapis"), (5, None, "x"), (6, "en", None)]
+    asked = [(10, "The dog AND the cat"), (11, "die Matte"), (12, "42 !"), (13, None), (14, "sur le tapis, le chat")]
+
+    def grams(text):
+        out = collections.Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            p = f" {w} "
+            out.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1))
+            out[" "] -= 2
+        return +out
+
+    rank = lambda c: {x: i for i, (x, _) in enumerate(sorted(c.items(), key=lambda e: (-e[1], [ord(y) for y in e[0]] + [0] * (3 - len(e[0]))))[:language.LENGTH])}
+    profiles = {}
+    for name in ("de", "en", "fr"):
+        profiles[name] = rank(sum((grams(t) for _, x, t in data if x == name), collections.Counter()))
+    docs = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    found = language.identify(spark.createDataFrame([(i, True, t) for i, t in asked], "doc_id long, held_out boolean, text string"), language.learn_profiles(docs))
+    for r in found.collect():
+        mine = rank(grams(dict(asked)[r.doc_id]))
+        far = {n: sum(abs(k - p[g]) if g in p else language.LENGTH for g, k in mine.items()) for n, p in profiles.items()}
+        assert r.lang_pred == (min(sorted(far), key=far.get) if mine else "und")
+        assert r.score == pytest.approx(1 - min(far.values()) / (language.LENGTH * len(mine)) if mine else 0)
+
+
+def plain_line_dedup(data):
+    """Brute force: a line goes if it lies in a run of ten words or more that has an earlier place."""
+    lines = {i: [(at, x) for at, x in enumerate((t or "").split("\n")) if words(x)] for i, t in data}
+    first, gone = {}, collections.defaultdict(set)
+    for i in sorted(lines):
+        seq = lines[i]
+        for a in range(len(seq)):
+            n = 0
+            for b in range(a, len(seq)):
+                n += len(words(seq[b][1]))
+                if n >= 10:
+                    first.setdefault(tuple(x for _, x in seq[a : b + 1]), (i, a))
+                    if first[tuple(x for _, x in seq[a : b + 1])] < (i, a):
+                        gone[i].update(at for at, _ in seq[a : b + 1])
+    for i, t in data:
+        text = "\n".join(x for at, x in enumerate((t or "").split("\n")) if at not in gone[i])
+        if not gone[i] or (words(text) and 100 * len(words(text)) >= 20 * len(words(t))):
+            yield i, text
+
+
+def test_pipeline_stages_against_plain_versions(spark, sf_dir, tmp_path):
+    """Line dedup, Jaccard join and decontamination on planted rows, each on its own input."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
+    rng = np.random.default_rng(9)
+    sentence = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 100_000, n))
+    page = [sentence(14) for _ in range(20)]
+    near = [*page[:7], sentence(14), *page[8:]]
+    items = [sentence(40), sentence(60)]
+    texts = ["\n".join(page), "\n".join(near), "\n".join([sentence(20), page[3], page[4], sentence(20)]), sentence(80), *(sentence(30) + " " + x + " " + sentence(30) for x in items), "\n".join([sentence(9), "short", sentence(9)])]
+    base = pq.read_table(f"{sf_dir}/documents.parquet").schema
+    frame = lambda data: spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine") for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, n_removed string")
+    assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(base.names)
+    pq.write_table(pa.table({"item_id": [1, 2], "text": items}), tmp_path / "benchmark.parquet")
+
+    data = list(enumerate(texts))
+    got = stages["line dedup"](spark, frame(data), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(plain_line_dedup(data))
+    assert all((r.n_removed, r.n_chars) == ("mine", len(r.text)) for r in got) and 1 not in {r.doc_id for r in got}
+
+    same = [(None, texts[0]), (None, texts[0]), (2, texts[1]), (1, texts[3]), (1, texts[2]), (7, texts[1]), (3, ""), (None, None), (None, texts[6])]
+    got = stages["n-gram Jaccard join"](spark, frame(same), str(tmp_path)).collect()
+    # the near copies with and without an id are one group, of which id 2 stays
+    want = [(2, texts[1]), (1, texts[3]), (1, texts[2]), (3, ""), (None, None), (None, texts[6])]
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(want)
+
+    leaks = [(None, texts[4]), (4, texts[5]), (4, texts[3]), (5, items[0]), (6, None), (None, texts[2])]
+    got = stages["benchmark decontamination"](spark, frame(leaks), str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(4, texts[3]), (6, None), (None, texts[2])])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert len(out) and (out["times"] > 0).all() and out["doc_id"].is_unique
 
 
 NAMES = sorted(QUERIES)
-CLASHES = ["rid", "row", "key", "h", "s", "n", "l", "size", "held_out", "start", "word", "title"]
+CLASHES = ["rid", "row", "key", "h", "s", "n", "l", "size", "held_out", "start", "word", "title", "n_lines", "n_removed", "n_spans", "set", "cell", "region", "p", "waits", "chunk", "place", "text_"]
 
 
 @pytest.fixture(scope="session")
