@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..registry import rounded
+
 #: The coefficients of the 26.2.17 approximation of the normal distribution.
 _PHI = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 
@@ -30,7 +32,7 @@ def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     centre, spread = p + z * z / (2 * m), z * F.sqrt((p * (1 - p) + z * z / (4 * m)) / m)
     low, high = (centre - spread) / (1 + z * z / m), (centre + spread) / (1 + z * z / m)
     none = m.isNull()
-    return F.when(none, 0.0).otherwise(F.round(F.greatest(low, F.lit(0.0)), 4)), F.when(none, 0.0).otherwise(F.round(F.least(high, F.lit(1.0)), 4))
+    return F.when(none, 0.0).otherwise(rounded(F.greatest(low, F.lit(0.0)), 4)), F.when(none, 0.0).otherwise(rounded(F.least(high, F.lit(1.0)), 4))
 
 
 def adjusted(df: DataFrame, p: str, key: str, group: list[str]) -> DataFrame:
@@ -38,7 +40,7 @@ def adjusted(df: DataFrame, p: str, key: str, group: list[str]) -> DataFrame:
     up = Window.partitionBy(*group).orderBy(p, key)
     every = Window.partitionBy(*group)
     out = df.withColumn("__i", F.row_number().over(up)).withColumn("__m", F.count(F.lit(1)).over(every))
-    rest = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = Window.partitionBy(*group).orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("bh", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__i")).over(rest)))
     out = out.withColumn("holm", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("__m") - F.col("__i") + 1)).over(so_far)))

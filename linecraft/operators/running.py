@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..registry import rounded
+
 
 def team_games(games: DataFrame) -> DataFrame:
     """Two rows a game, one per side, from one scan."""
@@ -15,34 +17,42 @@ def team_games(games: DataFrame) -> DataFrame:
     return games.select("game_id", "season", "week", "kickoff", F.explode(F.array(*sides)).alias("s")).select("game_id", "season", "week", "kickoff", "s.*")
 
 
-def entering(games: DataFrame) -> DataFrame:
-    """Played games, win and cover rates, rest days, last-three scoring and signed streak, own game excluded.
+def entering(rows: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
+    """What a team brings into each game of ``team_games`` rows, the game itself excluded.
 
-    All windows share one partitioning and order, so one shuffle and one sort serve them.
+    Played games, win and cover rates, rest days, last-three scoring, signed streaks of results and of
+    covers, and the mean of each of ``averages`` over the games that have it.  A tie or a push resets
+    its streak to 0; games without a score leave it as it was.  All windows but the two over streaks
+    share one partitioning and order, so one shuffle and one sort serve them.
     """
-    rows = team_games(games).withColumn("diff", F.col("points") - F.col("allowed")).withColumn("cover", F.col("diff") + F.col("line"))
+    rows = rows.withColumn("diff", F.col("points") - F.col("allowed")).withColumn("cover", F.col("diff") + F.col("line"))
     order = Window.partitionBy("team", "season").orderBy("kickoff", "game_id")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    past, now = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     decided = F.count_if(F.col("diff") != 0).over(past)
     covers = F.count_if(F.col("cover") != 0).over(past)
-    # a streak restarts where the sign differs from that of the last played game
-    rows = rows.withColumn("sign", F.signum("diff").cast("int"))
-    last = F.last("sign", ignorenulls=True).over(past)
-    rows = rows.withColumn("__new", F.when(F.col("sign").isNotNull() & ~F.col("sign").eqNullSafe(last), 1).otherwise(0))
-    rows = rows.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = {}
+    for name, x in (("streak", "diff"), ("ats_streak", "cover")):
+        sign = F.signum(x).cast("int")
+        # a streak restarts where the sign differs from that of the last played game
+        new = sign.isNotNull() & ~sign.eqNullSafe(F.last(sign, ignorenulls=True).over(past))
+        rows = rows.withColumns({f"__s_{name}": sign, f"__n_{name}": new.cast("int")})
+        runs[f"__r_{name}"] = F.sum(f"__n_{name}").over(now)
     rest = F.datediff(F.col("kickoff"), F.lag("kickoff").over(order))
-    rows = rows.select(
-        "game_id", "team", "season", "kickoff", "sign", "__run",
-        F.count("diff").over(past).alias("games_played"),
-        F.round(F.count_if(F.col("diff") > 0).over(past) / F.nullif(decided, F.lit(0)), 6).alias("win_pct"),
-        F.round(F.count_if(F.col("cover") > 0).over(past) / F.nullif(covers, F.lit(0)), 6).alias("ats_pct"),
-        F.when(rest > 0, rest).cast("long").alias("rest_days"),
-        F.round(F.avg("points").over(order.rowsBetween(-3, -1)), 6).alias("last3_points"),
-    )
-    run = Window.partitionBy("team", "season", "__run").orderBy("kickoff", "game_id")
-    rows = rows.withColumn("__after", F.coalesce(F.col("sign") * F.count("sign").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(None)))
-    streak = F.coalesce(F.last("__after", ignorenulls=True).over(past), F.lit(0))
-    return rows.withColumn("streak", streak.cast("long")).drop("sign", "__run", "__after", "kickoff")
+    rows = rows.withColumns({
+        **runs,
+        "games_played": F.count("diff").over(past),
+        "win_pct": rounded(F.count_if(F.col("diff") > 0).over(past) / F.nullif(decided, F.lit(0)), 4),
+        "ats_pct": rounded(F.count_if(F.col("cover") > 0).over(past) / F.nullif(covers, F.lit(0)), 4),
+        "rest_days": F.when(rest > 0, rest).cast("long"),
+        "last3_points": rounded(F.avg("points").over(order.rowsBetween(-3, -1))),
+        **{f"avg_{c}": rounded(F.avg(c).over(past)) for c in averages},
+    })
+    for name in ("streak", "ats_streak"):
+        run = Window.partitionBy("team", "season", f"__r_{name}").orderBy("kickoff", "game_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn(f"__a_{name}", F.col(f"__s_{name}") * F.count(f"__s_{name}").over(run))
+    for name in ("streak", "ats_streak"):
+        rows = rows.withColumn(name, F.coalesce(F.last(f"__a_{name}", ignorenulls=True).over(past), F.lit(0)).cast("long"))
+    return rows.select("game_id", "team", "season", "games_played", "win_pct", "ats_pct", "rest_days", "last3_points", "streak", "ats_streak", *(f"avg_{c}" for c in averages))
 
 
 def prior_mean(games: DataFrame, lag_seconds: int = 86_400) -> DataFrame:
@@ -50,4 +60,4 @@ def prior_mean(games: DataFrame, lag_seconds: int = 86_400) -> DataFrame:
     at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', kickoff)")
     w = Window.partitionBy("team").orderBy("__at").rangeBetween(Window.unboundedPreceding, -lag_seconds)
     rows = team_games(games).withColumn("__at", at)
-    return rows.select("game_id", "team", F.count("points").over(w).alias("n_prior"), F.round(F.avg("points").over(w), 6).alias("prior_points"))
+    return rows.select("game_id", "team", F.count("points").over(w).alias("n_prior"), rounded(F.avg("points").over(w)).alias("prior_points"))

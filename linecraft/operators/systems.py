@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.odds import profit
+from ..registry import rounded
 
 
 @dataclass(frozen=True)
@@ -125,9 +126,9 @@ def record(stake: float = 100.0) -> list[Column]:
     bets = F.count(F.lit(1))
     return [
         bets.alias("bets"), won.alias("wins"), lost.alias("losses"), F.count_if(F.col("result") == "P").alias("pushes"),
-        F.round(won / F.nullif(won + lost, F.lit(0)), 4).cast("double").alias("hit_rate"),
+        rounded(won / F.nullif(won + lost, F.lit(0)), 4).cast("double").alias("hit_rate"),
         F.sum("profit").cast("double").alias("profit"),
-        F.round(F.sum("profit").cast("double") / (bets * stake), 4).cast("double").alias("roi"),
+        rounded(F.sum("profit").cast("double") / (bets * stake), 4).cast("double").alias("roi"),
     ]
 
 

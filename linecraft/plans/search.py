@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.running import entering
+from ..operators.running import entering, team_games
 from ..operators.systems import SystemFilter, grade, side_line
 from ..session import ship
 
@@ -36,7 +36,7 @@ SCHEMA = "candidate string, place int, wilson_low double, roi_inside double, bet
 
 def with_features(games: DataFrame) -> DataFrame:
     """Games with the entering statistics of both teams."""
-    known = entering(games)
+    known = entering(team_games(games))
     for side in SIDES:
         names = [F.col(n).alias(f"{side}_{n}") for n in TEAM_NUMBERS]
         games = games.join(known.select("game_id", F.col("team").alias(f"{side}_team"), *names), ["game_id", f"{side}_team"], "left")

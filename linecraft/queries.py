@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.odds import clv_points, fair_pair, implied_probability, kelly, snap_half
@@ -14,11 +12,9 @@ from .operators.relational import asof_join, islands, latest, merge_sources, pai
 from .operators.running import entering, prior_mean, team_games
 from .operators.systems import FeatureFilter, SystemFilter, evaluate, grade, record
 from .plans import search
+from .registry import ORACLE_SQL, QUERIES, query, rounded
 from .sources.proxy import GAMES_SQL, LINES_SQL, games, line_tape, purchases, table, ticks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 HOME_FAVOURITE = SystemFilter(side="home", favorite=True)
 
 _GRADED = (
@@ -37,16 +33,6 @@ _TEAM_GAMES = """tg AS (SELECT game_id, season, week, kickoff, 1 AS is_home, hom
  UNION ALL SELECT game_id, season, week, kickoff, 0, away_team, home_team, away_points, home_points, -spread FROM games)"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"WITH {_GRADED} SELECT season, {_RECORD} FROM graded WHERE spread < 0 GROUP BY season")
 def season_record(spark, sf):
     """Record, profit and return by season of home favourites."""
@@ -80,29 +66,45 @@ def value_breakdown(spark, sf):
     return bets.select("result", "profit", F.explode(F.array_distinct(F.array("home_team", "away_team"))).alias("team")).groupBy("team").agg(*record())
 
 
-@query(f"WITH {_GRADED} SELECT season, home_conference, {_RECORD}, grouping(season)::BIGINT AS all_seasons FROM graded GROUP BY ROLLUP (season, home_conference)")
+@query(f"WITH {_GRADED} SELECT season, home_conference, {_RECORD}, grouping(season)::BIGINT AS all_seasons, grouping(home_conference)::BIGINT AS all_conferences FROM graded GROUP BY ROLLUP (season, home_conference)")
 def conference_rollup(spark, sf):
     bets = grade(games(spark, sf), SystemFilter())
-    return bets.rollup("season", "home_conference").agg(*record(), F.grouping("season").cast("long").alias("all_seasons"))
+    return bets.rollup("season", "home_conference").agg(*record(), F.grouping("season").cast("long").alias("all_seasons"), F.grouping("home_conference").cast("long").alias("all_conferences"))
+
 
+#: Per-game efficiency of the two sides, made from the scores: what a vendor's advanced box score holds.
+ADVANCED = {"ppa_off": "(points * 13 % 41 - 20) / 16.0", "ppa_def": "(allowed * 11 % 37 - 18) / 16.0", "success_off": "(points * 3 % 20) / 32.0", "success_def": "(allowed * 5 % 20) / 32.0", "explosive_off": "(points * 7 % 9) / 8.0", "explosive_def": "(allowed * 2 % 9) / 8.0"}
 
-_ENTERING = f"""WITH {GAMES_SQL}, {_TEAM_GAMES}, d AS (SELECT *, points - allowed AS diff, points - allowed + line AS cover FROM tg),
- s AS (SELECT *, sign(diff) AS sg, last_value(sign(diff) IGNORE NULLS) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM d),
- r AS (SELECT *, sum(CASE WHEN sg IS NOT NULL AND sg IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS UNBOUNDED PRECEDING) AS run FROM s),
- a AS (SELECT *, sg * count(sg) OVER (PARTITION BY team, season, run ORDER BY kickoff, game_id ROWS UNBOUNDED PRECEDING) AS after FROM r)
- SELECT game_id, team, season, count(diff) OVER p AS games_played,
-  round(count(*) FILTER (diff > 0) OVER p / nullif(count(*) FILTER (diff <> 0) OVER p, 0)::DOUBLE, 6) AS win_pct,
-  round(count(*) FILTER (cover > 0) OVER p / nullif(count(*) FILTER (cover <> 0) OVER p, 0)::DOUBLE, 6) AS ats_pct,
+
+def _streak_sql(name: str, x: str) -> str:
+    w = "OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""s_{name} AS (SELECT *, sign({x}) AS sg, last_value(sign({x}) IGNORE NULLS) {w} AS was FROM d),
+ r_{name} AS (SELECT *, sum(CASE WHEN sg IS NOT NULL AND sg IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS UNBOUNDED PRECEDING) AS run FROM s_{name}),
+ a_{name} AS (SELECT *, sg * count(sg) OVER (PARTITION BY team, season, run ORDER BY kickoff, game_id ROWS UNBOUNDED PRECEDING) AS now FROM r_{name}),
+ {name} AS (SELECT game_id, team, coalesce(last_value(now IGNORE NULLS) {w}, 0)::BIGINT AS {name} FROM a_{name})"""
+
+
+_ENTERING_CTE = f"""{GAMES_SQL}, {_TEAM_GAMES}, d AS (SELECT *, points - allowed AS diff, points - allowed + line AS cover, {", ".join(f"({x})::DOUBLE AS {c}" for c, x in ADVANCED.items())} FROM tg),
+ {_streak_sql("streak", "diff")}, {_streak_sql("ats_streak", "cover")},
+ entering AS (SELECT d.game_id, d.team, season, count(diff) OVER p AS games_played,
+  round(count(*) FILTER (diff > 0) OVER p / nullif(count(*) FILTER (diff <> 0) OVER p, 0)::DOUBLE, 4) AS win_pct,
+  round(count(*) FILTER (cover > 0) OVER p / nullif(count(*) FILTER (cover <> 0) OVER p, 0)::DOUBLE, 4) AS ats_pct,
   CASE WHEN date_diff('day', lag(kickoff) OVER w, kickoff) > 0 THEN date_diff('day', lag(kickoff) OVER w, kickoff) END AS rest_days,
-  round(avg(points) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_points,
-  coalesce(last_value(after IGNORE NULLS) OVER p, 0)::BIGINT AS streak FROM a
- WINDOW w AS (PARTITION BY team, season ORDER BY kickoff, game_id),
-  p AS (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+  round(avg(points) OVER (PARTITION BY d.team, season ORDER BY kickoff, d.game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_points,
+  streak, ats_streak, {", ".join(f"round(avg({c}) OVER p, 6) AS avg_{c}" for c in ADVANCED)}
+  FROM d JOIN streak USING (game_id, team) JOIN ats_streak USING (game_id, team)
+  WINDOW w AS (PARTITION BY d.team, season ORDER BY kickoff, d.game_id),
+   p AS (PARTITION BY d.team, season ORDER BY kickoff, d.game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def advanced_team_games(spark, sf):
+    return team_games(games(spark, sf)).selectExpr("*", *(f"CAST({x} AS DOUBLE) AS {c}" for c, x in ADVANCED.items()))
 
 
-@query(_ENTERING)
+@query(f"WITH {_ENTERING_CTE} SELECT * FROM entering")
 def entering_stats(spark, sf):
-    return entering(games(spark, sf))
+    """Everything that a team brings into a game: rates, streaks, rest and mean efficiency."""
+    return entering(advanced_team_games(spark, sf), tuple(ADVANCED))
 
 
 @query(f"""WITH {GAMES_SQL}, {_TEAM_GAMES} SELECT game_id, team, count(points) OVER w AS n_prior, round(avg(points) OVER w, 6) AS prior_points FROM tg
@@ -221,28 +223,27 @@ def tick_changes(spark, sf):
  FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2""")
 def tick_buckets(spark, sf):
     got = ticks(spark, sf).groupBy("event", F.window("updated_at", "6 hours").alias("w"))
-    out = got.agg(F.count(F.lit(1)).alias("n"), F.max_by("line", F.struct("updated_at", "event_id")).alias("last_line"), F.round(F.max("line") - F.min("line"), 6).alias("spread"))
+    out = got.agg(F.count(F.lit(1)).alias("n"), F.max_by("line", F.struct("updated_at", "event_id")).alias("last_line"), rounded(F.max("line") - F.min("line"), 6).alias("spread"))
     return out.select("event", F.col("w.start").alias("bucket"), "n", "last_line", "spread")
 
 
-@query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, user_id AS event, max_by(value, (ts, event_id)) AS line FROM events WHERE event_type = 'view' GROUP BY 1, 2),
- span AS (SELECT event, min(hour) AS a, max(hour) AS b FROM h GROUP BY event), grid AS (SELECT event, unnest(generate_series(a, b, INTERVAL '1 hour')) AS hour FROM span)
- SELECT g.event, count(*) AS hours, count(h.line) AS quoted, round(avg(last), 6) AS mean_line FROM (SELECT grid.event, grid.hour, last_value(h.line IGNORE NULLS) OVER (PARTITION BY grid.event ORDER BY grid.hour ROWS UNBOUNDED PRECEDING) AS last FROM grid LEFT JOIN h ON h.event = grid.event AND h.hour = grid.hour) g
- LEFT JOIN h ON h.event = g.event AND h.hour = g.hour GROUP BY g.event""")
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, user_id AS event, event_type AS market, max_by(value, (ts, event_id)) AS line FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+ span AS (SELECT event, market, min(hour) AS a, max(hour) AS b FROM h GROUP BY ALL), grid AS (SELECT event, market, unnest(generate_series(a, b, INTERVAL '1 hour')) AS hour FROM span)
+ SELECT event, market, hour, h.line IS NOT NULL AS quoted, last_value(h.line IGNORE NULLS) OVER (PARTITION BY event, market ORDER BY hour ROWS UNBOUNDED PRECEDING) AS line FROM grid LEFT JOIN h USING (event, market, hour)""")
 def hour_grid(spark, sf):
-    """A complete hourly grid per event with the last line carried forward; gaps are filled by exploding between ticks."""
+    """A complete hourly grid of every series, the last line carried forward: each tick's hour is exploded up to the next one's."""
     hour = F.date_trunc("hour", "updated_at").cast("timestamp_ntz")
-    per = ticks(spark, sf).filter("market = 'view'").groupBy("event", hour.alias("hour")).agg(F.max_by("line", F.struct("updated_at", "event_id")).alias("line"))
-    held = F.coalesce(F.expr("timestampdiff(HOUR, hour, lead(hour) OVER (PARTITION BY event ORDER BY hour))"), F.lit(1))
-    runs = per.withColumn("hours", held)
-    return runs.groupBy("event").agg(F.sum("hours").alias("hours"), F.count("line").alias("quoted"), F.round(F.sum(F.col("line") * F.col("hours")) / F.sum("hours"), 6).alias("mean_line"))
+    per = ticks(spark, sf).groupBy("event", "market", hour.alias("h")).agg(F.max_by("line", F.struct("updated_at", "event_id")).alias("line"))
+    held = F.coalesce(F.expr("timestampdiff(HOUR, h, lead(h) OVER (PARTITION BY event, market ORDER BY h))"), F.lit(1)).cast("int")
+    rows = per.withColumn("held", held).select("event", "market", "h", "line", F.explode(F.sequence(F.lit(0), F.col("held") - 1)).alias("ahead"))
+    return rows.select("event", "market", F.expr("h + make_dt_interval(0, ahead, 0, 0)").alias("hour"), (F.col("ahead") == 0).alias("quoted"), "line")
 
 
 @query("""SELECT event_type, (props->>'k')::BIGINT % 10 AS k, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
 def json_props(spark, sf):
     """Schema-on-read of a JSON column."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return table(spark, sf, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return table(spark, sf, "events").groupBy("event_type", (k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 4).alias("value"))
 
 
 @query(f"""WITH {GAMES_SQL}, {_VOTE}, j AS (SELECT season, provider, game_id, CASE WHEN game_id % 2 = 0 THEN v.spread_open - v.spread ELSE v.spread - v.spread_open END AS clv FROM games JOIN vote v USING (game_id) WHERE v.spread IS NOT NULL AND v.spread_open IS NOT NULL)
@@ -252,7 +253,7 @@ def clv_by_season(spark, sf):
     lines = _one_vote(line_tape(spark, sf)).filter("spread IS NOT NULL AND spread_open IS NOT NULL").select("game_id", "provider", F.col("spread").alias("close"), F.col("spread_open").alias("taken"))
     side = F.when(F.col("game_id") % 2 == 0, "home").otherwise("over")
     bets = games(spark, sf).select("game_id", "season").join(lines, "game_id").withColumn("clv", clv_points(side, F.col("taken"), F.col("close")))
-    return bets.groupBy("season", "provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("clv"), 6).alias("mean_clv"), F.round(F.var_pop("clv"), 6).alias("var_clv"), F.round(F.count_if(F.col("clv") > 0) / F.count(F.lit(1)), 6).alias("beat_close"))
+    return bets.groupBy("season", "provider").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("clv"), 6).alias("mean_clv"), rounded(F.var_pop("clv"), 6).alias("var_clv"), rounded(F.count_if(F.col("clv") > 0) / F.count(F.lit(1)), 6).alias("beat_close"))
 
 
 @query(f"""WITH {_GRADED}, r AS (SELECT home_team AS team, season, count(*) FILTER (result = 'W') AS w, count(*) FILTER (result <> 'P') AS n FROM graded GROUP BY ALL)
@@ -268,10 +269,10 @@ def significance(spark, sf):
     bets = grade(games(spark, sf), SystemFilter())
     rows = bets.groupBy(F.col("home_team").alias("team"), "season").agg(F.count_if(F.col("result") == "W").alias("wins"), F.count_if(F.col("result") != "P").alias("n")).filter("n > 0")
     even = implied_probability(F.lit(-110.0))
-    z = (F.round(F.col("wins") / F.col("n"), 4) - even) / F.sqrt(even * (1 - even) / F.col("n"))
+    z = (rounded(F.col("wins") / F.col("n"), 4) - even) / F.sqrt(even * (1 - even) / F.col("n"))
     rows = adjusted(rows.withColumn("p", 1 - norm_cdf(z)), "p", "team", ["season"])
     low, high = wilson(F.col("wins"), F.col("n"))
-    return rows.select("season", "team", "wins", "n", F.round("p", 6).alias("p_value"), F.round("bh", 6).alias("bh"), F.round("holm", 6).alias("holm"), low.alias("wilson_low"), high.alias("wilson_high"))
+    return rows.select("season", "team", "wins", "n", rounded("p", 6).alias("p_value"), rounded("bh", 6).alias("bh"), rounded("holm", 6).alias("holm"), low.alias("wilson_low"), high.alias("wilson_high"))
 
 
 @query(f"""WITH {_GRADED}, c AS (SELECT season, week, sum(margin) AS s, sum(margin * margin) AS ss, count(*) AS n FROM graded GROUP BY season, week),
@@ -282,7 +283,7 @@ def significance(spark, sf):
 def clustered_margin(spark, sf):
     """Mean margin with week-clustered standard error, intra-class correlation and design effect."""
     out = clustered_mean(grade(games(spark, sf), SystemFilter()), "margin", ["week"], ["season"]).filter("clusters > 1")
-    return out.select("season", "clusters", "n", *(F.round(c, 6).alias(c) for c in ("mean", "se", "icc", "deff")))
+    return out.select("season", "clusters", "n", *(rounded(c, 6).alias(c) for c in ("mean", "se", "icc", "deff")))
 
 
 @query(f"""WITH {GAMES_SQL} SELECT season, count(home_points) AS n, round(skewness(home_points + away_points), 6) AS skewness, round(kurtosis(home_points + away_points), 6) AS kurtosis,
@@ -292,25 +293,26 @@ def moments(spark, sf):
     rows = games(spark, sf).withColumn("points", (F.col("home_points") + F.col("away_points")).cast("double"))
     skew, kurt = sample_moments("points")
     out = rows.groupBy("season").agg(F.count("points").alias("n"), skew, kurt, F.stddev_samp("points").alias("sd"), F.corr("total", "points").alias("corr"), F.regr_slope("points", "total").alias("slope"), F.regr_r2("points", "total").alias("r2"), F.percentile("points", 0.25).alias("q25"), F.median("points").alias("q50"))
-    return out.select("season", "n", *(F.round(c, 6).alias(c) for c in ("skewness", "kurtosis", "sd", "corr", "slope", "r2", "q25", "q50")))
+    return out.select("season", "n", *(rounded(c, 6).alias(c) for c in ("skewness", "kurtosis", "sd", "corr", "slope", "r2", "q25", "q50")))
 
 
 @query(f"""WITH {GAMES_SQL}, h AS (SELECT home_points + away_points AS points, count(*) AS n FROM games WHERE home_points IS NOT NULL GROUP BY 1),
- d AS (SELECT unnest(generate_series(0, 110)) AS points), f AS (SELECT d.points::BIGINT AS points, coalesce(h.n, 0) AS n FROM d LEFT JOIN h USING (points))
+ d AS (SELECT unnest(generate_series(0, (SELECT max(points) FROM h))) AS points), f AS (SELECT d.points::BIGINT AS points, coalesce(h.n, 0) AS n FROM d LEFT JOIN h USING (points))
  SELECT points, n, round(n / sum(n) OVER ()::DOUBLE, 8) AS share, round(sum(n) OVER (ORDER BY points DESC ROWS UNBOUNDED PRECEDING) / sum(n) OVER ()::DOUBLE, 8) AS at_least,
   round(4.0::DOUBLE * n / nullif(lag(n, 2) OVER (ORDER BY points) + lead(n, 2) OVER (ORDER BY points) + lag(n, 4) OVER (ORDER BY points) + lead(n, 4) OVER (ORDER BY points), 0), 6) AS lift FROM f""")
 def points_distribution(spark, sf):
     """Histogram of the points with exceedance and lift over the neighbours of equal parity.
 
-    The windows run over the 111 possible values, after the aggregation.
+    The windows run over the integers up to the highest score, after the aggregation.
     """
     counts = games(spark, sf).filter("home_points IS NOT NULL").groupBy((F.col("home_points") + F.col("away_points")).alias("points")).agg(F.count(F.lit(1)).alias("n"))
-    dense = spark.range(111).withColumnRenamed("id", "points").join(F.broadcast(counts), "points", "left").select("points", F.coalesce("n", F.lit(0)).alias("n"))
+    domain = counts.agg(F.max("points").alias("top")).select(F.explode(F.sequence(F.lit(0), "top")).alias("points"))
+    dense = domain.join(counts, "points", "left").select(F.col("points").cast("long").alias("points"), F.coalesce("n", F.lit(0)).alias("n"))
     up = Window.partitionBy(F.lit(0)).orderBy("points")
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("points")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_n = F.sum("n").over(Window.partitionBy(F.lit(0)))
     near = F.lag("n", 2).over(up) + F.lead("n", 2).over(up) + F.lag("n", 4).over(up) + F.lead("n", 4).over(up)
-    return dense.select("points", "n", F.round(F.col("n") / all_n, 8).alias("share"), F.round(F.sum("n").over(down) / all_n, 8).alias("at_least"), F.round(F.lit(4.0) * F.col("n") / F.nullif(near, F.lit(0)), 6).alias("lift"))
+    return dense.select("points", "n", rounded(F.col("n") / all_n, 8).alias("share"), rounded(F.sum("n").over(down) / all_n, 8).alias("at_least"), rounded(F.lit(4.0) * F.col("n") / F.nullif(near, F.lit(0)), 6).alias("lift"))
 
 
 @query(f"""WITH {GAMES_SQL}, {_TEAM_GAMES}, a AS (SELECT team, season, avg(points) AS off, avg(allowed) AS def, any_value(CASE WHEN team % 6 < 5 THEN concat('C', team % 6) END) AS conference FROM tg WHERE points IS NOT NULL GROUP BY team, season)
@@ -321,7 +323,7 @@ def team_ranks(spark, sf):
     conference = F.expr("CASE WHEN team % 6 < 5 THEN concat('C', team % 6) END")
     a = team_games(games(spark, sf)).filter("points IS NOT NULL").groupBy("team", "season").agg(F.avg("points").alias("off"), F.avg("allowed").alias("def")).withColumn("conference", conference)
     s = Window.partitionBy("season")
-    return a.select("team", "season", "conference", F.round("off", 6).alias("offence"), F.round("def", 6).alias("defence"), F.rank().over(s.orderBy(F.desc("off"))).cast("long").alias("offence_rank"), F.rank().over(s.orderBy("def")).cast("long").alias("defence_rank"), F.rank().over(Window.partitionBy("season", "conference").orderBy(F.desc("off"))).cast("long").alias("conference_rank"), F.count(F.lit(1)).over(s).alias("ranked"))
+    return a.select("team", "season", "conference", rounded("off", 6).alias("offence"), rounded("def", 6).alias("defence"), F.rank().over(s.orderBy(F.desc("off"))).cast("long").alias("offence_rank"), F.rank().over(s.orderBy("def")).cast("long").alias("defence_rank"), F.rank().over(Window.partitionBy("season", "conference").orderBy(F.desc("off"))).cast("long").alias("conference_rank"), F.count(F.lit(1)).over(s).alias("ranked"))
 
 
 @query(f"""WITH {GAMES_SQL} SELECT least(home_team, away_team) AS team_low, greatest(home_team, away_team) AS team_high, count(*) AS meetings,
@@ -332,27 +334,29 @@ def head_to_head(spark, sf):
     return rows.groupBy(*pair_key("home_team", "away_team")).agg(F.count(F.lit(1)).alias("meetings"), F.count_if(won).alias("low_wins"), F.max_by("game_id", F.struct("kickoff", "game_id")).alias("last_game"))
 
 
-@query(f"""WITH {GAMES_SQL}, o AS (SELECT game_id, home_team, away_team, kickoff FROM games WHERE season = 1997),
- l AS (SELECT l_orderkey, l_linenumber, l_shipdate, least(home_team, away_team) AS a, greatest(home_team, away_team) AS b FROM lineitem JOIN games ON game_id = l_orderkey WHERE year(l_shipdate) = 1997),
- r AS (SELECT l.*, o.game_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_shipdate ORDER BY abs(epoch(o.kickoff) - epoch(l_shipdate)), o.game_id) AS rn FROM l JOIN o ON least(home_team, away_team) = a AND greatest(home_team, away_team) = b)
- SELECT DISTINCT l_orderkey AS quote_id, l_linenumber::BIGINT AS quote_no, l_shipdate AS quoted_at, game_id FROM r WHERE rn = 1""")
+@query(f"""WITH {GAMES_SQL}, o AS (SELECT least(home_team, away_team) AS a, greatest(home_team, away_team) AS b, kickoff, min(game_id) AS game_id FROM games GROUP BY ALL),
+ l AS (SELECT l_orderkey, l_linenumber, l_shipdate, least(home_team, away_team) AS a, greatest(home_team, away_team) AS b FROM lineitem JOIN games ON game_id = l_orderkey),
+ p AS (SELECT l.*, o.game_id AS g1, o.kickoff AS k1 FROM l ASOF LEFT JOIN o ON l.a = o.a AND l.b = o.b AND l.l_shipdate >= o.kickoff),
+ q AS (SELECT p.*, o.game_id AS g2, o.kickoff AS k2 FROM p ASOF LEFT JOIN o ON p.a = o.a AND p.b = o.b AND p.l_shipdate <= o.kickoff)
+ SELECT l_orderkey AS quote_id, l_linenumber::BIGINT AS quote_no, l_shipdate AS quoted_at,
+  CASE WHEN g2 IS NULL OR epoch(l_shipdate) - epoch(k1) < epoch(k2) - epoch(l_shipdate) THEN g1 WHEN g1 IS NULL OR epoch(k2) - epoch(l_shipdate) < epoch(l_shipdate) - epoch(k1) THEN g2 ELSE least(g1, g2) END AS game_id FROM q""")
 def nearest_game(spark, sf):
     """Quotes that name only the two teams, matched to the pair's game of nearest kickoff.
 
-    The pair's games are merged into one time line with the quotes; each quote looks back and ahead
-    once, so no quote is paired with every game of its pair.
+    The pair's games are merged into one time line with the quotes; each quote looks back in two
+    orders, so no quote is paired with every game of its pair and both frames grow at one end only.
     """
     every = games(spark, sf)
-    found = every.filter("season = 1997").select(*pair_key("home_team", "away_team"), F.col("kickoff").alias("t"), "game_id")
-    quotes = table(spark, sf, "lineitem").filter(F.year("l_shipdate") == 1997).select(F.col("l_orderkey").alias("quote_id"), F.col("l_linenumber").cast("long").alias("quote_no"), F.col("l_shipdate").alias("t"))
-    quotes = quotes.join(every.select(F.col("game_id").alias("quote_id"), *pair_key("home_team", "away_team")), "quote_id").distinct()
-    first = found.groupBy("team_low", "team_high", "t").agg(F.min("game_id").alias("game_id"))
+    first = every.groupBy(*pair_key("home_team", "away_team"), F.col("kickoff").alias("t")).agg(F.min("game_id").alias("game_id"))
+    quotes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("quote_id"), F.col("l_linenumber").cast("long").alias("quote_no"), F.col("l_shipdate").alias("t"))
+    quotes = quotes.join(every.select(F.col("game_id").alias("quote_id"), *pair_key("home_team", "away_team")), "quote_id")
     both = first.withColumns({"quote_id": F.lit(None).cast("long"), "quote_no": F.lit(None).cast("long")}).unionByName(quotes.withColumn("game_id", F.lit(None).cast("long")))
     game = F.when(F.col("game_id").isNotNull(), F.struct("t", "game_id"))
     key = Window.partitionBy("team_low", "team_high")
-    before = F.last(game, ignorenulls=True).over(key.orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(game, ignorenulls=True).over(key.orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = both.withColumns({"b": before, "a": after}).filter("quote_id IS NOT NULL AND (a IS NOT NULL OR b IS NOT NULL)")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    before = F.last(game, ignorenulls=True).over(key.orderBy("t").rangeBetween(*so_far))
+    after = F.last(game, ignorenulls=True).over(key.orderBy(F.desc("t")).rangeBetween(*so_far))
+    rows = both.withColumns({"b": before, "a": after}).filter("quote_id IS NOT NULL")
     gap = [F.expr(f"abs(timestampdiff(SECOND, t, {x}.t))") for x in "ba"]
     pick = F.when(F.col("a").isNull() | (gap[0] < gap[1]), F.col("b.game_id")).when(F.col("b").isNull() | (gap[1] < gap[0]), F.col("a.game_id")).otherwise(F.least("a.game_id", "b.game_id"))
     return rows.select("quote_id", "quote_no", F.col("t").alias("quoted_at"), pick.alias("game_id"))
@@ -377,7 +381,7 @@ def ewma_form(spark, sf):
     """Exponentially weighted scoring (0.3 for the newest game): a fold over a team-season's few games."""
     rows = team_games(games(spark, sf)).filter("points IS NOT NULL").groupBy("team", "season").agg(F.sort_array(F.collect_list(F.struct("kickoff", "game_id", F.col("points").cast("double").alias("x")))).alias("h"))
     start = F.get("h", F.lit(0))["x"]
-    return rows.select("team", "season", F.round(F.aggregate("h", start, lambda a, r: F.when(r["game_id"] == F.col("h")[0]["game_id"], a).otherwise(0.3 * r["x"] + 0.7 * a)), 6).alias("form"))
+    return rows.select("team", "season", rounded(F.aggregate("h", start, lambda a, r: F.when(r["game_id"] == F.col("h")[0]["game_id"], a).otherwise(0.3 * r["x"] + 0.7 * a)), 6).alias("form"))
 
 
 @query(f"""WITH {_GRADED}, q AS (SELECT season, {NORM_CDF_SQL.replace("{z}", "(-spread / 13.5)")} AS p, (home_points > away_points)::INT AS y FROM graded)
@@ -386,7 +390,7 @@ def probability_scores(spark, sf):
     """Brier score and log loss of the win probability that the spread implies."""
     rows = grade(games(spark, sf), SystemFilter()).select("season", norm_cdf(-F.col("spread") / 13.5).alias("p"), (F.col("home_points") > F.col("away_points")).cast("int").alias("y"))
     said = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return rows.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("p") - F.col("y")) ** 2), 6).alias("brier"), F.round(F.avg(-F.log(F.greatest(said, F.lit(1e-6)))), 6).alias("log_loss"))
+    return rows.groupBy("season").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.col("p") - F.col("y")) ** 2), 6).alias("brier"), rounded(F.avg(-F.log(F.greatest(said, F.lit(1e-6)))), 6).alias("log_loss"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS quote_id, (-105 - o_orderkey % 40)::DOUBLE AS over_price, CASE WHEN o_orderkey % 3 = 0 THEN (100 + o_custkey % 60)::DOUBLE ELSE (-100 - o_custkey % 30)::DOUBLE END AS under_price FROM orders),
@@ -397,7 +401,7 @@ def odds_conversion(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_orderkey AS quote_id", "CAST(-105 - o_orderkey % 40 AS DOUBLE) AS over_price", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(100 + o_custkey % 60 AS DOUBLE) ELSE CAST(-100 - o_custkey % 30 AS DOUBLE) END AS under_price")
     po, pu = implied_probability(F.col("over_price")), implied_probability(F.col("under_price"))
     fair = fair_pair(po, pu)
-    return o.select("quote_id", F.round(fair, 8).alias("fair_over"), F.round(po + pu - 1, 8).alias("hold"), F.round(kelly(fair + 0.03, F.col("over_price")), 8).alias("kelly"))
+    return o.select("quote_id", rounded(fair, 8).alias("fair_over"), rounded(po + pu - 1, 8).alias("hold"), rounded(kelly(fair + 0.03, F.col("over_price")), 8).alias("kelly"))
 
 
 @query(f"""WITH {GAMES_SQL}, {LINES_SQL} SELECT 'line_tape.game_id' AS edge, count(*) AS n, count(*) FILTER (game_id IS NULL) AS null_keys, count(*) FILTER (NOT EXISTS (SELECT 1 FROM games g WHERE g.game_id = t.game_id)) AS orphans FROM line_tape t
@@ -449,4 +453,4 @@ def walk_forward(spark, sf):
     per = games(spark, sf).filter("home_points IS NOT NULL AND total IS NOT NULL").groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("ss"))
     past = Window.partitionBy(F.lit(0)).orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
     out = per.select("season", F.sum("n").over(past).alias("n_train"), F.sum("s").over(past).alias("s"), F.sum("ss").over(past).alias("ss")).filter("n_train > 0")
-    return out.select("season", "n_train", F.round(F.col("s") / F.col("n_train"), 6).alias("bias"), F.round(F.sqrt(F.col("ss") / F.col("n_train")), 6).alias("rmse"))
+    return out.select("season", "n_train", rounded(F.col("s") / F.col("n_train"), 6).alias("bias"), rounded(F.sqrt(F.col("ss") / F.col("n_train")), 6).alias("rmse"))
