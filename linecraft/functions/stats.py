@@ -25,6 +25,28 @@ NORM_CDF_SQL = """(CASE WHEN {z} >= 0 THEN 1 - {u} ELSE {u} END)""".replace(
 )
 
 
+#: The coefficients of Acklam's rational approximation of the normal quantile.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def norm_quantile(p: Column) -> Column:
+    """Quantile of the standard normal distribution, relative error below 1.2e-9; null outside (0, 1)."""
+    q = p - 0.5
+    centre = q * _poly(_A, q * q) / _poly(_B, q * q)
+    tail = lambda x: _poly(_C, F.sqrt(-2 * F.log(x))) / _poly(_D, F.sqrt(-2 * F.log(x)))
+    return F.when((p <= 0) | (p >= 1), None).when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(centre)
+
+
 def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval in [0, 1], rounded to 4 digits; (0, 0) without a trial."""
     m = F.nullif(n, F.lit(0)).cast("double")

@@ -45,3 +45,38 @@ def islands(df: DataFrame, key: list[str], order: list[str], same: str) -> DataF
     w = Window.partitionBy(*key).orderBy(*order)
     change = F.when(F.col(same).eqNullSafe(F.lag(same).over(w)), 0).otherwise(1)
     return df.withColumn("__c", change).withColumn("run_id", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__c")
+
+
+def latest_then(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, values: list[str], check: Column, tie: str | None = None) -> DataFrame:
+    """Left rows whose last right row passes ``check``; an earlier row that passes does not stand in for it."""
+    return asof_join(left, right, key, left_ts, right_ts, values, tie=tie).filter(F.coalesce(check, F.lit(False)))
+
+
+def interval_match(left: DataFrame, right: DataFrame, key: list[str], left_day: str, right_day: str, days: int) -> DataFrame:
+    """Pairs of one key whose dates differ by ``days`` at most.
+
+    Right rows lie in one bucket of ``days`` + 1 days, left rows ask the three around their own, so the
+    join is by equality and its residual is tested on few pairs.
+    """
+    width = days + 1
+    bucket = lambda c: F.floor(F.unix_date(c) / width)
+    asked = left.withColumn("__b", F.explode(F.sequence(bucket(F.col(left_day)) - 1, bucket(F.col(left_day)) + 1)))
+    known = right.withColumn("__b", bucket(F.col(right_day)))
+    return asked.join(known, [*key, "__b"]).filter(F.abs(F.datediff(left_day, right_day)) <= days).drop("__b")
+
+
+def fallback_lookup(left: DataFrame, right: DataFrame, key: list[str], season: str, value: str, most: int) -> DataFrame:
+    """Left rows with the value of their season, else of up to ``most`` seasons before; ``back`` tells which.
+
+    Each right row is sent to the seasons that it may serve and the nearest one that has a value stays.
+    """
+    sent = right.filter(F.col(value).isNotNull()).select(*key, F.posexplode(F.sequence(F.col(season), F.col(season) + most)).alias("back", season), value)
+    best = sent.groupBy(*key, season).agg(F.min_by(F.struct(value, "back"), "back").alias("__x"))
+    return left.join(best, [*key, season], "left").select(left["*"], F.col(f"__x.{value}").alias(value), F.col("__x.back").cast("int").alias("back"))
+
+
+def quality_row(df: DataFrame, name: str, key: list[str], day: str) -> DataFrame:
+    """One row: how many rows, how many beyond one a key, null dates, newest date."""
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(day).isNull()).alias("__null"), F.max(day).alias("__max"))
+    out = per.agg(F.sum("__n").alias("n"), F.sum(F.col("__n") - 1).alias("surplus"), F.sum("__null").alias("null_dates"), F.max("__max").alias("newest"))
+    return out.select(F.lit(name).alias("name"), F.lit(", ".join(key)).alias("key"), "*")

@@ -454,3 +454,7 @@ def walk_forward(spark, sf):
     past = Window.partitionBy(F.lit(0)).orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
     out = per.select("season", F.sum("n").over(past).alias("n_train"), F.sum("s").over(past).alias("s"), F.sum("ss").over(past).alias("ss")).filter("n_train > 0")
     return out.select("season", "n_train", rounded(F.col("s") / F.col("n_train"), 6).alias("bias"), rounded(F.sqrt(F.col("ss") / F.col("n_train")), 6).alias("rmse"))
+
+
+# the other families of queries register themselves
+from .suites import joins  # noqa: E402, F401
