@@ -5,6 +5,8 @@ Each is a projection of one scan, so filters and column selections reach the Par
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     return found.select(F.col("event_id").alias("bet_id"), F.col("user_id").alias("event"), F.col("ts").alias("decided_at"), F.col("value").alias("stake"))
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A raw table of the domain, made by ``sql`` from the star schema; ``{name}`` stands for a table."""
+    own = {"games": games, "line_tape": line_tape}
+    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return spark.sql(sql, **{n: own[n](spark, sf_dir) if n in own else table(spark, sf_dir, n) for n in names})
+
+
+def ctes(**sql: str) -> str:
+    """The same raw tables as common table expressions of DuckDB, after the games and lines."""
+    return ", ".join([GAMES_SQL, LINES_SQL, *(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', s)})" for n, s in sql.items())])
