@@ -21,7 +21,7 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
 
 
 def nudged(sql: str) -> str:
-    """``sql`` with the same treatment of every ``round(x, digits)``."""
+    """``sql`` with the same treatment of every ``round(x, digits)``; a negative zero becomes zero."""
     out, at = [], 0
     for found in re.finditer(r"\bround\(", sql):
         if found.start() < at:
@@ -34,7 +34,7 @@ def nudged(sql: str) -> str:
                 comma = k
             k += 1
         if comma is not None:
-            out += [sql[at : found.end()], "(", nudged(sql[found.end() : comma]), f")::DOUBLE + {NUDGE}::DOUBLE", sql[comma:k]]
+            out += [sql[at : found.start()], "(0.0::DOUBLE + round((", nudged(sql[found.end() : comma]), f")::DOUBLE + {NUDGE}::DOUBLE", sql[comma:k], ")"]
             at = k
     return "".join(out) + sql[at:]
 
