@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,3 +140,61 @@ def evaluate(games: DataFrame, candidates: list[tuple[str, Column]], stake: floa
     """
     met = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in candidates)), lambda x: x.isNotNull())
     return games.select("result", "profit", F.explode(met).alias("candidate")).groupBy("candidate").agg(*record(stake))
+
+
+#: The dimensions of a filter, and the fields that each one clears.
+DIMENSIONS = {"side": ("favorite", "underdog"), "spread": ("spread_min", "spread_max"), "total": ("total_min", "total_max"), "season": ("seasons", "exclude_seasons"), "week": ("weeks",), "season_type": ("season_types",), "team": ("teams", "exclude_teams"), "conference": ("conferences", "exclude_conferences")}
+
+
+def without_dimension(s: SystemFilter, dimension: str) -> SystemFilter:
+    """The filter with one dimension cleared, all others kept; a feature's name clears its tests."""
+    plain = SystemFilter()
+    if dimension in DIMENSIONS:
+        return replace(s, **{f: getattr(plain, f) for f in DIMENSIONS[dimension]})
+    return replace(s, features=tuple(f for f in s.features if f.key != dimension))
+
+
+def parse_filter(query: dict[str, str], strict: bool = True) -> SystemFilter:
+    """A filter from texts such as those of a web form; strict parsing refuses what it does not know."""
+    kinds = {f.name: f.type for f in fields(SystemFilter)}
+    found: dict[str, object] = {}
+    for name, text in query.items():
+        try:
+            if name not in kinds or name == "features":
+                raise ValueError(f"unknown field {name}")
+            if "frozenset" in kinds[name]:
+                found[name] = frozenset(int(x) if x.strip().lstrip("-").isdigit() else x.strip() for x in text.split(",") if x.strip())
+            elif "float" in kinds[name]:
+                found[name] = float(text)
+            elif kinds[name] == "bool":
+                if text.lower() not in ("1", "true", "yes", "0", "false", "no"):
+                    raise ValueError(f"{name} is yes or no, not {text}")
+                found[name] = text.lower() in ("1", "true", "yes")
+            else:
+                allowed = {"side": ("home", "away", "over", "under"), "market": ("spread", "total")}[name]
+                if text not in allowed:
+                    raise ValueError(f"{name} is one of {', '.join(allowed)}, not {text}")
+                found[name] = text
+        except ValueError:
+            if strict:
+                raise
+    return SystemFilter(**found)
+
+
+def sentence(s: SystemFilter) -> str:
+    """The filter in words."""
+    listed = lambda x: ", ".join(str(v) for v in sorted(x, key=str))
+    parts = [("fade " if s.fade else "bet ") + ("the " + s.side if s.market == "spread" else s.side)]
+    if s.favorite or s.underdog:
+        parts.append("as a favourite" if s.favorite else "as an underdog")
+    for name, low, high in (("spread", s.spread_min, s.spread_max), ("total", s.total_min, s.total_max)):
+        if low is not None and high is not None:
+            parts.append(f"with a {name} from {low:g} to {high:g}")
+        elif low is not None or high is not None:
+            parts.append(f"with a {name} of {low:g} or more" if low is not None else f"with a {name} of {high:g} or less")
+    for text, values in (("in", s.seasons), ("not in", s.exclude_seasons), ("in week", s.weeks), ("in the", s.season_types), ("with", s.teams), ("without", s.exclude_teams), ("in conference", s.conferences), ("outside conference", s.exclude_conferences)):
+        if values:
+            parts.append(f"{text} {listed(values)}")
+    words = {"eq": "is", "not_eq": "is not", "in": "is one of", "not_in": "is none of", "gte": "is at least", "lte": "is at most", "gt": "is over", "lt": "is under"}
+    parts += [f"where {f.key} ({f.perspective}) {words[f.op]} {listed(f.value) if isinstance(f.value, (tuple, list, set, frozenset)) else f.value}" for f in s.features]
+    return " ".join(parts)
