@@ -1,29 +1,45 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling, later copies deleted.
 
-Each document is a sequence of line ids (lines without a word stand outside it).  Prefix doubling
-names the runs of 2^k lines that start at each place, from the names of their halves: equal names,
-equal runs, so places of one name are the suffixes that share 2^k lines or more, an interval of the
-suffix array.  Any run of n lines is named by the two runs of 2^k <= n that cover it.  Within an
-interval the first place in the order (doc_id, text, place) stays and all later ones are deleted.
-
-A run counts if it has ``min_words`` words or more.  A line lies in an earlier-occurring run of
-that size exactly if it lies in a shortest such run that begins or ends at one of its lines; these
-have at most ``min_words`` lines, so the names need log2(min_words) doublings and only two runs a
-line are shuffled.  Lines whose runs are not deleted stay as they are.
+Each document is a sequence of lines (those without a word stand outside it).  Lines that occur once
+in the corpus end a repeated run, so only the others are suffixes of the array:
+
+1. Lines are ranked over all documents: their distinct names are sorted by range and numbered in that
+   order, so ranks keep the order of names across partitions.
+2. Round k ranks the suffixes by their first 2^(k+1) lines, from the pairs (rank, rank 2^k lines
+   further): pairs are counted with map-side combining, those that occur once end there, the others
+   are sorted by range and numbered, and each suffix looks its new rank up.  The order of ranks is the
+   suffix order to that depth.
+3. The suffixes that share their first L lines are an interval of the array whose common prefixes are
+   L lines or longer.  It is named by the ranks of the two runs of 2^k <= L lines that cover L lines.
+   Within an interval the first suffix in the order (doc_id, text, place) stays and the runs of all
+   later ones are deleted; overlapping runs make up the maximal ones.
+
+A run counts if it has ``min_words`` words or more.  Any longer run is a union of shortest ones, which
+begin or end at one of its lines and have at most ``min_words`` lines; so doubling stops at that depth
+and only the intervals of shortest runs are formed.  Names of lines are 128-bit hashes.
+
+Ranks of frequent runs are broadcast (``FREQUENT`` places or more, so there are few of them), all
+others are joined by shuffle: no task receives all places of one line.
 
 Defined cases: null and empty texts have no lines to delete and stay; null ids sort first; rows that
-repeat both doc_id and text are one document and share its result; further columns are kept as they
-are; an empty table gives an empty result.  Only DataFrame operations are used.
+repeat both doc_id and text are one document and share its result; rows that share an id with other
+texts are documents of their own; very long texts are rows of lines like all others; ties cannot occur
+(places differ); further columns are kept as they are; an empty table gives an empty result.  Only
+DataFrame operations are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, size_in_words, table
+from .common import WORD, free, fresh, size_in_words, stored, table
 
 MIN_WORDS = 10
+#: Places from which on a run's rank is broadcast, and how many such ranks are (40 bytes each) at most.
+FREQUENT, MOST_FREQUENT = 5000, 200_000
 #: Column names of this operator inside a plan; a document table does not use them.
 _P = "__line_"
 
@@ -40,54 +56,77 @@ def _sequence(text: Column) -> Column:
     return F.filter(lines, lambda x: x["words"] > 0)
 
 
-def _double(names: Column, step: int) -> Column:
-    """Names of runs of 2 * step lines from those of step lines; the last places have none."""
-    n = F.size(names) - step
-    return F.when(n > 0, F.transform(F.slice(names, 1, F.greatest(n, F.lit(0))), lambda x, i: _hashed(x, F.get(names, i + step))))
+def _looked_up(rows: DataFrame, names: DataFrame, on: list[str], new: list[str]) -> DataFrame:
+    """``rows`` with the columns ``new`` of ``names`` (key ``on``, copies), null where there is none.
 
+    ``rows`` and ``names`` are stored tables.  Frequent names are broadcast if there are at most
+    ``MOST_FREQUENT``, the rest is joined by shuffle without the rows that need no look-up.
+    """
+    often = names.filter(F.col("copies") >= FREQUENT).drop("copies")
+    if often.count() > MOST_FREQUENT:
+        return rows.join(names.drop("copies"), on, "left")
+    seen = rows.join(F.broadcast(often), on, "left")
+    missing = F.col(new[0]).isNull() & reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    rest = seen.filter(missing).drop(*new).join(names.filter(F.col("copies") < FREQUENT).drop("copies"), on, "left")
+    return seen.filter(~missing).unionByName(rest.select(*seen.columns))
 
-def _shortest(words: Column, i: Column, forward: bool, most: int) -> Column:
-    """Lines from place i on (or back) until they have ``most`` words; null where there are too few."""
-    start = i + 1 if forward else F.greatest(i + 2 - most, F.lit(1))
-    length = F.lit(most) if forward else i + 2 - start
-    part = F.slice(words, start, length)
-    seen = F.aggregate(
-        part if forward else F.reverse(part),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("lines")),
-        lambda s, x: F.when(s["n"] >= most, s).otherwise(F.struct((s["n"] + x).alias("n"), (s["lines"] + 1).alias("lines"))),
-    )
-    return F.when(seen["n"] >= most, seen["lines"])
 
+def _ranked(names: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """Stored ``names`` with a number each that keeps the order of ``key`` over all partitions."""
+    return stored(names.repartitionByRange(*key).sortWithinPartitions(*key).withColumn(rank, F.monotonically_increasing_id()))
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text key, start and lines of each shortest run that has ``min_words`` words, and its name."""
+
+def ranked_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, int]:
+    """Lines that occur twice or more (doc_id, key, i, at, words) with their ranks r0, r1, ..., and the last level.
+
+    ``i`` is the place among the lines with a word, r<k> the rank of the 2^k lines from there; it is null
+    where those do not occur twice.
+    """
     levels = max(min_words, 1).bit_length() - 1
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), _sequence(F.col("text")).alias("seq")).filter(F.size("seq") > 0).dropDuplicates(["doc_id", "key"])
-    base = base.select("doc_id", "key", F.col("seq.at").alias("at"), F.col("seq.words").alias("words"), F.col("seq.name").alias("n0"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_sequence(F.col("text"))).alias("i", "line"))
+    lines = stored(lines.select("doc_id", "key", "i", "line.at", "line.words", "line.name.a", "line.name.b"))
+    names = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    names = _ranked(names, ["a", "b"], "r0")
+    rows = stored(_looked_up(lines, names, ["a", "b"], ["r0"]).filter("r0 IS NOT NULL").drop("a", "b").dropDuplicates(["doc_id", "key", "i"]))
+    free(lines, names)
+    sequence = Window.partitionBy("doc_id", "key").orderBy("i")
     for k in range(levels):
-        base = base.withColumn(f"n{k + 1}", F.coalesce(_double(F.col(f"n{k}"), 1 << k), F.array().cast(base.schema["n0"].dataType)))
-    place = F.sequence(F.lit(0), F.size("words") - 1)
-    both = F.array_distinct(F.concat(
-        F.transform(place, lambda i: F.struct(i.alias("start"), _shortest(F.col("words"), i, True, min_words).alias("n"))),
-        F.transform(place, lambda i: F.struct((i + 1 - _shortest(F.col("words"), i, False, min_words)).alias("start"), _shortest(F.col("words"), i, False, min_words).alias("n"))),
-    ))
-    runs = base.select("doc_id", "key", "at", *[f"n{k}" for k in range(levels + 1)], F.explode(F.filter(both, lambda r: r["n"].isNotNull())).alias("run"))
-    name = None
-    for k in range(levels + 1):
-        at, n, names = F.col("run.start"), F.col("run.n"), F.col(f"n{k}")
-        both_halves = _hashed(F.get(names, at), F.get(names, at + n - (1 << k)), n)
-        mine = (n >= 1 << k) & (n < 1 << (k + 1))
-        name = F.when(mine, both_halves) if name is None else name.when(mine, both_halves)
-    lines = F.slice("at", F.col("run.start") + 1, F.col("run.n"))
-    return runs.select("doc_id", "key", F.col("run.start").alias("start"), F.col("run.n").alias("n"), lines.alias("lines"), name.alias("name")).select("doc_id", "key", "start", "n", "lines", "name.a", "name.b")
+        ahead = F.max(f"r{k}").over(sequence.rangeBetween(1 << k, 1 << k))
+        pairs = stored(rows.withColumn("p", F.when(ahead.isNotNull(), F.col(f"r{k}"))).withColumn("q", F.when(F.col(f"r{k}").isNotNull(), ahead)))
+        names = pairs.filter("p IS NOT NULL AND q IS NOT NULL").groupBy("p", "q").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+        names = _ranked(names, ["p", "q"], f"r{k + 1}")
+        new = stored(_looked_up(pairs, names, ["p", "q"], [f"r{k + 1}"]).drop("p", "q"))
+        free(rows, pairs, names)
+        rows = new
+    return rows, levels
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, key, i and lines of each shortest run of ``min_words`` words whose lines are all repeated; n, p, q name its interval."""
+    rows, levels = ranked_lines(docs, min_words)
+    sequence = Window.partitionBy("doc_id", "key").orderBy("i")
+    most = max(min_words, 1)
+    columns = {"ats": F.collect_list("at").over(sequence.rangeBetween(0, most - 1))}
+    runs = []
+    for n in range(1, most + 1):
+        k = min(n.bit_length() - 1, levels)
+        # words of n lines, and of all but the last one
+        columns[f"w{n}"] = F.sum("words").over(sequence.rangeBetween(0, n - 1))
+        columns[f"q{n}"] = F.max(f"r{k}").over(sequence.rangeBetween(n - (1 << k), n - (1 << k)))
+        enough, shorter = F.col(f"w{n}"), (F.col(f"w{n - 1}") if n > 1 else F.lit(0))
+        shortest = (enough >= min_words) & ((shorter < min_words) | (enough - F.col("words") < min_words))
+        runs.append(F.when(shortest & F.col(f"r{k}").isNotNull() & F.col(f"q{n}").isNotNull(), F.struct(F.lit(n).alias("n"), F.col(f"r{k}").alias("p"), F.col(f"q{n}").alias("q"))))
+    wide = rows.select("*", *(c.alias(x) for x, c in columns.items()))
+    each = wide.select("doc_id", "key", "i", "ats", F.explode(F.array_compact(F.array(*runs))).alias("run"))
+    return each.select("doc_id", "key", "i", F.slice("ats", F.lit(1), F.col("run.n")).alias("lines"), "run.n", "run.p", "run.q")
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key and the places of the lines to delete, one row per document that has any."""
-    runs = repeated_runs(docs, min_words)
-    place = F.struct("doc_id", "key", "start")
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1).drop("copies")
-    later = runs.join(first, ["a", "b"]).filter(place > F.col("first"))
+    runs = stored(repeated_runs(docs, min_words))
+    place = F.struct("doc_id", "key", "i")
+    first = stored(runs.groupBy("n", "p", "q").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).filter("copies > 1"))
+    later = _looked_up(runs, first, ["n", "p", "q"], ["first"]).filter(place > F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))
 
 
