@@ -218,3 +218,87 @@ def beta_posterior(wins: Column, n: Column, a: float = 1.0, b: float = 1.0) -> t
 
 def break_even(price: float = -110.0) -> Column:
     return implied_probability(F.lit(price))
+
+
+def two_way_ols(df: DataFrame, x: str, y: str, first: list[str], second: list[str], by: list[str]) -> DataFrame:
+    """Slope of y on x with a standard error robust to two clusterings: V1 + V2 - V12, each from summed scores."""
+    ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    m = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("__mx"), F.avg(y).alias("__my"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("__sxx"))
+    rows = ok.join(F.broadcast(m), by)
+    d = F.col(x) - F.col("__mx")
+    rows = rows.withColumn("__s", d * (F.col(y) - F.col("__my") - F.col("slope") * d))
+    out = m
+    for name, cluster in (("a", first), ("b", second), ("ab", [*first, *second])):
+        s = rows.groupBy(*by, *cluster).agg(F.sum("__s").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias(f"__{name}"))
+        out = out.join(s, by)
+    v = F.greatest(F.lit(0.0), F.col("__a") + F.col("__b") - F.col("__ab"))
+    return out.select(*by, "n", "slope", (F.sqrt(v) / F.col("__sxx")).alias("se"))
+
+
+def wild_bootstrap(df: DataFrame, x: str, cluster: list[str], by: list[str], enumerated: int = 16, draws: int = 4096) -> DataFrame:
+    """p-value of a zero mean by the wild cluster bootstrap-t with signs of whole clusters.
+
+    Up to ``enumerated`` clusters all sign patterns are weighed, beyond that ``draws`` patterns by hash.
+    Patterns are taken over cluster sums: no replicate reads the rows again.
+    """
+    per = df.filter(F.col(x).isNotNull()).groupBy(*by, *cluster).agg(F.sum(x).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    w = Window.partitionBy(*by)
+    per = per.withColumns({"g": F.row_number().over(w.orderBy(*cluster)) - 1, "clusters_": F.count(F.lit(1)).over(w), "total": F.sum("n").over(w)}).filter("clusters_ > 1")
+    patterns = F.when(F.col("clusters_") <= enumerated, F.pow(F.lit(2), F.col("clusters_"))).otherwise(F.lit(draws)).cast("int")
+    each = per.withColumn("draw", F.explode(F.sequence(F.lit(0), patterns - 1)))
+    bit = F.when(F.col("clusters_") <= enumerated, F.expr("(draw >> CAST(g AS INT)) & 1")).otherwise(F.pmod(F.xxhash64("draw", *cluster), F.lit(2)).cast("int"))
+    r = F.col("s") * (2 * bit - 1)
+    # pattern 0 turns all signs and has the t value of the data itself, up to its sign
+    t = each.withColumn("r", r).groupBy(*by, "draw").agg(F.first("total").alias("total"), F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("n")).alias("rn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    mean = F.col("sr") / F.col("total")
+    se = F.sqrt(F.greatest(F.lit(1e-12), F.col("rr") - 2 * mean * F.col("rn") + mean * mean * F.col("nn"))) / F.col("total")
+    t = t.select(*by, "draw", F.abs(mean / se).alias("t"))
+    data = per.groupBy(*by).agg(F.first("total").alias("total"), F.sum("s").alias("sr"), F.sum(F.col("s") * F.col("s")).alias("rr"), F.sum(F.col("s") * F.col("n")).alias("rn"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("clusters"))
+    own = data.select(*by, "clusters", F.abs(mean / se).alias("own"))
+    both = t.join(F.broadcast(own), by) if by else t.crossJoin(F.broadcast(own))
+    return both.groupBy(*by).agg(F.first("clusters").alias("clusters"), F.first("own").alias("t"), F.avg((F.col("t") >= F.col("own") - 1e-9).cast("int")).alias("p"))
+
+
+def probit(df: DataFrame, columns: list[str], hit: str, rounds: int = 8) -> dict[str, float]:
+    """Coefficients of P(hit) = Phi(a + b x), by scoring: each round is one aggregate over the rows."""
+    import numpy as np
+
+    names = ["intercept", *columns]
+    rows = df.filter(F.col(hit).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in columns), F.col(hit).cast("double").alias("__y")).dropna().persist()
+    x = [F.lit(1.0), *(F.col(c) for c in columns)]
+    b = np.zeros(len(names))
+    for _ in range(rounds):
+        z = F.lit(float(b[0]))
+        for value, c in zip(b[1:], columns, strict=True):
+            z = z + float(value) * F.col(c)
+        p = F.least(F.greatest(norm_cdf(z), F.lit(1e-9)), F.lit(1 - 1e-9))
+        density = F.exp(-z * z / 2) * 0.3989422804014327
+        w, u = density * density / (p * (1 - p)), (F.col("__y") - p) * density / (p * (1 - p))
+        k = len(x)
+        sums = rows.agg(*(F.sum(u * x[i]).alias(f"g{i}") for i in range(k)), *(F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        b = b + np.linalg.solve(h, np.array([sums[f"g{i}"] for i in range(k)]))
+    rows.unpersist()
+    return dict(zip(names, b.tolist(), strict=True))
+
+
+def tobit(df: DataFrame, x: str, y: str, rounds: int = 30) -> dict[str, float]:
+    """Line and spread of a value that is seen only above zero, by expectation and maximisation: one aggregate a round."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
+    start = rows.agg(F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"), F.stddev_pop("y").alias("s")).first()
+    a, b, s = start["a"], start["b"], start["s"]
+    for _ in range(rounds):
+        mean = a + b * F.col("x")
+        z = -mean / s
+        ratio = F.exp(-z * z / 2) * 0.3989422804014327 / F.greatest(norm_cdf(z), F.lit(1e-12))
+        # first and second moment of what lies at or below zero
+        hidden = mean - s * ratio
+        square = s * s * (1 - z * ratio - ratio * ratio) + hidden * hidden
+        cut = F.col("y") <= 0
+        e, ee = F.when(cut, hidden).otherwise(F.col("y")), F.when(cut, square).otherwise(F.col("y") * F.col("y"))
+        m = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(e).alias("e"), F.sum(F.col("x") * e).alias("xe"), F.sum(ee).alias("ee")).first()
+        b = (m["n"] * m["xe"] - m["x"] * m["e"]) / (m["n"] * m["xx"] - m["x"] ** 2)
+        a = (m["e"] - b * m["x"]) / m["n"]
+        s = max((m["ee"] - a * m["e"] - b * m["xe"]) / m["n"], 1e-12) ** 0.5
+    rows.unpersist()
+    return {"intercept": a, "slope": b, "sigma": s}

@@ -259,3 +259,19 @@ def resampled(spark, sf):
 def distinct_users(spark, sf):
     """The exact count of distinct values; ``approx_count_distinct`` stays within its stated error of it (tested)."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+
+
+GRADES_SQL = "gr AS (SELECT l_suppkey % 30 AS team, year(l_shipdate) AS season, 1 + (dayofyear(l_shipdate) - 1) // 7 AS week, avg(l_quantity) AS grade FROM lineitem WHERE l_partkey % 97 = 0 GROUP BY ALL)"
+
+
+@query(f"""WITH {GAMES_SQL}, {GRADES_SQL}, b AS (SELECT g.game_id, (SELECT arg_max(grade, week) FROM gr WHERE gr.team = g.home_team AND gr.season = g.season AND gr.week < g.week) AS now, (SELECT arg_max(grade, week) FROM gr WHERE gr.team = g.home_team AND gr.season = g.season - 1) AS was FROM games g) SELECT game_id, round(coalesce(now, was), 6) AS grade, now IS NOT NULL AS current FROM b""")
+def grade_before(spark, sf):
+    """The last grade of the season before the game's week, else the last one of the season before."""
+    from ..operators.relational import asof_join
+
+    li = table(spark, sf, "lineitem").filter("l_partkey % 97 = 0")
+    gr = li.groupBy(F.expr("l_suppkey % 30").alias("team"), F.year("l_shipdate").cast("long").alias("season"), F.expr("CAST(1 + (dayofyear(l_shipdate) - 1) div 7 AS BIGINT)").alias("at_week")).agg(F.avg("l_quantity").alias("grade"))
+    last = gr.groupBy("team", (F.col("season") + 1).alias("season")).agg(F.max_by("grade", "at_week").alias("was"))
+    g = games(spark, sf).select("game_id", F.col("home_team").alias("team"), "season", "week")
+    out = asof_join(g, gr, ["team", "season"], "week", "at_week", ["grade"], strict=True).join(last, ["team", "season"], "left")
+    return out.select("game_id", rounded(F.coalesce("grade", "was")).alias("grade"), F.col("grade").isNotNull().alias("current"))

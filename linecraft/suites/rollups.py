@@ -272,3 +272,23 @@ def slate(spark, sf):
     """The games of the report's week with the win probability of their spread."""
     g = games(spark, sf).filter(f"season = 1996 AND week = {AS_OF}")
     return g.select("game_id", "season", "week", "home_team", "away_team", "spread", rounded(norm_cdf(-F.col("spread") / 13.5)).alias("home_win"))
+
+
+@query(f"WITH {ctes()}, g AS (SELECT season, CASE WHEN spread < -13 THEN 'Yes' WHEN spread IS NOT NULL THEN 'No' END AS v, home_points > away_points AS won FROM games WHERE season_type = 'postseason'), d AS (SELECT season, unnest(['Yes', 'No']) AS v FROM (SELECT DISTINCT season FROM games)) SELECT d.season, d.v AS value, count(g.v) AS games, count(*) FILTER (won) AS wins FROM d LEFT JOIN g USING (season, v) GROUP BY ALL")
+def flag_breakdown(spark, sf):
+    """Records by a yes-or-no value: both values are always there, also without a game."""
+    every = games(spark, sf)
+    v = F.when(F.col("spread") < -13, "Yes").when(F.col("spread").isNotNull(), "No")
+    g = every.filter("season_type = 'postseason'").select("season", v.alias("value"), (F.col("home_points") > F.col("away_points")).alias("won")).groupBy("season", "value").agg(F.count(F.lit(1)).alias("games"), F.count_if("won").alias("wins"))
+    domain = every.select("season").distinct().select("season", F.explode(F.array(F.lit("Yes"), F.lit("No"))).alias("value"))
+    return domain.join(g, ["season", "value"], "left").fillna(0, ["games", "wins"])
+
+
+@query(f"WITH {ctes()}, r AS (SELECT home_team AS team, season, 'sp' AS system, avg(home_points) AS rating FROM games GROUP BY ALL UNION ALL SELECT home_team, season, 'fpi', avg(total) FROM games WHERE home_team % 3 <> 0 GROUP BY ALL) SELECT team, round(max(rating) FILTER (system = 'sp'), 6) AS sp, round(max(rating) FILTER (system = 'fpi'), 6) AS fpi FROM r WHERE season = 1995 GROUP BY team")
+def prior_season_ratings(spark, sf):
+    """Ratings as of 1996: the season before's, one column a system."""
+    g = games(spark, sf)
+    r = g.groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("home_points").alias("rating")).withColumn("system", F.lit("sp"))
+    r = r.unionByName(g.filter("home_team % 3 <> 0").groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("total").alias("rating")).withColumn("system", F.lit("fpi")))
+    pick = lambda s: rounded(F.max(F.when(F.col("system") == s, F.col("rating"))))
+    return r.filter("season = 1995").groupBy("team").agg(pick("sp").alias("sp"), pick("fpi").alias("fpi"))

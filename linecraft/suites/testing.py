@@ -172,3 +172,35 @@ def rank_stability(spark, sf):
 def bootstrap_interval(spark, sf):
     """Interval of the return with weeks redrawn."""
     return t.cluster_bootstrap(_bets(spark, sf), "profit", F.lit(100), ["week"], ["season"])
+
+
+@query(f"""WITH {ctes()}, f AS (SELECT season, home_team AS h, away_team AS v, (home_points + away_points)::DOUBLE AS y, total AS x FROM games WHERE home_points IS NOT NULL AND total IS NOT NULL), m AS (SELECT season, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx FROM f GROUP BY season),
+ s AS (SELECT f.season, h, v, (x - mx) * (y - my - slope * (x - mx)) AS s FROM f JOIN m USING (season)), a AS (SELECT season, sum(t * t) AS q FROM (SELECT season, sum(s) AS t FROM s GROUP BY season, h) GROUP BY season), b AS (SELECT season, sum(t * t) AS q FROM (SELECT season, sum(s) AS t FROM s GROUP BY season, v) GROUP BY season), c AS (SELECT season, sum(t * t) AS q FROM (SELECT season, sum(s) AS t FROM s GROUP BY season, h, v) GROUP BY season)
+ SELECT season, n, round(slope, 6) AS slope, round(sqrt(greatest(0, a.q + b.q - c.q)) / sxx, 6) AS se FROM m JOIN a USING (season) JOIN b USING (season) JOIN c USING (season)""")
+def two_way_ols(spark, sf):
+    """Slope with errors clustered by home and by away team."""
+    f = games(spark, sf).filter("home_points IS NOT NULL AND total IS NOT NULL").select("season", "home_team", "away_team", (F.col("home_points") + F.col("away_points")).cast("double").alias("y"), F.col("total").alias("x"))
+    return t.two_way_ols(f, "x", "y", ["home_team"], ["away_team"], ["season"]).select("season", "n", *_r(None, "slope", "se"))
+
+
+@query(f"""WITH {GRADED}, c AS (SELECT home_team % 8 AS team, season, sum(margin)::DOUBLE AS s, count(*)::DOUBLE AS n FROM graded GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY season) - 1 AS g, count(*) OVER (PARTITION BY team) AS gg, sum(n) OVER (PARTITION BY team) AS nn FROM c),
+ d AS (SELECT team, unnest(range(0, (2 ** max(gg))::BIGINT)) AS draw FROM k GROUP BY team), e AS (SELECT k.team, draw, s, n, nn, s * (2 * ((draw >> g) & 1) - 1) AS r FROM k JOIN d USING (team)),
+ v AS (SELECT team, draw, abs(sum(r) / any_value(nn) / (sqrt(greatest(1e-12, sum(r * r) - 2 * sum(r) / any_value(nn) * sum(r * n) + pow(sum(r) / any_value(nn), 2) * sum(n * n))) / any_value(nn))) AS t FROM e GROUP BY ALL), o AS (SELECT v.team, t AS own FROM v WHERE draw = 0)
+ SELECT v.team, (SELECT count(*) FROM k WHERE k.team = v.team) AS clusters, round(any_value(own), 6) AS t, round(avg((v.t >= own - 1e-9)::INT), 6) AS p FROM v JOIN o USING (team) GROUP BY v.team""")
+def wild_bootstrap(spark, sf):
+    """Whether a group's mean margin is zero, with all sign patterns of its seasons."""
+    b = _bets(spark, sf).withColumn("team", F.col("home_team") % 8)
+    return t.wild_bootstrap(b, "margin", ["season"], ["team"]).select("team", "clusters", *_r(None, "t", "p"))
+
+
+@query()
+def probit_fit(spark, sf):
+    """Win probability by the spread, fitted."""
+    g = _bets(spark, sf).select("spread", (F.col("home_points") > F.col("away_points")).alias("hit"))
+    return spark.createDataFrame(list(t.probit(g, ["spread"], "hit").items()), "name string, value double")
+
+
+@query()
+def tobit_fit(spark, sf):
+    """Home points by the spread, as if points below zero were cut off at zero."""
+    return spark.createDataFrame(list(t.tobit(_bets(spark, sf), "spread", "home_points").items()), "name string, value double")

@@ -178,3 +178,16 @@ def test_model_queries(spark, sf_dir):
 def test_boosted_forecasts_are_of_later_seasons(spark, sf_dir):
     got = QUERIES["boosted_totals"](spark, sf_dir).toPandas()
     assert got["game_id"].is_unique and got["forecast"].between(0, 120).all() and got["season"].min() > 1992
+
+
+def test_fitted_curves_recover_their_parameters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 6000)
+    y = 1.0 + 2.0 * x + rng.normal(0, 1.5, 6000)
+    df = spark.createDataFrame([(float(a), float(max(b, 0)), bool(c)) for a, b, c in zip(x, y, rng.normal(0, 1, 6000) < 0.3 + 0.8 * x, strict=True)], "x double, y double, hit boolean")
+    p = testing.probit(df, ["x"], "hit")
+    assert p["intercept"] == pytest.approx(0.3, abs=0.08) and p["x"] == pytest.approx(0.8, abs=0.08)
+    t = testing.tobit(df, "x", "y")
+    assert t["intercept"] == pytest.approx(1, abs=0.15) and t["slope"] == pytest.approx(2, abs=0.15) and t["sigma"] == pytest.approx(1.5, abs=0.15)
