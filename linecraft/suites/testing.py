@@ -19,13 +19,13 @@ def _bets(spark, sf):
     return grade(games(spark, sf), SystemFilter())
 
 
-def _r(df, *names):
+def _r(*names):
     return [rounded(c).alias(c) for c in names]
 
 
 @query(f"""WITH {GRADED}, a AS (SELECT season, count(*) AS n, avg(profit::DOUBLE / 100) AS roi, sqrt(var_pop(profit::DOUBLE / 100) / count(*)) AS se FROM graded GROUP BY season) SELECT season, n, round(roi, 6) AS roi, round(se, 6) AS se, round(roi / se, 6) AS t FROM a""")
 def roi_test(spark, sf):
-    return t.roi_test(_bets(spark, sf), ["season"]).select("season", "n", *_r(None, "roi", "se", "t"))
+    return t.roi_test(_bets(spark, sf), ["season"]).select("season", "n", *_r("roi", "se", "t"))
 
 
 @query(f"""WITH {GRADED}, a AS (SELECT season, count(*) FILTER (result <> 'P') AS n FROM graded GROUP BY season) SELECT season, n, round((1.959963984540054 + 0.8416212335729143) * sqrt({EVEN} * (1 - {EVEN}) / n) * sqrt(1.5), 6) AS mde FROM a""")
@@ -73,20 +73,20 @@ def _forecasts(spark, sf):
 
 @query(f"""WITH {_FORECASTS} SELECT season, count(*) AS n, round(avg((a - y) * (a - y) - (b - y) * (b - y)), 6) AS d_mse, round(avg(abs(a - y) - abs(b - y)), 6) AS d_mae, round(avg((abs(a - y) < abs(b - y))::INT), 6) AS nearer FROM f GROUP BY season""")
 def paired_scores(spark, sf):
-    return t.paired_scores(_forecasts(spark, sf), "y", "a", "b", ["season"]).select("season", "n", *_r(None, "d_mse", "d_mae", "nearer"))
+    return t.paired_scores(_forecasts(spark, sf), "y", "a", "b", ["season"]).select("season", "n", *_r("d_mse", "d_mae", "nearer"))
 
 
 @query(f"""WITH {_FORECASTS}, d AS (SELECT season, (y - b) * (y - b) - ((y - a) * (y - a) - (b - a) * (b - a)) AS f FROM f), s AS (SELECT season, count(*) AS n, avg(f) AS mean, avg(f) / (stddev_samp(f) / sqrt(count(*))) AS t FROM d GROUP BY season)
  SELECT season, n, round(mean, 6) AS mean, round(t, 6) AS t, round(1 - {NORM_CDF_SQL.replace("{z}", "t")}, 6) AS p FROM s""")
 def clark_west(spark, sf):
-    return t.clark_west(_forecasts(spark, sf), "y", "b", "a", ["season"]).select("season", "n", *_r(None, "mean", "t", "p"))
+    return t.clark_west(_forecasts(spark, sf), "y", "b", "a", ["season"]).select("season", "n", *_r("mean", "t", "p"))
 
 
 @query(f"""WITH {_FORECASTS}, m AS (SELECT season, count(*) AS n, avg(a) AS mx, avg(y) AS my, regr_slope(y, a) AS slope, regr_sxx(y, a) AS sxx FROM f GROUP BY season),
  c AS (SELECT f.season, f.week, sum((a - mx) * (y - my - slope * (a - mx))) AS s FROM f JOIN m USING (season) GROUP BY f.season, f.week), g AS (SELECT season, count(*) AS clusters, sum(s * s) AS meat FROM c GROUP BY season)
  SELECT season, n, clusters, round(slope, 6) AS slope, round(sqrt(clusters / (clusters - 1.0::DOUBLE) * (n - 1) / (n - 2) * meat) / sxx, 6) AS se FROM m JOIN g USING (season)""")
 def cluster_ols(spark, sf):
-    return t.cluster_ols(_forecasts(spark, sf), "a", "y", ["week"], ["season"]).select("season", "n", "clusters", *_r(None, "slope", "se"))
+    return t.cluster_ols(_forecasts(spark, sf), "a", "y", ["week"], ["season"]).select("season", "n", "clusters", *_r("slope", "se"))
 
 
 _SSE = "(regr_syy(y, a) - pow(regr_sxy(y, a), 2) / nullif(regr_sxx(y, a), 0))"
@@ -117,7 +117,7 @@ def _hits(spark, sf):
 @query(f"""WITH {_HITS}, c AS (SELECT season, week, count(*) FILTER (fav AND hit)::DOUBLE AS a, count(*) FILTER (fav AND NOT hit)::DOUBLE AS b, count(*) FILTER (NOT fav AND hit)::DOUBLE AS c, count(*) FILTER (NOT fav AND NOT hit)::DOUBLE AS d FROM h GROUP BY ALL), n AS (SELECT *, a + b + c + d AS n FROM c WHERE a + b + c + d > 1)
  SELECT season, round(pow(greatest(0, abs(sum(a - (a + b) * (a + c) / n)) - 0.5), 2) / sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))), 6) AS chi2, round(sum(a * d / n) / sum(b * c / n), 6) AS odds_ratio FROM n GROUP BY season""")
 def mantel_haenszel(spark, sf):
-    return t.mantel_haenszel(_hits(spark, sf), "fav", "hit", ["week"], ["season"]).select("season", *_r(None, "chi2", "odds_ratio"))
+    return t.mantel_haenszel(_hits(spark, sf), "fav", "hit", ["week"], ["season"]).select("season", *_r("chi2", "odds_ratio"))
 
 
 @query(f"""WITH {_HITS}, gg AS (SELECT season, home_team, count(*) AS n, count(*) FILTER (hit) AS k FROM h GROUP BY ALL), p AS (SELECT season, sum(k) / sum(n) AS p FROM gg GROUP BY season) SELECT season, round(sum(pow(k - n * p, 2) / (n * p * (1 - p))), 6) AS chi2, count(*) - 1 AS df FROM gg JOIN p USING (season) GROUP BY season""")
@@ -158,7 +158,7 @@ def area_under_curve(spark, sf):
 
 @query(f"""WITH {_PROB} SELECT season, least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS said, round(avg(hit::INT), 6) AS came FROM q GROUP BY ALL""")
 def calibration(spark, sf):
-    return t.calibration(_probabilities(spark, sf), "p", "hit", 10, ["season"]).select("season", "bin", "n", *_r(None, "said", "came"))
+    return t.calibration(_probabilities(spark, sf), "p", "hit", 10, ["season"]).select("season", "bin", "n", *_r("said", "came"))
 
 
 @query(f"""WITH {ctes()}, v AS (SELECT home_team AS team, season, avg(home_points) AS x FROM games WHERE home_points IS NOT NULL GROUP BY ALL), b AS (SELECT n.team, n.season, n.x, w.x AS w FROM v n JOIN v w ON n.team = w.team AND n.season = w.season + 1),
@@ -180,7 +180,7 @@ def bootstrap_interval(spark, sf):
 def two_way_ols(spark, sf):
     """Slope with errors clustered by home and by away team."""
     f = games(spark, sf).filter("home_points IS NOT NULL AND total IS NOT NULL").select("season", "home_team", "away_team", (F.col("home_points") + F.col("away_points")).cast("double").alias("y"), F.col("total").alias("x"))
-    return t.two_way_ols(f, "x", "y", ["home_team"], ["away_team"], ["season"]).select("season", "n", *_r(None, "slope", "se"))
+    return t.two_way_ols(f, "x", "y", ["home_team"], ["away_team"], ["season"]).select("season", "n", *_r("slope", "se"))
 
 
 @query(f"""WITH {GRADED}, c AS (SELECT home_team % 8 AS team, season, sum(margin)::DOUBLE AS s, count(*)::DOUBLE AS n FROM graded GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY season) - 1 AS g, count(*) OVER (PARTITION BY team) AS gg, sum(n) OVER (PARTITION BY team) AS nn FROM c),
@@ -190,7 +190,7 @@ def two_way_ols(spark, sf):
 def wild_bootstrap(spark, sf):
     """Whether a group's mean margin is zero, with all sign patterns of its seasons."""
     b = _bets(spark, sf).withColumn("team", F.col("home_team") % 8)
-    return t.wild_bootstrap(b, "margin", ["season"], ["team"]).select("team", "clusters", *_r(None, "t", "p"))
+    return t.wild_bootstrap(b, "margin", ["season"], ["team"]).select("team", "clusters", *_r("t", "p"))
 
 
 @query()

@@ -60,8 +60,8 @@ def test_load(spark, tmp_path):
 
 
 def test_bets_split(spark):
-    df = spark.createDataFrame([("cfb", None), ("nba", None), (None, None), ("cfb", "a,b,c,d")], "sport string, _bad string")
-    assert {k: v.count() for k, v in load.split_bets(df, "cfb").items()} == {"in_scope": 1, "out_of_scope": 2, "malformed": 1}
+    df = spark.createDataFrame([("football", None), ("tennis", None), (None, None), ("football", "a,b,c,d")], "sport string, _bad string")
+    assert {k: v.count() for k, v in load.split_bets(df, "football").items()} == {"in_scope": 1, "out_of_scope": 2, "malformed": 1}
 
 
 def test_snapshot_without_side_raises(spark):
