@@ -1,0 +1,5 @@
+"""Families of queries; importing this registers them all."""
+
+from . import features, joins, market, models, rollups, staging, streams, testing, warehouse
+
+__all__ = ["features", "joins", "market", "models", "rollups", "staging", "streams", "testing", "warehouse"]
