@@ -54,7 +54,9 @@ LIMIT = 1_500_000
 #: A cell with more than this share of its region is not cut any further.
 STUCK = 0.8
 #: Shingles that one task counts, and the share (one in PART_OF) of hash space of the first count.
-BUCKET, PART_OF = 3_000_000, 4
+BUCKET, PART_OF = 1_000_000, 4
+#: Shingles of sets that a task works on at once.
+HELD = 1 << 18
 LEAF, PIVOTS = 24, 8
 #: Rows up to which a list of documents is broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -69,7 +71,7 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        for h in _flat(batch.column("set"), 1 << 22):
+        for h in _flat(batch.column("set"), HELD):
             total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     parts = np.minimum(total, 65535).astype("<u2").reshape(-1, PART)
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
@@ -182,9 +184,12 @@ def _pack_sets(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = batch.column("doc_id").to_numpy(zero_copy_only=False), _unpack(x.as_buffer() for x in batch.column("set"))
-            for lo in range(0, len(sets), 512):
-                some = sets[lo : lo + 512]
-                yield _packed(list(_pack(ids[lo : lo + 512], np.concatenate(some), np.concatenate([[0], np.cumsum([len(s) for s in some])]), buckets, 1)))
+            ends, lo = np.cumsum([len(s) for s in sets]), 0
+            while lo < len(sets):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD, "right")))
+                some = sets[lo:hi]
+                yield _packed(list(_pack(ids[lo:hi], np.concatenate(some), np.concatenate([[0], np.cumsum([len(s) for s in some])]), buckets, 1)))
+                lo = hi
 
     return run
 
