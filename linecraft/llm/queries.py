@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crosstoken, ctw, decontam, jaccard, language, licenses, linededup, mixing, quality, repeats, toxicity
+from . import bpe, convrepair, crosstoken, ctw, decontam, jaccard, language, licenses, linededup, mixing, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": linededup.op8,
     "op9_suffix_array": repeats.op9,
     "op10_quality": quality.op10,
+    "op11_conversation_repair": convrepair.op11,
     "op12_cross_tokenizer": crosstoken.op12,
     "op13_bpe": bpe.op13,
 }
