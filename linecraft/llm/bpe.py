@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,9 @@ from pyspark.sql import types as T
 from .common import fresh, ship, table
 
 #: Bytes of text that one slice of documents holds (a longer document is a slice of its own).
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Bytes of chunks whose tokens a Python worker remembers; beyond, it begins anew.
+MEMORY = 4 << 20
 #: Of op13.
 FILE = "word_bpe_49k.json"
 _NEVER = np.int64(1) << 40
@@ -61,13 +64,14 @@ class Vocabulary:
         if not end or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("a byte-level vocabulary with an end-of-word suffix and plain merges is needed")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_pattern = re.compile("|".join(re.escape(s) for s in self.special) or "(?!)")
+        self.special_pattern = re.compile(f"({'|'.join(re.escape(s) for s in self.special) or '(?!)'})")
         ids = model["vocab"]
         size = max([*ids.values(), *self.special.values()]) + 1
         named = {i: t for t, i in [*ids.items(), *self.special.items()]}
-        self.names = pa.array([named.get(k, "") for k in range(size)], pa.string())
+        self.names = pa.array([named.get(k, "") for k in range(size)], pa.large_string())
         self.byte = np.zeros(512, np.int64)
         self.byte[[ord(c) for c in letters]] = list(letters.values())
+        self._ascii(spec)
         self.unit = np.full(512, -1, np.int64)
         for name, i in ids.items():
             body = name.removesuffix(end)
@@ -88,11 +92,20 @@ class Vocabulary:
         order = np.argsort(key)
         self.pairs, self.pair_rank, self.made = key[order], order.astype(np.int64), made
         self._trie([(i, name) for name, i in ids.items()], end)
+        self._forget()
         whole = self.meet(left, right, np.arange(len(made)))
         self.sound = np.ones(size, bool)
         for m, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True)):
             self.sound[c] = whole[m] and self.sound[a] and self.sound[b]
 
+    def _ascii(self, spec: dict) -> None:
+        """The file's own pattern for printable ASCII, if its normaliser only lowers those letters."""
+        printable = "".join(map(chr, range(0x21, 0x7F)))
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        lowers = self.library.normalizer is not None and self.library.normalizer.normalize_str(printable) == printable.lower()
+        fits = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"]
+        self.ascii_pattern = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n") if lowers and fits else None
+
     def _trie(self, tokens: list[tuple[int, str]], end: str) -> None:
         edges: dict[int, int] = {}
         ends: dict[int, int] = {}
@@ -113,7 +126,7 @@ class Vocabulary:
         first = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
         out = self.byte[np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)]
         if marked:
-            out[first[1:] - 1] += 256
+            out[first[1:][np.diff(first) > 0] - 1] += 256
         return out, first
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,31 +238,52 @@ class Vocabulary:
         return tokens, np.searchsorted(word, np.arange(len(words) + 1))
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of chunks without ASCII white space, flat, and where each chunk's begin."""
+        """Tokens of chunks without ASCII white space, flat, and where each chunk's begin (and the total at the end)."""
         known: dict[str, int] = {}
-        pieces: list[int] = []  # places among the words, or special tokens as -1 - id
-        ends = np.zeros(len(chunks) + 1, np.int64)
+        start, length = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        simple = np.fromiter((c.isascii() and c.isprintable() and "<" not in c for c in chunks), bool, len(chunks)) & (self.ascii_pattern is not None)
+        # printable ASCII, all at once; the ends of chunks come out as words of their own and have no tokens
+        line = known.setdefault("\n", 0)
+        found = self.ascii_pattern.findall("".join([chunks[k].lower() + "\n" for k in np.flatnonzero(simple)])) if simple.any() else []
+        pieces = [known.setdefault(w, len(known)) for w in found]
+        stops = np.flatnonzero(np.array(pieces, np.int64) == line)
+        start[simple] = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else 0
+        length[simple] = stops - start[simple]
         normal, split = self.library.normalizer, self.library.pre_tokenizer
-        for k, chunk in enumerate(chunks):
-            parts = [chunk]
-            if "<" in chunk:
-                parts = re.split(f"({self.special_pattern.pattern})", chunk)
-            for part in parts:
+        for k in np.flatnonzero(~simple).tolist():
+            start[k] = len(pieces)
+            for part in self.special_pattern.split(chunks[k]):
                 if part in self.special:
                     pieces.append(-1 - self.special[part])
                 elif part:
-                    part = normal.normalize_str(part) if normal else part
-                    pieces += [known.setdefault(w, len(known)) for w, _ in split.pre_tokenize_str(part)]
-            ends[k + 1] = len(pieces)
-        tokens, first = self.encode_words(list(known))
-        tokens = np.concatenate([tokens, np.arange(self.size)])  # special tokens are taken from the second part
+                    pieces += [known.setdefault(w, len(known)) for w, _ in split.pre_tokenize_str(normal.normalize_str(part) if normal else part)]
+            length[k] = len(pieces) - start[k]
+        tokens, first = self.encode_words(["", *list(known)[1:]])
+        base, tokens = len(tokens), np.concatenate([tokens, np.arange(self.size)])  # special tokens come from the second part
         piece = np.array(pieces, np.int64)
-        special = piece < 0
-        base = int(first[-1])
-        start = np.where(special, base - 1 - piece, first[np.where(special, 0, piece)] if len(known) else 0)
-        length = np.where(special, 1, np.diff(first)[np.where(special, 0, piece)] if len(known) else 1)
-        flat, offsets = gather(tokens, start, length)
-        return flat, offsets[ends]
+        word = np.maximum(piece, 0)
+        flat, offsets = gather(tokens, np.where(piece < 0, base - 1 - piece, first[word]), np.where(piece < 0, 1, np.diff(first)[word]))
+        return gather(flat, offsets[start], offsets[start + length] - offsets[start])
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.remembered, self.tokens, self.first = 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def remember(self, chunks: list[str]) -> np.ndarray:
+        """Places of the chunks in ``tokens`` by ``first``; only chunks not seen before are encoded."""
+        if self.remembered > MEMORY:
+            self._forget()
+        new = [c for c in chunks if c not in self.place]
+        tokens, first = self.encode_chunks(new)
+        self.remembered += sum(map(len, new))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, first[1:] + len(self.tokens)])
+        self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def text(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The tokens' names with a space between them, for the runs of ``ids`` between ``bounds``."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.names.take(pa.array(ids))), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,14 +316,23 @@ def row_slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator[
         at = stop
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` (array of int).  ``path`` is a vocabulary file on the driver."""
-    spark = docs.sparkSession
+def _shared(spark: SparkSession, path: str):
     ship(spark)
-    into = fresh(into, docs.columns)
     with open(path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False))])
+        raw = f.read()
+    if json.loads(raw).get("decoder"):
+        raise ValueError("the file names a decoder of its own")
+    return spark.sparkContext.broadcast(raw)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of ``text`` (array of int) and, where ``decoded`` names a column, with the text that
+    they decode to.  ``path`` is a vocabulary file on the driver."""
+    shared = _shared(docs.sparkSession, path)
+    added = [T.StructField(fresh(into, docs.columns), T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        added.append(T.StructField(fresh(decoded, [*docs.columns, added[0].name]), T.StringType()))
+    names = [*docs.columns, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared)
@@ -297,45 +340,36 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
             for batch in row_slices(whole, text):
                 chunks = pc.ascii_split_whitespace(pc.fill_null(batch.column(text).cast(pa.large_string()), ""))
                 coded = pc.dictionary_encode(chunks.flatten())
-                tokens, first = vocabulary.encode_chunks(coded.dictionary.to_pylist())
-                which = coded.indices.to_numpy(zero_copy_only=False)
-                flat, offsets = gather(tokens, first[which], np.diff(first)[which])
+                which = vocabulary.remember(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+                flat, offsets = gather(vocabulary.tokens, vocabulary.first[which], np.diff(vocabulary.first)[which])
                 bounds = offsets[chunks.offsets.to_numpy(zero_copy_only=False) - chunks.offsets[0].as_py()]
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, into])
+                found = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    found.append(vocabulary.text(flat, bounds))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``tokens`` with the text of its ``ids``: the tokens' names, special ones included, with a space between
-    them, as the library joins them for a file that names no decoder.  Ids that are null, empty or outside the
+    them, as the library joins them for a file that names no decoder.  Ids that are null or outside the
     vocabulary give no name."""
-    spark = tokens.sparkSession
-    ship(spark)
+    shared = _shared(tokens.sparkSession, path)
     into = fresh(into, tokens.columns)
-    with open(path, "rb") as f:
-        raw = f.read()
-    if json.loads(raw).get("decoder"):
-        raise ValueError("the file names a decoder of its own")
-    shared = spark.sparkContext.broadcast(raw)
-    schema = T.StructType([*tokens.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _vocabulary(shared).names.cast(pa.large_string())
+        vocabulary = _vocabulary(shared)
         for batch in batches:
             column = batch.column(ids)
             lists = pc.if_else(column.is_null(), pa.scalar([], column.type), column)
             flat = lists.flatten()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names)))
-            known = pc.fill_null(known, False)
+            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, vocabulary.size)), False)
             kept = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])
             bounds = kept[lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()]
-            words = names.take(flat.filter(known))
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words), pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, vocabulary.text(flat.filter(known).to_numpy(zero_copy_only=False), bounds)], names=[*batch.schema.names, into])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,6 +377,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(FILE)
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

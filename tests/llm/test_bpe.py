@@ -74,15 +74,16 @@ def test_proposals_fail_and_are_mended(vocabulary, library):
 @pytest.mark.parametrize("most", [bpe.SLICE, 40])
 def test_odd_rows(spark, library, monkeypatch, most):
     monkeypatch.setattr(bpe.row_slices, "__defaults__", (most,))
+    monkeypatch.setattr(bpe, "MEMORY", most)
     rows = [(k, t, "x", [k]) for k, t in enumerate([*ODD, ODD[4], ODD[4]])] + [(None, "no id", "y", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids array<int>").repartition(3)
-    found = bpe.decode(bpe.encode(docs, PATH), PATH, "ids_")
-    assert found.columns == ["doc_id", "text", "decoded", "ids", "ids_", "decoded_"]
+    found = bpe.decode(bpe.encode(docs, PATH, decoded="decoded"), PATH, "ids_", "again")
+    assert found.columns == ["doc_id", "text", "decoded", "ids", "ids_", "decoded_", "again"]
     got = found.collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.ids_ == library.encode(r.text or "", add_special_tokens=False).ids
-        assert r.decoded_ == library.decode(r.ids_, skip_special_tokens=False)
+        assert r.decoded_ == r.again == library.decode(r.ids_, skip_special_tokens=False)
         assert r.decoded == ("x" if r.doc_id is not None else "y")
 
 
