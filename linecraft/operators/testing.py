@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odds import implied_probability
+from ..functions.special import binomial_upper
 from ..functions.stats import norm_cdf
 
 #: Normal quantiles of a two-sided 5 % test and of a power of 80 %.
@@ -33,20 +34,9 @@ def detectable(n: Column, p0: Column, deff: Column) -> Column:
 def binomial_tail(wins: Column, n: Column, p: Column) -> Column:
     """P(X >= wins) of ``n`` trials: the probability that break-even bets do at least as well.
 
-    The exact sum is taken over the terms from ``wins`` on, each from the one before, in logarithms
-    where they start; it replaces a simulated permutation of the results.
+    The exact tail, as an incomplete beta function; it replaces a simulated permutation of the results.
     """
-    k0 = wins.cast("double")
-    log_first = F.aggregate(F.sequence(F.lit(1), F.greatest(wins, F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(wins > 0, F.log((n - wins + i) / i)).otherwise(0.0))
-    first = log_first + k0 * F.log(p) + (n - wins) * F.log(1 - p)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def step(s: Column, k: Column) -> Column:
-        term = s["term"] * (n - k + 1) / k * p / (1 - p)
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
-
-    rest = F.aggregate(F.when(n > wins, F.sequence(wins + 1, n)).otherwise(F.array().cast("array<bigint>")), start, step)
-    return F.least(F.lit(1.0), F.exp(first) * rest["sum"])
+    return binomial_upper(wins, n, p)
 
 
 def sign_consistency(bets: DataFrame, by: list[str], season: str) -> DataFrame:
@@ -119,16 +109,6 @@ def cluster_ols(df: DataFrame, x: str, y: str, cluster: list[str], by: list[str]
     return out.select(*by, "n", "clusters", "slope", (F.sqrt(scale * F.col("meat")) / F.col("sxx")).alias("se"))
 
 
-def chow(df: DataFrame, x: str, y: str, split: Column, by: list[str]) -> DataFrame:
-    """F value of one line for both halves against a line for each, from residual sums of squares."""
-    ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__h", split)
-    sse = F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
-    whole = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sse.alias("pooled"))
-    parts = ok.groupBy(*by, "__h").agg(sse.alias("s")).groupBy(*by).agg(F.sum("s").alias("apart"), F.count(F.lit(1)).alias("halves"))
-    out = whole.join(parts, by).filter("halves = 2")
-    return out.select(*by, "n", (((F.col("pooled") - F.col("apart")) / 2) / (F.col("apart") / (F.col("n") - 4))).alias("f"))
-
-
 def likelihood_ratio(wins: Column, n: Column, p0: Column) -> Column:
     """Twice the log likelihood ratio of the own rate against ``p0`` (chi-square with one degree of freedom)."""
     p = wins / n

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.special import beta_inc_sql, chi2_tail, chi2_tail_sql
 from ..functions.stats import NORM_CDF_SQL, clustered_mean, norm_cdf
+from ..operators import gram
 from ..operators import testing as t
 from ..operators.systems import SystemFilter, grade
 from ..registry import query, rounded
@@ -93,9 +95,10 @@ _SSE = "(regr_syy(y, a) - pow(regr_sxy(y, a), 2) / nullif(regr_sxx(y, a), 0))"
 
 
 @query(f"""WITH {_FORECASTS}, w AS (SELECT season, count(*) AS n, {_SSE} AS pooled FROM f GROUP BY season), p AS (SELECT season, week > 26 AS h, {_SSE} AS s FROM f GROUP BY ALL), q AS (SELECT season, sum(s) AS apart FROM p GROUP BY season HAVING count(*) = 2)
- SELECT season, n, round(((pooled - apart) / 2) / (apart / (n - 4)), 6) AS f FROM w JOIN q USING (season)""")
+ SELECT season, n, round(((pooled - apart) / 2) / (apart / (n - 4)), 6) AS f, round(pow(1 + 2 * (((pooled - apart) / 2) / (apart / (n - 4))) / (n - 4), -(n - 4) / 2.0::DOUBLE), 6) AS p FROM w JOIN q USING (season)""")
 def chow_test(spark, sf):
-    return t.chow(_forecasts(spark, sf), "a", "y", F.col("week") > 26, ["season"]).select("season", "n", rounded("f").alias("f"))
+    """Whether one line fits both halves of a season, with the exact p-value."""
+    return gram.chow(_forecasts(spark, sf), ["a"], "y", F.col("week") > 26, ["season"]).select("season", "n", *_r("f", "p"))
 
 
 @query(f"""WITH {GRADED}, a AS (SELECT season, count(*) FILTER (result = 'W') AS k, count(*) FILTER (result <> 'P') AS n FROM graded GROUP BY season), l AS (SELECT *, 2 * (k * ln(k / n::DOUBLE / {EVEN}) + (n - k) * ln((1 - k / n::DOUBLE) / (1 - {EVEN}))) AS lr FROM a)
@@ -120,9 +123,11 @@ def mantel_haenszel(spark, sf):
     return t.mantel_haenszel(_hits(spark, sf), "fav", "hit", ["week"], ["season"]).select("season", *_r("chi2", "odds_ratio"))
 
 
-@query(f"""WITH {_HITS}, gg AS (SELECT season, home_team, count(*) AS n, count(*) FILTER (hit) AS k FROM h GROUP BY ALL), p AS (SELECT season, sum(k) / sum(n) AS p FROM gg GROUP BY season) SELECT season, round(sum(pow(k - n * p, 2) / (n * p * (1 - p))), 6) AS chi2, count(*) - 1 AS df FROM gg JOIN p USING (season) GROUP BY season""")
+@query(f"""WITH {_HITS}, gg AS (SELECT season, home_team, count(*) AS n, count(*) FILTER (hit) AS k FROM h GROUP BY ALL), p AS (SELECT season, sum(k) / sum(n) AS p FROM gg GROUP BY season), c AS (SELECT season, sum(pow(k - n * p, 2) / (n * p * (1 - p))) AS x, count(*) - 1 AS d FROM gg JOIN p USING (season) GROUP BY season) SELECT season, round(x, 6) AS chi2, d AS df, round({chi2_tail_sql("x", "d")}, 6) AS p FROM c""")
 def heterogeneity(spark, sf):
-    return t.heterogeneity(_hits(spark, sf), ["home_team"], "hit", ["season"]).select("season", rounded("chi2").alias("chi2"), "df")
+    """Whether all teams cover alike, with the exact tail of chi-square."""
+    out = t.heterogeneity(_hits(spark, sf), ["home_team"], "hit", ["season"])
+    return out.select("season", rounded("chi2").alias("chi2"), "df", rounded(chi2_tail(F.col("chi2"), F.col("df"))).alias("p"))
 
 
 @query(f"""WITH {_HITS}, r AS (SELECT home_team, hit, (hit IS DISTINCT FROM lag(hit) OVER (PARTITION BY home_team ORDER BY kickoff, game_id))::INT AS new FROM h), s AS (SELECT home_team, sum(new) AS runs, count(*) FILTER (hit)::DOUBLE AS a, count(*) FILTER (NOT hit)::DOUBLE AS b FROM r GROUP BY home_team)
