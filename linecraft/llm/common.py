@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linecraft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -5,17 +5,18 @@ across such a border (``Splitter`` reads that off the vocabularies), so that tok
 depend on its neighbours.  Segments repeat a lot.  The steps, each a Spark job:
 
 1. chunks of documents: each chunk's distinct segments and, for each document, their numbers in order;
-2. distinct segments of all chunks, with how often they occur; each is tokenised and aligned once;
+2. equal segments of all chunks meet; each is tokenised and aligned once, and keeps the places it came from;
 3. counts of linked id pairs, from the segments and their occurrences;
-4. alignments joined back to the chunks' segments by text; each chunk's documents are composed from them.
+4. alignments go back to their places, and each chunk's documents are composed from them.
 
 Byte offsets at which tokens of both sides end cut the tokens into groups; the tokens of the two sides that
 end there are linked.  A segment's end is such an offset.
 
-Bounds: a chunk holds ``CHUNK`` bytes of text or one document.  The counts of id pairs are broadcast:
-tokens that end together are suffixes of one another, so their number is at most the number of such pairs
-in the two vocabularies (some hundred thousand), whatever the corpus.  A frequent segment has one row a
-chunk, which adaptive execution can split, since the other side has one row a segment.
+Bounds: a chunk holds ``CHUNK`` bytes of text or one document.  A frequent segment has one place a chunk;
+places meet by segment and by ranges of ``RANGE`` input partitions, so that no segment, however frequent,
+has more than a range's chunks to one task (it is then tokenised once a range).  The counts of id pairs are
+broadcast: tokens that end together are suffixes of one another, so their number is at most the number of
+such pairs in the two vocabularies (some hundred thousand), whatever the corpus.
 
 Defined cases: texts that are null or empty, and texts that a tokeniser does not give back byte by byte
 (U+2581, which the piece model writes for spaces), have no tokens and count nowhere; texts of any length are
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +42,22 @@ from .common import free, ship, stored, table
 
 #: Bytes of text of a chunk of documents (a longer document is a chunk of its own).
 CHUNK = 8 << 20
+#: Input partitions whose equal segments meet in one task.
+RANGE = 1 << 12
 #: Texts that are tokenised and aligned at a time.
 BATCH = 50_000
 #: Of op12: byte-level side and piece side.
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: ASCII white space.
 WHITE = b" \t\n\x0b\x0c\r"
+#: White space by its bytes: one byte, and the wider characters.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_WIDE = [c.encode() for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 #: A pair of ids as one number.
 _PAIR = 1 << 24
+#: A chunk's number and a segment's number in it as one: 23 bits for the partition, 12 for the chunk, 28 for the segment.
+_CHUNKS, _PLACE = 1 << 12, 1 << 28
 
 
 class Tokenisers:
@@ -102,11 +110,42 @@ class Splitter:
         self.starts = "".join(chr(w) for w in WHITE if w not in crossed)
         if " " not in self.starts:
             raise ValueError("tokens reach across spaces")
-        s = re.escape(self.starts)
-        self.pattern = re.compile(rf"[{s}]\s*\S*(?:[^\S{s}]\s*\S*)*")
+        self.start = np.zeros(256, bool)
+        self.start[list(self.starts.encode())] = True
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The segments of each text; none of null and empty texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        full = np.flatnonzero(np.diff(offsets))
+        data = np.insert(raw, offsets[full], 32)  # a space before every text that is not empty
+        begins = offsets[full] + np.arange(len(full))
+        border = self.start[data]
+        border[1:] &= ~_SPACE[data[:-1]]
+        border[begins] = True
+        at = np.flatnonzero(border)
+        at = at[~self._after_wide(data, at) | np.isin(at, begins)]
+        values = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        bounds = np.searchsorted(at, np.append(begins, len(data)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[full] = np.diff(bounds)
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), values)
+
+    @staticmethod
+    def _after_wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the character before each place is white space of two or three bytes."""
+        out = np.zeros(len(at), bool)
+        for wide in _WIDE:
+            hit = at >= len(wide)
+            for k, byte in enumerate(wide):
+                hit[hit] = data[at[hit] - len(wide) + k] == byte
+            out |= hit
+        return out
 
     def __call__(self, text: str) -> list[str]:
-        return self.pattern.findall(" " + text)
+        return self.cut(pa.array([text]))[0].as_py()
 
 
 _held: dict[int, tuple[Tokenisers, Splitter]] = {}
@@ -122,27 +161,55 @@ def _tools(shared) -> tuple[Tokenisers, Splitter]:
     return _held[key]
 
 
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of seven bits, low ones first, all but a number's last byte marked; and where each begins (and the total)."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    out = np.zeros(first[-1], np.uint8)
+    for k in range(5):
+        on = size > k
+        out[first[:-1][on] + k] = (values[on] >> 7 * k & 127) | np.where(size[on] > k + 1, 128, 0)
+    return out, first
+
+
+def unpack(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``pack``, and the place behind each one's last byte."""
+    stop = np.flatnonzero(raw < 128) + 1
+    start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+    size, out = stop - start, np.zeros(len(stop), np.int64)
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        out[on] |= (raw[start[on] + k].astype(np.int64) & 127) << 7 * k
+    return out, stop
+
+
 def _split(shared, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, number = _tools(shared)[1], TaskContext.get().partitionId() << 33
+        cut, part, made = _tools(shared)[1].cut, TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in row_slices(whole, "text", chunk):
-                lists = [cut(t) if t else [] for t in batch.column("text").to_pylist()]
-                bounds = np.cumsum([0, *map(len, lists)])
-                coded = pc.dictionary_encode(pa.array([s for x in lists for s in x], pa.large_string()))
+                lists = cut(batch.column("text"))
+                bounds, coded = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
+                del lists
                 local, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
-                segs = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(local, pa.int32()))
+                count = np.bincount(local, minlength=n)
+                order = np.argsort(-count, kind="stable")  # frequent segments get small numbers
+                rank = np.empty(n, np.int64)
+                rank[order] = np.arange(n)
+                raw, first = pack(rank[local])
+                m, number, made = batch.num_rows, part * _CHUNKS + made, made + 1
+                if made > _CHUNKS or n > _PLACE:
+                    raise ValueError("too many chunks or segments: read the documents in smaller partitions")
+                segs = pa.Array.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(first[bounds].astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                 # rows of documents, then rows of segments
-                m = batch.num_rows
                 rows = {
                     "chunk": pa.array(np.full(m + n, number)),
                     "doc_id": pa.concat_arrays([batch.column("doc_id"), pa.nulls(n, batch.column("doc_id").type)]),
                     "segs": pa.concat_arrays([segs, pa.nulls(n, segs.type)]),
-                    "local": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(np.arange(n, dtype=np.int32))]),
-                    "segment": pa.concat_arrays([pa.nulls(m, pa.string()), coded.dictionary.cast(pa.string())]),
-                    "n": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.bincount(local, minlength=n).astype(np.int64))]),
+                    "segment": pa.concat_arrays([pa.nulls(m, pa.string()), coded.dictionary.take(pa.array(order)).cast(pa.string())]),
+                    "place": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(number * _PLACE + np.arange(n))]),
+                    "n": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(count[order].astype(np.int64))]),
                 }
-                number += 1
                 yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
 
     return run
@@ -193,34 +260,53 @@ def _aligned(tools: Tokenisers, segments: list[str]) -> dict[str, pa.Array]:
 
 
 def align_segments(segments: DataFrame, shared) -> DataFrame:
-    """``segments`` (segment, n) with ok, n_a, n_b, links (A id * 2**24 + B id) and groups (``a1,a2|b1;a3|b2``)."""
+    """n, places, ok, n_a, n_b, links (A id * 2**24 + B id) and groups (``a1,a2|b1;a3|b2``) of runs of equal segments.
+
+    ``segments`` (segment, place, n) has equal segments next to one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _tools(shared)[0]
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                out = _aligned(tools, batch.column("segment").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *out.values()], names=[*batch.schema.names, *out])
+                coded = pc.dictionary_encode(batch.column("segment"))
+                which = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(which, kind="stable")
+                bounds = np.searchsorted(which[order], np.arange(len(coded.dictionary) + 1))
+                n = np.add.reduceat(batch.column("n").to_numpy()[order], bounds[:-1])
+                places = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), batch.column("place").take(pa.array(order)))
+                out = {"n": pa.array(n), "places": places, **_aligned(tools, coded.dictionary.to_pylist())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return segments.mapInArrow(run, "segment string, n long, ok boolean, n_a long, n_b long, links array<long>, groups string")
+    return segments.mapInArrow(run, "n long, places array<long>, ok boolean, n_a long, n_b long, links array<long>, groups string")
 
 
 def _rated(shared_counts):
-    """Adds up, for each segment, its links' counts and how many are the highest of their B id."""
+    """For each place of a segment: groups (null if the segment is not given back), n_a, links of the highest count and counts' sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, count, best = shared_counts.value
         for batch in batches:
             links = batch.column("links")
-            at = np.searchsorted(pair, links.flatten().to_numpy(zero_copy_only=False))
-            at = np.minimum(at, max(0, len(pair) - 1))  # of segments that occur in no valid document
-            known = pair[at] == links.flatten().to_numpy(zero_copy_only=False) if len(pair) else np.zeros(len(at), bool)
+            flat = links.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(pair, flat), max(0, len(pair) - 1))
+            known = pair[at] == flat if len(pair) else np.zeros(len(flat), bool)  # others occur in no valid document
             bounds = links.offsets.to_numpy(zero_copy_only=False) - links.offsets[0].as_py()
-            sums = [np.concatenate([[0], np.cumsum(np.where(known, x[at], 0))]).astype(np.int64) if len(pair) else np.zeros(len(at) + 1, np.int64) for x in (count, best)]
-            total, top = (pa.array(s[bounds[1:]] - s[bounds[:-1]]) for s in sums)
-            names = ["segment", "ok", "n_a", "n_b", "groups"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(bounds).astype(np.int64)), top, total], names=[*names, "n_groups", "n_best", "count_sum"])
+            total, top = (np.concatenate([[0], np.cumsum(np.where(known, x[at], 0) if len(pair) else flat * 0)]).astype(np.int64) for x in (count, best))
+            places = batch.column("places")
+            size = np.diff(places.offsets.to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            place = places.flatten().to_numpy(zero_copy_only=False)
+            groups = pc.if_else(batch.column("ok"), batch.column("groups"), pa.scalar(None, pa.string()))
+            rows = {
+                "of": pa.array(place // _PLACE),
+                "local": pa.array((place % _PLACE).astype(np.int32)),
+                "groups": groups.take(pa.array(owner)),
+                "n_a": batch.column("n_a").take(pa.array(owner)).cast(pa.int32()),
+                "n_best": pa.array((top[bounds[1:]] - top[bounds[:-1]])[owner].astype(np.int32)),
+                "count_sum": pa.array((total[bounds[1:]] - total[bounds[:-1]])[owner]),
+            }
+            yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
 
     return run
 
@@ -231,36 +317,49 @@ _SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 def _composed(docs: pa.Table, found: pa.Table) -> pa.Table:
     """A chunk's documents from the alignments of its segments."""
     found = found.sort_by("local").combine_chunks()
-    lists = docs.column("segs").combine_chunks()
-    bounds, flat = lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
-    ok = np.ones(len(lists), bool)
-    if len(flat):
-        bad = np.concatenate([[0], np.cumsum(~found.column("ok").to_numpy()[flat])])
-        ok = bad[bounds[1:]] == bad[bounds[:-1]]
+    lists = docs.column("segs").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    raw = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    flat, stop = unpack(raw)
+    bounds = np.searchsorted(stop, offsets - offsets[0], "right")
     out = {"doc_id": docs.column("doc_id")}
+    texts = found.column("groups").combine_chunks().cast(pa.large_string()) if len(flat) else pa.array([], pa.large_string())
+    bad = np.concatenate([[0], np.cumsum(texts.is_null().to_numpy(zero_copy_only=False)[flat])])
+    ok = bad[bounds[1:]] == bad[bounds[:-1]]
+    if len(flat):
+        tokens, groups = (pc.fill_null(pc.add(pc.count_substring_regex(texts, p), 1), 0).to_numpy() for p in ("[,|;]", ";"))
+        values = {"n_groups": groups, **{c: found.column(c).to_numpy() for c in ("n_a", "n_best", "count_sum")}}
+        values["n_b"] = tokens - values["n_a"]
     for name in _SUMS:
-        sums = np.concatenate([[0], np.cumsum(found.column(name).to_numpy()[flat])]).astype(np.int64) if len(flat) else np.zeros(1, np.int64)
+        sums = np.concatenate([[0], np.cumsum(values[name][flat], dtype=np.int64)]) if len(flat) else np.zeros(1, np.int64)
         out[name] = pa.array(np.where(ok, sums[bounds[1:]] - sums[bounds[:-1]], 0))
-    kept, offsets = gather(flat, bounds[:-1].astype(np.int64), np.where(ok, np.diff(bounds), 0))
-    texts = found.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(kept)) if len(flat) else pa.array([], pa.large_string())
-    out["groups"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), texts), pa.scalar(";", pa.large_string())).cast(pa.string())
+    kept, ends = gather(flat, bounds[:-1].astype(np.int64), np.where(ok, np.diff(bounds), 0))
+    out["groups"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), texts.take(pa.array(kept))), pa.scalar(";", pa.large_string())).cast(pa.string())
     return pa.table(out)
 
 
-def _occurring(parts: DataFrame, aligned: DataFrame) -> DataFrame:
-    """segment, less: occurrences in documents that hold a segment which does not come back byte by byte."""
-    bad = aligned.filter("NOT ok").select("segment")
-    rows = parts.filter("segment IS NOT NULL").select("chunk", "local", "segment")
-    marks = rows.join(bad, "segment", "left_semi").groupBy("chunk").agg(F.collect_set("local").alias("bad"))
-    docs = parts.filter("segs IS NOT NULL").select("chunk", "segs").join(marks, "chunk").filter(F.arrays_overlap("segs", "bad"))
-    less = docs.select("chunk", F.explode("segs").alias("local")).groupBy("chunk", "local").count()
-    return less.join(rows, ["chunk", "local"]).groupBy("segment").agg(F.sum("count").alias("less"))
+def _marked(docs: pa.Table, places: pa.Table) -> pa.Table:
+    """Segments of a chunk's documents that hold a bad segment (``places`` with ok false), with their links, as often as they occur there."""
+    flat = [unpack(np.frombuffer(x, np.uint8))[0] for x in docs.column("segs").to_pylist()]
+    bad = places.column("local").to_numpy()[~places.column("ok").to_numpy(zero_copy_only=False)]
+    lost = np.concatenate([np.zeros(0, np.int64), *(x for x in flat if np.isin(x, bad).any())])
+    local, count = np.unique(lost, return_counts=True)
+    return pa.table({"of": pa.array(np.full(len(local), docs.column("chunk")[0].as_py())), "at": pa.array(local.astype(np.int32)), "less": pa.array(-count)})
+
+
+def _lost(texts: DataFrame, aligned: DataFrame) -> DataFrame:
+    """pair, n: what documents with a segment that is not given back would add to the counts, negative."""
+    placed = aligned.select("ok", "links", F.explode("places").alias("place")).select((F.col("place") / _PLACE).cast("long").alias("c"), (F.col("place") % _PLACE).cast("int").alias("local"), "ok", "links")
+    bad = placed.filter("NOT ok").select("c", "local", "ok")
+    marks = texts.join(bad.select("c").distinct(), F.col("chunk") == F.col("c"), "left_semi").groupBy("chunk").cogroup(bad.groupBy("c")).applyInArrow(_marked, "of long, at int, less long")
+    return placed.filter("ok").join(marks, (F.col("c") == F.col("of")) & (F.col("local") == F.col("at"))).select(F.explode("links").alias("pair"), F.col("less").alias("n"))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_best, count_sum and groups for each row of ``docs`` (doc_id, text).
 
-    The paths are vocabulary files on the driver.
+    The paths are vocabulary files on the driver.  The result reads stored tables, which ``free(*result._held)``
+    deletes when it has been used.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -270,26 +369,22 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> Data
             raw.append(f.read())
     shared = spark.sparkContext.broadcast(tuple(raw))
     kind = dict(docs.dtypes)["doc_id"]
-    parts = stored(docs.select("doc_id", "text").mapInArrow(_split(shared, chunk), f"chunk long, doc_id {kind}, segs array<int>, local int, segment string, n long"))
-    rows = parts.filter("segment IS NOT NULL")
-    aligned = stored(align_segments(rows.groupBy("segment").agg(F.sum("n").alias("n")), shared))
-    valid, lost = aligned.filter("ok"), None
+    parts = stored(docs.select("doc_id", "text").mapInArrow(_split(shared, chunk), f"chunk long, doc_id {kind}, segs binary, segment string, place long, n long"), "zstd")
+    texts = parts.filter("segs IS NOT NULL").select("chunk", "doc_id", "segs")
+    rows = parts.filter("segment IS NOT NULL").select("segment", "place", "n", F.floor(F.col("chunk") / (RANGE * _CHUNKS)).alias("range"))
+    aligned = stored(align_segments(rows.repartition("segment", "range").sortWithinPartitions("segment"), shared), "zstd")
+    pairs = aligned.filter("ok").select(F.explode("links").alias("pair"), "n")
     if not aligned.filter("NOT ok").isEmpty():
-        lost = stored(_occurring(parts, aligned))
-        valid = valid.join(lost, "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
-    pairs = valid.filter("n > 0").select(F.explode("links").alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("count"))
+        pairs = pairs.unionByName(_lost(texts, aligned))
+    pairs = pairs.groupBy("pair").agg(F.sum("n").alias("count")).filter("count > 0")
     counts = pairs.toPandas().sort_values("pair")  # one row a pair of ids that can end together: bounded by the vocabularies
     pair, count = (counts[c].to_numpy(np.int64) for c in ("pair", "count"))
-    top = np.zeros(_PAIR, np.int64) if len(pair) == 0 else np.zeros(int((pair % _PAIR).max()) + 1, np.int64)
+    top = np.zeros(int((pair % _PAIR).max(initial=0)) + 1, np.int64)
     np.maximum.at(top, pair % _PAIR, count)
     sent = spark.sparkContext.broadcast((pair, count, (count == top[pair % _PAIR]).astype(np.int64)))
-    rated = aligned.select("segment", "ok", "n_a", "n_b", "links", "groups").mapInArrow(_rated(sent), "segment string, ok boolean, n_a long, n_b long, groups string, n_groups long, n_best long, count_sum long")
-    back = rows.select(F.col("chunk").alias("of"), "local", "segment").join(rated, "segment").drop("segment")
-    texts = parts.filter("segs IS NOT NULL").select("chunk", "doc_id", "segs")
-    out = stored(texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_composed, f"doc_id {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string"))
-    free(parts, aligned, *([lost] if lost else []))
-    shared.unpersist()
-    sent.unpersist()
+    back = aligned.select("places", "ok", "n_a", "links", "groups").mapInArrow(_rated(sent), "of long, local int, groups string, n_a int, n_best int, count_sum long")
+    out = texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_composed, f"doc_id {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
+    out._held = (parts, aligned)
     return out
 
 
@@ -299,4 +394,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = align(table(spark, sf_dir, "documents"), files.path(A_FILE), files.path(B_FILE))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", digest.alias("groups_sha256"))
+    out = stored(found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", digest.alias("groups_sha256")))
+    free(*found._held)
+    return out

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -77,14 +78,23 @@ NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("ab;.'s t1é世 \n\t\r\x0b 　\x85\x1c"), max_size=40))
+@given(st.text(st.sampled_from("ab;.'s t1é世 \n\t\r\x0b 　\u2003\u1680\x85\xa0à\x1c"), max_size=40))
 def test_segments_do_not_see_each_other(tools, library, text):
     segments = tools[1](text)
-    assert "".join(segments) == " " + text
+    assert "".join(segments) == (" " + text if text else "")
+    if not text:
+        return
     ids = [i for e in tools[0].a.encode_batch(segments, add_special_tokens=False) for i in e.ids]
     assert ids == library[0].encode(" " + text, add_special_tokens=False).ids
-    if text:
-        assert [i for x in tools[0].pieces(segments) for i in x] == library[1].encode(text)
+    assert [i for x in tools[0].pieces(segments) for i in x] == library[1].encode(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**30)))
+def test_pack(values):
+    raw, first = crosstoken.pack(np.array(values, np.int64))
+    back, stop = crosstoken.unpack(raw)
+    assert back.tolist() == values and stop.tolist() == first[1:].tolist()
 
 
 def test_starts_come_from_the_vocabularies(tools):
