@@ -1,5 +1,5 @@
 """Families of queries; importing this registers them all."""
 
-from . import features, joins, market, models, regressions, research, rollups, staging, streams, testing, warehouse
+from . import features, joins, joint, market, models, regressions, research, rollups, staging, streams, testing, warehouse
 
-__all__ = ["features", "joins", "market", "models", "regressions", "research", "rollups", "staging", "streams", "testing", "warehouse"]
+__all__ = ["features", "joins", "joint", "market", "models", "regressions", "research", "rollups", "staging", "streams", "testing", "warehouse"]
