@@ -2,6 +2,9 @@
 
 import json
 import math
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from linecraft.registry import nudged
 from linecraft.sources import flatten, load
 from linecraft.streaming import logs
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_nudged_sql():
     assert nudged("SELECT round(a, 2), f(round(round(x, 1) + g(1, 2), 6)), round(y)").count("1.7e-09") == 3
@@ -22,36 +27,112 @@ def test_nudged_sql():
 
 
 def test_stems():
-    assert load.parse_stem("plays_2023_post_wk1.json") == ("plays", 2023, 1, "postseason")
-    assert load.parse_stem("teams.csv") == ("teams", None, None, "regular")
-    assert load.parse_stem("notes.txt") is None
+    assert load.parse_stem("plays_2023_post_wk1") == ("plays", 2023, 1, "postseason")
+    assert load.parse_stem("plays_2023_wk12") == ("plays", 2023, 12, "regular")
+    assert load.parse_stem("games_2023") == ("games", 2023, None, None)
+    assert load.parse_stem("1h_lines-x_2024") == ("1h_lines-x", 2024, None, None)
+    assert load.parse_stem("odds-2024") == ("odds-2024", None, None, None) and load.parse_stem("games_1066") == ("games_1066", None, None, None)
 
 
 def test_load(spark, tmp_path):
-    """A plan from file names, a report with the failure of one job, a lock, a sidecar of another version."""
+    """A plan and a report with every file, the failure of one job, one name of two kinds, a sidecar of another version."""
     raw = tmp_path / "raw"
     raw.mkdir()
     (raw / "plays_2023_wk1.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
     (raw / "plays_2023_wk2.json").write_text(json.dumps({"id": 3}))
+    (raw / "plays_2024_wk1.json").write_text("")
     (raw / "teams_2023.csv").write_text("team,n\nA,1\nB,2\n")
+    (raw / "teams.json").write_text(json.dumps([{"id": 9}]))
+    (raw / "1h_lines_2024.json").write_text(json.dumps([{"id": 4}]))
+    (raw / "odds-2024.json").write_text(json.dumps([{"id": 5}]))
     (raw / "empty_2023.json").write_text("")
+    (raw / "user_info.json").write_text("{}")
     (raw / "notes.txt").write_text("x")
     jobs = load.load_plan(load.list_files(spark, str(raw)))
-    assert [(j.name, j.kind, len(j.paths)) for j in jobs] == [("plays", "json", 2), ("teams", "csv", 1)]
+    assert sorted(p for j in jobs for p in j.paths) == sorted(f"file:{raw}/{f.name}" for f in raw.iterdir() if f.name != "plays_2024_wk1.json")
 
     def broken(spark, paths):
         raise ValueError("no such thing")
 
     readers = {"json": lambda s, p: s.read.option("multiLine", True).json(p), "csv": broken}
     out = str(tmp_path / "out")
-    report = {r.name: (r.files, r.rows, r.error) for r in load.load(spark, jobs, out, readers).collect()}
-    assert report == {"plays": (2, 3, None), "teams": (1, None, "ValueError: no such thing")}
+    report = {r.name: (r.kind, r.files, r.rows, r.error) for r in load.load(spark, jobs, out, readers).collect()}
+    assert report == {
+        "plays": ("json", 2, 3, None), "teams_csv": ("csv", 1, None, "ValueError: no such thing"), "teams_json": ("json", 1, 1, None), "1h_lines": ("json", 1, 1, None), "odds-2024": ("json", 1, 1, None),
+        "empty": ("json", 1, None, "no non-empty files"), "user_info.json": ("json", 1, None, "skipped: not a table"), "notes.txt": ("txt", 1, None, "skipped: no reader for this kind"),
+    }
     assert sorted(r.id for r in spark.read.parquet(f"{out}/plays").collect()) == [1, 2, 3]
-    readers["csv"] = load.read_csv
-    load.with_lock(spark, f"{out}/_building_teams")
-    assert "being written" in load.load(spark, jobs[1:], out, readers).first()["error"]
-    assert load.load(spark, jobs[1:], out, readers).first()["rows"] == 2
-
+    assert spark.read.parquet(f"{out}/_reports").count() == len(report)
+    assert not [f for f in os.listdir(out) if f.startswith(("_building", "_old", "_lock"))]
+    only = load.load_plan(load.list_files(spark, str(raw)), {"plays"})
+    assert {j.error for j in only if j.name != "plays"} >= {"skipped: not asked for"} and sum(j.error is None for j in only) == 1
+
+
+def _other_writer(out, code):
+    """Another process that loads into ``out``."""
+    program = f"""
+import sys, tempfile
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from linecraft.sources import load
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+jobs = [load.Job("t", "x", ())]
+readers = {{"x": lambda s, p: s.range(5)}}
+{code}
+"""
+    return subprocess.run([sys.executable, "-c", program, out], capture_output=True, text=True, timeout=240)
+
+
+def test_second_writer_is_refused_and_harms_nothing(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), {}
+    attempt = "try:\n    load.load(spark, jobs, sys.argv[1], readers)\nexcept load.LoadInProgress as e:\n    print(e)\n    sys.exit(3)"
+
+    def slow(s, paths):
+        """While this table is read, another process tries to load."""
+        seen["other"] = _other_writer(out, attempt)
+        seen["lock"], seen["files"] = os.path.exists(f"{out}/_lock"), sorted(os.listdir(out))
+        return s.range(3)
+
+    (report,) = load.load(spark, [load.Job("t", "x", ())], out, {"x": slow}).collect()
+    assert seen["other"].returncode == 3 and "_lock" in seen["other"].stdout, seen["other"].stderr[-500:]
+    assert seen["lock"] and "t" not in seen["files"]
+    assert report.rows == 3 and spark.read.parquet(f"{out}/t").count() == 3
+    assert _other_writer(out, attempt).returncode == 0 and spark.read.parquet(f"{out}/t").count() == 5
+
+
+def test_locks_of_the_dead(spark, tmp_path):
+    """A lock stays until it is removed or, where asked for, has not been renewed; a failed load lets its own go."""
+    out, jobs, readers = str(tmp_path / "out"), [load.Job("t", "x", ())], {"x": lambda s, p: s.range(2)}
+    dead = load.Lock(spark, out)
+    dead.take()
+    with pytest.raises(load.LoadInProgress):
+        load.load(spark, jobs, out, readers)
+    with pytest.raises(load.LoadInProgress):
+        load.load(spark, jobs, out, readers, stale_after=3600)
+    os.utime(f"{out}/_lock", (0, 0))
+    assert load.load(spark, jobs, out, readers, stale_after=3600).first()["rows"] == 2
+    dead = load.Lock(spark, out)
+    dead.take()
+    load.unlock(spark, out)
+    with pytest.raises(AttributeError):
+        load.load(spark, [None], out, readers)
+    assert not os.path.exists(f"{out}/_lock")
+
+
+def test_crashes_between_renames(spark, tmp_path):
+    """A table that was renamed away comes back, one that was already replaced does not; half-written data goes."""
+    out, jobs, readers = str(tmp_path / "out"), [load.Job("new", "x", ())], {"x": lambda s, p: s.range(2)}
+    for name, rows in (("_old_kept_" + "a" * 32, 7), ("_old_done_" + "b" * 32, 8), ("done", 9), ("_building_z_" + "c" * 32, 1)):
+        spark.range(rows).write.parquet(f"{out}/{name}")
+    load.load(spark, jobs, out, readers)
+    assert {n: spark.read.parquet(f"{out}/{n}").count() for n in ("kept", "done", "new")} == {"kept": 7, "done": 9, "new": 2}
+    assert sorted(f for f in os.listdir(out) if f.startswith("_")) == ["_reports"]
+    with pytest.raises(OSError):
+        load.replace(spark, f"{out}/missing", f"{out}/done")
+    assert spark.read.parquet(f"{out}/done").count() == 9
+
+
+def test_sidecar(spark, tmp_path):
     features = str(tmp_path / "features")
     load.write_sidecar(spark.range(3), features, "v1")
     assert load.read_sidecar(spark, features, "v1").count() == 3

@@ -74,8 +74,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "plays_2023_post_wk1.json").write_text('[{"id": 1}, {"id": 2}]')
     (tmp_path / "j" / "venue_2021.json").write_text('{"id": 3}')
+    (tmp_path / "j" / "own_2023_wk1.json").write_text('{"id": 4, "season": 2022, "week": 5, "season_type": "postseason"}')
     got = read_vendor_json(spark, str(tmp_path / "j")).selectExpr("variant_get(payload, '$.id', 'int')", "season", "week", "season_type")
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 2023, 1, "postseason"), (2, 2023, 1, "postseason"), (3, 2021, None, "regular")]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2023, 1, "postseason"), (2, 2023, 1, "postseason"), (3, 2021, None, None), (4, 2022, 5, "postseason")]
     (tmp_path / "bets.csv").write_text("data:text/csv\n1,2.5\nx,y\n")
     bets = read_bet_history(spark, str(tmp_path / "bets.csv"), "id int, line double").collect()
     assert [(r.id, r.line, r._bad is not None) for r in bets] == [(1, 2.5, False), (None, None, True)]
