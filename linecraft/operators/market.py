@@ -30,34 +30,6 @@ def drop_reason(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("reason", reason)
 
 
-def last_quotes(decisions: DataFrame, quotes: DataFrame, key: list[str], max_age: int) -> DataFrame:
-    """The last quote of every book at or before each decision, at most ``max_age`` seconds old.
-
-    Quotes and decisions of a key meet once; each book's last quote is one aggregate per decision.
-    """
-    at = F.struct("quoted_at", "quote_id")
-    met = decisions.join(quotes, key).filter("quoted_at <= decided_at")
-    last = met.groupBy("decision_id", "decided_at", "book").agg(F.max_by(F.struct("line", "price", "quoted_at", "quote_id"), at).alias("q")).select("decision_id", "decided_at", "book", "q.*")
-    return last.filter(F.expr("timestampdiff(SECOND, quoted_at, decided_at)") <= max_age)
-
-
-def select_quote(quotes: DataFrame, rule: str, better_low: bool = True, book: str | None = None) -> DataFrame:
-    """One quote a decision: ``best`` line then price, the ``median`` line's nearest, or a ``named`` book's."""
-    w = Window.partitionBy("decision_id")
-    line = F.col("line") if better_low else -F.col("line")
-    if rule == "named":
-        return quotes.filter(F.col("book") == book)
-    if rule == "median":
-        gap = F.abs(F.col("line") - F.median("line").over(w))
-        quotes = quotes.withColumn("__g", gap)
-        order = [F.asc("__g"), F.desc("price"), F.asc("book")]
-    elif rule == "best":
-        order = [line.asc(), F.desc("price"), F.asc("book")]
-    else:
-        raise ValueError(f"unknown rule {rule}")
-    return quotes.withColumn("__r", F.row_number().over(w.orderBy(*order))).filter("__r = 1").select("decision_id", "decided_at", "book", "line", "price", "quoted_at", "quote_id")
-
-
 def cents(american: Column) -> Column:
     """A price on the line without the gap from -100 to 100: +100 and -100 are 0."""
     return F.when(american >= 100, american - 100).when(american <= -100, american + 100)
@@ -82,35 +54,6 @@ def expected_value(p_win: Column, p_push: Column, price: Column) -> Column:
     return p_win * (decimal_price(price) - 1) - (1 - p_win - p_push)
 
 
-def execute(decisions: DataFrame, quotes: DataFrame, threshold: float, fill: float = 1.0, seed: int = 7) -> DataFrame:
-    """What became of each decision: abstain, no_quote, pass, missed or bet.
-
-    The model abstains without a probability; without a quote there is nothing to take; an expected value
-    up to ``threshold`` is passed; one of 1 - ``fill`` bets is missed, by hash of seed and decision.
-    """
-    out = decisions.join(quotes.drop("decided_at"), "decision_id", "left")
-    ev = expected_value(F.col("p_win"), F.coalesce("p_push", F.lit(0.0)), F.col("price"))
-    draw = (F.pmod(F.crc32(F.concat_ws("/", F.lit(str(seed)), F.col("decision_id").cast("string")).cast("binary")), F.lit(10_000))) / 10_000.0
-    status = F.when(F.col("p_win").isNull(), "abstain").when(F.col("price").isNull(), "no_quote").when(F.col("ev") <= threshold, "pass").when(draw >= fill, "missed").otherwise("bet")
-    return out.withColumn("ev", ev).withColumn("status", status)
-
-
-def comparable_clv(bets: DataFrame) -> DataFrame:
-    """Closing-line value in points, and in probability only where line and book are the bet's own."""
-    same = (F.col("line") == F.col("close_line")) & (F.col("book") == F.col("close_book"))
-    return bets.withColumns({"clv_points": F.col("line") - F.col("close_line"), "clv_prob": F.when(same, implied_probability(F.col("close_price")) - implied_probability(F.col("price")))})
-
-
-def summary(ledger: DataFrame, by: list[str]) -> DataFrame:
-    """Counts by status, stake, profit and return of the bets, and whether there are enough to act on."""
-    bet = F.col("status") == "bet"
-    out = ledger.groupBy(*by).agg(
-        *(F.count_if(F.col("status") == s).alias(s) for s in ("bet", "pass", "missed", "no_quote", "abstain")),
-        F.sum(F.when(bet, F.col("profit"))).alias("profit"),
-    )
-    return out.withColumn("roi", F.col("profit") / F.nullif(F.col("bet"), F.lit(0))).withColumn("actionable", F.coalesce((F.col("bet") >= 100) & (F.col("roi") > 0), F.lit(False)))
-
-
 def compounded(bets: DataFrame, by: list[str], order: list[str], share: Column) -> DataFrame:
     """Bankroll after each bet of a ``share`` of it: the exponential of summed log growth."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

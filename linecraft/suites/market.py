@@ -6,16 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.odds import decimal_price, fair_pair, implied_probability, kelly
 from ..functions.stats import NORM_CDF_SQL, norm_cdf
+from ..operators import execution as ex
 from ..operators import market as m
 from ..registry import query, rounded
 from ..sources.proxy import ctes, made
 
 # quotes come from the line tape of an order's day, decisions from orders
 QUOTES = "SELECT l_orderkey AS game_id, l_partkey * 10 + l_linenumber AS quote_id, concat('B', l_suppkey % 5) AS book, 40 + l_quantity / 2 AS line, CASE WHEN l_partkey % 3 = 0 THEN 100 + l_partkey % 40 ELSE -100 - l_partkey % 40 END AS price, l_shipdate AS quoted_at FROM {lineitem}"
-DECISIONS = "SELECT o_orderkey AS decision_id, o_orderkey AS game_id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(40 + o_orderkey % 30 AS DOUBLE) / 100 END AS p_win, CAST(o_orderkey % 3 AS DOUBLE) / 100 AS p_push, o_orderdate + INTERVAL '1500' DAY AS decided_at FROM {orders}"
-RESULTS = "SELECT o_orderkey AS decision_id, o_orderkey % 9 - 4 AS margin, CASE WHEN o_orderkey % 31 = 0 THEN 'void' ELSE 'final' END AS state FROM {orders}"
 TICKS = "SELECT l_orderkey AS game_id, CASE WHEN l_partkey % 13 <> 0 THEN l_partkey % 5 <> 0 END AS main, CASE WHEN l_suppkey % 11 <> 0 THEN l_suppkey % 7 = 0 END AS live, CASE WHEN l_partkey % 17 <> 0 THEN l_quantity END AS line, CASE WHEN l_partkey % 19 = 0 THEN 50 WHEN l_partkey % 23 <> 0 THEN -110 END AS price FROM {lineitem}"
-AGE = 200 * 86400
 _PRICE_P = "CASE WHEN {p} < 0 THEN -{p} / (-{p} + 100.0::DOUBLE) WHEN {p} > 0 THEN 100.0::DOUBLE / ({p} + 100) END"
 _WIN = "CASE WHEN {p} < 0 THEN 100.0::DOUBLE / -{p} ELSE {p} / 100.0::DOUBLE END"
 
@@ -28,13 +26,79 @@ def win(x: str) -> str:
     return _WIN.replace("{p}", x)
 
 
-_LAST = f"""{ctes(quotes=QUOTES, decisions=DECISIONS)}, last AS (SELECT * EXCLUDE (r) FROM (SELECT d.decision_id, d.decided_at, q.book, line, price, quoted_at, quote_id, row_number() OVER (PARTITION BY d.decision_id, q.book ORDER BY quoted_at DESC, quote_id DESC, line DESC) AS r
-  FROM decisions d JOIN quotes q USING (game_id) WHERE quoted_at <= decided_at) WHERE r = 1 AND epoch(decided_at) - epoch(quoted_at) <= {AGE}),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY line, price DESC, book) AS r FROM last) WHERE r = 1)"""
+# two-sided ticks of five books and one decision a game
+TWO_SIDED = """SELECT l_orderkey AS game_id, l_partkey * 1000 + l_linenumber * 100 + l_suppkey AS quote_id, concat('B', l_suppkey % 5) AS book, CASE WHEN l_partkey % 2 = 0 THEN 'over' ELSE 'under' END AS side, 44 + CAST(l_orderkey % 9 AS DOUBLE) + CAST(l_partkey % 3 AS DOUBLE) / 2 AS line,
+ CAST(CASE WHEN l_partkey % 3 = 0 THEN 100 + l_partkey % 40 ELSE -100 - l_partkey % 40 END AS DOUBLE) AS price, CAST(l_shipdate AS TIMESTAMP) AS quoted_at, l_partkey % 17 = 0 AS live, l_partkey % 9 <> 0 AS available FROM {lineitem}"""
+FORECASTS = """SELECT o_orderkey AS decision_id, o_orderkey AS game_id, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '70' DAY AS decided_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '130' DAY AS kickoff, 44 + CAST(o_orderkey % 9 AS DOUBLE) + CAST(o_custkey % 13 - 6 AS DOUBLE) / 2 AS mean, o_orderkey % 6 AS prior_games,
+ CAST(o_custkey % 10 AS DOUBLE) / 10 AS selective, 30 + o_orderkey * 7 % 40 AS final_total, CASE WHEN o_orderkey % 31 = 0 THEN 'void' ELSE 'final' END AS state FROM {orders}"""
+SIGMA = 6.0
+OLD = 60 * 86400
+POLICY, BASE = ex.Policy("min_ev", 0.02, 1, 0.85), ex.Execution(max_age=OLD)
 
 
-def _last(spark, sf):
-    return m.last_quotes(made(spark, sf, DECISIONS), made(spark, sf, QUOTES), ["game_id"], AGE)
+def outcomes(line):
+    """Over, push and under of a normal total that is rounded to whole points."""
+    z = lambda x: norm_cdf((x - F.col("mean")) / SIGMA)
+    up, at = z(F.floor(line) + 0.5), F.when(line == F.floor(line), z(line + 0.5) - z(line - 0.5)).otherwise(0.0)
+    return 1 - up, at, up - at
+
+
+def _phi(x: str) -> str:
+    return NORM_CDF_SQL.replace("{z}", f"(({x} - mean) / {SIGMA}::DOUBLE)")
+
+
+def _fair(a: str, b: str) -> str:
+    return f"(({price_p(a)}) / (({price_p(a)}) + ({price_p(b)})))"
+
+
+def _states(delay: int = 0) -> str:
+    """Last ticks of every decision, book and side at the decision and at the kickoff, and the other side's when the quote was made."""
+    asof = lambda at: f"SELECT d.decision_id, q.* EXCLUDE (game_id, live) FROM decisions d JOIN quotes q USING (game_id) WHERE NOT live AND quoted_at <= {at} QUALIFY row_number() OVER (PARTITION BY d.decision_id, book, side ORDER BY quoted_at DESC, quote_id DESC) = 1"
+    late = f"decided_at + INTERVAL {delay} SECOND"
+    return f"""now AS ({asof(late)}), closing AS ({asof("kickoff")}),
+ other AS (SELECT n.decision_id, n.book, n.side, q.line, q.price, q.available FROM now n JOIN decisions d USING (decision_id) JOIN quotes q ON q.game_id = d.game_id AND q.book = n.book AND q.side <> n.side AND NOT q.live AND q.quoted_at <= n.quoted_at QUALIFY row_number() OVER (PARTITION BY n.decision_id, n.book, n.side ORDER BY q.quoted_at DESC, q.quote_id DESC) = 1),
+ fresh AS (SELECT n.*, epoch({late}) - epoch(quoted_at) AS age FROM now n JOIN decisions d USING (decision_id) WHERE available AND epoch({late}) - epoch(quoted_at) <= {OLD}),
+ ranked AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY decision_id, side) AS n_books FROM fresh WINDOW w AS (PARTITION BY decision_id, side ORDER BY CASE WHEN side = 'over' THEN line ELSE -line END, CASE WHEN price < 0 THEN 1 + 100.0::DOUBLE / -price ELSE 1 + price / 100.0::DOUBLE END DESC, book))"""
+
+
+_MADE = ctes(quotes=TWO_SIDED, decisions=FORECASTS)
+
+
+def _choice(rule: str = "best") -> str:
+    return "r = n_books // 2 + 1" if rule == "median" else "r = 1"
+
+
+def _scored(rule: str = "best", points: float = 0.0, cents: int = 0) -> str:
+    """Candidates of both sides and the better one, after ``_states``."""
+    c = f"(CASE WHEN price >= 100 THEN price - 100 ELSE price + 100 END - {cents})"
+    return f"""c0 AS (SELECT q.*, d.mean, q.line + CASE WHEN q.side = 'over' THEN {points}::DOUBLE ELSE -{points}::DOUBLE END AS taken, CASE WHEN {c} >= 0 THEN 100 + {c} ELSE -100 + {c} END AS paid FROM ranked q JOIN decisions d USING (decision_id) WHERE {_choice(rule)}),
+ c1 AS (SELECT *, {_phi("(floor(taken) + 0.5)")} AS below, CASE WHEN taken = floor(taken) THEN {_phi("(taken + 0.5)")} - {_phi("(taken - 0.5)")} ELSE 0.0 END AS push FROM c0),
+ c2 AS (SELECT *, CASE WHEN side = 'over' THEN 1 - below ELSE below - push END AS p_win, CASE WHEN side = 'over' THEN below - push ELSE 1 - below END AS p_loss FROM c1),
+ c3 AS (SELECT *, p_win * ({win("paid")}) - p_loss AS ev FROM c2), best AS (SELECT * FROM c3 QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY ev DESC, side = 'over' DESC) = 1)"""
+
+
+_DRAW = "(('0x' || substr(md5(concat('0:', decision_id)), 1, 7))::BIGINT / 268435456.0::DOUBLE)"
+
+
+def _acted(threshold: str, missed: float = 0.0) -> str:
+    return f"""CASE WHEN prior_games < {POLICY.least_games} OR selective > {POLICY.most_selective}::DOUBLE THEN 'abstain' WHEN ev IS NULL THEN 'no_quote' WHEN ev < {threshold} THEN 'pass' WHEN {_DRAW} < {missed} THEN 'missed' ELSE 'bet' END"""
+
+
+_UNITS = f"CASE WHEN state IN ('void', 'cancelled', 'postponed') OR final_total = taken THEN 0.0 WHEN (final_total > taken) = (side = 'over') THEN {win('paid')} ELSE -1.0 END"
+_LEDGER = f"""{_MADE}, {_states()}, {_scored()}, l0 AS (SELECT d.*, b.side, b.book, b.line, b.price, b.taken, b.paid, b.ev, b.quote_id, {_acted(f"{POLICY.threshold}::DOUBLE")} AS action FROM decisions d LEFT JOIN best b USING (decision_id)),
+ ledger AS (SELECT *, CASE WHEN action = 'bet' THEN {_UNITS} END AS units FROM l0)"""
+
+
+def _decisions(spark, sf):
+    return made(spark, sf, FORECASTS)
+
+
+def _quotes(spark, sf):
+    return made(spark, sf, TWO_SIDED)
+
+
+def _ledger(spark, sf):
+    return ex.ledger(_decisions(spark, sf), _quotes(spark, sf), POLICY, BASE, outcomes)
 
 
 @query(f"WITH {ctes(ticks=TICKS)} SELECT coalesce(CASE WHEN main IS NULL OR live IS NULL THEN 'unknown flag' WHEN NOT main THEN 'alternative' WHEN live THEN 'live' WHEN line IS NULL THEN 'no line' WHEN price IS NULL OR abs(price) < 100 THEN 'no price' END, 'quote') AS reason, count(*) AS n FROM ticks GROUP BY 1")
@@ -43,20 +107,27 @@ def tick_drop_counts(spark, sf):
     return m.drop_reason(made(spark, sf, TICKS)).groupBy(F.coalesce("reason", F.lit("quote")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_LAST} SELECT decision_id, book, line, price, quote_id FROM best")
+def _chosen(spark, sf, how):
+    d = _decisions(spark, sf)
+    fresh = ex.fresh_quotes(d, ex.book_states(d, _quotes(spark, sf)), how)
+    return ex.chosen_quotes(fresh, how.rule).select("decision_id", "side", "book", F.col("quote.line").alias("line"), F.col("quote.price").alias("price"), F.col("quote.quote_id").alias("quote_id"))
+
+
+@query(f"WITH {_MADE}, {_states()} SELECT decision_id, side, book, line, price, quote_id FROM ranked WHERE r = 1")
 def best_quote(spark, sf):
-    """The best of the books' last quotes before each decision, none older than the limit."""
-    return m.select_quote(_last(spark, sf), "best").select("decision_id", "book", "line", "price", "quote_id")
+    """The most favourable of the books' last ticks before each decision, of those available and not too old."""
+    return _chosen(spark, sf, BASE)
 
 
-@query(f"WITH {_LAST}, g AS (SELECT *, abs(line - median(line) OVER (PARTITION BY decision_id)) AS gap FROM last) SELECT decision_id, book, line, price, quote_id FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY gap, price DESC, book) AS r FROM g) WHERE r = 1")
+@query(f"WITH {_MADE}, {_states()} SELECT decision_id, side, book, line, price, quote_id FROM ranked WHERE {_choice('median')}")
 def median_quote(spark, sf):
-    return m.select_quote(_last(spark, sf), "median").select("decision_id", "book", "line", "price", "quote_id")
+    """The middle of the books' quotes ranked by favour; of an even number the worse middle."""
+    return _chosen(spark, sf, ex.Execution("median", max_age=OLD))
 
 
-@query(f"WITH {_LAST} SELECT decision_id, book, line, price, quote_id FROM last WHERE book = 'B2'")
+@query(f"WITH {_MADE}, {_states()} SELECT decision_id, side, book, line, price, quote_id FROM fresh WHERE book = 'B2'")
 def named_quote(spark, sf):
-    return m.select_quote(_last(spark, sf), "named", book="B2").select("decision_id", "book", "line", "price", "quote_id")
+    return _chosen(spark, sf, ex.Execution("named", "B2", OLD))
 
 
 @query(f"""WITH {ctes(quotes=QUOTES)}, c AS (SELECT quote_id, game_id, line - 0.5 AS line, CASE WHEN price >= 100 THEN price - 100 ELSE price + 100 END - 10 AS c FROM quotes) SELECT quote_id, game_id, line, CASE WHEN c >= 0 THEN c + 100 ELSE c - 100 END AS price FROM c""")
@@ -80,61 +151,50 @@ def pmf_outcomes(spark, sf):
     return pmf.select("season", "line", rounded(over).alias("over"), rounded(push).alias("push"), rounded(under).alias("under"))
 
 
-_EV = f"p_win * ({win('price')}) - (1 - p_win - coalesce(p_push, 0))"
-
-
-def _ledger(spark, sf):
-    quotes = m.select_quote(_last(spark, sf), "best")
-    out = m.execute(made(spark, sf, DECISIONS), quotes, 0.02)
-    profit = m.settle(F.col("state"), F.col("margin"), F.lit(1.0), F.col("price"))
-    return out.join(made(spark, sf, RESULTS), "decision_id").withColumn("profit", F.when(F.col("status") == "bet", profit))
+@query(f"WITH {_LEDGER} SELECT decision_id, action, CASE WHEN action IN ('pass', 'bet') THEN side END AS side, CASE WHEN action IN ('pass', 'bet') THEN book END AS book, CASE WHEN action IN ('pass', 'bet') THEN taken END AS line, round(CASE WHEN action IN ('pass', 'bet') THEN ev END, 6) AS ev, round(units, 6) AS units FROM ledger")
+def execution_ledger(spark, sf):
+    """What became of every decision: the better side, bet from the threshold on, and its units."""
+    return _ledger(spark, sf).select("decision_id", "action", "side", "book", "line", rounded("ev").alias("ev"), rounded("units").alias("units"))
 
 
-_LEDGER = f"""{_LAST}, results AS (SELECT o_orderkey AS decision_id, o_orderkey % 9 - 4 AS margin, CASE WHEN o_orderkey % 31 = 0 THEN 'void' ELSE 'final' END AS state FROM orders), e AS (SELECT d.decision_id, d.game_id, d.p_win, d.p_push, b.book, b.line, b.price, b.quoted_at, {_EV} AS ev FROM decisions d LEFT JOIN best b USING (decision_id)),
- s AS (SELECT *, CASE WHEN p_win IS NULL THEN 'abstain' WHEN price IS NULL THEN 'no_quote' WHEN ev <= 0.02 THEN 'pass' ELSE 'bet' END AS status FROM e),
- ledger AS (SELECT s.*, margin, state, CASE WHEN status = 'bet' THEN CASE WHEN state = 'void' OR margin = 0 THEN 0 WHEN margin > 0 THEN {win("price")} ELSE -1 END END AS profit FROM s JOIN results USING (decision_id))"""
+_GRID = [0.0, 0.02, 0.05]
 
 
-@query(f"WITH {_LEDGER} SELECT decision_id, status, book, round(ev, 6) AS ev, round(profit, 6) AS profit FROM ledger")
-def execution_ledger(spark, sf):
-    """What became of every decision, and the profit of the bets."""
-    return _ledger(spark, sf).select("decision_id", "status", "book", rounded("ev").alias("ev"), rounded("profit").alias("profit"))
+def _scenario(name: str, change: dict) -> str:
+    parts = f"{_MADE}, {_states(change.get('delay', 0))}, {_scored(change.get('rule', 'best'), change.get('points', 0.0), change.get('cents', 0))}, closing_side AS (SELECT decision_id, book, side, line AS close_line FROM closing WHERE available)"
+    rows = f"""SELECT '{name}' AS scenario, threshold, {_acted("threshold", change.get("missed", 0.0))} AS action, {_UNITS} AS units, ev, CASE WHEN side = 'over' THEN close_line - taken ELSE taken - close_line END AS clv FROM (SELECT *, unnest({_GRID}::DOUBLE[]) AS threshold FROM decisions) d LEFT JOIN best b USING (decision_id) LEFT JOIN closing_side USING (decision_id, book, side)"""
+    return f"(WITH {parts} {rows.replace('d LEFT JOIN best b', 'd LEFT JOIN (SELECT * EXCLUDE (mean) FROM best) b')})"
 
 
-@query(f"""WITH {_LEDGER}, g AS (SELECT unnest([0, 0.05, 0.1]::DOUBLE[]) AS threshold), r AS (SELECT g.threshold, CASE WHEN status = 'bet' AND ev <= threshold THEN 'pass' ELSE status END AS status, profit FROM ledger, g)
- SELECT threshold, count(*) FILTER (status = 'bet') AS bet, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'missed') AS missed, count(*) FILTER (status = 'no_quote') AS no_quote, count(*) FILTER (status = 'abstain') AS abstain, round(sum(profit) FILTER (status = 'bet'), 4) AS profit,
-  round(sum(profit) FILTER (status = 'bet') / nullif(count(*) FILTER (status = 'bet'), 0), 6) AS roi, coalesce(count(*) FILTER (status = 'bet') >= 100 AND sum(profit) FILTER (status = 'bet') / nullif(count(*) FILTER (status = 'bet'), 0) > 0, false) AS actionable FROM r GROUP BY threshold""")
+@query(f"""WITH rows AS ({" UNION ALL ".join(_scenario(n, c) for n, c in ex.SCENARIOS.items())}), t AS (SELECT scenario, threshold, count(*) FILTER (action = 'bet') AS bets, coalesce(sum(units) FILTER (action = 'bet'), 0) AS units, avg(ev) FILTER (action = 'bet') AS mean_ev, avg(clv) FILTER (action = 'bet') AS mean_clv FROM rows GROUP BY ALL)
+ SELECT scenario, threshold, bets, round(units, 4) AS units, round(mean_ev, 6) AS mean_ev, round(mean_clv, 6) AS mean_clv_line, (SELECT min(units) > 0 FROM t WHERE threshold = {POLICY.threshold}::DOUBLE AND scenario <> 'median_book') AS actionable FROM t""")
 def sensitivity_grid(spark, sf):
-    """Summary of the ledger under several thresholds: each row enters all scenarios once."""
-    grid = _ledger(spark, sf).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.1)))))
-    status = F.when((F.col("status") == "bet") & (F.col("ev") <= F.col("threshold")), "pass").otherwise(F.col("status"))
-    out = m.summary(grid.withColumn("status", status), ["threshold"])
-    return out.select("threshold", "bet", "pass", "missed", "no_quote", "abstain", rounded("profit", 4).alias("profit"), rounded("roi").alias("roi"), "actionable")
+    """Units under modest trouble and several thresholds, and whether the policy stands it."""
+    out = ex.sensitivity(_decisions(spark, sf), _quotes(spark, sf), POLICY, BASE, _GRID, outcomes)
+    return out.select("scenario", "threshold", "bets", rounded("units", 4).alias("units"), rounded("mean_ev").alias("mean_ev"), rounded("mean_clv_line").alias("mean_clv_line"), "actionable")
 
 
-@query(f"""WITH {_LEDGER}, c AS (SELECT decision_id, last_value(line) OVER w AS close_line, last_value(price) OVER w AS close_price, last_value(book) OVER w AS close_book, row_number() OVER w AS r FROM (SELECT q.*, d.decision_id FROM quotes q JOIN decisions d USING (game_id)) WINDOW w AS (PARTITION BY decision_id ORDER BY quoted_at DESC, quote_id DESC, line DESC))
- SELECT l.decision_id, l.line - close_line AS clv_points, round(CASE WHEN l.line = close_line AND l.book = close_book THEN ({price_p("close_price")}) - ({price_p("price")}) END, 6) AS clv_prob FROM ledger l JOIN c ON c.decision_id = l.decision_id AND c.r = 1 WHERE status = 'bet'""")
+@query(f"""WITH {_LEDGER} SELECT l.decision_id, CASE WHEN l.side = 'over' THEN c.line - taken ELSE taken - c.line END AS clv_line, round(CASE WHEN c.line = l.line AND cp.line = l.line AND o.line = l.line THEN {_fair("c.price", "cp.price")} - {_fair("l.price", "o.price")} END, 6) AS clv_prob FROM ledger l
+ LEFT JOIN closing c ON c.decision_id = l.decision_id AND c.book = l.book AND c.side = l.side AND c.available LEFT JOIN closing cp ON cp.decision_id = l.decision_id AND cp.book = l.book AND cp.side <> l.side AND cp.available LEFT JOIN other o ON o.decision_id = l.decision_id AND o.book = l.book AND o.side = l.side AND o.available WHERE action = 'bet'""")
 def comparable_clv(spark, sf):
-    """Closing-line value of the bets, in probability only for the same line at the same book."""
-    close = made(spark, sf, QUOTES).groupBy(F.col("game_id").alias("g")).agg(F.max_by(F.struct("line", "price", "book"), F.struct("quoted_at", "quote_id", "line")).alias("c")).select("g", F.col("c.line").alias("close_line"), F.col("c.price").alias("close_price"), F.col("c.book").alias("close_book"))
-    bets = _ledger(spark, sf).filter("status = 'bet'").join(close, F.col("game_id") == F.col("g"))
-    return m.comparable_clv(bets).select("decision_id", "clv_points", rounded("clv_prob").alias("clv_prob"))
+    """Closing-line value of the bets at their own book; in fair probability only where all four prices stand at one number."""
+    return _ledger(spark, sf).filter("action = 'bet'").select("decision_id", "clv_line", rounded("clv_prob").alias("clv_prob"))
 
 
-@query(f"""WITH {_LEDGER} SELECT decision_id, round(exp(sum(ln(1 + 0.01 * profit)) OVER (PARTITION BY game_id % 20 ORDER BY decision_id ROWS UNBOUNDED PRECEDING)), 6) AS bank FROM ledger WHERE status = 'bet'""")
+@query(f"""WITH {_LEDGER} SELECT decision_id, round(exp(sum(ln(1 + 0.01 * units)) OVER (PARTITION BY game_id % 20 ORDER BY decision_id ROWS UNBOUNDED PRECEDING)), 6) AS bank FROM ledger WHERE action = 'bet'""")
 def compounded_bankroll(spark, sf):
-    bets = _ledger(spark, sf).filter("status = 'bet'").withColumn("account", F.col("game_id") % 20).withColumn("return", F.col("profit"))
+    bets = _ledger(spark, sf).filter("action = 'bet'").withColumn("account", F.col("game_id") % 20).withColumn("return", F.col("units"))
     return m.compounded(bets, ["account"], ["decision_id"], F.lit(0.01)).select("decision_id", rounded("bank").alias("bank"))
 
 
-@query(f"""WITH {_LEDGER}, c AS (SELECT game_id % 20 AS account, decision_id, sum(profit) OVER (PARTITION BY game_id % 20 ORDER BY decision_id ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY game_id % 20 ORDER BY decision_id) AS n FROM ledger WHERE status = 'bet')
+@query(f"""WITH {_LEDGER}, c AS (SELECT game_id % 20 AS account, decision_id, sum(units) OVER (PARTITION BY game_id % 20 ORDER BY decision_id ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY game_id % 20 ORDER BY decision_id) AS n FROM ledger WHERE action = 'bet')
  SELECT account, decision_id, n, round(total, 4) AS total, round(total - 1.96 * sqrt(n), 4) AS low, round(total + 1.96 * sqrt(n), 4) AS high FROM c""")
 def equity_bands(spark, sf):
     """Profit so far with the band that results of unit variance would stay in."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("account").orderBy("decision_id")
-    c = _ledger(spark, sf).filter("status = 'bet'").withColumn("account", F.col("game_id") % 20).select("account", "decision_id", F.sum("profit").over(w).alias("total"), F.row_number().over(w).cast("long").alias("n"))
+    c = _ledger(spark, sf).filter("action = 'bet'").withColumn("account", F.col("game_id") % 20).select("account", "decision_id", F.sum("units").over(w).alias("total"), F.row_number().over(w).cast("long").alias("n"))
     return c.select("account", "decision_id", "n", rounded("total", 4).alias("total"), rounded(F.col("total") - 1.96 * F.sqrt("n"), 4).alias("low"), rounded(F.col("total") + 1.96 * F.sqrt("n"), 4).alias("high"))
 
 
@@ -159,13 +219,20 @@ def repriced_edge(spark, sf):
     return p.select("quote_id", "game_id", rounded(under).alias("p_under"), rounded(under - implied_probability(F.col("price"))).alias("edge"), holds.alias("holds"))
 
 
-@query(f"""WITH {ctes(quotes=QUOTES)}, w AS (SELECT game_id, line, count(*) AS n, avg(({price_p("price")})) AS p FROM quotes GROUP BY ALL), t AS (SELECT game_id, arg_max(line, (n, -line)) AS line, arg_max(p, (n, -line)) AS p FROM w GROUP BY game_id), y AS (SELECT t.*, (game_id % 90 > line)::INT AS y FROM t)
- SELECT y, count(*) AS n, round(avg(pow(p - y, 2)), 6) AS market_brier, round(avg(pow(0.5 - y, 2)), 6) AS model_brier FROM y GROUP BY y""")
+@query(f"""WITH {_MADE}, {_states()}, pairs AS (SELECT o.decision_id, o.line, {_fair("o.price", "u.price")} AS p FROM fresh o JOIN fresh u ON u.decision_id = o.decision_id AND u.book = o.book AND o.side = 'over' AND u.side = 'under' AND o.line = u.line),
+ counted AS (SELECT decision_id, line, count(*) AS books, avg(p) AS p_market FROM pairs GROUP BY ALL), lines AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY books DESC, line) = 1),
+ m AS (SELECT l.*, mean, line AS taken, (final_total > line)::INT AS y FROM lines l JOIN decisions USING (decision_id) WHERE final_total <> line),
+ s AS (SELECT *, least(greatest((1 - {_phi("(floor(taken) + 0.5)")}) / (1 - CASE WHEN taken = floor(taken) THEN {_phi("(taken + 0.5)")} - {_phi("(taken - 0.5)")} ELSE 0.0 END), 1e-12), 1 - 1e-12) AS p_model FROM m)
+ SELECT books, count(*) AS n, round(avg(y), 6) AS over_rate, round(avg(pow(p_model - y, 2)), 6) AS brier_model, round(avg(pow(p_market - y, 2)), 6) AS brier_market, round(avg(pow(p_model - y, 2) - pow(p_market - y, 2)), 6) AS brier_difference,
+  round(avg(-(y * ln(p_model) + (1 - y) * ln(1 - p_model)) + y * ln(p_market) + (1 - y) * ln(1 - p_market)), 6) AS log_loss_difference FROM s GROUP BY books""")
 def priced_replay(spark, sf):
-    """Model and market at the modal line of every game."""
-    q = made(spark, sf, QUOTES).groupBy("game_id", "line").agg(F.count(F.lit(1)).alias("n"), F.avg(implied_probability(F.col("price"))).alias("p"))
-    modal = q.groupBy("game_id").agg(F.max_by(F.struct("line", "p"), F.struct("n", -F.col("line"))).alias("x")).select("game_id", "x.*").withColumn("y", (F.col("game_id") % 90 > F.col("line")).cast("int"))
-    return modal.groupBy("y").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.col("p") - F.col("y")) ** 2)).alias("market_brier"), rounded(F.avg((0.5 - F.col("y")) ** 2)).alias("model_brier"))
+    """Model and de-vigged market at the modal number of fresh pairs, by how many books stand there."""
+    s = ex.market_scores(_decisions(spark, sf), _quotes(spark, sf), OLD, outcomes)
+    y = F.col("over")
+    brier = lambda c: (F.col(c) - y) * (F.col(c) - y)
+    loss = lambda c: -(y * F.log(c) + (1 - y) * F.log(1 - F.col(c)))
+    found = {"over_rate": y, "brier_model": brier("p_model"), "brier_market": brier("p_market"), "brier_difference": brier("p_model") - brier("p_market"), "log_loss_difference": loss("p_model") - loss("p_market")}
+    return s.groupBy("books").agg(F.count(F.lit(1)).alias("n"), *(rounded(F.avg(c)).alias(n) for n, c in found.items()))
 
 
 BETS = "SELECT o_orderkey AS bet_id, o_orderkey + o_orderkey % 2 * 0 AS game_id, CAST(o_orderdate AS DATE) AS day, concat('T', o_custkey % 40) AS home, concat('T', (o_custkey * 7 + o_orderkey) % 40) AS away, o_orderkey % 5 AS line FROM {orders} WHERE o_orderkey % 4 = 0"
