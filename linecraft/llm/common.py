@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -46,6 +50,21 @@ def free(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Frees, at its end, all tables that were stored inside; calling what it yields on a table keeps that one."""
+    made, kept = [], []
+    _SCRATCH.append(made)
+    try:
+        yield lambda df: kept.append(df._stored_at) or df
+    finally:
+        _SCRATCH.pop()
+        free(*(df for df in made if df._stored_at not in kept))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with as many underscores as it takes to differ from the columns ``taken``."""
     while name.lower() in {t.lower() for t in taken}:
@@ -72,9 +91,10 @@ BROADCAST_IDS = 1_000_000
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``ids`` (one column, distinct)."""
-    ids = stored(ids.toDF("__gone"))
+    gone = fresh("gone", docs.columns)
+    ids = stored(ids.toDF(gone))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, F.col(key) == F.col("__gone"), "left_anti")
+    return docs.join(side, F.col(key) == F.col(gone), "left_anti")
 
 
-__all__ = ["WORD", "fold", "free", "fresh", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]
+__all__ = ["WORD", "fold", "free", "fresh", "scratch", "shared_dir", "ship", "size_in_words", "stored", "table", "without"]

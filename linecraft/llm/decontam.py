@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, stored, table
 from .textops import Hasher, distinct, mix, shingles, slices, words
 
 K, CONTAINED = 5, 0.8
@@ -170,24 +170,27 @@ def _inside(doc: np.ndarray, h: np.ndarray, w, s: int) -> tuple[np.ndarray, np.n
 
 def containment_search(docs: DataFrame, items: DataFrame, k: int = K, contained: float = CONTAINED, block: int = BLOCK) -> DataFrame:
     """One row per document (doc_id, text) and item (item_id, text) that it contains."""
-    spark = docs.sparkSession
-    found = [docs.select("doc_id", "text").mapInArrow(_search(sent, k, contained), SCHEMA) for sent in _blocks(items, spark, k, contained, block)]
+    spark, found = docs.sparkSession, []
+    for sent, last in _blocks(items, spark, k, contained, block):
+        hits = docs.select("doc_id", "text").mapInArrow(_search(sent, k, contained), SCHEMA)
+        if not last or found:  # of several blocks only one is held by the executors at a time
+            hits = stored(hits)
+            sent.unpersist()
+        found.append(hits)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def _blocks(items: DataFrame, spark: SparkSession, k: int, contained: float, block: int) -> list:
-    """The items in broadcast blocks; those without words are left out."""
+def _blocks(items: DataFrame, spark: SparkSession, k: int, contained: float, block: int) -> Iterator[tuple]:
+    """The items in broadcast blocks, made one after the other, and whether a block is the last; items without words are left out."""
     ship(spark)
     sets = items.select("item_id", "text").mapInArrow(_item_sets(k), "item_id long, n_words long, shingles array<long>")
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) * 5 // (block * 4)))
-    found = []
     for b in range(n_blocks):
         rows = (sets if n_blocks == 1 else sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n_blocks)) == b)).toArrow()
         one = _Block(rows, k, contained)
         if one.ids:
-            found.append(spark.sparkContext.broadcast(one))
-    return found
+            yield spark.sparkContext.broadcast(one), b == n_blocks - 1
 
 
 def _clean(sent, k: int, contained: float):
@@ -206,8 +209,11 @@ def _clean(sent, k: int, contained: float):
 
 def keep_clean(docs: DataFrame, items: DataFrame, k: int = K, contained: float = CONTAINED, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns; decided row by row, whatever the ids."""
-    for sent in _blocks(items, docs.sparkSession, k, contained, block):
+    for sent, last in _blocks(items, docs.sparkSession, k, contained, block):
         docs = docs.mapInArrow(_clean(sent, k, contained), docs.schema)
+        if not last:
+            docs = stored(docs)
+            sent.unpersist()
     return docs
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free, ship, stored, table, without
 from .components import components
-from .textops import Hasher, distinct, mix, shingles, slices, words
+from .textops import Hasher, distinct, mix, release, shingles, slices, words
 
 K, PERCENT = 3, 90
 #: Cells of the sketch that orders shingles by frequency, and how they are split for its sum.
@@ -196,6 +196,7 @@ def _pack_sets(buckets: int):
 
 def _lonely(pdf: pd.DataFrame) -> pd.DataFrame:
     """How many of a document's shingles in this bucket no other document has."""
+    release()
     ids = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
     sizes = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sizes"]])
     h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["hashes"]])
@@ -353,6 +354,7 @@ def _join_bucket(percent: int):
     """All regions of one bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         pdf = pdf.drop_duplicates(["region", "doc_id"]).sort_values(["region", "doc_id"], kind="stable")
         ids, region, sets = pdf["doc_id"].to_numpy(), pdf["region"].to_numpy(), _unpack(pdf["set"])
         starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
@@ -511,6 +513,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, limi
     regions = components(stars).select(F.col("node").alias("id"), F.col("root").alias("region"))
     sets = stored(unfiltered.join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set"))
     free(posts, unfiltered)
+    order.unpersist()
     weights = stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")).filter(F.col("weight") > limit))
     if weights.isEmpty():
         links = _regions(sets, percent, limit)

@@ -6,6 +6,7 @@ cross a document's boundary.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +49,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live long, and what one step has freed another cannot always use."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_trim = _trimmer()
+
+
 def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, past the last row, bytes, offsets into the bytes) over a string column."""
     for chunk_start, arr in _chunks(column):
@@ -64,6 +82,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tu
             hi = min(max(hi, lo + 1), n, lo + 4096)
             yield chunk_start + lo, chunk_start + hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    release()
 
 
 def _chunks(column):

@@ -325,6 +325,18 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
+def fitting(chars: np.ndarray, most: int) -> np.ndarray:
+    """Which texts to take, in order, so that they have ``most`` characters together: one that does not fit is passed over,
+    later ones are not; if none fits, the shortest is taken, so that a label with texts is never without one."""
+    keep, total = np.zeros(len(chars), bool), 0
+    for k, n in enumerate(chars):
+        if total + n <= most:
+            keep[k], total = True, total + n
+    if len(chars) and not keep.any():
+        keep[int(np.argmin(chars))] = True
+    return keep
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Train on the labelled rows of ``docs``; None where one of the two labels is absent."""
     spark = docs.sparkSession
@@ -337,7 +349,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     rows = []
     for is_toxic, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN)):
         some = ids.filter(F.col("toxic") == is_toxic).orderBy("place", "doc_id").limit(most).toPandas()
-        rows.append(some[some["chars"].cumsum() <= SAMPLE_CHARS])
+        rows.append(some[fitting(some["chars"].to_numpy(), SAMPLE_CHARS)])
     chosen = pd.concat(rows)
     if not len(chosen):
         return None

@@ -402,7 +402,7 @@ def odd(tmp_path_factory, sf_dir):
     for name in CLASHES:
         both[name] = "x"
     pq.write_table(pa.Table.from_pandas(both, preserve_index=False), folder / "documents.parquet")
-    for name in ("benchmark", "labels"):
+    for name in ("benchmark", "labels", "conversations"):
         shutil.copy(f"{sf_dir}/{name}.parquet", folder)
     return str(folder), len(both)
 
@@ -410,12 +410,81 @@ def odd(tmp_path_factory, sf_dir):
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows(spark, odd, name):
     got = QUERIES[name](spark, odd[0]).toPandas()
-    if name not in ("op5_decontamination", "op7_licenses"):
+    if name not in ("op5_decontamination", "op7_licenses", "op11_conversation_repair"):
         assert len(got) == odd[1]
 
 
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    """Rows without words go, equal rows stay once, the mix takes whole documents; columns of clashing names do no harm."""
+    import corpus_pipeline
+
+    data = pq.read_table(f"{odd[0]}/documents.parquet").to_pandas()
+    for name in ("gone", "__gone", "keep", "target_", "times", "r", "c"):
+        data[name] = "x"
+    pq.write_table(pa.Table.from_pandas(data, preserve_index=False), tmp_path / "documents.parquet")
+    for name in ("benchmark", "labels"):
+        shutil.copy(f"{odd[0]}/{name}.parquet", tmp_path)
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    texts = collections.defaultdict(set)
+    for i, t in zip(data["doc_id"], data["text"], strict=True):
+        texts[None if pd.isna(i) else int(i)].add(t)
+    assert len(out) and out["doc_id"].is_unique and set(out["doc_id"]) <= set(texts) - {10_001, 10_002, 10_003}
+    for r in out.itertuples():
+        assert r.taken == r.times * r.size and 0 < r.size <= max(len(words(t)) for t in texts[r.doc_id])
+    assert (out.groupby("source", dropna=False)["taken"].sum() > 0).all()
+
+
+def test_pipeline_empty_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    for table in ("documents", "benchmark", "labels"):
+        pq.write_table(pq.read_table(f"{sf_dir}/{table}.parquet").slice(0, 0), tmp_path / f"{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_frees_what_it_stores(spark, sf_dir, tmp_path):
+    """After a run only the last stage's result is left."""
+    import corpus_pipeline
+
+    from linecraft.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() > 0
+
+
+def test_pipeline_first_and_last_stage(spark, sf_dir):
+    """The quality stage keeps what op10 keeps, the mix of all documents is op6's."""
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in QUERIES["op10_quality"](spark, sf_dir).filter("kept").collect()}
+    got = stages["quality rules"](spark, docs, sf_dir)
+    assert got.columns == docs.columns and {r.doc_id for r in got.select("doc_id").collect()} == kept and 0 < len(kept) < docs.count()
+    mix = {(r.doc_id, r.taken) for r in stages["mixing sources to target weights"](spark, docs, sf_dir).collect()}
+    assert mix == {(r.doc_id, r.taken) for r in QUERIES["op6_mixing"](spark, sf_dir).filter("taken > 0").collect()}
+
+
+def test_sample_of_long_texts():
+    """One text that is too long takes no other with it, and a label is never left without a text."""
+    assert toxicity.fitting(np.array([9, 3, 5, 4, 2]), 10).tolist() == [True, False, False, False, False]
+    assert toxicity.fitting(np.array([99, 3, 5, 4, 2]), 10).tolist() == [False, True, True, False, True]
+    assert toxicity.fitting(np.array([99, 33]), 10).tolist() == [False, True] and toxicity.fitting(np.array([], int), 10).tolist() == []
+
+
+def test_blocks_of_items_one_at_a_time(spark):
+    """Several blocks find what one finds."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(5, 20))) for i in range(0, 40, 2)], "item_id long, text string")
+    one, many = (sorted(map(tuple, decontam.containment_search(docs, items, block=b).collect())) for b in (decontam.BLOCK, 40))
+    assert one == many and len(one) == 20
+    clean = decontam.keep_clean(docs, items, block=40)
+    assert sorted(r.doc_id for r in clean.collect()) == list(range(1, 40, 2))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(spark, sf_dir, tmp_path, name):
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         pq.write_table(pq.read_table(f"{sf_dir}/{table}.parquet").slice(0, 0), tmp_path / f"{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
