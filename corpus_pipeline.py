@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecraft.llm import decontam, jaccard, linededup, mixing, quality
-from linecraft.llm.common import fresh, stored, table, without
+from linecraft.llm.common import free, fresh, scratch, stored, table, without
 
 #: Near-duplicates of the pipeline: five words a shingle, 80 % of the union.
 SHINGLE, PERCENT = 5, 80
@@ -73,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch() as keep:  # what a stage stores on its way goes when its result is written
+            docs = keep(stored(stage(spark, table(spark, sf_dir, "documents") if before is None else before, sf_dir)))
+        if before is not None:
+            free(before)
     return docs
