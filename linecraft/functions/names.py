@@ -40,11 +40,10 @@ def eastern(ts: Column) -> Column:
 
 
 def decision_time(kickoff: Column) -> Column:
-    """The last Sunday noon strictly before a (zone-less) kickoff."""
+    """Noon of the last Sunday strictly before the day of a (zone-less) kickoff: a Sunday game goes back a week."""
     noon = F.date_trunc("day", kickoff).cast("timestamp_ntz") + F.expr("INTERVAL '12' HOUR")
     back = F.dayofweek(kickoff) - 1
-    same = (back == 0) & (kickoff <= noon)
-    return noon - F.make_dt_interval(F.when(same, 7).otherwise(back))
+    return noon - F.make_dt_interval(F.when(back == 0, 7).otherwise(back))
 
 
 def compass(degrees: Column) -> Column:

@@ -47,6 +47,20 @@ def norm_quantile(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), None).when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(centre)
 
 
+def norm_quantile_sql(p: str) -> str:
+    """The same rational approximation in SQL."""
+
+    def poly(coefficients: tuple[float, ...], x: str) -> str:
+        out = f"({coefficients[0]!r})::DOUBLE"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + ({c!r})::DOUBLE)"
+        return out
+
+    q, tail = f"({p} - 0.5)", lambda x: f"({poly(_C, f'sqrt(-2 * ln({x}))')} / {poly(_D, f'sqrt(-2 * ln({x}))')})"
+    centre = f"({q} * {poly(_A, f'({q} * {q})')} / {poly(_B, f'({q} * {q})')})"
+    return f"CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -{tail(f'(1 - {p})')} ELSE {centre} END"
+
+
 def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval in [0, 1], rounded to 4 digits; (0, 0) without a trial."""
     m = F.nullif(n, F.lit(0)).cast("double")

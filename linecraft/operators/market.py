@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.odds import decimal_price, implied_probability
 from ..functions.stats import norm_quantile
+from .ratings import censored_bias
 
 NO_ACTION = ("void", "cancelled", "postponed")
 
@@ -66,6 +67,29 @@ def bet_to(projection: Column, sigma: Column, price: Column, edge: float) -> Col
     return F.ceil((projection + z * sigma) * 2) / 2
 
 
+def bet_to_over(spread: Column, sd_dog: Column, sd_favourite: Column, threshold: float) -> Column:
+    """The highest half-point total whose expected total, lifted by the floor under both scores, exceeds it by more than ``threshold``.
+
+    The lift falls as the total rises, so halving the range of half points finds the last one that qualifies, without
+    rounding; null if not even 0 does.  The spread and both sides' deviations are held fixed.
+    """
+    if threshold <= 0:
+        raise ValueError("a positive threshold is needed")
+    side = F.abs(spread)
+    lift = lambda half, v: censored_bias((half / 2 - v["s"]) / 2, v["d"]) + censored_bias((half / 2 + v["s"]) / 2, v["f"])
+    top = F.greatest(F.ceil(2 * (side + 20 * F.greatest(sd_dog, sd_favourite))).cast("double"), F.lit(1.0))
+    start = F.struct(F.lit(-1.0).alias("low"), top.alias("high"), side.cast("double").alias("s"), sd_dog.cast("double").alias("d"), sd_favourite.cast("double").alias("f"))
+
+    def halve(v: Column, _: Column) -> Column:
+        mid = F.floor((v["low"] + v["high"]) / 2).cast("double")
+        open_, fits = v["high"] - v["low"] > 1, lift(mid, v) > threshold
+        low, high = F.when(open_ & fits, mid).otherwise(v["low"]), F.when(open_ & ~fits, mid).otherwise(v["high"])
+        return F.struct(low.alias("low"), high.alias("high"), v["s"].alias("s"), v["d"].alias("d"), v["f"].alias("f"))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["low"]
+    return F.when(done >= 0, done / 2)
+
+
 def fair_line(line: Column, p_over: Column, sigma: Column) -> Column:
     """The line at which both sides are even: shifted by the quantile of the under's fair probability."""
     return line - norm_quantile(1 - p_over) * sigma

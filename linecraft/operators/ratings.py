@@ -98,16 +98,33 @@ def kalman(rows: DataFrame, drift: float = 1.0, noise: float = 100.0, start: flo
     return rows.groupBy("team", "season").applyInPandas(_filter(drift, noise, start), KALMAN)
 
 
-def carry_over(ratings: DataFrame, unit: str, season: str, x: str) -> DataFrame:
-    """Prior of each unit from its centred rating of the season before: one slope without intercept over all pairs, with a standard error robust to units."""
+def carry_over(ratings: DataFrame, unit: str, season: str, x: str, returning: str) -> DataFrame:
+    """Priors of each unit from its rating of the season before and its returning production.
+
+    Over all pairs of seasons: rating = (b + c * returning) * rating before, without intercept, ratings centred by
+    season; standard errors by units (no small-sample factor).  A unit without ``returning`` takes the season's mean for
+    its prior and teaches nothing.  Priors are centred by season.  Returns unit, season, prior, b, c, se_b, se_c, source.
+    """
     centred = ratings.withColumn("__c", F.col(x) - F.avg(x).over(Window.partitionBy(season)))
-    was = centred.select(unit, (F.col(season) + 1).alias(season), F.col("__c").alias("was"))
-    pairs = centred.select(unit, season, F.col("__c").alias("now")).join(was, [unit, season])
-    per = pairs.groupBy(unit).agg(F.sum(F.col("was") * F.col("now")).alias("xy"), F.sum(F.col("was") * F.col("was")).alias("xx"))
-    total = per.agg((F.sum("xy") / F.sum("xx")).alias("slope"), F.sum("xx").alias("sxx"))
-    score = F.col("xy") - F.col("slope") * F.col("xx")
-    se = per.crossJoin(F.broadcast(total)).agg((F.sqrt(F.sum(score * score)) / F.first("sxx")).alias("se"))
-    return was.crossJoin(F.broadcast(total.select("slope"))).crossJoin(F.broadcast(se)).select(unit, season, (F.col("slope") * F.col("was")).alias("prior"), "slope", "se")
+    was = centred.select(unit, (F.col(season) + 1).alias(season), F.col("__c").alias("u"))
+    both = was.join(centred.select(unit, season, F.col("__c").alias("now"), returning), [unit, season], "left")
+    pairs = both.dropna(subset=["now", "u", returning]).withColumn("z", F.col(returning) * F.col("u"))
+    products = {"uu": ("u", "u"), "uz": ("u", "z"), "zz": ("z", "z"), "uy": ("u", "now"), "zy": ("z", "now")}
+    per = pairs.groupBy(unit).agg(*(F.sum(F.col(i) * F.col(j)).alias(k) for k, (i, j) in products.items()))
+    total = per.agg(*(F.sum(k).alias(f"t_{k}") for k in products))
+    det = F.nullif(F.col("t_uu") * F.col("t_zz") - F.col("t_uz") * F.col("t_uz"), F.lit(0.0))
+    fit = total.select("*", ((F.col("t_zz") * F.col("t_uy") - F.col("t_uz") * F.col("t_zy")) / det).alias("b"), ((F.col("t_uu") * F.col("t_zy") - F.col("t_uz") * F.col("t_uy")) / det).alias("c"), det.alias("det"))
+    scored = per.crossJoin(F.broadcast(fit)).withColumns({"su": F.col("uy") - F.col("b") * F.col("uu") - F.col("c") * F.col("uz"), "sz": F.col("zy") - F.col("b") * F.col("uz") - F.col("c") * F.col("zz")})
+    m = {k: F.sum(F.col(i) * F.col(j)) for k, (i, j) in {"m11": ("su", "su"), "m12": ("su", "sz"), "m22": ("sz", "sz")}.items()}
+    fit = scored.groupBy("b", "c", "det", "t_uu", "t_uz", "t_zz").agg(*(v.alias(k) for k, v in m.items()))
+    var = lambda p, q: (p * p * F.col("m11") - 2 * p * q * F.col("m12") + q * q * F.col("m22")) / (F.col("det") * F.col("det"))
+    fit = fit.select("b", "c", F.sqrt(F.greatest(var(F.col("t_zz"), F.col("t_uz")), F.lit(0.0))).alias("se_b"), F.sqrt(F.greatest(var(F.col("t_uz"), F.col("t_uu")), F.lit(0.0))).alias("se_c"))
+    # the season's own returning production, known before its first game
+    asked = was.join(ratings.select(unit, season, F.col(returning).alias("__r")), [unit, season], "left")
+    held = F.coalesce("__r", F.avg("__r").over(Window.partitionBy(season)), F.avg("__r").over(Window.partitionBy(F.lit(0))))
+    out = asked.withColumns({"__h": held, "source": F.when(F.col("__r").isNull(), "imputed").otherwise("carryover")}).crossJoin(F.broadcast(fit))
+    raw = (F.col("b") + F.col("c") * F.col("__h")) * F.col("u")
+    return out.withColumn("__p", raw).select(unit, season, (F.col("__p") - F.avg("__p").over(Window.partitionBy(season))).alias("prior"), "b", "c", "se_b", "se_c", "source")
 
 
 def censored_bias(mean: Column, sd: Column) -> Column:

@@ -44,8 +44,8 @@ def entering(rows: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
         "win_pct": rounded(F.count_if(F.col("diff") > 0).over(past) / F.nullif(decided, F.lit(0)), 4),
         "ats_pct": rounded(F.count_if(F.col("cover") > 0).over(past) / F.nullif(covers, F.lit(0)), 4),
         "rest_days": F.when(rest > 0, rest).cast("long"),
-        "last3_points": rounded(F.avg("points").over(order.rowsBetween(-3, -1))),
-        **{f"avg_{c}": rounded(F.avg(c).over(past)) for c in averages},
+        "last3_points": rounded(F.avg("points").over(order.rowsBetween(-3, -1)), 4),
+        **{f"avg_{c}": rounded(F.avg(c).over(past), 4) for c in averages},
     })
     for name in ("streak", "ats_streak"):
         run = Window.partitionBy("team", "season", f"__r_{name}").orderBy("kickoff", "game_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -158,18 +158,6 @@ def drives(raw: DataFrame, teams: DataFrame) -> DataFrame:
     return out
 
 
-def clock_quality(plays: DataFrame, step: int = 5, most: float = 40.0) -> DataFrame:
-    """How far the clocks of a game's plays can be trusted: gaps to the next ``step`` plays.
-
-    A gap back in time or beyond ``most`` minutes is bad; a game whose bad share is over 10 % is flagged.
-    """
-    w = Window.partitionBy("game_id").orderBy("play", "clock")
-    gaps = plays.withColumns({f"g{k}": F.lead("clock", k).over(w) - F.col("clock") for k in range(1, step + 1)})
-    bad = lambda c: (F.col(c) < 0) | (F.col(c) > most)
-    out = gaps.groupBy("game_id").agg(F.count(F.lit(1)).alias("plays"), F.avg(F.when(~bad("g1"), F.col("g1"))).alias("mean_gap"), *(F.avg(bad(f"g{k}").cast("int")).alias(f"bad_{k}") for k in range(1, step + 1)))
-    return out.withColumn("flagged", F.coalesce(F.col("bad_1") > 0.1, F.lit(False)))
-
-
 def v_game(games: DataFrame, lines: DataFrame, spread_book: str, total_book: str) -> DataFrame:
     """Games with one book's spread and another one's total: a left join for each market."""
     pick = lambda book, c: lines.filter(F.col("book") == book).select("game_id", F.col(c).alias(f"book_{c}"))

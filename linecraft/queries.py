@@ -90,8 +90,8 @@ _ENTERING_CTE = f"""{GAMES_SQL}, {_TEAM_GAMES}, d AS (SELECT *, points - allowed
   round(count(*) FILTER (diff > 0) OVER p / nullif(count(*) FILTER (diff <> 0) OVER p, 0)::DOUBLE, 4) AS win_pct,
   round(count(*) FILTER (cover > 0) OVER p / nullif(count(*) FILTER (cover <> 0) OVER p, 0)::DOUBLE, 4) AS ats_pct,
   CASE WHEN date_diff('day', lag(kickoff) OVER w, kickoff) > 0 THEN date_diff('day', lag(kickoff) OVER w, kickoff) END AS rest_days,
-  round(avg(points) OVER (PARTITION BY d.team, season ORDER BY kickoff, d.game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_points,
-  streak, ats_streak, {", ".join(f"round(avg({c}) OVER p, 6) AS avg_{c}" for c in ADVANCED)}
+  round(avg(points) OVER (PARTITION BY d.team, season ORDER BY kickoff, d.game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS last3_points,
+  streak, ats_streak, {", ".join(f"round(avg({c}) OVER p, 4) AS avg_{c}" for c in ADVANCED)}
   FROM d JOIN streak USING (game_id, team) JOIN ats_streak USING (game_id, team)
   WINDOW w AS (PARTITION BY d.team, season ORDER BY kickoff, d.game_id),
    p AS (PARTITION BY d.team, season ORDER BY kickoff, d.game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""

@@ -100,7 +100,7 @@ _ROWS = f"""{ctes()}, t AS (SELECT season, week FROM games GROUP BY ALL HAVING m
  base AS (SELECT g.*, g.week = t.week AS is_target FROM games g JOIN t USING (season) WHERE g.week = t.week OR (g.home_points IS NOT NULL AND g.week < t.week))"""
 
 
-@query(f"""WITH {_ROWS}, {TEAM_GAMES_SQL.replace("FROM games", "FROM base")}, p AS (SELECT game_id, team, count(points - allowed) OVER w AS games_played, round(avg(points) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS last3_points FROM tg
+@query(f"""WITH {_ROWS}, {TEAM_GAMES_SQL.replace("FROM games", "FROM base")}, p AS (SELECT game_id, team, count(points - allowed) OVER w AS games_played, round(avg(points) OVER (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS last3_points FROM tg
   WINDOW w AS (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT p.* FROM p JOIN base USING (game_id) WHERE is_target""")
 def upcoming_stats(spark, sf):
     """Running statistics of a target week, over the season's completed games and the week itself."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.stats import norm_quantile
+from ..functions.stats import norm_quantile, norm_quantile_sql
 from ..operators.relational import fallback_lookup, interval_match, latest, latest_then
 from ..registry import query, rounded
 from ..sources.proxy import GAMES_SQL, LINES_SQL, games, line_tape, table, ticks
@@ -154,7 +154,7 @@ def strided(spark, sf):
 
 
 @query(f"""WITH {GAMES_SQL}, d AS (SELECT game_id, kickoff + INTERVAL 1 HOUR * (game_id % 24) AS utc FROM games), e AS (SELECT *, timezone('America/New_York', utc::TIMESTAMP AT TIME ZONE 'UTC') AS et FROM d)
- SELECT game_id, year(et) - (month(et) < 7)::INT AS season, hour(et) AS kickoff_hour, et::DATE::VARCHAR AS day, date_trunc('day', et)::TIMESTAMP + INTERVAL 12 HOUR - INTERVAL 1 DAY * (CASE WHEN dayofweek(et) = 0 AND et <= date_trunc('day', et) + INTERVAL 12 HOUR THEN 7 ELSE dayofweek(et) END) AS decided_at,
+ SELECT game_id, year(et) - (month(et) < 7)::INT AS season, hour(et) AS kickoff_hour, et::DATE::VARCHAR AS day, date_trunc('day', et)::TIMESTAMP + INTERVAL 12 HOUR - INTERVAL 1 DAY * (CASE WHEN dayofweek(et) = 0 THEN 7 ELSE dayofweek(et) END) AS decided_at,
   date_trunc('week', et)::DATE::VARCHAR AS week_of FROM e""")
 def calendar(spark, sf):
     """Season, east-coast kickoff hour and day, decision time and week of every kickoff."""
@@ -176,14 +176,11 @@ def wind_geometry(spark, sf):
     return w.select("game_id", names.compass(F.col("blows")).alias("point"), *(rounded(parts[c]).alias(c) for c in ("angle", "along", "across")), parts["kind"].alias("kind"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS quote_id, (1 + o_orderkey % 998) / 999.0::DOUBLE AS p FROM orders) SELECT quote_id, round(p, 6) AS p, (p > 0.5) AS above, true AS undone FROM p""")
+@query(f"""WITH p AS (SELECT o_orderkey AS quote_id, (1 + o_orderkey % 998) / 999.0::DOUBLE AS p FROM orders) SELECT quote_id, round(p, 6) AS p, round({norm_quantile_sql("p")}, 6) AS z FROM p""")
 def normal_quantile(spark, sf):
-    """The quantile function undoes the distribution function to six digits."""
-    from ..functions.stats import norm_cdf
-
+    """The normal quantile of a probability."""
     p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("quote_id"), ((1 + F.col("o_orderkey") % 998) / F.lit(999.0)).alias("p"))
-    z = norm_quantile(F.col("p"))
-    return p.select("quote_id", rounded("p").alias("p"), (z > 0).alias("above"), (F.abs(norm_cdf(z) - F.col("p")) < 1e-6).alias("undone"))
+    return p.select("quote_id", rounded("p").alias("p"), rounded(norm_quantile(F.col("p"))).alias("z"))
 
 
 @query("""SELECT p_partkey AS part, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS title, split_part(p_name, ' ', 1) AS head, string_split(p_brand, '#')[2]::INT AS brand_no, regexp_replace(p_name, '[aeiou]+', '*', 'g') AS masked,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.odds import decimal_price, fair_pair, implied_probability, kelly
-from ..functions.stats import NORM_CDF_SQL, norm_cdf
+from ..functions.stats import NORM_CDF_SQL, norm_cdf, norm_quantile_sql
 from ..operators import execution as ex
 from ..operators import market as m
 from ..registry import query, rounded
@@ -207,16 +207,31 @@ def price_math(spark, sf):
     return q.select("quote_id", "game_id", rounded(fair_pair(a, implied_probability(F.lit(-115)))).alias("p_over"), rounded(a).alias("implied"), rounded(decimal_price(price)).alias("decimal_price"), rounded(kelly(F.lit(0.55), price)).alias("kelly"), rounded(m.expected_value(F.lit(0.55), F.lit(0.0), price)).alias("ev"))
 
 
-@query(f"""WITH {ctes(quotes=QUOTES)}, p AS (SELECT quote_id, game_id, line, price, 45 + game_id % 12 AS projection, 8 + 0.1::DOUBLE * line AS sigma FROM quotes), z AS (SELECT *, (line - projection) / sigma AS z FROM p)
- SELECT quote_id, game_id, round({NORM_CDF_SQL.replace("{z}", "z")}, 6) AS p_under, round({NORM_CDF_SQL.replace("{z}", "z")} - ({price_p("price")}), 6) AS edge, true AS holds FROM z""")
+@query(f"""WITH {ctes(quotes=QUOTES)}, p AS (SELECT quote_id, game_id, line, price, 45 + game_id % 12 AS projection, 8 + 0.1::DOUBLE * line AS sigma FROM quotes), z AS (SELECT *, (line - projection) / sigma AS z, ({price_p("price")}) + 0.02::DOUBLE AS need FROM p)
+ SELECT quote_id, game_id, round({NORM_CDF_SQL.replace("{z}", "z")}, 6) AS p_under, round({NORM_CDF_SQL.replace("{z}", "z")} - ({price_p("price")}), 6) AS edge, ceil((projection + ({norm_quantile_sql("need")}) * sigma) * 2) / 2 AS bet_to FROM z""")
 def repriced_edge(spark, sf):
-    """Probability and edge of an under by a spread that grows with the line; the bet-to total has the edge, half a point less has not."""
+    """Probability and edge of an under by a spread that grows with the line, and the lowest half point that still has the edge."""
     p = made(spark, sf, QUOTES).withColumns({"projection": 45 + F.col("game_id") % 12, "sigma": 8 + 0.1 * F.col("line")})
     under = norm_cdf((F.col("line") - F.col("projection")) / F.col("sigma"))
     to = m.bet_to(F.col("projection"), F.col("sigma"), F.col("price"), 0.02)
-    edge = lambda x: norm_cdf((x - F.col("projection")) / F.col("sigma")) - implied_probability(F.col("price"))
-    holds = (edge(to) >= 0.02 - 1e-6) & (edge(to - 0.5) < 0.02 + 1e-6)
-    return p.select("quote_id", "game_id", rounded(under).alias("p_under"), rounded(under - implied_probability(F.col("price"))).alias("edge"), holds.alias("holds"))
+    return p.select("quote_id", "game_id", rounded(under).alias("p_under"), rounded(under - implied_probability(F.col("price"))).alias("edge"), to.alias("bet_to"))
+
+
+def _lift(mean: str, sd: float) -> str:
+    z = f"(({mean}) / {sd}::DOUBLE)"
+    return f"(({mean}) * {NORM_CDF_SQL.replace('{z}', z)} + {sd}::DOUBLE * exp(-{z} * {z} / 2) * 0.3989422804014327 - ({mean}))"
+
+
+_BIAS = f"({_lift('(i / 2.0::DOUBLE - abs(spread)) / 2', 12.0)} + {_lift('(i / 2.0::DOUBLE + abs(spread)) / 2', 11.0)})"
+
+
+@query(f"""WITH {ctes()}, f AS (SELECT DISTINCT spread FROM games WHERE spread IS NOT NULL) SELECT spread, list_max(list_filter(range(0, 400), lambda i: {_BIAS} > 0.75)) / 2.0::DOUBLE AS bet_to FROM f""")
+def bet_to_total(spark, sf):
+    """The highest half-point total at which the floor under both scores still lifts the expected total by more than the threshold."""
+    from ..sources.proxy import games
+
+    f = games(spark, sf).filter("spread IS NOT NULL").select("spread").distinct()
+    return f.select("spread", m.bet_to_over(F.col("spread"), F.lit(12.0), F.lit(11.0), 0.75).alias("bet_to"))
 
 
 @query(f"""WITH {_MADE}, {_states()}, pairs AS (SELECT o.decision_id, o.line, {_fair("o.price", "u.price")} AS p FROM fresh o JOIN fresh u ON u.decision_id = o.decision_id AND u.book = o.book AND o.side = 'over' AND u.side = 'under' AND o.line = u.line),

@@ -44,10 +44,20 @@ def kalman_ratings(spark, sf):
     return out.select("team", F.col("season").cast("long").alias("season"), F.col("week").cast("long").alias("week"), rounded("mean").alias("mean"), rounded("variance").alias("variance"))
 
 
-@query(f"WITH {ctes()}, r AS (SELECT home_team AS team, season, avg(home_points) AS x FROM games WHERE home_points IS NOT NULL GROUP BY ALL), c AS (SELECT team, season, x - avg(x) OVER (PARTITION BY season) AS c FROM r), p AS (SELECT n.team, n.season, n.c AS now, w.c AS was FROM c n JOIN c w ON w.team = n.team AND w.season = n.season - 1), u AS (SELECT team, sum(was * now) AS xy, sum(was * was) AS xx FROM p GROUP BY team), t AS (SELECT sum(xy) / sum(xx) AS slope, sum(xx) AS sxx FROM u), e AS (SELECT sqrt(sum(pow(xy - slope * xx, 2))) / any_value(sxx) AS se FROM u, t) SELECT team, season + 1 AS season, round(slope * c, 6) AS prior, round(slope, 6) AS slope, round(se, 6) AS se FROM c, t, e")
+_RATED = f"{ctes()}, r AS (SELECT home_team AS team, season, avg(home_points) AS x, CASE WHEN (home_team + season) % 9 <> 0 THEN (home_team * 7 + season) % 10 / 10.0::DOUBLE END AS rp FROM games WHERE home_points IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""WITH {_RATED}, c AS (SELECT *, x - avg(x) OVER (PARTITION BY season) AS u FROM r), w AS (SELECT team, season + 1 AS season, u FROM c), q AS (SELECT w.team, w.u, c.u AS y, c.rp * w.u AS z FROM w JOIN c USING (team, season) WHERE c.rp IS NOT NULL),
+ p AS (SELECT team, sum(u * u) AS uu, sum(u * z) AS uz, sum(z * z) AS zz, sum(u * y) AS uy, sum(z * y) AS zy FROM q GROUP BY team), t AS (SELECT sum(uu) AS uu, sum(uz) AS uz, sum(zz) AS zz, sum(uy) AS uy, sum(zy) AS zy FROM p),
+ f AS (SELECT *, uu * zz - uz * uz AS det, (zz * uy - uz * zy) / (uu * zz - uz * uz) AS b, (uu * zy - uz * uy) / (uu * zz - uz * uz) AS c FROM t), s AS (SELECT p.uy - b * p.uu - c * p.uz AS su, p.zy - b * p.uz - c * p.zz AS sz FROM p, f), m AS (SELECT sum(su * su) AS m11, sum(su * sz) AS m12, sum(sz * sz) AS m22 FROM s),
+ e AS (SELECT b, c, sqrt(zz * zz * m11 - 2 * zz * uz * m12 + uz * uz * m22) / det AS se_b, sqrt(uz * uz * m11 - 2 * uz * uu * m12 + uu * uu * m22) / det AS se_c FROM f, m),
+ a AS (SELECT w.team, w.season, w.u, r.rp, coalesce(r.rp, avg(r.rp) OVER (PARTITION BY w.season), avg(r.rp) OVER ()) AS held FROM w LEFT JOIN r USING (team, season)), o AS (SELECT *, (b + c * held) * u AS prior FROM a, e)
+ SELECT team, season, round(prior - avg(prior) OVER (PARTITION BY season), 6) AS prior, round(b, 6) AS b, round(c, 6) AS c, round(se_b, 6) AS se_b, round(se_c, 6) AS se_c, CASE WHEN rp IS NULL THEN 'imputed' ELSE 'carryover' END AS source FROM o""")
 def carry_over_priors(spark, sf):
-    r = games(spark, sf).filter("home_points IS NOT NULL").groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("home_points").alias("x"))
-    return m.carry_over(r, "team", "season", "x").select("team", "season", rounded("prior").alias("prior"), rounded("slope").alias("slope"), rounded("se").alias("se"))
+    """Next season's priors from ratings and returning production."""
+    rp = F.when((F.col("home_team") + F.col("season")) % 9 != 0, (F.col("home_team") * 7 + F.col("season")) % 10 / 10.0)
+    r = games(spark, sf).filter("home_points IS NOT NULL").withColumn("rp", rp).groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("home_points").alias("x"), F.first("rp").alias("rp"))
+    return m.carry_over(r, "team", "season", "x", "rp").select("team", "season", *(rounded(c).alias(c) for c in ("prior", "b", "c", "se_b", "se_c")), "source")
 
 
 def _bias(mean: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import NORM_CDF_SQL, norm_cdf
+from ..functions.stats import NORM_CDF_SQL, norm_cdf, norm_quantile_sql
 from ..operators import rollups as r
 from ..operators.market import fair_line
 from ..operators.running import team_games
@@ -17,10 +17,22 @@ from .market import QUOTES
 PLAYERS = "SELECT l_orderkey AS game_id, l_linenumber AS week, l_suppkey % 32 AS team, l_partkey % 50 AS player, concat('P', l_partkey % 4) AS position, l_quantity AS snaps, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey % 64 AS DOUBLE) / 64 END AS rate, l_quantity * (l_partkey % 5) AS yards FROM {lineitem}"
 
 
-@query(f"WITH {ctes(quotes=QUOTES)}, m AS (SELECT *, count(line) OVER w AS n, median(line) OVER w AS med FROM quotes WINDOW w AS (PARTITION BY game_id)), k AS (SELECT * FROM m WHERE n < 3 OR abs(line - med) <= 8), b AS (SELECT *, median(line) OVER (PARTITION BY game_id) AS fair, count(*) OVER (PARTITION BY game_id) AS books, row_number() OVER (PARTITION BY game_id ORDER BY line, price DESC, book) AS r FROM k) SELECT game_id, fair, books, line, price, book, (line < 44 AND 44 < fair) OR (line < 51 AND 51 < fair) AS crosses FROM b WHERE r = 1")
+_POSTED = f"{ctes(quotes=QUOTES)}, posted AS (SELECT game_id, book, line, price FROM quotes QUALIFY row_number() OVER (PARTITION BY game_id, book ORDER BY quoted_at DESC, quote_id DESC, line DESC) = 1)"
+
+
+def posted(spark, sf):
+    """Every book's last quote of every game."""
+    last = F.max_by(F.struct("line", "price"), F.struct("quoted_at", "quote_id", "line"))
+    return made(spark, sf, QUOTES).groupBy("game_id", "book").agg(last.alias("x")).select("game_id", "book", "x.*")
+
+
+@query(f"""WITH {_POSTED}, m AS (SELECT *, count(*) OVER w AS n, median(line) OVER w AS med FROM posted WINDOW w AS (PARTITION BY game_id)), g AS (SELECT *, n < 3 OR abs(line - med) <= 2.5 AS near FROM m WHERE n >= 2), k AS (SELECT * FROM (SELECT *, count(*) FILTER (near) OVER (PARTITION BY game_id) AS n_near FROM g) WHERE near OR n_near < 2),
+ f AS (SELECT *, (list_sort(list(line) OVER w))[(count(*) OVER w // 2 + 1)::INT] AS fair, count(*) OVER w AS books, max(line) OVER w - min(line) OVER w AS "range", bool_or(price >= -120) OVER w AS playable FROM k WINDOW w AS (PARTITION BY game_id)),
+ b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY playable AND price < -120, line, CASE WHEN playable THEN -price END, book) = 1)
+ SELECT game_id, fair, books, "range", line, price, book, playable, (line < 44 AND 44 < fair) OR (line < 51 AND 51 < fair) AS crosses FROM b""")
 def best_number(spark, sf):
-    """Best number of every game after an outlier guard, with the fair one and the key numbers between."""
-    return r.shop(made(spark, sf, QUOTES), "game_id", 8.0, (44.0, 51.0))
+    """Fair total and the best playable over of every game that two books quote, with the key numbers between."""
+    return r.shop(posted(spark, sf), "game_id", 2.5, (44.0, 51.0))
 
 
 @query(f"WITH {ctes(quotes=QUOTES)} SELECT game_id, list_sort(list(line))[((count(*) - 1) // 2 + 1)::INT] AS low, list_sort(list(line))[(count(*) // 2 + 1)::INT] AS high FROM quotes GROUP BY game_id")
@@ -78,24 +90,18 @@ def points_share(spark, sf):
     return t.groupBy("season", F.expr("week div 13").alias("part")).agg(rounded(F.sum(F.when(F.col("line") < 0, F.col("points"))) / F.nullif(F.sum("points"), F.lit(0))).alias("favourites_share"))
 
 
-@query(f"WITH {ctes()}, h AS (SELECT week // 10 AS t, floor(total / 5)::BIGINT AS expected, home_points + away_points AS k, count(*) AS n FROM games WHERE home_points IS NOT NULL AND total IS NOT NULL GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY t, expected) AS all_n FROM h), e AS (SELECT * FROM c WHERE all_n >= 50 AND n >= 2), s AS (SELECT *, sum(n) OVER (PARTITION BY t, expected) AS kept FROM e) SELECT t, expected, k, n, round(n / kept::DOUBLE, 6) AS p FROM s")
-def middle_table(spark, sf):
-    """Distribution of the points by time and expectation: thin cells go, thin tails are trimmed, the rest is scaled to one."""
-    w = Window.partitionBy("t", "expected")
-    h = games(spark, sf).filter("home_points IS NOT NULL AND total IS NOT NULL").groupBy(F.expr("week div 10").alias("t"), F.floor(F.col("total") / 5).alias("expected"), (F.col("home_points") + F.col("away_points")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    kept = h.withColumn("all_n", F.sum("n").over(w)).filter("all_n >= 50 AND n >= 2")
-    return kept.select("t", "expected", "k", "n", rounded(F.col("n") / F.sum("n").over(w)).alias("p"))
+DRIVE_STARTS = """SELECT 1 + l_linenumber % 6 AS period, l_partkey % 17 AS clock_min, l_suppkey % 61 AS clock_sec, CAST(l_quantity AS BIGINT) AS points, 20 + o_orderkey * 31 % 57 AS final_total, 40 + CAST(o_orderkey * 13 % 41 AS DOUBLE) / 2 AS pregame_total FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"""
+_TB = "CASE " + " ".join(f"WHEN mins >= {a} AND mins < {b} THEN {i}" for i, (a, b) in enumerate(zip(r.MINUTES, r.MINUTES[1:]))) + " END"
 
 
-@query("WITH g AS (SELECT l_suppkey % 32 AS team, year(l_shipdate) AS season, l_linenumber % 2 AS half, date_diff('day', l_shipdate, lead(l_shipdate) OVER (PARTITION BY l_suppkey % 32 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey))::DOUBLE AS gap FROM lineitem), t AS (SELECT team, season, count(gap) AS n, median(gap) AS pace, avg(gap) FILTER (half = 0) AS a, avg(gap) FILTER (half = 1) AS b FROM g WHERE gap BETWEEN 0 AND 20 GROUP BY ALL) SELECT season, count(*) AS teams, round(quantile_cont(CASE WHEN n >= 5 THEN pace END, 0.25), 6) AS fast, round(median(CASE WHEN n >= 5 THEN pace END), 6) AS middle, round(corr(a, b), 6) AS reliability FROM t GROUP BY season")
-def pace(spark, sf):
-    """Gaps to the next snap by team and season, quartile and split-half reliability; few snaps give no pace."""
-    w = Window.partitionBy("team").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    g = table(spark, sf, "lineitem").withColumn("team", F.col("l_suppkey") % 32)
-    g = g.select("team", F.year("l_shipdate").cast("long").alias("season"), (F.col("l_linenumber") % 2).alias("half"), F.datediff(F.lead("l_shipdate").over(w), "l_shipdate").cast("double").alias("gap")).filter("gap BETWEEN 0 AND 20")
-    t = g.groupBy("team", "season").agg(F.count("gap").alias("n"), F.median("gap").alias("m"), F.avg(F.when(F.col("half") == 0, F.col("gap"))).alias("a"), F.avg(F.when(F.col("half") == 1, F.col("gap"))).alias("b"))
-    ok = F.when(F.col("n") >= 5, F.col("m"))
-    return t.groupBy("season").agg(F.count(F.lit(1)).alias("teams"), rounded(F.percentile(ok, 0.25)).alias("fast"), rounded(F.median(ok)).alias("middle"), rounded(F.corr("a", "b")).alias("reliability"))
+@query(f"""WITH {ctes(starts=DRIVE_STARTS)}, t AS (SELECT *, final_total - points AS rem, CASE WHEN period >= 5 THEN 0.0 WHEN period BETWEEN 1 AND 4 AND clock_min BETWEEN 0 AND 15 AND clock_sec BETWEEN 0 AND 59 THEN (4 - period) * 15.0::DOUBLE + clock_min + clock_sec / 60.0::DOUBLE END AS mins FROM starts),
+ h AS (SELECT ({_TB})::BIGINT AS tb, floor(pregame_total * mins / 60.0::DOUBLE / 10)::BIGINT AS eb, rem::BIGINT AS rem, count(*) AS n FROM t WHERE mins BETWEEN 0 AND 60 AND rem BETWEEN 0 AND 120 GROUP BY ALL),
+ c AS (SELECT *, sum(n) OVER w AS cell, sum(rem * n) OVER w / sum(n) OVER w AS mean FROM h WHERE tb IS NOT NULL WINDOW w AS (PARTITION BY tb, eb)), e AS (SELECT *, min(rem) FILTER (n / cell >= 0.01) OVER w AS lo, max(rem) FILTER (n / cell >= 0.01) OVER w AS hi FROM c WHERE cell >= 100 WINDOW w AS (PARTITION BY tb, eb)),
+ k AS (SELECT * FROM e WHERE rem BETWEEN lo AND hi) SELECT tb, eb, rem, n, round(n / sum(n) OVER (PARTITION BY tb, eb), 6) AS p, round(mean, 3) AS mean FROM k""")
+def middle_table(spark, sf):
+    """Points still to come by minutes left and expected rest: thin cells go, thin tails end, the rest adds up to one."""
+    out = r.remaining_points(made(spark, sf, DRIVE_STARTS), tail=0.01)
+    return out.select("tb", "eb", "rem", "n", rounded("p").alias("p"), rounded("mean", 3).alias("mean"))
 
 
 @query(f"WITH {ctes()}, x AS (SELECT season, corr(y, a) AS ya, corr(y, w) AS yw, corr(a, w) AS aw FROM (SELECT season, home_points + away_points AS y, total AS a, week AS w FROM games WHERE home_points IS NOT NULL AND total IS NOT NULL) GROUP BY season) SELECT season, round((ya - yw * aw) / sqrt((1 - yw * yw) * (1 - aw * aw)), 6) AS partial FROM x")
@@ -106,10 +112,13 @@ def partial_correlation(spark, sf):
     return x.select("season", rounded((F.col("ya") - F.col("yw") * F.col("aw")) / F.sqrt((1 - F.col("yw") * F.col("yw")) * (1 - F.col("aw") * F.col("aw")))).alias("partial"))
 
 
-@query(f"WITH {ctes()}, a AS (SELECT home_team AS team, season, count(*) AS n, count(*) FILTER (home_points > away_points) AS k FROM games WHERE home_points IS NOT NULL GROUP BY ALL) SELECT team, season, round(sum(k) OVER w / sum(n) OVER w::DOUBLE, 6) AS group_rate, round(n / (n + 30.0::DOUBLE) * k / n + (1 - n / (n + 30.0::DOUBLE)) * (sum(k) OVER w / sum(n) OVER w::DOUBLE), 6) AS shrunk FROM a WINDOW w AS (PARTITION BY season)")
+@query(f"""WITH {ctes()}, a AS (SELECT home_team AS team, season, count(*)::DOUBLE AS n, count(*) FILTER (home_points > away_points)::DOUBLE / count(*) AS r FROM games WHERE home_points IS NOT NULL GROUP BY ALL), m AS (SELECT season, sum(n * r) / sum(n) AS mu, avg(n) AS nbar FROM a GROUP BY season),
+ v AS (SELECT season, any_value(mu) AS mu, sum(n * pow(r - mu, 2)) / sum(n) AS spread, sum(n * n * pow(r - mu, 2)) / sum(n) AS s2, any_value(nbar) AS nbar FROM a JOIN m USING (season) GROUP BY season)
+ SELECT team, season, round(mu, 6) AS group_rate, round(n / (n + s2 / greatest(spread - s2 / nbar, 1e-9)), 6) AS weight, round(mu + n / (n + s2 / greatest(spread - s2 / nbar, 1e-9)) * (r - mu), 6) AS shrunk FROM a JOIN v USING (season)""")
 def shrunk_rates(spark, sf):
+    """Teams' win rates pulled to the season's, as far as noise explains how they differ."""
     a = games(spark, sf).filter("home_points IS NOT NULL").groupBy(F.col("home_team").alias("team"), "season").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home_points") > F.col("away_points")).alias("k"))
-    return r.shrink(a, "k", "n", 30.0, ["season"]).select("team", "season", rounded("group_rate").alias("group_rate"), rounded("shrunk").alias("shrunk"))
+    return r.shrink(a, "k", "n", ["season"]).select("team", "season", rounded("group_rate").alias("group_rate"), rounded("shrink_weight").alias("weight"), rounded("shrunk").alias("shrunk"))
 
 
 @query(f"WITH {ctes()}, d AS (SELECT season, home_team AS team, home_points % 5 AS k, 5 AS n FROM games WHERE home_points IS NOT NULL), p AS (SELECT season, team, least(0.98, greatest(0.02, sum(k) / sum(n)::DOUBLE)) AS p, count(*) AS games FROM d GROUP BY ALL), x AS (SELECT season, team, sum(pow(k - n * p, 2) / (n * p * (1 - p))) AS x, max(games) AS games FROM d JOIN p USING (season, team) GROUP BY ALL HAVING max(games) > 1) SELECT season, round(sum(x) / sum(games - 1), 6) AS phi FROM x GROUP BY season")
@@ -154,15 +163,14 @@ def margin_bins(spark, sf):
     return games(spark, sf).filter("home_points IS NOT NULL").groupBy("season", r.fixed_bins(F.col("home_points") - F.col("away_points"), (-60, -14, -3, 3, 14, 60)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ctes(quotes=QUOTES)}, o AS (SELECT game_id, arg_min(line, (quoted_at, quote_id, line)) AS a, arg_max(line, (quoted_at, quote_id, line)) AS b, min(quoted_at) AS t0, max(quoted_at) AS t1 FROM quotes GROUP BY game_id), k AS (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS mark), m AS (SELECT o.*, mark, (SELECT arg_max(line, (quoted_at, quote_id, line)) FROM quotes q WHERE q.game_id = o.game_id AND epoch(q.quoted_at) <= epoch(t0) + mark * (epoch(t1) - epoch(t0))) AS l FROM o, k WHERE a <> b) SELECT mark, count(*) AS n, round(avg((l - a) / (b - a)), 6) AS done FROM m GROUP BY mark")
+@query(f"""WITH {ctes(quotes=QUOTES)}, t AS (SELECT q.*, date_diff('microsecond', quoted_at::TIMESTAMP, o_orderdate::TIMESTAMP + INTERVAL 121 DAY) / 3.6e9 AS h FROM quotes q JOIN orders ON o_orderkey = game_id), b AS (SELECT * FROM t WHERE h > 0),
+ e AS (SELECT game_id, arg_min(line, (quoted_at, quote_id)) AS a, arg_max(line, (quoted_at, quote_id)) AS z FROM b GROUP BY game_id HAVING abs(a - z) >= 1), m AS (SELECT unnest({list(r.MARKS)}) AS hours), l AS (SELECT game_id, hours, arg_max(line, (quoted_at, quote_id)) AS line FROM b JOIN m ON h >= hours GROUP BY ALL)
+ SELECT hours::BIGINT AS hours, count(*) AS games, round(median((line - a) / (z - a)), 6) AS done FROM l JOIN e USING (game_id) GROUP BY hours""")
 def move_decay(spark, sf):
-    """The share of the move from open to close that is done at each mark: the last quote at or before it."""
-    q = made(spark, sf, QUOTES).withColumn("t", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', quoted_at)"))
-    at = F.struct("quoted_at", "quote_id", "line")
-    o = q.groupBy("game_id").agg(F.min_by("line", at).alias("a"), F.max_by("line", at).alias("b"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter("a <> b")
-    marks = o.withColumn("mark", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75)))))
-    last = marks.join(q.select("game_id", "line", "t", "quoted_at", "quote_id"), "game_id").filter("t <= t0 + mark * (t1 - t0)").groupBy("game_id", "mark").agg(F.max_by(F.struct("line", "a", "b"), at).alias("x"))
-    return last.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.col("x.line") - F.col("x.a")) / (F.col("x.b") - F.col("x.a")))).alias("done"))
+    """The middle share of games' moves that was done so many hours before kickoff."""
+    kick = table(spark, sf, "orders").select(F.col("o_orderkey").alias("game_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL '121' DAY")).alias("kickoff"))
+    ticks = made(spark, sf, QUOTES).join(kick, "game_id")
+    return r.move_decay(ticks, "game_id", "line", "quoted_at", "quote_id", "kickoff").groupBy("hours").agg(F.count(F.lit(1)).alias("games"), rounded(F.median("done")).alias("done"))
 
 
 @query(f"WITH {ctes()}, a AS (SELECT o_orderkey AS ask_id, o_custkey % 40 AS home_team, o_orderdate + INTERVAL 1 HOUR * (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 40 END) AS asked_at FROM orders WHERE o_orderkey % 2 = 0), h AS (SELECT ask_id, count(*) AS n, min(game_id) AS one, min(game_id) FILTER (asked_at = kickoff) AS exact FROM a JOIN games USING (home_team) WHERE abs(epoch(asked_at) - epoch(kickoff)) <= 30 * 3600 GROUP BY ask_id), s AS (SELECT a.ask_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'window' WHEN n > 1 THEN 'ambiguous' ELSE 'missed' END AS how, one, exact FROM a LEFT JOIN h USING (ask_id)) SELECT ask_id, how, CASE how WHEN 'exact' THEN exact WHEN 'window' THEN one END AS game_id FROM s")
@@ -186,12 +194,11 @@ def score_index(spark, sf):
     return out.select("ask_id", how.alias("how"), F.when(F.col("n") == 1, F.col("g")).when(F.col("nw") == 1, F.col("gw")).when(F.col("nh") == 1, F.col("gh")).alias("game_id"))
 
 
-@query(f"WITH {ctes(quotes=QUOTES)} SELECT quote_id, game_id, line, round(p, 6) AS p_over, true AS even FROM (SELECT quote_id, game_id, line, 0.4 + (quote_id % 20) / 100.0::DOUBLE AS p FROM quotes)")
+@query(f"WITH {ctes(quotes=QUOTES)}, f AS (SELECT quote_id, game_id, line, 0.4 + (quote_id % 20) / 100.0::DOUBLE AS p FROM quotes) SELECT quote_id, game_id, line, round(p, 6) AS p_over, round(line - 10 * ({norm_quantile_sql('(1 - p)')}), 5) AS fair FROM f")
 def fair_lines(spark, sf):
     """The fair line of a quote: there the model gives both sides a half."""
     q = made(spark, sf, QUOTES).withColumn("p", 0.4 + (F.col("quote_id") % 20) / 100.0)
-    fair = fair_line(F.col("line"), F.col("p"), F.lit(10.0))
-    return q.select("quote_id", "game_id", "line", rounded("p").alias("p_over"), (F.abs(norm_cdf((F.col("line") - fair) / 10.0) - (1 - F.col("p"))) < 1e-6).alias("even"))
+    return q.select("quote_id", "game_id", "line", rounded("p").alias("p_over"), rounded(fair_line(F.col("line"), F.col("p"), F.lit(10.0)), 5).alias("fair"))
 
 
 # ---- the matchup reports

@@ -78,10 +78,16 @@ def paired_scores(spark, sf):
     return t.paired_scores(_forecasts(spark, sf), "y", "a", "b", ["season"]).select("season", "n", *_r("d_mse", "d_mae", "nearer"))
 
 
-@query(f"""WITH {_FORECASTS}, d AS (SELECT season, (y - b) * (y - b) - ((y - a) * (y - a) - (b - a) * (b - a)) AS f FROM f), s AS (SELECT season, count(*) AS n, avg(f) AS mean, avg(f) / (stddev_samp(f) / sqrt(count(*))) AS t FROM d GROUP BY season)
- SELECT season, n, round(mean, 6) AS mean, round(t, 6) AS t, round(1 - {NORM_CDF_SQL.replace("{z}", "t")}, 6) AS p FROM s""")
+@query(f"""WITH {_FORECASTS}, d AS (SELECT season, week // 6 AS g0, (y - b) * (y - b) - ((y - a) * (y - a) - (b - a) * (b - a)) AS f FROM f), k AS (SELECT season, g0, sum(f) AS s, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+ c AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY g0) - 1 AS g, count(*) OVER w AS gg, sum(n) OVER w AS nn, sum(s) OVER w / sum(n) OVER w AS mean FROM k WINDOW w AS (PARTITION BY season)), r AS (SELECT *, s - mean * n AS c FROM c),
+ o AS (SELECT season, any_value(gg) AS gg, any_value(nn) AS nn, any_value(mean) AS mean, any_value(mean) / (sqrt(sum(c * c) * any_value(gg) / (any_value(gg) - 1.0::DOUBLE)) / any_value(nn)) AS t FROM r GROUP BY season),
+ draws AS (SELECT season, unnest(range(0, (2 ** gg)::BIGINT)) AS draw FROM o), e AS (SELECT r.season, draw, c * (2 * ((draw >> g) & 1) - 1) AS x, n, nn, gg FROM r JOIN draws USING (season)),
+ v AS (SELECT season, draw, sum(x) / any_value(nn) / (sqrt(any_value(gg) / (any_value(gg) - 1.0::DOUBLE)) * sqrt(greatest(sum(x * x) - 2 * sum(x) / any_value(nn) * sum(x * n) + pow(sum(x) / any_value(nn), 2) * sum(n * n), 0)) / any_value(nn)) AS ts FROM e GROUP BY ALL),
+ p AS (SELECT season, avg((abs(ts) >= abs(t) - 1e-9)::INT) AS p FROM v JOIN o USING (season) GROUP BY season) SELECT season, nn::BIGINT AS n, gg AS clusters, round(mean, 6) AS mean, round(t, 6) AS t, round(CASE WHEN mean > 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS p FROM o JOIN p USING (season)""")
 def clark_west(spark, sf):
-    return t.clark_west(_forecasts(spark, sf), "y", "b", "a", ["season"]).select("season", "n", *_r("mean", "t", "p"))
+    """Whether the market's total beats a fixed one that it nests: the p-value from all sign patterns of parts of the season."""
+    rows = _forecasts(spark, sf).withColumn("part", F.expr("week div 6"))
+    return t.clark_west(rows, "y", "b", "a", ["part"], ["season"]).select("season", "n", "clusters", *_r("mean", "t", "p"))
 
 
 @query(f"""WITH {_FORECASTS}, m AS (SELECT season, count(*) AS n, avg(a) AS mx, avg(y) AS my, regr_slope(y, a) AS slope, regr_sxx(y, a) AS sxx FROM f GROUP BY season),

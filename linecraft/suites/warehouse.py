@@ -39,7 +39,6 @@ WEATHER_B = "SELECT game_id, CAST(game_id % 61 AS DOUBLE) AS temperature, CAST(g
 NAMES = "SELECT DISTINCT home_team AS team, concat('School ', home_team) AS name FROM {games} WHERE home_team % 10 <> 0"
 POLLS = "SELECT season, week, concat('P', game_id % 2) AS poll, concat('School ', home_team) AS name, home_team % 25 + 1 AS rank FROM {games}"
 DRIVES = "SELECT l_orderkey AS game_id, l_linenumber AS drive, concat('School ', l_suppkey % 40) AS offense, concat('School ', l_partkey % 45) AS defense, l_quantity AS yards FROM {lineitem}"
-PLAYS = "SELECT l_orderkey AS game_id, l_linenumber AS play, l_linenumber * 6 + l_quantity / 4 AS clock FROM {lineitem}"
 SITES = ["B6", "B7"]
 
 
@@ -207,16 +206,6 @@ def fact_drive(spark, sf):
     return w.drives(made(spark, sf, DRIVES), made(spark, sf, NAMES))
 
 
-_GAPS = ", ".join(f"round(avg((g{k} < 0 OR g{k} > 40)::INT), 6) AS bad_{k}" for k in range(1, 6))
-
-
-@query(f"""WITH {ctes(plays=PLAYS)}, g AS (SELECT game_id, {", ".join(f"lead(clock, {k}) OVER w - clock AS g{k}" for k in range(1, 6))} FROM plays WINDOW w AS (PARTITION BY game_id ORDER BY play, clock))
- SELECT game_id, count(*) AS plays, round(avg(g1) FILTER (NOT (g1 < 0 OR g1 > 40)), 6) AS mean_gap, {_GAPS}, coalesce(avg((g1 < 0 OR g1 > 40)::INT) > 0.1, false) AS flagged FROM g GROUP BY game_id""")
-def fact_game_clock_quality(spark, sf):
-    out = w.clock_quality(made(spark, sf, PLAYS))
-    return out.select("game_id", "plays", rounded("mean_gap").alias("mean_gap"), *(rounded(f"bad_{k}").alias(f"bad_{k}") for k in range(1, 6)), "flagged")
-
-
 @query(f"""WITH {_BOOKS_SQL} SELECT g.game_id, g.season, s.spread AS book_spread, t.total AS book_total FROM games g LEFT JOIN books s ON s.game_id = g.game_id AND s.book = 'DraftKings' LEFT JOIN books t ON t.game_id = g.game_id AND t.book = 'FanDuel'""")
 def v_game(spark, sf):
     return w.v_game(games(spark, sf).select("game_id", "season"), _books(spark, sf), "DraftKings", "FanDuel")
