@@ -92,26 +92,28 @@ def wild_mean(df: DataFrame, x: str, cluster: list[str], by: list[str], enumerat
     draws need the clusters' sums only.  Up to ``enumerated`` clusters all sign patterns are taken, beyond that ``draws``
     patterns by hash.  Fewer than ``least`` clusters have a mean but no interval: signs of a few say nothing.
     """
-    per = df.filter(F.col(x).isNotNull()).groupBy(*by, *cluster).agg(F.sum(x).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    per = df.filter(F.col(x).isNotNull()).groupBy(*by, *cluster).agg(F.sum(x).cast("double").alias("__s"), F.count(F.lit(1)).cast("double").alias("__n"))
     w = Window.partitionBy(*by)
-    per = per.withColumns({"g": F.row_number().over(w.orderBy(*cluster)) - 1, "groups": F.count(F.lit(1)).over(w), "total": F.sum("n").over(w), "mean": F.sum("s").over(w) / F.sum("n").over(w)})
-    per = per.withColumn("c", F.col("s") - F.col("mean") * F.col("n"))
-    scale = F.sqrt(F.col("groups") / F.greatest(F.col("groups") - 1, F.lit(1)))
-    own = per.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.first("groups").alias("clusters"), F.first("mean").alias("mean"), (F.sqrt(F.sum(F.col("c") * F.col("c")) * F.first("groups") / F.greatest(F.first("groups") - 1, F.lit(1))) / F.first("total")).alias("se"))
+    per = per.withColumns({"__g": F.row_number().over(w.orderBy(*cluster)) - 1, "__k": F.count(F.lit(1)).over(w), "__total": F.sum("__n").over(w), "__mean": F.sum("__s").over(w) / F.sum("__n").over(w)})
+    per = per.withColumn("__c", F.col("__s") - F.col("__mean") * F.col("__n"))
+    scale = lambda k: F.sqrt(k / F.greatest(k - 1, F.lit(1)))
+    own = per.groupBy(*by).agg(F.sum("__n").cast("long").alias("n"), F.first("__k").alias("clusters"), F.first("__mean").alias("mean"), (scale(F.first("__k")) * F.sqrt(F.sum(F.col("__c") * F.col("__c"))) / F.first("__total")).alias("se"))
     own = own.withColumn("t", F.col("mean") / F.nullif(F.col("se"), F.lit(0.0)))
-    patterns = F.when(F.col("groups") <= enumerated, F.pow(F.lit(2), F.col("groups"))).otherwise(F.lit(draws)).cast("int")
-    each = per.filter(F.col("groups") >= least).withColumn("draw", F.explode(F.sequence(F.lit(0), patterns - 1)))
-    bit = F.when(F.col("groups") <= enumerated, F.expr("(draw >> CAST(g AS INT)) & 1")).otherwise(F.pmod(F.xxhash64("draw", *cluster), F.lit(2)).cast("int"))
-    star = each.withColumn("r", F.col("c") * (2 * bit - 1))
-    sums = star.groupBy(*by, "draw").agg(F.first("groups").alias("groups"), F.first("total").alias("total"), F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("n")).alias("rn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    patterns = F.when(F.col("__k") <= enumerated, F.pow(F.lit(2), F.col("__k"))).otherwise(F.lit(draws)).cast("int")
+    each = per.filter(F.col("__k") >= least).withColumn("__draw", F.explode(F.sequence(F.lit(0), patterns - 1)))
+    bit = F.when(F.col("__k") <= enumerated, F.expr("(__draw >> CAST(__g AS INT)) & 1")).otherwise(F.pmod(F.xxhash64("__draw", *cluster), F.lit(2)).cast("int"))
+    star = each.withColumn("__r", F.col("__c") * (2 * bit - 1))
+    product = lambda i, j: F.sum(F.col(i) * F.col(j))
+    sums = star.groupBy(*by, "__draw").agg(F.first("__k").alias("k"), F.first("__total").alias("total"), F.sum("__r").alias("sr"), product("__r", "__r").alias("rr"), product("__r", "__n").alias("rn"), product("__n", "__n").alias("nn"))
     mean = F.col("sr") / F.col("total")
     # the draw's own residuals, cluster by cluster: r less its mean times the cluster's size
     square = F.greatest(F.col("rr") - 2 * mean * F.col("rn") + mean * mean * F.col("nn"), F.lit(0.0))
-    se = scale * F.sqrt(square) / F.col("total")
-    ts = sums.select(*(F.col(b).alias(f"__{b}") for b in by), F.when(se > 1e-12, mean / se).otherwise(0.0).alias("ts"))
-    both = own.join(ts, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] or F.lit(True), "left")
-    out = both.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("n", "clusters", "mean", "se", "t")), F.percentile("ts", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.abs("ts") >= F.abs("t") - 1e-9).cast("int")).alias("p"))
-    return out.select(*by, "n", "clusters", "mean", "t", (F.col("mean") - F.get("q", F.lit(1)) * F.col("se")).alias("low"), (F.col("mean") - F.get("q", F.lit(0)) * F.col("se")).alias("high"), F.when(F.col("t").isNotNull(), F.col("p")).alias("p"))
+    se = scale(F.col("k")) * F.sqrt(square) / F.col("total")
+    ts = sums.select(*(F.col(b).alias(f"__by_{b}") for b in by), F.when(se > 1e-12, mean / se).otherwise(0.0).alias("__ts"))
+    both = own.join(ts, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by] or F.lit(True), "left")
+    out = both.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("n", "clusters", "mean", "se", "t")), F.percentile("__ts", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), F.avg((F.abs("__ts") >= F.abs("t") - 1e-9).cast("int")).alias("p"))
+    low, high = (F.col("mean") - F.get("__q", F.lit(i)) * F.col("se") for i in (1, 0))
+    return out.select(*by, "n", "clusters", "mean", "t", low.alias("low"), high.alias("high"), F.when(F.col("t").isNotNull(), F.col("p")).alias("p"))
 
 
 def clark_west(df: DataFrame, truth: str, small: str, large: str, cluster: list[str], by: list[str]) -> DataFrame:
