@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import norm_cdf
 
@@ -37,12 +38,11 @@ def _ridge(strength: float):
         x = np.zeros((len(pdf), 2 * k + 2))
         x[np.arange(len(pdf)), a], x[np.arange(len(pdf)), k + b] = 1, 1
         x[:, -2], x[:, -1] = 1, pdf["is_home"] - 0.5
-        w = pdf["weight"].to_numpy(float)
         penalty = np.diag([strength] * (2 * k) + [0.0, 0.0])
-        gram = x.T @ (x * w[:, None]) + penalty
-        fit = np.linalg.solve(gram, x.T @ (w * pdf["rate"].to_numpy(float)))
-        pace = np.linalg.solve(gram, x.T @ (w * pdf["weight"].to_numpy(float)))
-        n = np.bincount(a, minlength=k)
+        gram = x.T @ (x * pdf["w"].to_numpy(float)[:, None]) + penalty
+        fit = np.linalg.solve(gram, x.T @ pdf["wr"].to_numpy(float))
+        pace = np.linalg.solve(gram, x.T @ pdf["ww"].to_numpy(float))
+        n = np.bincount(a, pdf["n"].to_numpy(), k).astype(np.int64)
         return pd.DataFrame({"season": int(pdf["season"].iloc[0]), "cutoff": str(pdf["cutoff"].iloc[0]), "team": teams, "attack": fit[:k], "defence": fit[k : 2 * k], "pace": pace[:k] + pace[k : 2 * k] + pace[-2], "n": n})
 
     return run
@@ -52,9 +52,12 @@ def ratings_at(rows: DataFrame, strength: float = 10.0) -> DataFrame:
     """Ridge ratings of points per possession and of pace at every cutoff.
 
     ``rows``: season, cutoff, team, opponent, is_home, rate (points per possession), weight (possessions).
-    Team effects are penalised, the level and the home edge are not.
+    Team effects are penalised, the level and the home edge are not.  Rows are added up to pairings first, so a
+    task holds two rows a pair of teams, whatever the number of games.
     """
-    return rows.groupBy("season", "cutoff").applyInPandas(_ridge(strength), RATING)
+    w, r = F.col("weight").cast("double"), F.col("rate").cast("double")
+    sums = rows.dropna(subset=["team", "opponent", "is_home", "rate", "weight"]).groupBy("season", "cutoff", "team", "opponent", "is_home").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * r).alias("wr"), F.sum(w * w).alias("ww"))
+    return sums.groupBy("season", "cutoff").applyInPandas(_ridge(strength), RATING)
 
 
 def total_forecast(home: DataFrame, possessions: Column, level: Column) -> Column:
@@ -106,10 +109,10 @@ def carry_over(ratings: DataFrame, unit: str, season: str, x: str, returning: st
     its prior and teaches nothing.  Priors are centred by season.  Returns unit, season, prior, b, c, se_b, se_c, source.
     """
     centred = ratings.withColumn("__c", F.col(x) - F.avg(x).over(Window.partitionBy(season)))
-    was = centred.select(unit, (F.col(season) + 1).alias(season), F.col("__c").alias("u"))
-    both = was.join(centred.select(unit, season, F.col("__c").alias("now"), returning), [unit, season], "left")
-    pairs = both.dropna(subset=["now", "u", returning]).withColumn("z", F.col(returning) * F.col("u"))
-    products = {"uu": ("u", "u"), "uz": ("u", "z"), "zz": ("z", "z"), "uy": ("u", "now"), "zy": ("z", "now")}
+    was = centred.select(unit, (F.col(season) + 1).alias(season), F.col("__c").alias("__u"))
+    both = was.join(centred.select(unit, season, F.col("__c").alias("__now"), returning), [unit, season], "left")
+    pairs = both.dropna(subset=["__now", "__u", returning]).withColumn("__z", F.col(returning) * F.col("__u"))
+    products = {"uu": ("__u", "__u"), "uz": ("__u", "__z"), "zz": ("__z", "__z"), "uy": ("__u", "__now"), "zy": ("__z", "__now")}
     per = pairs.groupBy(unit).agg(*(F.sum(F.col(i) * F.col(j)).alias(k) for k, (i, j) in products.items()))
     total = per.agg(*(F.sum(k).alias(f"t_{k}") for k in products))
     det = F.nullif(F.col("t_uu") * F.col("t_zz") - F.col("t_uz") * F.col("t_uz"), F.lit(0.0))
@@ -123,7 +126,7 @@ def carry_over(ratings: DataFrame, unit: str, season: str, x: str, returning: st
     asked = was.join(ratings.select(unit, season, F.col(returning).alias("__r")), [unit, season], "left")
     held = F.coalesce("__r", F.avg("__r").over(Window.partitionBy(season)), F.avg("__r").over(Window.partitionBy(F.lit(0))))
     out = asked.withColumns({"__h": held, "source": F.when(F.col("__r").isNull(), "imputed").otherwise("carryover")}).crossJoin(F.broadcast(fit))
-    raw = (F.col("b") + F.col("c") * F.col("__h")) * F.col("u")
+    raw = (F.col("b") + F.col("c") * F.col("__h")) * F.col("__u")
     return out.withColumn("__p", raw).select(unit, season, (F.col("__p") - F.avg("__p").over(Window.partitionBy(season))).alias("prior"), "b", "c", "se_b", "se_c", "source")
 
 
@@ -148,9 +151,12 @@ def over_probability(mean_a: Column, mean_b: Column, sd: Column, line: Column) -
 def holdout_folds(games: DataFrame, season: str, kickoff: str, embargo_days: int) -> DataFrame:
     """Row roles of every season's fold: test, train (earlier seasons), or none (inside the embargo before the test)."""
     starts = games.groupBy(F.col(season).alias("fold")).agg(F.min(kickoff).alias("__start"))
-    rows = games.join(F.broadcast(starts), F.col(season) <= F.col("fold"))
-    gap = F.datediff("__start", F.col(kickoff))
-    return rows.withColumn("role", F.when(F.col(season) == F.col("fold"), "test").when(gap > embargo_days, "train").otherwise("embargo")).drop("__start")
+    known = starts.agg(F.sort_array(F.collect_list(F.struct("fold", "__start"))).alias("__folds"))  # one row of seasons
+    later = F.filter("__folds", lambda f: f["fold"] >= F.col(season))
+    rows = games.filter(F.col(season).isNotNull()).crossJoin(F.broadcast(known)).select(*games.columns, F.explode(later).alias("__f"))
+    gap = F.datediff(F.col("__f.__start"), F.col(kickoff))
+    role = F.when(F.col(season) == F.col("__f.fold"), "test").when(gap > embargo_days, "train").otherwise("embargo")
+    return rows.select(*games.columns, F.col("__f.fold").alias("fold"), role.alias("role"))
 
 
 def consensus(df: DataFrame, key: list[str], forecasts: list[str]) -> DataFrame:
@@ -205,6 +211,8 @@ def boosted_walk(df: DataFrame, columns: list[str], y: str, season: str, key: li
         vector = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__x")
         trees = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=10, maxDepth=3, seed=5).fit(vector.transform(model.transform(train)))
         parts.append(trees.transform(vector.transform(model.transform(test))).select(*key, F.col("prediction").alias("forecast")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], T.StructType([*(df.schema[k] for k in key), T.StructField("forecast", T.DoubleType())]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -231,17 +239,18 @@ def _mixed(prior_sd: float, rounds: int):
         a, b = np.searchsorted(teams, pdf["team"]), np.searchsorted(teams, pdf["opponent"])
         z = np.zeros((len(pdf), 2 * k))
         z[np.arange(len(pdf)), a], z[np.arange(len(pdf)), k + b] = 1, 1
-        y = pdf["y"].to_numpy(float) - pdf["y"].mean()
-        gram, zy = z.T @ z, z.T @ y
-        s_e, s_u = y.var(), np.full(2, y.var() / 4)
+        n, total = pdf["n"].to_numpy(float), pdf["n"].sum()
+        level = pdf["s"].sum() / total
+        zy = z.T @ (pdf["s"].to_numpy(float) - level * n)
+        gram, yy = z.T @ (z * n[:, None]), pdf["ss"].sum() - level * pdf["s"].sum()
+        s_e, s_u = yy / total, np.full(2, yy / total / 4)
         for _ in range(rounds):  # expectation and maximisation of the three variances
             ridge = np.repeat(s_e / np.maximum(s_u, 1e-9), k)
             cov = np.linalg.inv(gram + np.diag(ridge))
             u = cov @ zy
             spread = np.diag(cov) * s_e
             s_u = np.array([(u[:k] ** 2 + spread[:k]).mean(), (u[k:] ** 2 + spread[k:]).mean()])
-            r = y - z @ u
-            s_e = (r @ r + s_e * np.trace(gram @ cov)) / len(y)
+            s_e = (yy - 2 * u @ zy + u @ gram @ u + s_e * np.trace(gram @ cov)) / total
         se = np.sqrt(spread[:k])
         weight = 1 / se**2 / (1 / se**2 + 1 / prior_sd**2)
         return pd.DataFrame({"season": int(pdf["season"].iloc[0]), "team": teams, "effect": u[:k], "se": se, "blended": weight * u[:k]})
@@ -250,8 +259,13 @@ def _mixed(prior_sd: float, rounds: int):
 
 
 def mixed_model(rows: DataFrame, prior_sd: float = 5.0, rounds: int = 20) -> DataFrame:
-    """Crossed random effects of attack and defence by season, their standard errors, and the blend with a zero prior by precision."""
-    return rows.groupBy("season").applyInPandas(_mixed(prior_sd, rounds), MIXED)
+    """Crossed random effects of attack and defence by season, their standard errors, and the blend with a zero prior by precision.
+
+    Rows are added up to pairings first: the fit needs counts, sums and squares of each only.
+    """
+    y = F.col("y").cast("double")
+    sums = rows.dropna(subset=["team", "opponent", "y"]).groupBy("season", "team", "opponent").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
+    return sums.groupBy("season").applyInPandas(_mixed(prior_sd, rounds), MIXED)
 
 
 def random_search(spaces: dict[str, tuple[float, float]], trials: int, seed: int = 1) -> Iterator[dict[str, float]]:

@@ -5,6 +5,10 @@ The functions on plain DataFrames serve batches and, inside ``foreachBatch``, st
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +92,26 @@ def fill_close(log: DataFrame, closes: DataFrame, key: str) -> DataFrame:
 
 
 def chained(rows: DataFrame, account: str, order: str, payload: list[str]) -> DataFrame:
-    """Rows of each account with a hash over their payload and the hash before; an account is one fold."""
-    body = F.to_json(F.struct(*payload))
-    per = rows.groupBy(account).agg(F.sort_array(F.collect_list(F.struct(order, body.alias("body")))).alias("h"))
-    step = lambda s, x: F.concat(s, F.array(F.struct(x[order].alias(order), x["body"].alias("body"), F.sha2(F.concat(F.coalesce(F.get(s, F.size(s) - 1)["sha"], F.lit("")), x["body"]), 256).alias("sha"))))
-    start = F.array().cast(f"array<struct<{order}:{rows.schema[order].dataType.simpleString()},body:string,sha:string>>")
-    return per.select(account, F.explode(F.aggregate("h", start, step)).alias("x")).select(account, "x.*")
+    """Rows of each account with a hash over their payload and the hash before.
+
+    A task reads its accounts in order and keeps one hash, so an account of any length is a stream.
+    """
+    body = F.to_json(F.struct(*payload)).alias("body")
+    sorted_rows = rows.select(account, order, body).repartition(account).sortWithinPartitions(account, order)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, begun = None, "", False
+        for batch in batches:
+            out = []
+            for who, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or who != now:
+                    now, sha, begun = who, "", True
+                sha = hashlib.sha256((sha + text).encode()).hexdigest()
+                out.append(sha)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[account, order, "body", "sha"])
+
+    return sorted_rows.mapInArrow(run, f"`{account}` {kinds[account]}, `{order}` {kinds[order]}, body string, sha string")
 
 
 def broken_links(chain: DataFrame, account: str, order: str) -> DataFrame:

@@ -115,10 +115,10 @@ def selective_risk(spark, sf):
     return fc.risk_coverage(c, "conf", "loss", ["season"], "game_id").groupBy("season").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("risk"), 4).alias("aurc"))
 
 
-@query(f"WITH {ctes()}, h AS (SELECT home_team AS team, home_points AS k, count(*) AS n FROM games WHERE home_points IS NOT NULL AND home_team < 6 GROUP BY ALL), t AS (SELECT team, sum(n) AS total FROM h GROUP BY team), p AS (SELECT team, k, n / total::DOUBLE AS p FROM h JOIN t USING (team)) SELECT a.team, (a.k + b.k)::BIGINT AS points, round(sum(a.p * b.p), 8) AS p FROM p a JOIN p b ON a.team = b.team GROUP BY a.team, a.k + b.k")
+@query(f"WITH {ctes()}, h AS (SELECT home_team AS team, home_points AS k, count(*) AS n FROM games WHERE home_points IS NOT NULL GROUP BY ALL), t AS (SELECT team, sum(n) AS total FROM h GROUP BY team), p AS (SELECT team, k, n / total::DOUBLE AS p FROM h JOIN t USING (team)) SELECT a.team, (a.k + b.k)::BIGINT AS points, round(sum(a.p * b.p), 8) AS p FROM p a JOIN p b ON a.team = b.team GROUP BY a.team, a.k + b.k")
 def summed_points(spark, sf):
     """Distribution of the sum of two independent scores of a team."""
-    h = games(spark, sf).filter("home_points IS NOT NULL AND home_team < 6").select(F.col("home_team").alias("team"), F.col("home_points").alias("k"))
+    h = games(spark, sf).filter("home_points IS NOT NULL").select(F.col("home_team").alias("team"), F.col("home_points").alias("k"))
     d = fc.empirical_pmf(h, "k", ["team"])
     out = d.select("team", F.posexplode(fc.convolve(F.col("pmf"), F.col("pmf"))).alias("points", "p")).filter("p > 0")
     return out.select("team", F.col("points").cast("long").alias("points"), rounded("p", 8).alias("p"))

@@ -180,18 +180,20 @@ def kickoff_ladder(spark, sf):
     return r.match_ladder(a, games(spark, sf).select("game_id", "home_team", "kickoff"), ["home_team"], "at", 30)
 
 
-@query(f"WITH {ctes()}, a AS (SELECT game_id AS ask_id, season, least(home_points, away_points) AS low, greatest(home_points, away_points) AS high, week, home_team FROM games WHERE home_points IS NOT NULL AND game_id % 3 = 0), k AS (SELECT game_id, season, least(home_points, away_points) AS low, greatest(home_points, away_points) AS high, week, home_team FROM games WHERE home_points IS NOT NULL), c AS (SELECT ask_id, game_id, a.week = k.week AS same_week, a.home_team = k.home_team AS same_home FROM a JOIN k USING (season, low, high)), h AS (SELECT ask_id, count(*) AS n, min(game_id) AS any_game, count(*) FILTER (same_week) AS nw, min(game_id) FILTER (same_week) AS gw, count(*) FILTER (same_week AND same_home) AS nh, min(game_id) FILTER (same_week AND same_home) AS gh FROM c GROUP BY ask_id) SELECT ask_id, CASE WHEN n = 1 THEN 'score' WHEN nw = 1 THEN 'week' WHEN nh = 1 THEN 'name' ELSE 'ambiguous' END AS how, CASE WHEN n = 1 THEN any_game WHEN nw = 1 THEN gw WHEN nh = 1 THEN gh END AS game_id FROM h")
+@query(f"WITH {ctes()}, a AS (SELECT game_id AS ask_id, season, least(home_points, away_points) AS low, greatest(home_points, away_points) AS high, week, home_team FROM games WHERE home_points IS NOT NULL), k AS (SELECT game_id, season, least(home_points, away_points) AS low, greatest(home_points, away_points) AS high, week, home_team FROM games WHERE home_points IS NOT NULL), c AS (SELECT ask_id, game_id, a.week = k.week AS same_week, a.home_team = k.home_team AS same_home FROM a JOIN k USING (season, low, high)), h AS (SELECT ask_id, count(*) AS n, min(game_id) AS any_game, count(*) FILTER (same_week) AS nw, min(game_id) FILTER (same_week) AS gw, count(*) FILTER (same_week AND same_home) AS nh, min(game_id) FILTER (same_week AND same_home) AS gh FROM c GROUP BY ask_id) SELECT ask_id, CASE WHEN n = 1 THEN 'score' WHEN nw = 1 THEN 'week' WHEN nh = 1 THEN 'name' ELSE 'ambiguous' END AS how, CASE WHEN n = 1 THEN any_game WHEN nw = 1 THEN gw WHEN nh = 1 THEN gh END AS game_id FROM h")
 def score_index(spark, sf):
     """Results matched by season and unordered score, then week, then name; what stays open is ambiguous."""
     scores = [F.least("home_points", "away_points").alias("low"), F.greatest("home_points", "away_points").alias("high")]
     g = games(spark, sf).filter("home_points IS NOT NULL")
-    a = g.filter("game_id % 3 = 0").select(F.col("game_id").alias("ask_id"), "season", *scores, F.col("week").alias("w"), F.col("home_team").alias("h"))
-    c = a.join(g.select("game_id", "season", *scores, "week", "home_team"), ["season", "low", "high"])
-    week = F.col("w") == F.col("week")
-    home = week & (F.col("h") == F.col("home_team"))
-    out = c.groupBy("ask_id").agg(F.count(F.lit(1)).alias("n"), F.min("game_id").alias("g"), F.count_if(week).alias("nw"), F.min(F.when(week, F.col("game_id"))).alias("gw"), F.count_if(home).alias("nh"), F.min(F.when(home, F.col("game_id"))).alias("gh"))
+    # counts and least ids of each level, so equal scores never pair up row by row
+    ask = g.select(F.col("game_id").alias("ask_id"), "season", *scores, "week", "home_team")
+    known = g.select("game_id", "season", *scores, "week", "home_team")
+    pair = ["season", "low", "high"]
+    for level, (n, least) in ((pair, ("n", "g")), ([*pair, "week"], ("nw", "gw")), ([*pair, "week", "home_team"], ("nh", "gh"))):
+        ask = ask.join(known.groupBy(*level).agg(F.count(F.lit(1)).alias(n), F.min("game_id").alias(least)), level, "left")
     how = F.when(F.col("n") == 1, "score").when(F.col("nw") == 1, "week").when(F.col("nh") == 1, "name").otherwise("ambiguous")
-    return out.select("ask_id", how.alias("how"), F.when(F.col("n") == 1, F.col("g")).when(F.col("nw") == 1, F.col("gw")).when(F.col("nh") == 1, F.col("gh")).alias("game_id"))
+    found = F.when(F.col("n") == 1, F.col("g")).when(F.col("nw") == 1, F.col("gw")).when(F.col("nh") == 1, F.col("gh"))
+    return ask.filter("n IS NOT NULL").select("ask_id", how.alias("how"), found.alias("game_id"))
 
 
 @query(f"WITH {ctes(quotes=QUOTES)}, f AS (SELECT quote_id, game_id, line, 0.4 + (quote_id % 20) / 100.0::DOUBLE AS p FROM quotes) SELECT quote_id, game_id, line, round(p, 6) AS p_over, round(line - 10 * ({norm_quantile_sql('(1 - p)')}), 5) AS fair FROM f")
@@ -206,40 +208,40 @@ def fair_lines(spark, sf):
 AS_OF = 30  # the report's week: nothing later is known
 
 
-@query(f"WITH {ctes()}, {TEAM_GAMES_SQL} SELECT team, season, week, game_id, opponent, is_home, CASE WHEN week < {AS_OF} THEN points END AS points, CASE WHEN week < {AS_OF} THEN allowed END AS allowed, CASE WHEN week < {AS_OF} THEN CASE WHEN points - allowed + line > 0 THEN 'W' WHEN points - allowed + line < 0 THEN 'L' WHEN points - allowed + line = 0 THEN 'P' END END AS ats FROM tg WHERE season = 1996")
+@query(f"WITH {ctes()}, {TEAM_GAMES_SQL} SELECT team, season, week, game_id, opponent, is_home, CASE WHEN week < {AS_OF} THEN points END AS points, CASE WHEN week < {AS_OF} THEN allowed END AS allowed, CASE WHEN week < {AS_OF} THEN CASE WHEN points - allowed + line > 0 THEN 'W' WHEN points - allowed + line < 0 THEN 'L' WHEN points - allowed + line = 0 THEN 'P' END END AS ats FROM tg")
 def schedule(spark, sf):
-    """A season's schedule as of a week: results of later games are blank."""
+    """Every season's schedule as of a week: results of later games are blank."""
     known = F.col("week") < AS_OF
     cover = F.col("points") - F.col("allowed") + F.col("line")
     ats = F.when(cover > 0, "W").when(cover < 0, "L").when(cover == 0, "P")
-    return team_games(games(spark, sf)).filter("season = 1996").select("team", "season", "week", "game_id", "opponent", "is_home", F.when(known, F.col("points")).alias("points"), F.when(known, F.col("allowed")).alias("allowed"), F.when(known, ats).alias("ats"))
+    return team_games(games(spark, sf)).select("team", "season", "week", "game_id", "opponent", "is_home", F.when(known, F.col("points")).alias("points"), F.when(known, F.col("allowed")).alias("allowed"), F.when(known, ats).alias("ats"))
 
 
-@query(f"WITH {ctes()}, {TEAM_GAMES_SQL} SELECT team, count(*) FILTER (points > allowed) AS wins, count(*) FILTER (points < allowed) AS losses, count(*) FILTER (is_home = 1 AND points > allowed) AS home_wins, count(*) FILTER (line < 0 AND points - allowed + line > 0) AS favourite_covers, round(avg(points) FILTER (is_home = 0), 6) AS road_points FROM tg WHERE season = 1996 AND week < {AS_OF} GROUP BY team")
+@query(f"WITH {ctes()}, {TEAM_GAMES_SQL} SELECT team, season, count(*) FILTER (points > allowed) AS wins, count(*) FILTER (points < allowed) AS losses, count(*) FILTER (is_home = 1 AND points > allowed) AS home_wins, count(*) FILTER (line < 0 AND points - allowed + line > 0) AS favourite_covers, round(avg(points) FILTER (is_home = 0), 6) AS road_points FROM tg WHERE week < {AS_OF} GROUP BY team, season")
 def team_profile(spark, sf):
-    """Record and splits of a season up to a week."""
-    t = team_games(games(spark, sf)).filter(f"season = 1996 AND week < {AS_OF}")
+    """Record and splits of every season up to a week."""
+    t = team_games(games(spark, sf)).filter(f"week < {AS_OF}")
     won = F.col("points") > F.col("allowed")
-    return t.groupBy("team").agg(F.count_if(won).alias("wins"), F.count_if(F.col("points") < F.col("allowed")).alias("losses"), F.count_if(won & (F.col("is_home") == 1)).alias("home_wins"), F.count_if((F.col("line") < 0) & (F.col("points") - F.col("allowed") + F.col("line") > 0)).alias("favourite_covers"), rounded(F.avg(F.when(F.col("is_home") == 0, F.col("points")))).alias("road_points"))
+    return t.groupBy("team", "season").agg(F.count_if(won).alias("wins"), F.count_if(F.col("points") < F.col("allowed")).alias("losses"), F.count_if(won & (F.col("is_home") == 1)).alias("home_wins"), F.count_if((F.col("line") < 0) & (F.col("points") - F.col("allowed") + F.col("line") > 0)).alias("favourite_covers"), rounded(F.avg(F.when(F.col("is_home") == 0, F.col("points")))).alias("road_points"))
 
 
-@query(f"WITH {ctes()}, {TEAM_GAMES_SQL}, a AS (SELECT team, opponent, count(*) AS games, count(*) FILTER (points > allowed) AS wins FROM tg WHERE points IS NOT NULL AND season = 1996 GROUP BY ALL) SELECT x.team AS team_a, y.team AS team_b, count(*) AS opponents, sum(x.wins)::BIGINT AS wins_a, sum(y.wins)::BIGINT AS wins_b FROM a x JOIN a y ON x.opponent = y.opponent AND x.team < y.team WHERE x.team < 10 AND y.team < 10 GROUP BY ALL")
+@query(f"WITH {ctes()}, {TEAM_GAMES_SQL}, a AS (SELECT season, team, opponent, count(*) AS games, count(*) FILTER (points > allowed) AS wins FROM tg WHERE points IS NOT NULL GROUP BY ALL) SELECT x.season, x.team AS team_a, y.team AS team_b, count(*) AS opponents, sum(x.wins)::BIGINT AS wins_a, sum(y.wins)::BIGINT AS wins_b FROM a x JOIN a y ON x.season = y.season AND x.opponent = y.opponent AND x.team < y.team GROUP BY ALL")
 def common_opponents(spark, sf):
     """Records of two teams against the opponents that both met: the pairs come from shared opponents only."""
-    a = team_games(games(spark, sf)).filter("points IS NOT NULL AND season = 1996").groupBy("team", "opponent").agg(F.count_if(F.col("points") > F.col("allowed")).alias("wins")).filter("team < 10")
-    b = a.select("opponent", F.col("team").alias("other"), F.col("wins").alias("their"))
-    return a.join(b, "opponent").filter("team < other").groupBy(F.col("team").alias("team_a"), F.col("other").alias("team_b")).agg(F.count(F.lit(1)).alias("opponents"), F.sum("wins").alias("wins_a"), F.sum("their").alias("wins_b"))
+    a = team_games(games(spark, sf)).filter("points IS NOT NULL").groupBy("season", "team", "opponent").agg(F.count_if(F.col("points") > F.col("allowed")).alias("wins"))
+    b = a.select("season", "opponent", F.col("team").alias("other"), F.col("wins").alias("their"))
+    return a.join(b, ["season", "opponent"]).filter("team < other").groupBy("season", F.col("team").alias("team_a"), F.col("other").alias("team_b")).agg(F.count(F.lit(1)).alias("opponents"), F.sum("wins").alias("wins_a"), F.sum("their").alias("wins_b"))
 
 
-@query(f"WITH {ctes()}, t AS (SELECT home_team AS team, avg(home_points) AS off, avg(away_points) AS def FROM games WHERE season = 1996 AND home_points IS NOT NULL GROUP BY ALL), k AS (SELECT *, rank() OVER (ORDER BY off DESC) AS off_rank, rank() OVER (ORDER BY def) AS def_rank, count(*) OVER () AS n FROM t) SELECT g.game_id, h.off_rank AS home_offence_rank, a.def_rank AS away_defence_rank, round((a.def_rank - h.off_rank) / h.n::DOUBLE, 6) AS edge, CASE WHEN abs(h.off - a.def) <= greatest(0.01 * greatest(abs(h.off), abs(a.def)), 0.001) THEN 'even' WHEN h.off > a.def THEN 'offence' ELSE 'defence' END AS side FROM games g JOIN k h ON h.team = g.home_team JOIN k a ON a.team = g.away_team WHERE g.season = 1996")
+@query(f"WITH {ctes()}, t AS (SELECT season, home_team AS team, avg(home_points) AS off, avg(away_points) AS def FROM games WHERE home_points IS NOT NULL GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY season ORDER BY off DESC) AS off_rank, rank() OVER (PARTITION BY season ORDER BY def) AS def_rank, count(*) OVER (PARTITION BY season) AS n FROM t) SELECT g.game_id, h.off_rank AS home_offence_rank, a.def_rank AS away_defence_rank, round((a.def_rank - h.off_rank) / h.n::DOUBLE, 6) AS edge, CASE WHEN abs(h.off - a.def) <= greatest(0.01 * greatest(abs(h.off), abs(a.def)), 0.001) THEN 'even' WHEN h.off > a.def THEN 'offence' ELSE 'defence' END AS side FROM games g JOIN k h ON h.team = g.home_team AND h.season = g.season JOIN k a ON a.team = g.away_team AND a.season = g.season")
 def unit_matchups(spark, sf):
     """Offence against the opposing defence: ranks, edge and who has it beyond a band of 1 %."""
-    t = games(spark, sf).filter("season = 1996 AND home_points IS NOT NULL").groupBy(F.col("home_team").alias("team")).agg(F.avg("home_points").alias("off"), F.avg("away_points").alias("def"))
-    one = Window.partitionBy(F.lit(0))  # one row a team
-    k = t.select("team", "off", "def", F.rank().over(one.orderBy(F.desc("off"))).cast("long").alias("off_rank"), F.rank().over(one.orderBy("def")).cast("long").alias("def_rank"), F.count(F.lit(1)).over(one).alias("n"))
-    h = k.select(F.col("team").alias("home_team"), F.col("off").alias("o"), F.col("off_rank").alias("home_offence_rank"), "n")
-    a = k.select(F.col("team").alias("away_team"), F.col("def").alias("d"), F.col("def_rank").alias("away_defence_rank"))
-    g = games(spark, sf).filter("season = 1996").select("game_id", "home_team", "away_team").join(F.broadcast(h), "home_team").join(F.broadcast(a), "away_team")
+    t = games(spark, sf).filter("home_points IS NOT NULL").groupBy("season", F.col("home_team").alias("team")).agg(F.avg("home_points").alias("off"), F.avg("away_points").alias("def"))
+    one = Window.partitionBy("season")
+    k = t.select("season", "team", "off", "def", F.rank().over(one.orderBy(F.desc("off"))).cast("long").alias("off_rank"), F.rank().over(one.orderBy("def")).cast("long").alias("def_rank"), F.count(F.lit(1)).over(one).alias("n"))
+    h = k.select("season", F.col("team").alias("home_team"), F.col("off").alias("o"), F.col("off_rank").alias("home_offence_rank"), "n")
+    a = k.select("season", F.col("team").alias("away_team"), F.col("def").alias("d"), F.col("def_rank").alias("away_defence_rank"))
+    g = games(spark, sf).select("game_id", "season", "home_team", "away_team").join(h, ["season", "home_team"]).join(a, ["season", "away_team"])
     band = F.greatest(0.01 * F.greatest(F.abs("o"), F.abs("d")), F.lit(0.001))
     side = F.when(F.abs(F.col("o") - F.col("d")) <= band, "even").when(F.col("o") > F.col("d"), "offence").otherwise("defence")
     return g.select("game_id", "home_offence_rank", "away_defence_rank", rounded((F.col("away_defence_rank") - F.col("home_offence_rank")) / F.col("n")).alias("edge"), side.alias("side"))
@@ -291,11 +293,11 @@ def flag_breakdown(spark, sf):
     return domain.join(g, ["season", "value"], "left").fillna(0, ["games", "wins"])
 
 
-@query(f"WITH {ctes()}, r AS (SELECT home_team AS team, season, 'sp' AS system, avg(home_points) AS rating FROM games GROUP BY ALL UNION ALL SELECT home_team, season, 'fpi', avg(total) FROM games WHERE home_team % 3 <> 0 GROUP BY ALL) SELECT team, round(max(rating) FILTER (system = 'sp'), 6) AS sp, round(max(rating) FILTER (system = 'fpi'), 6) AS fpi FROM r WHERE season = 1995 GROUP BY team")
+@query(f"WITH {ctes()}, r AS (SELECT home_team AS team, season, 'sp' AS system, avg(home_points) AS rating FROM games GROUP BY ALL UNION ALL SELECT home_team, season, 'fpi', avg(total) FROM games WHERE home_team % 3 <> 0 GROUP BY ALL) SELECT team, season + 1 AS season, round(max(rating) FILTER (system = 'sp'), 6) AS sp, round(max(rating) FILTER (system = 'fpi'), 6) AS fpi FROM r GROUP BY team, season")
 def prior_season_ratings(spark, sf):
-    """Ratings as of 1996: the season before's, one column a system."""
+    """Ratings as of each season: the one before's, one column a system."""
     g = games(spark, sf)
     r = g.groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("home_points").alias("rating")).withColumn("system", F.lit("sp"))
     r = r.unionByName(g.filter("home_team % 3 <> 0").groupBy(F.col("home_team").alias("team"), "season").agg(F.avg("total").alias("rating")).withColumn("system", F.lit("fpi")))
     pick = lambda s: rounded(F.max(F.when(F.col("system") == s, F.col("rating"))))
-    return r.filter("season = 1995").groupBy("team").agg(pick("sp").alias("sp"), pick("fpi").alias("fpi"))
+    return r.groupBy("team", (F.col("season") + 1).alias("season")).agg(pick("sp").alias("sp"), pick("fpi").alias("fpi"))

@@ -81,10 +81,10 @@ def fact_game_line(spark, sf):
  conf AS (SELECT DISTINCT home_team % 6 AS id, concat('C', home_team % 6) AS conference FROM games WHERE home_team % 6 < 4)
  SELECT g.game_id, g.season, g.home_conference, g.away_conference, book, line.spread AS line_spread, line.total AS line_total, line.spread IS NOT NULL AS has_line,
   coalesce(h.id, g.home_team % 6 + 100) AS home_conference_id, coalesce(a.id, g.away_team % 6 + 100) AS away_conference_id
- FROM games g LEFT JOIN line USING (game_id) LEFT JOIN conf h ON h.conference = g.home_conference LEFT JOIN conf a ON a.conference = g.away_conference WHERE season >= 1993""")
+ FROM games g LEFT JOIN line USING (game_id) LEFT JOIN conf h ON h.conference = g.home_conference LEFT JOIN conf a ON a.conference = g.away_conference""")
 def fact_game(spark, sf):
-    """Games of a span with selected lines and conference keys."""
-    g = games(spark, sf).filter("season >= 1993").selectExpr("game_id", "season", "home_conference", "away_conference", "home_team % 6 + 100 AS home_own_id", "away_team % 6 + 100 AS away_own_id")
+    """Games with selected lines and conference keys."""
+    g = games(spark, sf).selectExpr("game_id", "season", "home_conference", "away_conference", "home_team % 6 + 100 AS home_own_id", "away_team % 6 + 100 AS away_own_id")
     conferences = made(spark, sf, CONFERENCES).filter("id < 4").select("conference", F.col("id").alias("conference_id"))
     return w.fact_game(g, _books(spark, sf), conferences, SITES)
 
