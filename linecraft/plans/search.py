@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import entering, team_games
@@ -24,10 +25,23 @@ from ..operators.systems import SystemFilter, grade, side_line
 from ..session import ship
 
 QUARTILES, LEVELS = (0.25, 0.5, 0.75), 8
-#: Features of the game, of a team by number, of a team by level.
-GAME_LEVELS, TEAM_LEVELS = ("season_type",), ("conference",)
-GAME_NUMBERS = ("week",)
-TEAM_NUMBERS = ("games_played", "win_pct", "ats_pct", "rest_days", "last3_points", "streak")
+#: Share of the in-sample games that must have a feature (of a team: of both sides' values) for it to be searched.
+COVERAGE = 0.5
+
+
+@dataclass(frozen=True)
+class Features:
+    """Columns that conditions may use: of the game, and of both teams as ``home_<name>`` and ``away_<name>``."""
+
+    game_numbers: tuple[str, ...] = ("week",)
+    game_levels: tuple[str, ...] = ("season_type",)
+    team_numbers: tuple[str, ...] = ("games_played", "win_pct", "ats_pct", "rest_days", "last3_points", "streak")
+    team_levels: tuple[str, ...] = ("conference",)
+
+
+KNOWN = Features()
+#: Entering statistics that ``with_features`` adds.
+TEAM_NUMBERS = KNOWN.team_numbers
 SEARCHES = {"spread": ("home", "away"), "over": ("over", "over"), "under": ("under", "under")}
 SIDES = ("home", "away")
 BREAK_EVEN, PAYS = 110 / 210, 90.9091
@@ -49,9 +63,24 @@ def _values(games: DataFrame, columns: dict[str, list[str]], kind: str) -> DataF
     return games.select(F.explode(cells).alias("s")).select("s.*").filter("value IS NOT NULL").groupBy("dimension", "value").count()
 
 
-def thresholds(games: DataFrame) -> dict[str, list[float]]:
+def coverage(games: DataFrame, features: Features = KNOWN) -> dict[str, float]:
+    """Share of the games that have each feature; of a team's, the mean over both sides.  One pass."""
+    columns = {n: [n] for n in (*features.game_numbers, *features.game_levels)} | {n: [f"{s}_{n}" for s in SIDES] for n in (*features.team_numbers, *features.team_levels)}
+    flat = sorted({c for names in columns.values() for c in names})
+    row = games.agg(F.count(F.lit(1)).alias("__n"), *(F.count(c).alias(f"__c_{c}") for c in flat)).first()
+    return {n: sum(row[f"__c_{c}"] for c in names) / (len(names) * row["__n"]) if row["__n"] else 0.0 for n, names in columns.items()}
+
+
+def covered(games: DataFrame, features: Features = KNOWN, least: float = COVERAGE) -> Features:
+    """Without the features that too few games have: what is found on such a part is not comparable with the rest."""
+    share = coverage(games, features)
+    keep = lambda names: tuple(n for n in names if share[n] >= least)
+    return Features(keep(features.game_numbers), keep(features.game_levels), keep(features.team_numbers), keep(features.team_levels))
+
+
+def thresholds(games: DataFrame, features: Features = KNOWN) -> dict[str, list[float]]:
     """Distinct nearest-rank quartiles of each numeric dimension."""
-    columns = {"line": ["spread"], "total": ["total"], **{n: [n] for n in GAME_NUMBERS}, **{n: [f"{s}_{n}" for s in SIDES] for n in TEAM_NUMBERS}}
+    columns = {"line": ["spread"], "total": ["total"], **{n: [n] for n in features.game_numbers}, **{n: [f"{s}_{n}" for s in SIDES] for n in features.team_numbers}}
     by = Window.partitionBy("dimension")
     upto = _values(games, columns, "double").withColumn("upto", F.sum("count").over(by.orderBy("value"))).withColumn("n", F.sum("count").over(by))
     place = [F.bround(F.lit(q) * (F.col("n") - 1), 0) for q in QUARTILES]
@@ -62,9 +91,11 @@ def thresholds(games: DataFrame) -> dict[str, list[float]]:
     return found
 
 
-def levels(games: DataFrame) -> dict[str, list[str]]:
+def levels(games: DataFrame, features: Features = KNOWN) -> dict[str, list[str]]:
     """The most frequent values of each categorical dimension."""
-    columns = {**{n: [n] for n in GAME_LEVELS}, **{n: [f"{s}_{n}" for s in SIDES] for n in TEAM_LEVELS}}
+    columns = {**{n: [n] for n in features.game_levels}, **{n: [f"{s}_{n}" for s in SIDES] for n in features.team_levels}}
+    if not columns:
+        return {}
     order = Window.partitionBy("dimension").orderBy(F.desc("count"), "value")
     found: dict[str, list[str]] = {}
     for r in _values(games, columns, "string").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= LEVELS).orderBy("dimension", "i").collect():
@@ -72,15 +103,15 @@ def levels(games: DataFrame) -> dict[str, list[str]]:
     return found
 
 
-def grammar(games: DataFrame) -> list[tuple[str, str, tuple[Column, Column]]]:
-    """(dimension, name, test from the home side and from the away side) of all single conditions."""
+def grammar(games: DataFrame, features: Features = KNOWN) -> list[tuple[str, str, tuple[Column, Column]]]:
+    """(dimension, name, test from the home side and from the away side) of all single conditions on ``features``."""
     out = [("favorite", "favorite", tuple(side_line(s) < 0 for s in SIDES)), ("favorite", "underdog", tuple(side_line(s) > 0 for s in SIDES)), ("side", "away", (F.lit(True), F.lit(True)))]
-    for d, bounds in sorted(thresholds(games).items()):
-        read = [side_line(s) if d == "line" else F.col(f"{s}_{d}" if d in TEAM_NUMBERS else d) for s in SIDES]
+    for d, bounds in sorted(thresholds(games, features).items()):
+        read = [side_line(s) if d == "line" else F.col(f"{s}_{d}" if d in features.team_numbers else d) for s in SIDES]
         for v in bounds:
             out += [(d, f"{d} >= {v:g}", tuple(c >= v for c in read)), (d, f"{d} <= {v:g}", tuple(c <= v for c in read))]
-    for d, values in sorted(levels(games).items()):
-        out += [(d, f"{d} = {v}", tuple(F.col(f"{s}_{d}" if d in TEAM_LEVELS else d).cast("string") == v for s in SIDES)) for v in values]
+    for d, values in sorted(levels(games, features).items()):
+        out += [(d, f"{d} = {v}", tuple(F.col(f"{s}_{d}" if d in features.team_levels else d).cast("string") == v for s in SIDES)) for v in values]
     return out
 
 
@@ -153,19 +184,30 @@ def _roi(bets: int, wins: int, losses: int) -> float:
     return round((wins * PAYS - losses * 100) / (bets * 100), 4) if bets else 0.0
 
 
-def beam(games: DataFrame, width: int = 100, depth: int = 4, least: int = 100, top: int = 20) -> DataFrame:
+def beam(games: DataFrame, width: int = 100, depth: int = 4, least: int = 100, top: int = 20, features: Features = KNOWN, cover: float = COVERAGE) -> DataFrame:
     """The best ``top`` combinations of each search, of up to ``depth`` conditions with ``least`` decided bets.
 
     They are ranked by lower Wilson bound, return and decided bets.  The last season is held out;
     survivors are graded on it once, in one job; those without a bet there are left out, the others'
-    p-values are corrected as one batch (Benjamini-Hochberg).
+    p-values are corrected as one batch (Benjamini-Hochberg).  ``features`` may name any columns of ``games``
+    besides the entering statistics, which are added here; those that less than ``cover`` of the in-sample
+    games have are not searched.
     """
     spark = games.sparkSession
     last = games.filter("home_points IS NOT NULL AND away_points IS NOT NULL").agg(F.max("season")).first()[0]
     games = with_features(games)
-    conditions = grammar(games.filter(F.col("season") < F.lit(last)))
-    dimension, name = [c[0] for c in conditions], [c[1] for c in conditions]
+    known = games.filter(F.col("season") < F.lit(last))
+    conditions = grammar(known, covered(known, features, cover))
     bets = _bets(games, conditions).persist()
+    try:
+        return _found(spark, bets, last, conditions, width, depth, least, top)
+    finally:
+        bets.unpersist()
+
+
+def _found(spark: SparkSession, bets: DataFrame, last, conditions: list, width: int, depth: int, least: int, top: int) -> DataFrame:
+    """The search itself, over graded bets with one boolean a condition."""
+    dimension, name = [c[0] for c in conditions], [c[1] for c in conditions]
     inside = bets.filter(F.col("season") < F.lit(last))
     away, n = name.index("away"), len(conditions)
     key = lambda s, c: (2 * s + (away in c), c)
@@ -189,7 +231,6 @@ def beam(games: DataFrame, width: int = 100, depth: int = 4, least: int = 100, t
         best = [a + b for a, b in zip(best, kept, strict=True)]
     ranked = sorted(r for b in best for r in sorted(b)[:top])
     graded = _records(bets.filter(F.col("season") == F.lit(last)), n, [key(*r[4:6]) for r in ranked]).tolist() if ranked else []
-    bets.unpersist()
     left = [(r, g, p_value(g[1], g[1] + g[2])) for r, g in zip(ranked, graded, strict=True) if g[0]]
     bh = benjamini_hochberg([p for _, _, p in left])
     return spark.createDataFrame([(r[3], i, -r[0], -r[1], r[6], *g, _roi(*g), p, q) for i, ((r, g, p), q) in enumerate(zip(left, bh, strict=True), 1)], SCHEMA)

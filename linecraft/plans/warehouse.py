@@ -164,6 +164,22 @@ def v_game(games: DataFrame, lines: DataFrame, spread_book: str, total_book: str
     return games.join(pick(spread_book, "spread"), "game_id", "left").join(pick(total_book, "total"), "game_id", "left")
 
 
+def relationships(tables: dict[str, DataFrame], edges: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
+    """Rows, null keys, orphans and childless parents of each edge (child, its key, parent, its key).
+
+    Both sides are reduced to their distinct keys with counts before they meet.
+    """
+    out = []
+    for child, child_key, parent, parent_key in edges:
+        c = tables[child].groupBy(F.col(child_key).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        p = tables[parent].filter(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias("pk")).agg(F.count(F.lit(1)).alias("p"))
+        both = c.join(p, F.col("k") == F.col("pk"), "full")
+        zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        sums = both.agg(zero("c").alias("n"), zero(F.when(F.col("k").isNull(), F.col("c"))).alias("null_keys"), zero(F.when(F.col("k").isNotNull() & F.col("pk").isNull(), F.col("c"))).alias("orphans"), zero(F.when(F.col("c").isNull(), F.col("p"))).alias("childless"))
+        out.append(sums.select(F.lit(child).alias("child"), F.lit(child_key).alias("child_key"), F.lit(parent).alias("parent"), F.lit(parent_key).alias("parent_key"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def dictionary(tables: dict[str, DataFrame]) -> DataFrame:
     """Every column of the tables with its type, rows and share of nulls."""
     out = []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import beta_inc_sql, chi2_tail, chi2_tail_sql
 from ..functions.stats import NORM_CDF_SQL, clustered_mean, norm_cdf
-from ..operators import gram
+from ..operators import grades, gram
 from ..operators import testing as t
 from ..operators.systems import SystemFilter, grade
 from ..registry import query, rounded
@@ -215,3 +215,20 @@ def probit_fit(spark, sf):
 def tobit_fit(spark, sf):
     """Home points by the spread, as if points below zero were cut off at zero."""
     return spark.createDataFrame(list(t.tobit(_bets(spark, sf), "spread", "home_points").items()), "name string, value double")
+
+
+def _steps(x: str, steps, op: str) -> str:
+    order = steps if op in ("<", "<=") else tuple(reversed(steps))
+    return "CASE " + " ".join(f"WHEN {x} {op} {b} THEN {v}::DOUBLE" for b, v in order) + " ELSE 0.0::DOUBLE END"
+
+
+_WILSON = "round(greatest(0.0, (r + 1.96::DOUBLE * 1.96 / (2 * n) - 1.96 * sqrt((r * (1 - r) + 1.96::DOUBLE * 1.96 / (4 * n)) / n)) / (1 + 1.96::DOUBLE * 1.96 / n)), 4)"
+
+
+@query(f"""WITH {GRADED}, s AS (SELECT home_team, season, count(*) FILTER (result = 'W') AS w, count(*) FILTER (result = 'L') AS l, sum(profit) AS p FROM graded GROUP BY ALL), gg AS (SELECT home_team, sum(w)::DOUBLE AS w, (sum(w) + sum(l))::DOUBLE AS n, count(*) FILTER (p > 0) / count(*)::DOUBLE AS good FROM s GROUP BY home_team),
+ a AS (SELECT home_team, w, n, good, w / n AS r, {beta_inc_sql("w", "n - w + 1", EVEN)} AS tail FROM gg), c AS (SELECT *, {_WILSON} - {EVEN} AS margin, round((round(r, 4) - {EVEN}) / sqrt({EVEN} * (1 - {EVEN}) / n), 4) AS z FROM a),
+ f AS (SELECT home_team, n::BIGINT AS decided, (CASE WHEN n < 30 THEN 0 ELSE {_steps("margin", grades.MARGIN, ">=")} END + {_steps("z", grades.Z, ">=")} + good + {_steps("tail", grades.TAIL, "<")} + 0.75) / 5 AS average FROM c)
+ SELECT home_team, decided, round(average, 6) AS average, CASE {" ".join(f"WHEN average >= {b} THEN '{n}'" for b, n in grades.LETTERS)} END AS grade FROM f""")
+def system_grades(spark, sf):
+    """Letter grades of betting on each home team, as if five conditions had found it."""
+    return grades.graded_systems(_bets(spark, sf), ["home_team"], filters=5).withColumn("average", rounded("average"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators.running import team_games
 from ..plans import warehouse as w
 from ..registry import query, rounded
-from ..sources.proxy import ctes, games, made, table
+from ..sources import lines
+from ..sources.proxy import ctes, games, line_tape, made, table
 from .joins import TEAM_GAMES_SQL
 
 # raw tables, made alike in both engines
@@ -211,7 +212,59 @@ def v_game(spark, sf):
     return w.v_game(games(spark, sf).select("game_id", "season"), _books(spark, sf), "DraftKings", "FanDuel")
 
 
-@query("""SELECT 'nation' AS "table", n, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS "column", unnest(['int', 'string', 'int']) AS type, unnest([1, 2, 3]) AS place, unnest([a, b, c]) AS filled FROM (SELECT count(*) AS n, count(n_nationkey) AS a, count(n_name) AS b, count(n_regionkey) AS c FROM nation)
- UNION ALL SELECT 'region', n, unnest(['r_regionkey', 'r_name']), unnest(['int', 'string']), unnest([1, 2]), unnest([a, b]) FROM (SELECT count(*) AS n, count(r_regionkey) AS a, count(r_name) AS b FROM region)""")
+#: Columns of the given tables and their types, as Spark names them.
+SCHEMA = {
+    "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int", "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string", "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int", "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _described(name: str, columns: str) -> str:
+    pairs = [c.split(" ") for c in columns.split(", ")]
+    listed = lambda values: "[" + ", ".join(values) + "]"
+    return f"""SELECT '{name}' AS "table", n, unnest({listed(f"'{c}'" for c, _ in pairs)}) AS "column", unnest({listed(f"'{t}'" for _, t in pairs)}) AS type, unnest({listed(str(i) for i in range(1, len(pairs) + 1))}) AS place, unnest({listed(f"c{i}" for i in range(len(pairs)))}) AS filled FROM (SELECT count(*) AS n, {", ".join(f"count({c}) AS c{i}" for i, (c, _) in enumerate(pairs))} FROM {name})"""
+
+
+@query(" UNION ALL ".join(_described(n, c) for n, c in SCHEMA.items()))
 def table_dictionary(spark, sf):
-    return w.dictionary({t: table(spark, sf, t) for t in ("nation", "region")})
+    """Every column of every table: its type, place, rows and filled rows."""
+    return w.dictionary({t: table(spark, sf, t) for t in SCHEMA})
+
+
+#: Declared edges: child column and the parent column that it names.
+EDGES = (
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS child, '{ck}' AS child_key, '{p}' AS parent, '{pk}' AS parent_key, count(*) AS n, count(*) FILTER ({ck} IS NULL) AS null_keys, count(*) FILTER ({ck} IS NOT NULL AND {ck} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)) AS orphans, (SELECT count(*) FROM {p} WHERE {pk} NOT IN (SELECT {ck} FROM {c} WHERE {ck} IS NOT NULL)) AS childless FROM {c}" for c, ck, p, pk in EDGES))
+def relationship_table(spark, sf):
+    """Rows, null keys, orphans and childless parents of every declared edge."""
+    return w.relationships({t: table(spark, sf, t) for t in SCHEMA}, EDGES)
+
+
+_TIERS = f"{ctes()}, lines AS (SELECT game_id, CASE provider WHEN 0 THEN 'Consensus' WHEN 6 THEN 'teamrankings' WHEN 7 THEN 'numberfire' ELSE concat('B', provider) END AS provider, max(spread) AS spread, max(total) AS total FROM line_tape WHERE provider <> 0 OR game_id % 3 = 0 GROUP BY ALL)"
+_TIER = "CASE WHEN lower(provider) = 'consensus' THEN 0 WHEN lower(provider) IN ('teamrankings', 'numberfire') THEN 2 ELSE 1 END"
+
+
+def _provided(spark, sf):
+    name = F.when(F.col("provider") == 0, "Consensus").when(F.col("provider") == 6, "teamrankings").when(F.col("provider") == 7, "numberfire").otherwise(F.concat(F.lit("B"), F.col("provider").cast("string")))
+    return line_tape(spark, sf).filter("provider <> 0 OR game_id % 3 = 0").groupBy("game_id", name.alias("provider")).agg(F.max("spread").alias("spread"), F.max("total").alias("total"))
+
+
+@query(f"""WITH {_TIERS}, s AS (SELECT game_id, spread, provider FROM lines WHERE spread IS NOT NULL AND spread <> 0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY {_TIER}, lower(provider), provider) = 1), t AS (SELECT game_id, total, provider FROM lines WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY {_TIER}, lower(provider), provider) = 1)
+ SELECT game_id, s.spread, s.provider AS spread_provider, t.total, t.provider AS total_provider FROM s JOIN t USING (game_id)""")
+def line_tiers(spark, sf):
+    """Spread and total of every game, each from the first tier that has it: consensus, books, projection sites."""
+    return lines.by_field(_provided(spark, sf))
+
+
+@query(f"WITH {_TIERS} SELECT game_id, spread, total, provider AS spread_provider, provider AS total_provider FROM lines WHERE spread <> 0 AND total > 0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY lower(provider) <> 'consensus', provider) = 1")
+def line_pairs(spark, sf):
+    """Spread and total of one provider that has both, the consensus first."""
+    return lines.by_pair(_provided(spark, sf))

@@ -189,3 +189,53 @@ def test_carry_over_with_returning_production(spark):
     mean = np.mean(list(raw.values()))
     assert {u: season.loc[u, "prior"] for u in season.index} == {u: pytest.approx(v - mean) for u, v in raw.items()}
     assert (season["source"] == "imputed").sum() == sum((u + 2003) % 7 == 0 for u in season.index)
+
+
+def test_grades(spark):
+    """Five scores and their bands, from records whose parts are worked out one by one."""
+    from linecraft.operators import grades
+    from linecraft.operators.systems import FeatureFilter, SystemFilter
+
+    def bets(name, seasons):
+        return [(name, 2000 + s, r, {"W": 90.9091, "L": -100.0, "P": 0.0}[r]) for s, (w, l, p) in enumerate(seasons) for r in "W" * w + "L" * l + "P" * p]
+
+    rows = [*bets("great", [(90, 10, 0), (80, 20, 3)]), *bets("few", [(20, 0, 0)]), *bets("poor", [(40, 60, 0), (55, 45, 0)]), *bets("pushes", [(0, 0, 4)])]
+    df = spark.createDataFrame(rows, "name string, season int, result string, profit double")
+    got = {r.name: (r.decided, round(r.average, 6), r.grade) for r in grades.graded_systems(df, ["name"], filters=3).collect()}
+    assert got["great"] == (200, 1.0, "A")
+    assert got["few"] == (20, 0.8, "B")  # nothing for its size, all else full
+    assert got["poor"] == (200, round((0 + 0 + 0.5 + 0 + 1) / 5, 6), "F") and got["pushes"] == (0, round((0 + 0.2 + 0 + 0 + 1) / 5, 6), "F")
+    many = {r.name: r.average for r in grades.graded_systems(df, ["name"], filters=8).collect()}
+    assert many["great"] == pytest.approx(0.9)
+    some = SystemFilter(favorite=True, spread_min=3, seasons=frozenset({2001, 2002}), features=(FeatureFilter("a", "in", (1, 2, 3)), FeatureFilter("b", "gte", 1)))
+    assert grades.overfit_count(some) == 1 + 1 + 2 + 3 + 1
+
+
+def test_line_tiers(spark):
+    """Per field and per pair; zeros and sentinels are no lines; a season without lines is an error."""
+    from linecraft.sources import lines
+
+    rows = [(1, "teamrankings", -3.0, 50.0), (1, "Zeta", -4.0, None), (1, "Alpha", 0.0, 51.0), (1, "consensus", None, -1.0), (2, "Consensus", -7.0, 44.0), (2, "Alpha", -6.0, 43.0), (3, "numberfire", -1.0, 40.0), (4, "Alpha", None, 41.0)]
+    df = spark.createDataFrame(rows, "game_id long, provider string, spread double, total double")
+    field = {r.game_id: tuple(r)[1:] for r in lines.by_field(df).collect()}
+    assert field == {1: (-4.0, "Zeta", 51.0, "Alpha"), 2: (-7.0, "Consensus", 44.0, "Consensus"), 3: (-1.0, "numberfire", 40.0, "numberfire")}
+    pair = {r.game_id: (r.spread, r.total, r.spread_provider) for r in lines.by_pair(df).collect()}
+    assert pair == {1: (-3.0, 50.0, "teamrankings"), 2: (-7.0, 44.0, "Consensus"), 3: (-1.0, 40.0, "numberfire")}
+    games = spark.createDataFrame([(1, 2013, 20, 10), (2, 2014, 7, 3), (4, 2015, 7, 3), (3, 2016, None, None)], "game_id long, season int, home_points int, away_points int")
+    assert {r.game_id for r in lines.modelling_frame(games, lines.by_field(df), [2013, 2014]).collect()} == {1, 2}
+    with pytest.raises(ValueError, match="2015, 2016"):
+        lines.modelling_frame(games, lines.by_field(df), [2013, 2014, 2015, 2016])
+
+
+def test_coverage_decides_what_is_searched(spark):
+    """Features that few games have are left out; any column of the games may be one."""
+    from linecraft.plans import search
+
+    rows = [(i, 2000 + i % 4, float(i % 20), None if i % 10 else 1.0, "x" if i % 2 else "y", 0.5 if i % 3 else None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "game_id long, season int, wind double, rare double, roof string, home_elo double, away_elo double")
+    f = search.Features(("wind", "rare"), ("roof",), ("elo",), ())
+    share = search.coverage(df, f)
+    assert share == pytest.approx({"wind": 1.0, "rare": 0.1, "roof": 1.0, "elo": 266 / 800})
+    assert search.covered(df, f) == search.Features(("wind",), ("roof",), (), ()) and search.covered(df, f, 0.3).team_numbers == ("elo",)
+    assert search.levels(df, search.covered(df, f)) == {"roof": ["x", "y"]}
+    assert search.coverage(df.limit(0), f)["wind"] == 0.0
