@@ -19,7 +19,7 @@ from ..functions.stats import norm_cdf
 
 def snapshot(games: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Games of a cutoff's season that began strictly before it, once for each cutoff."""
-    return games.join(F.broadcast(cutoffs), "season").filter("kickoff < cutoff")
+    return games.join(cutoffs, "season").filter("kickoff < cutoff")
 
 
 def evidence(games: DataFrame) -> DataFrame:

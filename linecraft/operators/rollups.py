@@ -43,7 +43,7 @@ def quartile_buckets(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """``bucket`` 1 to 4 by the group's own quartiles; equal values share a bucket."""
     cuts = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__c"))
     bucket = 1 + F.size(F.filter("__c", lambda c: F.col(x) > c))
-    return df.join(F.broadcast(cuts), by).withColumn("bucket", bucket.cast("long")).drop("__c")
+    return df.join(cuts, by).withColumn("bucket", bucket.cast("long")).drop("__c")
 
 
 def fixed_bins(x: Column, edges: tuple[float, ...]) -> Column:
@@ -90,7 +90,7 @@ def z_by(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 def residual(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     """``y`` less its regression on ``x`` within the group."""
     line = df.groupBy(*by).agg(F.regr_slope(y, x).alias("__s"), F.regr_intercept(y, x).alias("__i"))
-    return df.join(F.broadcast(line), by).withColumn("residual", F.col(y) - F.col("__i") - F.col("__s") * F.col(x)).drop("__s", "__i")
+    return df.join(line, by).withColumn("residual", F.col(y) - F.col("__i") - F.col("__s") * F.col(x)).drop("__s", "__i")
 
 
 def leave_one_out_slopes(df: DataFrame, x: str, y: str, season: str) -> DataFrame:

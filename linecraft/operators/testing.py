@@ -130,7 +130,7 @@ def cluster_ols(df: DataFrame, x: str, y: str, cluster: list[str], by: list[str]
     m = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"))
     # the score of a cluster needs sums only, not the residuals row by row
     c = ok.groupBy(*by, *cluster).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.count(F.lit(1)).alias("k"))
-    c = c.join(F.broadcast(m), by) if by else c.crossJoin(F.broadcast(m))
+    c = c.join(m, by) if by else c.crossJoin(F.broadcast(m))
     icpt = F.col("my") - F.col("slope") * F.col("mx")
     score = F.col("xy") - F.col("mx") * F.col("sy") - icpt * (F.col("sx") - F.col("mx") * F.col("k")) - F.col("slope") * (F.col("xx") - F.col("mx") * F.col("sx"))
     g = F.count(F.lit(1))
@@ -167,7 +167,7 @@ def heterogeneity(df: DataFrame, group: list[str], hit: str, by: list[str]) -> D
     """Chi-square of equal hit rates over the groups, with its degrees of freedom."""
     g = df.groupBy(*by, *group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(hit)).alias("k"))
     total = g.groupBy(*by).agg((F.sum("k") / F.sum("n")).alias("p"))
-    g = g.join(F.broadcast(total), by) if by else g.crossJoin(F.broadcast(total))
+    g = g.join(total, by) if by else g.crossJoin(F.broadcast(total))
     d = F.col("k") - F.col("n") * F.col("p")
     return g.groupBy(*by).agg(F.sum(d * d / F.nullif(F.col("n") * F.col("p") * (1 - F.col("p")), F.lit(0.0))).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
 
@@ -234,7 +234,7 @@ def two_way_ols(df: DataFrame, x: str, y: str, first: list[str], second: list[st
     """Slope of y on x with a standard error robust to two clusterings: V1 + V2 - V12, each from summed scores."""
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("__mx"), F.avg(y).alias("__my"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("__sxx"))
-    rows = ok.join(F.broadcast(m), by)
+    rows = ok.join(m, by)
     d = F.col(x) - F.col("__mx")
     rows = rows.withColumn("__s", d * (F.col(y) - F.col("__my") - F.col("slope") * d))
     out = m
@@ -265,50 +265,57 @@ def wild_bootstrap(df: DataFrame, x: str, cluster: list[str], by: list[str], enu
     t = t.select(*by, "draw", F.abs(mean / se).alias("t"))
     data = per.groupBy(*by).agg(F.first("total").alias("total"), F.sum("s").alias("sr"), F.sum(F.col("s") * F.col("s")).alias("rr"), F.sum(F.col("s") * F.col("n")).alias("rn"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("clusters"))
     own = data.select(*by, "clusters", F.abs(mean / se).alias("own"))
-    both = t.join(F.broadcast(own), by) if by else t.crossJoin(F.broadcast(own))
+    both = t.join(own, by) if by else t.crossJoin(F.broadcast(own))
     return both.groupBy(*by).agg(F.first("clusters").alias("clusters"), F.first("own").alias("t"), F.avg((F.col("t") >= F.col("own") - 1e-9).cast("int")).alias("p"))
 
 
 def probit(df: DataFrame, columns: list[str], hit: str, rounds: int = 8) -> dict[str, float]:
-    """Coefficients of P(hit) = Phi(a + b x), by scoring: each round is one aggregate over the rows."""
+    """Coefficients of P(hit) = Phi(a + b x), by scoring: each round is one aggregate over the rows; nothing without rows."""
     import numpy as np
 
     names = ["intercept", *columns]
     rows = df.filter(F.col(hit).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in columns), F.col(hit).cast("double").alias("__y")).dropna().persist()
     x = [F.lit(1.0), *(F.col(c) for c in columns)]
-    b = np.zeros(len(names))
-    for _ in range(rounds):
-        z = F.lit(float(b[0]))
-        for value, c in zip(b[1:], columns, strict=True):
-            z = z + float(value) * F.col(c)
-        p = F.least(F.greatest(norm_cdf(z), F.lit(1e-9)), F.lit(1 - 1e-9))
-        density = F.exp(-z * z / 2) * 0.3989422804014327
-        w, u = density * density / (p * (1 - p)), (F.col("__y") - p) * density / (p * (1 - p))
-        k = len(x)
-        sums = rows.agg(*(F.sum(u * x[i]).alias(f"g{i}") for i in range(k)), *(F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        b = b + np.linalg.solve(h, np.array([sums[f"g{i}"] for i in range(k)]))
-    rows.unpersist()
-    return dict(zip(names, b.tolist(), strict=True))
+    b, k = np.zeros(len(names)), len(x)
+    try:
+        for _ in range(rounds):
+            z = F.lit(float(b[0]))
+            for value, c in zip(b[1:], columns, strict=True):
+                z = z + float(value) * F.col(c)
+            p = F.least(F.greatest(norm_cdf(z), F.lit(1e-9)), F.lit(1 - 1e-9))
+            density = F.exp(-z * z / 2) * 0.3989422804014327
+            w, u = density * density / (p * (1 - p)), (F.col("__y") - p) * density / (p * (1 - p))
+            sums = rows.agg(*(F.sum(u * x[i]).alias(f"g{i}") for i in range(k)), *(F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
+            if sums["g0"] is None:
+                return {}
+            h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            b = b + np.linalg.lstsq(h, np.array([sums[f"g{i}"] for i in range(k)]), rcond=None)[0]
+        return dict(zip(names, b.tolist(), strict=True))
+    finally:
+        rows.unpersist()
 
 
 def tobit(df: DataFrame, x: str, y: str, rounds: int = 30) -> dict[str, float]:
-    """Line and spread of a value that is seen only above zero, by expectation and maximisation: one aggregate a round."""
+    """Line and spread of a value that is seen only above zero, by expectation and maximisation: one aggregate a round; nothing without rows or where x or y does not vary."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
-    start = rows.agg(F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"), F.stddev_pop("y").alias("s")).first()
-    a, b, s = start["a"], start["b"], start["s"]
-    for _ in range(rounds):
-        mean = a + b * F.col("x")
-        z = -mean / s
-        ratio = F.exp(-z * z / 2) * 0.3989422804014327 / F.greatest(norm_cdf(z), F.lit(1e-12))
-        # first and second moment of what lies at or below zero
-        hidden = mean - s * ratio
-        square = s * s * (1 - z * ratio - ratio * ratio) + hidden * hidden
-        cut = F.col("y") <= 0
-        e, ee = F.when(cut, hidden).otherwise(F.col("y")), F.when(cut, square).otherwise(F.col("y") * F.col("y"))
-        m = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(e).alias("e"), F.sum(F.col("x") * e).alias("xe"), F.sum(ee).alias("ee")).first()
-        b = (m["n"] * m["xe"] - m["x"] * m["e"]) / (m["n"] * m["xx"] - m["x"] ** 2)
-        a = (m["e"] - b * m["x"]) / m["n"]
-        s = max((m["ee"] - a * m["e"] - b * m["xe"]) / m["n"], 1e-12) ** 0.5
-    rows.unpersist()
-    return {"intercept": a, "slope": b, "sigma": s}
+    try:
+        start = rows.agg(F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"), F.stddev_pop("y").alias("s")).first()
+        a, b, s = start["a"], start["b"], start["s"]
+        if a is None or b is None or not s:
+            return {}
+        for _ in range(rounds):
+            mean = a + b * F.col("x")
+            z = -mean / s
+            ratio = F.exp(-z * z / 2) * 0.3989422804014327 / F.greatest(norm_cdf(z), F.lit(1e-12))
+            # first and second moment of what lies at or below zero
+            hidden = mean - s * ratio
+            square = s * s * (1 - z * ratio - ratio * ratio) + hidden * hidden
+            cut = F.col("y") <= 0
+            e, ee = F.when(cut, hidden).otherwise(F.col("y")), F.when(cut, square).otherwise(F.col("y") * F.col("y"))
+            m = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(e).alias("e"), F.sum(F.col("x") * e).alias("xe"), F.sum(ee).alias("ee")).first()
+            b = (m["n"] * m["xe"] - m["x"] * m["e"]) / (m["n"] * m["xx"] - m["x"] ** 2)
+            a = (m["e"] - b * m["x"]) / m["n"]
+            s = max((m["ee"] - a * m["e"] - b * m["xe"]) / m["n"], 1e-12) ** 0.5
+        return {"intercept": a, "slope": b, "sigma": s}
+    finally:
+        rows.unpersist()

@@ -41,10 +41,24 @@ def upsert(spark: SparkSession, path: str, key: list[str], version: str, by: str
     """A ``foreachBatch`` function that merges rows by key: the highest ``version`` stays.
 
     Only the partitions (``by``) that a batch touches are rewritten, from what they hold and the batch, so
-    a batch that is delivered again changes nothing.
+    a batch that is delivered again changes nothing.  The merged rows are written aside in full first, as
+    ``<path>_merging``; if a writer is lost while it replaces partitions, the next batch finds that folder
+    complete and replaces them from it before it does anything else.
     """
+    aside = f"{path.rstrip('/')}_merging"
+
+    def there(folder: str, name: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    def finish(schema) -> None:
+        spark.read.schema(schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(aside)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def write(batch: DataFrame, _: int) -> None:
+        if there(aside, "_SUCCESS"):  # written in full by a writer that did not come to its end
+            finish(batch.schema)
         touched = [r[0] for r in batch.select(by).distinct().collect()]  # partitions of one batch
         if not touched:
             return
@@ -52,8 +66,8 @@ def upsert(spark: SparkSession, path: str, key: list[str], version: str, by: str
         rows = old.unionByName(batch.select(*old.columns))
         rest = [c for c in rows.columns if c not in key]
         best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(version, F.xxhash64(*rest))).alias("x")).select(*key, *(F.col(f"x.{c}").alias(c) for c in rest))
-        merged = best.select(*batch.columns).checkpoint()  # cut from the files that are now replaced
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        best.select(*batch.columns).write.mode("overwrite").parquet(aside)
+        finish(batch.schema)
 
     return write
 

@@ -244,14 +244,17 @@ def sampled(spark, sf):
 
 @query()
 def resampled(spark, sf):
-    """A bootstrap resample of the games: each draw names a place, places are joined with the games.
+    """A bootstrap resample of the games: each draw names a place among all of them, places are joined with the games.
 
-    The places are dealt by partition and rank, so no window runs over all rows.
+    Places are counted by part (64 of them, by hash) and from the parts' sizes, so no window runs over all rows.
     """
     g = games(spark, sf).select("game_id", "total").withColumn("part", F.pmod(F.xxhash64("game_id"), F.lit(64)))
     placed = g.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("game_id")))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    draws = placed.join(F.broadcast(sizes), "part").select("part", (1 + F.pmod(F.xxhash64("game_id", F.lit(7)), F.col("n"))).alias("rn"))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("part")))  # 64 rows
+    table_ = sizes.agg(F.array_sort(F.collect_list(F.struct((F.col("upto") - F.col("n")).alias("from"), "part"))).alias("parts"), F.sum("n").alias("all"))
+    drawn = g.crossJoin(F.broadcast(table_)).select(F.pmod(F.xxhash64("game_id", F.lit(7)), F.col("all")).alias("at"), "parts")
+    of = F.element_at(F.filter("parts", lambda x: x["from"] <= F.col("at")), -1)
+    draws = drawn.select(of["part"].alias("part"), (F.col("at") - of["from"] + 1).cast("int").alias("rn"))
     return draws.join(placed, ["part", "rn"]).select("game_id", "total")
 
 

@@ -189,6 +189,57 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert rows() == [(1, 2, 3.5, 1), (2, 1, 4.0, 2), (3, 1, 9.0, 1)]
 
 
+def test_upsert_goes_on_after_a_crash(spark, tmp_path):
+    """A writer that was lost between deleting and writing partitions has left all merged rows aside."""
+    path, schema = str(tmp_path / "table"), "event int, v int, line double, day int"
+    write = logs.upsert(spark, path, ["event"], "v", "day")
+    write(spark.createDataFrame([(1, 1, 3.0, 1), (2, 1, 4.0, 2)], schema), 0)
+    spark.createDataFrame([(1, 2, 3.5, 1), (5, 1, 7.0, 1)], schema).write.parquet(f"{path}_merging")
+    for part in (tmp_path / "table" / "day=1").iterdir():
+        part.unlink()
+    write(spark.createDataFrame([(2, 2, 4.5, 2)], schema), 1)
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(path).collect())) == [(1, 2, 3.5, 1), (2, 2, 4.5, 2), (5, 1, 7.0, 1)]
+    assert not os.path.exists(f"{path}_merging")
+
+
+def test_long_accounts_and_null_accounts_are_chained(spark):
+    """The chain is the plain fold, whatever the partitions and batches."""
+    import hashlib
+
+    rows = spark.createDataFrame([(a, i, f"b{i}") for a in (1, 2, None) for i in range(700)], "account int, n int, what string").repartition(5)
+    got = logs.chained(rows, "account", "n", ["what"]).collect()
+    for account in (1, 2, None):
+        sha = ""
+        for r in sorted((r for r in got if r.account == account), key=lambda r: r.n):
+            sha = hashlib.sha256((sha + r.body).encode()).hexdigest()
+            assert r.sha == sha
+    assert len(got) == 2100 and logs.chained(rows.limit(0), "account", "n", ["what"]).count() == 0
+
+
+def test_fits_of_nothing(spark):
+    rows = spark.createDataFrame([], "season int, x double, y double, hit boolean, game int")
+    assert testing.probit(rows, ["x"], "hit") == {} and testing.tobit(rows, "x", "y") == {}
+    assert testing.tobit(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double"), "x", "y") == {}
+    out = ratings.boosted_walk(rows, ["x"], "y", "season", ["game"])
+    assert out.columns == ["game", "forecast"] and out.count() == 0
+
+
+def test_pairings_give_what_rows_give(spark):
+    """Ridge ratings from added-up pairings against the rows' own dense normal equations."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(1, "end", int(a), int(b), int(h), float(rng.normal(2, 0.5)), float(rng.integers(8, 15))) for a, b, h in zip(rng.integers(0, 5, 80), rng.integers(5, 9, 80), rng.integers(0, 2, 80), strict=True)]
+    got = ratings.ratings_at(spark.createDataFrame(rows, "season int, cutoff string, team long, opponent long, is_home int, rate double, weight double")).toPandas().set_index("team")
+    x, w, r = np.zeros((80, 20)), np.array([v[6] for v in rows]), np.array([v[5] for v in rows])
+    for i, (_, _, a, b, h, _, _) in enumerate(rows):
+        x[i, a], x[i, 9 + b], x[i, 18], x[i, 19] = 1, 1, 1, h - 0.5
+    m = x.T @ (x * w[:, None]) + np.diag([10.0] * 18 + [0, 0])
+    fit, pace = np.linalg.solve(m, x.T @ (w * r)), np.linalg.solve(m, x.T @ (w * w))
+    assert got.loc[range(9), "attack"].tolist() == pytest.approx(fit[:9]) and got.loc[range(9), "defence"].tolist() == pytest.approx(fit[9:18])
+    assert got.loc[range(9), "pace"].tolist() == pytest.approx(pace[:9] + pace[9:18] + pace[18]) and got["n"].sum() == 80
+
+
 def test_chain_breaks_where_it_is_changed(spark):
     rows = spark.createDataFrame([(1, i, f"b{i}") for i in range(4)], "account int, n int, what string")
     chain = logs.chained(rows, "account", "n", ["what"])
