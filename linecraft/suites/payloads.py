@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query, rounded
+from ..sources import scoreboard as sb
 from ..sources.files import child_tables
 from ..sources.offerings import changed_offerings
 from ..sources.proxy import table
@@ -76,3 +77,26 @@ def pair_ticks(spark, sf):
 def closing_pair(spark, sf):
     """Both sides' last quotes as of the kickoff, where both are valid and stand at one line."""
     return closing_pairs_batch(pair_ticks(spark, sf)).select("event", "line", rounded("over_price").alias("over_price"), rounded("under_price").alias("under_price"))
+
+
+def board_payloads(spark, sf):
+    """Scoreboard files of fifty games each, as variants; some games lack their season, some points are text."""
+    points = "CASE WHEN o_orderkey % 29 = 0 THEN 'n/a' ELSE CAST(o_orderkey * 31 % 57 AS STRING) END"
+    offer = lambda side, value: f"named_struct('side', '{side}', 'value', {value}, 'odds', -110, 'type', CASE WHEN o_orderkey % 5 = 0 THEN 'alt' END)"
+    game = f"""to_json(named_struct('id', CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END, 'core_id', o_orderkey, 'season', CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) END, 'status', o_orderstatus, 'boxscore', named_struct('total_home_points', {points}, 'total_away_points', o_orderkey * 17 % 50, 'linescore', array(named_struct('id', 1, 'home_points', o_orderkey % 9), named_struct('id', 2, 'home_points', o_orderkey % 8))),
+ 'teams', array(named_struct('id', o_custkey % 40, 'standings', named_struct('win', o_orderkey % 12)), named_struct('id', o_custkey % 40 + 1, 'standings', named_struct('win', 0))), 'markets', map(CAST(o_custkey % 6 AS STRING), map('event', map('total', array({offer('over', 'CAST(40 + o_orderkey % 20 AS DOUBLE)')}, {offer('under', 'CAST(40 + o_orderkey % 20 AS DOUBLE)')})))) ))"""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey div 50 AS f", f"{game} AS g")
+    files = rows.groupBy("f").agg(F.concat(F.lit('{"games": ['), F.array_join(F.sort_array(F.collect_list("g")), ", "), F.lit("]}")).alias("t"))
+    return files.select(F.parse_json("t").alias("payload"), F.lit(1900).alias("season"), (F.col("f") % 15).cast("int").alias("week"), F.lit("regular").alias("season_type"), F.concat(F.lit("board_"), "f").alias("source_file"))
+
+
+@query("""SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) ELSE 1900 END::INT AS season, (o_orderkey // 50 % 15)::INT AS week, o_orderstatus AS status, CASE WHEN o_orderkey % 29 <> 0 THEN o_orderkey * 31 % 57 END::INT AS home_points, (o_orderkey * 17 % 50)::INT AS away_points, concat('board_', o_orderkey // 50) AS source_file FROM orders""")
+def scoreboard_games(spark, sf):
+    """The main table of the scoreboard: a row a game, own season before the file's, text where a number should be as null."""
+    return sb.scoreboard(board_payloads(spark, sf)).select("event_id", "season", "week", "status", "home_points", "away_points", "source_file")
+
+
+@query("""SELECT o_orderkey AS event_id, (o_custkey % 6)::BIGINT AS book_id, 'event' AS period, CASE WHEN o_orderkey % 5 = 0 THEN 'alt' ELSE 'total' END AS market, unnest(['over', 'under']) AS side, (40 + o_orderkey % 20)::DOUBLE AS line, -110 AS odds FROM orders""")
+def scoreboard_markets(spark, sf):
+    """Offers of the scoreboard, from the maps of books, periods and markets."""
+    return sb.markets(sb.scoreboard(board_payloads(spark, sf))).select("event_id", "book_id", "period", "market", "side", "line", "odds")

@@ -107,3 +107,25 @@ def test_closing_pairs(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert got == rows
+
+
+def test_scoreboard(spark):
+    """Games, teams, periods, ranks and offers of a file; missing parts, other kinds of values, files without games."""
+    from pyspark.sql import functions as F
+
+    from linecraft.sources import scoreboard as sb
+
+    one = {"id": 7, "week": 3, "home_team_id": "12", "boxscore": {"period": 4, "situation": {"down": 2}, "linescore": [{"id": 1, "home_points": 7, "away_points": None}]}, "teams": [{"id": 12, "abbr": "AA", "standings": {"win": 3}}, {"abbr": "BB"}], "ranks": [{"poll": "ap", "rank": 4, "team_id": 12}]}
+    one["markets"] = {"15": {"event": {"total": [{"side": "over", "value": 44.5, "odds": -105, "bet_info": {"money": {"percent": 61, "value": 10}}}, {"side": "under", "type": "alt_total"}]}, "firsthalf": {"spread": []}}, "68": {}}
+    two = {"core_id": 8, "season": 2022, "status": "complete", "teams": "none", "markets": [], "boxscore": None}
+    texts = [json.dumps({"games": [one, two]}), json.dumps({"games": []}), json.dumps({"leagues": 1}), None]
+    files_ = spark.createDataFrame([(t, 2021, 1, "regular", f"f{i}") for i, t in enumerate(texts)], "t string, season int, week int, season_type string, source_file string").withColumn("payload", F.try_parse_json("t"))
+    games = sb.scoreboard(files_)
+    got = {r.event_id: r for r in games.drop("teams", "markets", "ranks", "linescore", "last_play").collect()}
+    assert sorted(got) == [7, 8] and (got[7].season, got[7].week, got[7].home_team_id, got[7].period, got[7].down, got[7].core_id) == (2021, 3, 12, 4, 2, None)
+    assert (got[8].season, got[8].week, got[8].status, got[8].home_points) == (2022, 1, "complete", None)
+    assert sorted((r.event_id, r.abbr, r.team_id, r.wins) for r in sb.teams(games).collect()) == [(7, "AA", 12, 3), (7, "BB", None, None)]
+    assert [tuple(r) for r in sb.linescores(games).select("event_id", "period_id", "home_points", "away_points").collect()] == [(7, 1, 7, None)]
+    assert [tuple(r) for r in sb.ranks(games).select("event_id", "week", "poll", "rank").collect()] == [(7, 3, "ap", 4)]
+    offers = sorted((r.book_id, r.period, r.market, r.side, r.line, r.money_pct) for r in sb.markets(games).collect())
+    assert offers == [(15, "event", "alt_total", "under", None, None), (15, "event", "total", "over", 44.5, 61)]
