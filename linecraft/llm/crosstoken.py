@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 
 from .bpe import _byte_letters, gather, row_slices
 from .common import free, ship, stored, table
+from .textops import release
 
 #: Bytes of text of a chunk of documents (a longer document is a chunk of its own).
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Input partitions whose equal segments meet in one task.
 RANGE = 1 << 12
 #: Texts that are tokenised and aligned at a time.
@@ -188,6 +189,7 @@ def _split(shared, chunk: int):
         cut, part, made = _tools(shared)[1].cut, TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in row_slices(whole, "text", chunk):
+                release()  # workers of one executor share its memory with other stages' left-overs
                 lists = cut(batch.column("text"))
                 bounds, coded = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
                 del lists
@@ -267,6 +269,7 @@ def align_segments(segments: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _tools(shared)[0]
         for whole in batches:
+            release()
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 coded = pc.dictionary_encode(batch.column("segment"))
@@ -316,6 +319,7 @@ _SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
 def _composed(docs: pa.Table, found: pa.Table) -> pa.Table:
     """A chunk's documents from the alignments of its segments."""
+    release()
     found = found.sort_by("local").combine_chunks()
     lists = docs.column("segs").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
