@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "linecraft", **conf: str) -> SparkSession:
@@ -35,3 +35,18 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("linecraft", os.path.relpath(full, here)))
     context.addPyFile(path)
     context._linecraft_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: written to the folder of ``spark.checkpoint.dir`` and read from there, without its lineage.
+
+    Where the setting is absent a local folder is made once, but only in a session on this machine alone (``local``
+    masters); on a cluster that is an error, since executors could not see it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="linecraft-"))
+    return df.checkpoint()
