@@ -16,6 +16,11 @@ def decimal_price(american: Column) -> Column:
     return F.when(american < 0, 1 + F.lit(100.0) / F.abs(american)).when(american > 0, 1 + american / 100)
 
 
+def payout(american: Column) -> Column:
+    """What a won bet pays on one unit: the decimal price less the stake, without the rounding of a sum and a difference."""
+    return F.when(american < 0, F.lit(100.0) / F.abs(american)).when(american > 0, american / 100)
+
+
 def profit(result: Column, stake: Column, american: Column) -> Column:
     """Win pays the price, push nothing, loss the stake."""
     return F.when(result == "W", stake * (decimal_price(american) - 1)).when(result == "L", -stake).when(result == "P", F.lit(0.0))

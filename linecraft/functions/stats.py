@@ -12,9 +12,14 @@ _PHI = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.33027
 
 
 def norm_cdf(z: Column) -> Column:
-    """Standard normal distribution function, absolute error below 7.5e-8."""
-    t = 1 / (1 + _PHI[0] * F.abs(z))
-    poly = t * (_PHI[1] + t * (_PHI[2] + t * (_PHI[3] + t * (_PHI[4] + t * _PHI[5]))))
+    """Standard normal distribution function, absolute error below 7.5e-8.
+
+    Divides step by step as ``NORM_CDF_SQL`` does: chances that cancel to nothing then fall on the same side of a threshold.
+    """
+    size, poly = 1 + _PHI[0] * F.abs(z), F.lit(_PHI[5])
+    for c in _PHI[4:0:-1]:
+        poly = c + poly / size
+    poly = 0.0 + poly / size
     upper = F.exp(-z * z / 2) * 0.3989422804014327 * poly
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 

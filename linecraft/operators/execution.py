@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.odds import decimal_price, fair_pair, implied_probability
+from ..functions.odds import decimal_price, fair_pair, implied_probability, payout
 from .market import american, cents, settle
 
 #: Outcome probabilities of a line: (over, push, under) columns of a decision's row.
@@ -115,7 +115,7 @@ def scored(decisions: DataFrame, states: DataFrame, policy: Policy, ex: Executio
     c = c.withColumns({"line": line, "price": price})
     p_over, p_push, p_under = outcomes(F.col("line"))
     c = c.withColumns({"p_win": F.when(over, p_over).otherwise(p_under), "p_push": p_push, "p_loss": F.when(over, p_under).otherwise(p_over)})
-    c = c.withColumn("ev", F.col("p_win") * (decimal_price(F.col("price")) - 1) - F.col("p_loss"))
+    c = c.withColumn("ev", F.col("p_win") * payout(F.col("price")) - F.col("p_loss"))
     c = c.withColumn("point_edge", F.when(over, F.col("mean") - F.col("line")).otherwise(F.col("line") - F.col("mean")))
     comparable = _usable("pair") & (F.col("pair.line") == F.col("quote.line"))
     share = F.col("p_win") / F.greatest(1 - F.col("p_push"), F.lit(1e-12))
