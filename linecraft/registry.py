@@ -16,8 +16,12 @@ NUDGE = 1.7e-9
 
 
 def rounded(x: Column | str, digits: int = 6) -> Column:
-    """``x`` to some digits as a double; ties go up, whatever the last bits of ``x``."""
-    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") + NUDGE, digits)
+    """``x`` to some digits as a double; ties go up, whatever the last bits of ``x``.
+
+    Whole numbers of the last digit are rounded, as DuckDB does: rounding the decimal text of ``x`` goes the other way next to a tie.
+    """
+    unit = 10.0**digits
+    return F.round(((F.col(x) if isinstance(x, str) else x).cast("double") + NUDGE) * unit) / unit
 
 
 def nudged(sql: str) -> str:
