@@ -114,14 +114,20 @@ def censored_fit(df: DataFrame, x: str, y: str, by: list[str], floor: float = 0.
     """Line and spread of a score that is seen only above ``floor``, for each group, with standard errors.
 
     Maximum likelihood by Newton steps in slopes over spread and inverse spread, where the likelihood is concave: a round
-    is one aggregate over the rows of all groups.  Standard errors come from the outer products of the rows' scores in
+    is one aggregate over the distinct (x, y) of all groups, which are counted once.  Standard errors come from the outer products of the rows' scores in
     (alpha, beta, log sigma).  Returns alpha, beta, sigma, se_alpha, se_beta, se_sigma, n, n_censored; the driver holds
     three numbers a group.  Groups whose rows are all censored or whose x does not vary are left out.
     """
-    rows = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias("__x"), F.greatest(F.col(y).cast("double"), F.lit(floor)).alias("__y")).persist()
+    rows = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias("__x"), F.greatest(F.col(y).cast("double"), F.lit(floor)).alias("__y"))
+    rows = rows.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).cast("double").alias("__w")).persist()
     try:
         cut = F.col("__y") <= floor
-        start = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(cut).alias("c"), F.regr_slope("__y", "__x").alias("b"), F.regr_intercept("__y", "__x").alias("a"), (F.regr_syy("__y", "__x") / F.count(F.lit(1))).alias("v"), F.regr_sxx("__y", "__x").alias("sxx")).collect()
+        w, dx, dy = F.col("__w"), F.col("__x") - F.col("__mx"), F.col("__y") - F.col("__my")
+        means = rows.groupBy(*(F.col(b).alias(f"__by_{b}") for b in by)).agg(F.sum("__w").cast("long").alias("n"), F.coalesce(F.sum(F.when(cut, w)), F.lit(0)).cast("long").alias("c"), (F.sum(w * F.col("__x")) / F.sum(w)).alias("__mx"), (F.sum(w * F.col("__y")) / F.sum(w)).alias("__my"))
+        near_mean = rows.join(F.broadcast(means), [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by] or F.lit(True))  # a row a group
+        spread = near_mean.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("n", "c", "__mx", "__my")), F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dy * dy).alias("syy"))
+        slope = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
+        start = spread.select(*by, "n", "c", slope.alias("b"), (F.col("__my") - slope * F.col("__mx")).alias("a"), (F.col("syy") / F.col("n")).alias("v"), "sxx").collect()
         held = {tuple(r[b] for b in by): r for r in start if r["n"] > 3 and r["c"] < r["n"] and (r["sxx"] or 0) > 0 and r["v"] > 0}
         kinds = ", ".join([*(f"`{b}` {dict(df.dtypes)[b]}" for b in by), "__p double, __q double, __g double"])
         at = {k: np.array([r["a"], r["b"], 1.0]) / math.sqrt(max(r["v"] - r["b"] ** 2 * r["sxx"] / r["n"], 1e-9)) for k, r in held.items()}
@@ -138,7 +144,7 @@ def censored_fit(df: DataFrame, x: str, y: str, by: list[str], floor: float = 0.
             own, g = F.col("__p") + F.col("__q") * F.col("__x"), F.col("__g")
             r, a, m = g * F.col("__y") - own, g * floor - own, F.col("__m")
             h = -m * (a + m)
-            one = lambda u, v: F.sum(F.when(cut, u).otherwise(v))
+            one = lambda u, v: F.sum(w * F.when(cut, u).otherwise(v))
             now = joined({k: at[k] for k in live}).withColumn("__m", F.when(cut, mills(own - g * floor)))  # density over distribution function at a
             sums = now.groupBy(*by).agg(
                 one(-m, r).alias("g0"), one(-m * F.col("__x"), r * F.col("__x")).alias("g1"), one(m * floor, 1 / g - r * F.col("__y")).alias("g2"),
@@ -160,7 +166,7 @@ def censored_fit(df: DataFrame, x: str, y: str, by: list[str], floor: float = 0.
         score = [F.when(cut, -lam / s).otherwise(z / s), F.when(cut, -lam / s * F.col("__x")).otherwise(z / s * F.col("__x")), F.when(cut, a * lam).otherwise(z * z - 1)]
         out = []
         if at:
-            opg = joined(at).withColumn("__m", F.when(cut, mills(a))).groupBy(*by).agg(*(F.sum(score[i] * score[j]).alias(f"o{i}{j}") for i in range(3) for j in range(i, 3))).collect()
+            opg = joined(at).withColumn("__m", F.when(cut, mills(a))).groupBy(*by).agg(*(F.sum(w * score[i] * score[j]).alias(f"o{i}{j}") for i in range(3) for j in range(i, 3))).collect()
             for r in opg:
                 k = tuple(r[b] for b in by)
                 o = np.array([[r[f"o{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])

@@ -77,5 +77,7 @@ def over_model(spark, sf):
     mean = {y: F.col(f"alpha_{y}") + F.col(f"beta_{y}") * F.col(x) for x, y in (("mh", "h"), ("ma", "a"))}
     rho = joint.error_correlation(both, "h", mean["h"], "a", mean["a"], ["season"]).select("season", "rho")
     p = joint.correlated_over(mean["h"], mean["a"], F.col("sigma_h"), F.col("sigma_a"), F.col("rho"), F.col("mh") + F.col("ma"))
-    sums = both.join(rho, "season").groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.first("rho").alias("rho"), F.avg(p).alias("p_over"))
+    # one quadrature for equal forecasts of a season
+    alike = f.groupBy("season", "mh", "ma").agg(F.count(F.lit(1)).alias("n")).join(fits[0], "season").join(fits[1], "season").join(rho, "season").repartition(64, "season", "mh", "ma")
+    sums = alike.select("season", "rho", F.col("n").alias("w"), p.alias("p")).groupBy("season").agg(F.sum("w").alias("n"), F.first("rho").alias("rho"), (F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p_over"))
     return sums.join(fits[0], "season").join(fits[1], "season")
