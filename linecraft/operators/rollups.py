@@ -107,13 +107,16 @@ def match_ladder(asked: DataFrame, known: DataFrame, key: list[str], at: str, ho
     """Rows of ``asked`` with the game they mean and how it was found.
 
     First a game of exactly that kickoff; else the only one within ``hours``; two or more are ambiguous,
-    none is missed.  Buckets of the window's width make both steps joins by equality.
+    none is missed.  Buckets of the window's width make both steps joins by equality; equal moments ask once and
+    games of one kickoff answer as one row, so pairs grow with distinct moments, not with rows.
     """
     width = int(hours * 3600)
     bucket = lambda c: F.floor(F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})") / width)
-    near = asked.withColumn("__b", F.explode(F.sequence(bucket(at) - 1, bucket(at) + 1))).join(known.withColumn("__b", bucket("kickoff")), [*key, "__b"])
-    gap = F.abs(F.expr(f"timestampdiff(SECOND, {at}, kickoff)"))
-    hits = near.withColumn("__gap", gap).filter(F.col("__gap") <= width).groupBy("ask_id").agg(F.count(F.lit(1)).alias("n"), F.min("game_id").alias("one"), F.min(F.when(F.col("__gap") == 0, F.col("game_id"))).alias("exact"))
+    moments = asked.select(*key, at).distinct().withColumn("__b", F.explode(F.sequence(bucket(at) - 1, bucket(at) + 1)))
+    starts = known.groupBy(*key, "kickoff").agg(F.count(F.lit(1)).alias("__n"), F.min("game_id").alias("game_id")).withColumn("__b", bucket("kickoff"))
+    near = moments.join(starts, [*key, "__b"]).withColumn("__gap", F.abs(F.expr(f"timestampdiff(SECOND, {at}, kickoff)"))).filter(F.col("__gap") <= width)
+    found = near.groupBy(*key, at).agg(F.sum("__n").alias("n"), F.min("game_id").alias("one"), F.min(F.when(F.col("__gap") == 0, F.col("game_id"))).alias("exact"))
+    hits = asked.join(found, [*key, at]).groupBy("ask_id").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.min("exact").alias("exact"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "window").when(F.col("n") > 1, "ambiguous").otherwise("missed")
     out = asked.select("ask_id").join(hits, "ask_id", "left").withColumn("how", how)
     return out.select("ask_id", "how", F.when(F.col("how") == "exact", F.col("exact")).when(F.col("how") == "window", F.col("one")).alias("game_id"))
