@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, Row, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from .flatten import objects
+
 _ADDED = [("book", StringType()), ("period", StringType()), ("market", StringType()), ("side", StringType()), ("value", DoubleType()), ("first", BooleanType())]
 
 
@@ -56,6 +58,21 @@ def _leaves(node, path: tuple):
 
 
 def changed_offerings(snapshots: DataFrame, series: list[str], order: list[str], payload: str = "payload") -> DataFrame:
-    """The offerings of ``snapshots`` that differ from those before them in their series."""
-    rows = snapshots.asTable().partitionBy(*series).orderBy(*order)
-    return F.udtf(Offerings)(rows, F.lit(payload))
+    """The offerings of ``snapshots`` that differ from those before them in their series.
+
+    What ``Offerings`` does, with columns and one window instead of a call a row.
+    """
+    if payload not in snapshots.columns:
+        raise ValueError("a table and the name of its payload column are needed")
+    kept = [c for c in snapshots.columns if c != payload]
+    taken = {c.lower() for c in kept}
+    book, period, market, side, value, first = names = [n + "_" * (n in taken) for n, _ in _ADDED]
+    out = snapshots.select(*kept, F.explode(objects(F.try_parse_json(payload))).alias("__x"))
+    for name in (book, period, market):
+        out = out.select(*out.columns[:-1], F.col("__x.key").alias(name), F.explode(objects(F.col("__x.value"))).alias("__x"))
+    leaf, kind = F.col("__x.value"), F.schema_of_variant("__x.value")
+    number = (kind == "VOID") | kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    out = out.filter(number).select(*out.columns[:-1], F.col("__x.key").alias(side), F.try_variant_get(leaf, "$", "double").alias(value))
+    w = Window.partitionBy(*series, book, period, market, side).orderBy(*order)
+    out = out.withColumns({first: F.row_number().over(w) == 1, "__was": F.lag(value).over(w)})
+    return out.filter(F.col(first) | ~F.col(value).eqNullSafe(F.col("__was"))).select(*kept, *names)
