@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -143,6 +143,38 @@ def child_tables(df: DataFrame, key: list[str], name: str = "") -> dict[str, Dat
     return out
 
 
+def child_sizes(df: DataFrame, name: str = "") -> DataFrame:
+    """path and n: the rows of every table of ``child_tables``, counted in one pass without making the tables."""
+    found = [(name, F.lit(1))]
+
+    def member(items: Column, field: str) -> Column:
+        return F.transform(items, lambda x: x.getField(field))
+
+    def below(items: Column, kind, path: str) -> None:
+        """The array paths under ``items``, an array of ``kind``."""
+        if isinstance(kind, ArrayType):
+            inner = F.flatten(F.filter(items, lambda x: x.isNotNull()))
+            add(inner, kind.elementType, f"{path}__value")
+        elif isinstance(kind, StructType):
+            fields(items, kind, f"{path}__")
+
+    def fields(items: Column, kind: StructType, prefix: str) -> None:
+        for field in kind.fields:
+            each = member(items, field.name)
+            if isinstance(field.dataType, ArrayType):
+                add(F.flatten(F.filter(each, lambda x: x.isNotNull())), field.dataType.elementType, prefix + field.name)
+            elif isinstance(field.dataType, StructType):
+                fields(each, field.dataType, f"{prefix}{field.name}_")
+
+    def add(items: Column, kind, path: str) -> None:
+        found.append((path, F.coalesce(F.size(items), F.lit(0))))
+        below(items, kind, path)
+
+    fields(F.array(F.struct("*")), df.schema, f"{name}__" if name else "")
+    sums = df.agg(*(F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias(f"n{i}") for i, (_, n) in enumerate(found)))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(path).alias("path"), F.col(f"n{i}").alias("n")) for i, (path, _) in enumerate(found)))).alias("x")).select("x.*")
+
+
 def promote_timestamps(df: DataFrame) -> DataFrame:
     """String columns named like dates or times become timestamps where every value parses; one pass."""
     names = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and ("date" in f.name.lower() or "time" in f.name.lower())]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, rounded
 from ..sources import scoreboard as sb
-from ..sources.files import child_tables
+from ..sources.files import child_sizes, child_tables
 from ..sources.offerings import changed_offerings
 from ..sources.proxy import table
 from ..streaming.stateful import closing_pairs_batch
@@ -24,8 +24,12 @@ def deep_payloads(spark, sf):
     return per.select("game_id", F.to_json(F.struct("lines", F.struct(F.col("c").alias("customer")).alias("meta"))).alias("payload"))
 
 
+def _deep(spark, sf):
+    return deep_payloads(spark, sf).select("game_id", F.from_json("payload", _DEEP).alias("p")).select("game_id", "p.*")
+
+
 def _children(spark, sf):
-    return child_tables(deep_payloads(spark, sf).select("game_id", F.from_json("payload", _DEEP).alias("p")).select("game_id", "p.*"), ["game_id"], "game")
+    return child_tables(_deep(spark, sf), ["game_id"], "game")
 
 
 _PLACED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem"
@@ -42,18 +46,17 @@ def third_level_children(spark, sf):
  UNION ALL SELECT 'game__lines__splits', sum(1 + l_suppkey % 3), 4 FROM l UNION ALL SELECT 'game__lines__splits__odds', sum((1 + l_suppkey % 3) * (1 + l_partkey % 2)), 6 FROM l)""")
 def child_table_sizes(spark, sf):
     """Rows and columns of every table that the walk over the payloads' structure makes."""
-    parts = [t.groupBy().agg(F.lit(path).alias("path"), F.count(F.lit(1)).alias("n"), F.lit(len(t.columns)).alias("columns")) for path, t in _children(spark, sf).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    deep = _deep(spark, sf)
+    columns = {path: len(t.columns) for path, t in child_tables(deep, ["game_id"], "game").items()}
+    sizes = child_sizes(deep, "game")
+    return sizes.select("path", "n", F.element_at(F.create_map(*(F.lit(x) for pair in columns.items() for x in pair)), F.col("path")).alias("columns"))
 
 
 @query("""WITH l AS (SELECT l_orderkey AS game_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS captured, 'k' || (l_suppkey % 2) AS book, l_quantity AS q, l_partkey AS k FROM lineitem),
  o AS (SELECT game_id, captured, book, 'event' AS period, 'spread' AS market, 'home' AS side, (q::BIGINT // 10)::DOUBLE AS value FROM l UNION ALL SELECT game_id, captured, book, 'event', 'total', 'over', (k % 2)::DOUBLE FROM l),
  w AS (SELECT *, lag(value) OVER s AS was, row_number() OVER s = 1 AS first FROM o WINDOW s AS (PARTITION BY game_id, book, market, side ORDER BY captured)) SELECT game_id, captured, book, period, market, side, value, first FROM w WHERE first OR value <> was""")
 def offering_changes(spark, sf):
-    """Offerings of nested snapshots where they differ from the snapshot before, by a table function over ordered partitions."""
+    """Offerings of nested snapshots where they differ from the snapshot before."""
     payload = "to_json(map(concat('k', l_suppkey % 2), map('event', map('spread', map('home', CAST(CAST(l_quantity AS BIGINT) div 10 AS DOUBLE)), 'total', map('over', CAST(l_partkey % 2 AS DOUBLE))))))"
     rows = table(spark, sf, "lineitem").selectExpr("l_orderkey AS game_id", "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS captured", f"{payload} AS payload")
     return changed_offerings(rows, ["game_id"], ["captured"])
