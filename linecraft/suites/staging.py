@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..registry import query
+from ..session import dealt
 from ..sources import flatten as fl
 from ..sources.files import child_table, flatten, promote_timestamps
 from ..sources.proxy import ctes, made, table
@@ -20,7 +21,7 @@ def _object(df, key, name, value, to):
 
 
 def _payloads(spark, sf):
-    t = made(spark, sf, TICKS)
+    t = dealt(made(spark, sf, TICKS), "game_id")
     tick = F.concat(F.lit('{"moment": '), "moment", F.lit(', "line": '), "line", F.lit("}"))
     offers = t.groupBy("game_id", "book", "period", "market", "side").agg(F.array_join(F.collect_list(tick), ", ").alias("h"))
     offer = F.concat(F.lit('{"side": "'), "side", F.lit('", "history": ['), "h", F.lit("]}"))
