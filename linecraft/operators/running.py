@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import rounded
+from ..session import dealt
 
 
 def team_games(games: DataFrame) -> DataFrame:
@@ -23,9 +24,9 @@ def entering(rows: DataFrame, averages: tuple[str, ...] = ()) -> DataFrame:
     Played games, win and cover rates, rest days, last-three scoring, signed streaks of results and of
     covers, and the mean of each of ``averages`` over the games that have it.  A tie or a push resets
     its streak to 0; games without a score leave it as it was.  All windows but the two over streaks
-    share one partitioning and order, so one shuffle and one sort serve them.
+    share one partitioning and order, so one shuffle and one sort serve them; partitions grow in number, not in size.
     """
-    rows = rows.withColumn("diff", F.col("points") - F.col("allowed")).withColumn("cover", F.col("diff") + F.col("line"))
+    rows = dealt(rows, "team", "season").withColumn("diff", F.col("points") - F.col("allowed")).withColumn("cover", F.col("diff") + F.col("line"))
     order = Window.partitionBy("team", "season").orderBy("kickoff", "game_id")
     past, now = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     decided = F.count_if(F.col("diff") != 0).over(past)
