@@ -13,6 +13,7 @@ from .operators.running import entering, prior_mean, team_games
 from .operators.systems import FeatureFilter, SystemFilter, evaluate, grade, record
 from .plans import search
 from .registry import ORACLE_SQL, QUERIES, query, rounded
+from .session import dealt, tasks
 from .sources.proxy import GAMES_SQL, LINES_SQL, games, line_tape, purchases, table, ticks
 
 HOME_FAVOURITE = SystemFilter(side="home", favorite=True)
@@ -135,7 +136,7 @@ def drawdown(spark, sf):
 def _one_vote(lines: DataFrame) -> DataFrame:
     """One row per game and book: the fullest, the first of equals."""
     filled = sum(F.col(c).isNotNull().cast("int") for c in ("spread", "spread_open", "total"))
-    return latest(lines.withColumn("__n", filled), ["game_id", "provider"], [F.desc("__n"), F.asc("pos"), F.asc_nulls_last("spread"), F.asc_nulls_last("spread_open"), F.asc_nulls_last("total")]).drop("__n")
+    return latest(dealt(lines.withColumn("__n", filled), "game_id"), ["game_id", "provider"], [F.desc("__n"), F.asc("pos"), F.asc_nulls_last("spread"), F.asc_nulls_last("spread_open"), F.asc_nulls_last("total")]).drop("__n")
 
 
 _VOTE = f"""{LINES_SQL}, vote AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY game_id, provider ORDER BY
@@ -351,6 +352,7 @@ def nearest_game(spark, sf):
     quotes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("quote_id"), F.col("l_linenumber").cast("long").alias("quote_no"), F.col("l_shipdate").alias("t"))
     quotes = quotes.join(every.select(F.col("game_id").alias("quote_id"), *pair_key("home_team", "away_team")), "quote_id")
     both = first.withColumns({"quote_id": F.lit(None).cast("long"), "quote_no": F.lit(None).cast("long")}).unionByName(quotes.withColumn("game_id", F.lit(None).cast("long")))
+    both = both.repartition(tasks(table(spark, sf, "lineitem")), "team_low", "team_high")
     game = F.when(F.col("game_id").isNotNull(), F.struct("t", "game_id"))
     key = Window.partitionBy("team_low", "team_high")
     so_far = (Window.unboundedPreceding, Window.currentRow)
