@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import entering, team_games
-from ..operators.systems import SystemFilter, grade, side_line
+from ..operators.systems import SystemFilter, graded, side_line
 from ..session import ship
 
 QUARTILES, LEVELS = (0.25, 0.5, 0.75), 8
@@ -115,19 +115,39 @@ def grammar(games: DataFrame, features: Features = KNOWN) -> list[tuple[str, str
     return out
 
 
-def _bets(games: DataFrame, conditions: list) -> DataFrame:
-    """Graded bets of each search and side (``part``) with one boolean a condition."""
-    out = []
+def _packed(games: DataFrame, conditions: list) -> DataFrame:
+    """Graded bets as bit sets: a row a batch of games and ``part`` (search and side), with one row of bits a condition, then all bets, wins and losses.
+
+    Both sides' tests are read once for the three searches.
+    """
+    ship(games.sparkSession)
+    flags = [F.coalesce(test[i], F.lit(False)).alias(f"c{i}_{k}") for i, _ in enumerate(SIDES) for k, (_, _, test) in enumerate(conditions)]
+    read, n = games, len(conditions)
     for s, (search, bets) in enumerate(SEARCHES.items()):
         for i, _ in enumerate(SIDES):
-            graded = grade(games, SystemFilter(side=bets[i], market="spread" if search == "spread" else "total"))
-            out.append(graded.select("season", F.lit(2 * s + i).alias("part"), "result", *(F.coalesce(test[i], F.lit(False)).alias(f"c{k}") for k, (_, _, test) in enumerate(conditions))))
-    return reduce(DataFrame.unionByName, out)
+            of, result = graded(games.columns, SystemFilter(side=bets[i], market="spread" if search == "spread" else "total"))
+            read = read.withColumns({f"__{name}{2 * s + i}": F.coalesce(of & test, F.lit(False)) for name, test in (("b", F.lit(True)), ("w", result == "W"), ("l", result == "L"))})
+    marks = [f"__{name}{p}" for p in range(2 * len(SEARCHES)) for name in "bwl"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            tests = [np.stack([bits(batch, f"c{i}_{k}") for k in range(n)]) for i, _ in enumerate(SIDES)]
+            parts, words = [], []
+            for p in range(2 * len(SEARCHES)):
+                bet = bits(batch, f"__b{p}")
+                if bet.any():
+                    mine = np.concatenate([tests[p % 2][:, bet], *(bits(batch, f"__{name}{p}")[None, bet] for name in "bwl")])
+                    mine = np.pad(mine, ((0, 0), (0, -mine.shape[1] % 64)))
+                    parts.append(p)
+                    words.append(np.packbits(mine, axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(words, pa.binary())], ["part", "words"])
+
+    return read.select(*flags, *marks).mapInArrow(pack, "part int, words binary")
 
 
-def _records(bets: DataFrame, n_conditions: int, candidates: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
+def _records(packed: DataFrame, n_conditions: int, candidates: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """Bets, wins and losses of each (part, conditions): bit sets in the tasks, one sum over tasks."""
-    ship(bets.sparkSession)
     longest = max(len(c) for _, c in candidates)
     sets = np.array([[*c, *[n_conditions] * (longest - len(c))] for _, c in candidates]).reshape(len(candidates), -1)
     part_of = np.array([p for p, _ in candidates])
@@ -135,12 +155,8 @@ def _records(bets: DataFrame, n_conditions: int, candidates: list[tuple[int, tup
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(sets), 3), np.int64)
         for batch in batches:
-            part, result = batch.column("part").to_numpy(), np.array(batch.column("result").to_pylist())
-            flags = np.stack([*(batch.column(f"c{k}").to_numpy(zero_copy_only=False) for k in range(n_conditions)), np.ones(len(part), bool), result == "W", result == "L"])
-            for p in np.unique(part):
-                mine = flags[:, part == p]
-                mine = np.pad(mine, ((0, 0), (0, -mine.shape[1] % 64)))
-                words = np.ascontiguousarray(np.packbits(mine, axis=1)).view(np.uint64)
+            for p, held in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
+                words = np.frombuffer(held.as_buffer(), np.uint64).reshape(n_conditions + 3, -1)
                 which = np.flatnonzero(part_of == p)
                 for lo in range(0, len(which), 4096):
                     at = which[lo : lo + 4096]
@@ -150,7 +166,7 @@ def _records(bets: DataFrame, n_conditions: int, candidates: list[tuple[int, tup
         some = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j]) for j in range(3))], ["i", "bets", "wins", "losses"])
 
-    rows = bets.select("part", "result", *(f"c{k}" for k in range(n_conditions))).mapInArrow(count, "i long, bets long, wins long, losses long")
+    rows = packed.mapInArrow(count, "i long, bets long, wins long, losses long")
     out = np.zeros((len(sets), 3), np.int64)
     for r in rows.groupBy("i").agg(F.sum("bets"), F.sum("wins"), F.sum("losses")).collect():
         out[r[0]] = r[1:]
@@ -195,20 +211,25 @@ def beam(games: DataFrame, width: int = 100, depth: int = 4, least: int = 100, t
     """
     spark = games.sparkSession
     last = games.filter("home_points IS NOT NULL AND away_points IS NOT NULL").agg(F.max("season")).first()[0]
-    games = with_features(games)
+    sides = [f"{s}_{n}" for n in (*features.team_numbers, *features.team_levels) for s in SIDES]
+    needed = dict.fromkeys(["season", "home_points", "away_points", "spread", "total", *features.game_numbers, *features.game_levels, *sides])
+    # the entering statistics are made once; the rounds read bit sets
+    games = with_features(games).select(*needed).persist()
     known = games.filter(F.col("season") < F.lit(last))
-    conditions = grammar(known, covered(known, features, cover))
-    bets = _bets(games, conditions).persist()
+    inside = None
     try:
-        return _found(spark, bets, last, conditions, width, depth, least, top)
+        conditions = grammar(known, covered(known, features, cover))
+        inside = _packed(known, conditions).persist()
+        return _found(spark, inside, _packed(games.filter(F.col("season") == F.lit(last)), conditions), conditions, width, depth, least, top)
     finally:
-        bets.unpersist()
+        games.unpersist()
+        if inside is not None:
+            inside.unpersist()
 
 
-def _found(spark: SparkSession, bets: DataFrame, last, conditions: list, width: int, depth: int, least: int, top: int) -> DataFrame:
-    """The search itself, over graded bets with one boolean a condition."""
+def _found(spark: SparkSession, inside: DataFrame, held_out: DataFrame, conditions: list, width: int, depth: int, least: int, top: int) -> DataFrame:
+    """The search itself, over the bit sets of the games to search and of those held out."""
     dimension, name = [c[0] for c in conditions], [c[1] for c in conditions]
-    inside = bets.filter(F.col("season") < F.lit(last))
     away, n = name.index("away"), len(conditions)
     key = lambda s, c: (2 * s + (away in c), c)
     called = lambda s, c: f"{list(SEARCHES)[s]}: " + " AND ".join(name[k] for k in c)
@@ -230,7 +251,7 @@ def _found(spark: SparkSession, bets: DataFrame, last, conditions: list, width:
         live = [[r[5] for r in sorted(k)[:width]] for k in kept]
         best = [a + b for a, b in zip(best, kept, strict=True)]
     ranked = sorted(r for b in best for r in sorted(b)[:top])
-    graded = _records(bets.filter(F.col("season") == F.lit(last)), n, [key(*r[4:6]) for r in ranked]).tolist() if ranked else []
+    graded = _records(held_out, n, [key(*r[4:6]) for r in ranked]).tolist() if ranked else []
     left = [(r, g, p_value(g[1], g[1] + g[2])) for r, g in zip(ranked, graded, strict=True) if g[0]]
     bh = benjamini_hochberg([p for _, _, p in left])
     return spark.createDataFrame([(r[3], i, -r[0], -r[1], r[6], *g, _roi(*g), p, q) for i, ((r, g, p), q) in enumerate(zip(left, bh, strict=True), 1)], SCHEMA)
