@@ -198,19 +198,27 @@ def loadings(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
 
 
 def boosted_walk(df: DataFrame, columns: list[str], y: str, season: str, key: list[str], least: int = 2) -> DataFrame:
-    """Boosted trees refitted on all seasons before each one; missing features take the training median."""
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    """Boosted trees refitted on all seasons before each one; missing features take the training median.
+
+    Rows with equal features get equal forecasts, so a fit by squares needs only their number and mean: the rows are
+    summed once by season and features, and the trees are grown from these sums, weighted by the number.
+    """
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     seasons = sorted(r[0] for r in df.select(season).distinct().collect())
+    known = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
+    per = df.filter(F.col(y).isNotNull()).groupBy(season, *(x.alias(c) for c, x in known.items())).agg(F.count(F.lit(1)).alias("__n"), F.sum(y).alias("__y")).persist()
+    vector = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__x")
     parts = []
     for s in seasons[least:]:
-        fill = Imputer(inputCols=columns, outputCols=[f"__{c}" for c in columns], strategy="median")
-        train, test = df.filter((F.col(season) < s) & F.col(y).isNotNull()), df.filter(F.col(season) == s)
-        model = fill.fit(train)
-        vector = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__x")
-        trees = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=10, maxDepth=3, seed=5).fit(vector.transform(model.transform(train)))
-        parts.append(trees.transform(vector.transform(model.transform(test))).select(*key, F.col("prediction").alias("forecast")))
+        past, test = per.filter(F.col(season) < s), df.filter(F.col(season) == s)
+        middle = past.agg(*(F.percentile(c, 0.5, F.col("__n")).alias(c) for c in columns)).first()
+        filled = {c: F.coalesce(x, F.lit(middle[c])).alias(f"__{c}") for c, x in known.items()}
+        train = past.groupBy(*filled.values()).agg(F.sum("__n").cast("double").alias("__weight"), (F.sum("__y") / F.sum("__n")).alias("__mean"))
+        trees = GBTRegressor(featuresCol="__x", labelCol="__mean", weightCol="__weight", maxIter=10, maxDepth=3, seed=5).fit(vector.transform(train))
+        parts.append(trees.transform(vector.transform(test.select("*", *filled.values()))).select(*key, F.col("prediction").alias("forecast")))
+    per.unpersist()
     if not parts:
         return df.sparkSession.createDataFrame([], T.StructType([*(df.schema[k] for k in key), T.StructField("forecast", T.DoubleType())]))
     out = parts[0]
