@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import os
 import shutil
+import sys
 import zlib
 
 import duckdb
@@ -53,6 +54,29 @@ def test_suffix_array(values):
             assert plcp[i] == len(os.path.commonprefix([a, b]))
 
 
+def test_suffix_array_steps():
+    """A long string with deep repeats is sorted by whole arrays: far fewer Python lines run than it has symbols."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(2, 9, 3000)
+    t = np.concatenate([x for _ in range(8) for x in (passage[: int(rng.integers(1000, 3000))], rng.integers(2, 9, 50), [1])] + [np.tile([3, 2, 2], 400), [0]])
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = suffix_array(t)
+    finally:
+        sys.settrace(before)
+    raw = t.astype(np.uint8).tobytes()
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: raw[i:])
+    assert lines < len(t)
+
+
 def plain_repeats(texts, length):
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
