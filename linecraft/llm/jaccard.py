@@ -17,10 +17,13 @@ With the distance d = 1 - |x & y| / |x | y|, two documents link if d <= r (r = 0
    for a linked document of q's cell.  In the cell of q, documents linked with q form one group, and
    those of them nearer to q than any other document's distance minus r can have no further link:
    they leave.  Cells are joined recursively.
-4. Regions beyond ``LIMIT`` shingles are cut this way in Spark rounds (``_cut``): distances to the
-   pivots chunk by chunk, cells as the regions of the next round.  Regions within the limit are
-   finished in one task each.  A cell that keeps nearly all of its region (no pivot tells its
-   documents apart) is compared chunk against chunk, in many tasks, without what is linked already.
+4. A region beyond ``LIMIT`` shingles is mostly a chain of strangers that have a shingle in common.
+   It is dealt anew by whole parts first (``_parted``): two linked sets differ in fewer shingles than
+   hash space has parts, so one part of both is the same.  What is still beyond the limit is cut in
+   Spark rounds (``_cut``): distances to the pivots chunk by chunk, cells as the regions of the next
+   round.  Regions within the limit are finished in one task each.  Cells that keep nearly all of their
+   region (no pivot tells its documents apart) are compared as one, chunk against chunk, in many tasks,
+   without what is linked already.
 
 Only links that join two groups are kept, so the result is a spanning set of each component.
 
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, free, ship, stored, table, without
+from .common import WORD, free, ship, stored, table
 from .components import components
 from .textops import Hasher, distinct, mix, release, shingles, slices, words
 
@@ -236,6 +239,53 @@ def _cells(sent, percent: int):
     return run
 
 
+def _parts(percent: int):
+    """The cells of the sets of one region that agree in a whole part of hash space, with two size bands.
+
+    Of x + y shingles of two linked sets at most (100 - percent) / (100 + percent) are in one of them only.
+    With more parts than that, one holds the same shingles of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for region, h in zip(batch.column("region").to_numpy().view(np.uint64), _unpack(x.as_buffer() for x in batch.column("set")), strict=True):
+                band = int(np.log(len(h)) / -np.log(percent / 100) + 1e-9) if percent < 100 else len(h)
+                cells = []
+                for b in (band, band + 1):
+                    most = int((100 / percent) ** (b + 1)) + 1 if percent < 100 else b  # no set of the band is larger
+                    n = 2 * most * (100 - percent) // (100 + percent) + 1
+                    part = (mix(h + np.uint64(3)) % np.uint64(n)).astype(np.int64)
+                    sums = np.zeros(n, np.uint64)
+                    np.add.at(sums, part, mix(h + np.uint64(4)))
+                    cells.append(mix(sums + mix(mix(np.arange(n, dtype=np.uint64) + (np.uint64(b) << np.uint64(32))) + region)))
+                out.append(np.concatenate(cells).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "cells"])
+
+    return run
+
+
+def _joined(posts: DataFrame) -> DataFrame:
+    """id, region of the documents that cells of ``posts`` (doc_id, cell) join."""
+    cells = posts.groupBy("cell").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre < last")
+    stars = posts.join(cells, "cell").filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    return components(stars).select(F.col("node").alias("id"), F.col("root").alias("region"))
+
+
+def _parted(members: DataFrame, percent: int) -> DataFrame:
+    """doc_id, region, set of ``members`` (doc_id, region, set) that share a whole part with another one of their region."""
+    posts = stored(members.select("doc_id", "region", "set").mapInArrow(_parts(percent), "doc_id long, cells array<long>").select("doc_id", F.explode("cells").alias("cell")))
+    regions = _joined(posts)
+    out = stored(members.select("doc_id", "set").join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set"))
+    free(posts)
+    return out
+
+
+def _weights(sets: DataFrame, limit: int) -> DataFrame:
+    """Regions beyond ``limit`` shingles, with these."""
+    return stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")).filter(F.col("weight") > limit))
+
+
 def _with_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,7 +469,8 @@ def _cut(members: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataF
     """One round over the regions of ``members`` (doc_id, region, set, weight), all beyond ``limit`` shingles.
 
     Links with the pivots, the cells (as members of the next round), and the members of cells that
-    hold more than ``STUCK`` of their region, with the pivot group that settles part of them.
+    hold more than ``STUCK`` of their region: those of one region once, settled if each of its cells' pivots is
+    linked with them.
     """
     chunks = F.ceil(F.col("weight") / limit).cast("int")
     members = stored(members.withColumn("n", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")))
@@ -434,11 +485,12 @@ def _cut(members: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataF
     r = (100 - percent) / 100 + 1e-9
     kept = near.filter("inside").join(edge.filter("first_out IS NOT NULL"), ["region", "p"]).filter(~F.col("linked") | (F.col("d") >= F.col("first_out") - r))
     cells = kept.join(members.select("doc_id", "region", "set", "weight"), ["doc_id", "region"])
-    cells = stored(cells.select("doc_id", F.xxhash64("region", "p").alias("region"), "set", F.col("weight").alias("was"), "linked"))
+    cells = stored(cells.select("doc_id", F.col("region").alias("of"), F.xxhash64("region", "p").alias("region"), "set", F.col("weight").alias("was"), "linked"))
     sizes = stored(cells.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight"), F.max("was").alias("before")))
     cells = cells.join(sizes, "region")
     stuck = (F.col("weight") > limit) & (F.col("weight") > STUCK * F.col("before"))
-    return links, cells.filter(~stuck).select("doc_id", "region", "set", "weight"), cells.filter(stuck).select("doc_id", "region", "set", "weight", F.col("linked").alias("settled"))
+    whole = cells.filter(stuck).groupBy(F.col("of").alias("region"), "doc_id").agg(F.any_value("set").alias("set"), F.any_value("was").alias("weight"), F.min("linked").alias("settled"))
+    return links, cells.filter(~stuck).select("doc_id", "region", "set", "weight"), whole
 
 
 def _compared(members: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -481,11 +533,10 @@ def _candidates(docs: DataFrame, points: DataFrame, classes: DataFrame, k: int,
     """
     bound = F.col("n") - F.ceil(F.col("n") * percent / 100)
     sizes = classes.select(F.col("a").alias("id"), "rep", F.col("n_shingles").alias("n"))
-    copies = points.filter("doc_id IS NOT NULL").join(classes, (F.col("doc_id") == F.col("rep")), "left_anti").select("doc_id").distinct()
-    texts = without(docs.filter("doc_id IS NOT NULL"), copies)
-    total = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    # copies are counted under the name of their set, so none has to be looked for and no text is shuffled
+    total = int(points.filter("doc_id IS NOT NULL").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
     buckets = max(8, -(-total // (PART_OF * BUCKET)))
-    counts = _lonely_counts(texts.mapInArrow(_pack_texts(k, buckets, PART_OF), PACKED))
+    counts = _lonely_counts(docs.filter("doc_id IS NOT NULL").mapInArrow(_pack_texts(k, buckets, PART_OF), PACKED))
     first = stored(sizes.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id", "rep", "n"))
     n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     reps = first.select("rep").distinct()
@@ -494,7 +545,9 @@ def _candidates(docs: DataFrame, points: DataFrame, classes: DataFrame, k: int,
     sets = stored(sets.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, F.col("doc_id") == F.col("id"), "left_semi"))
     counts = _lonely_counts(sets.mapInArrow(_pack_sets(max(8, -(-int(total) // BUCKET))), PACKED))
     second = first.join(counts, F.col("id") == F.col("doc_id"), "left").filter(F.coalesce("lonely", F.lit(0)) <= bound).select("id")
-    return sets.join(second, F.col("doc_id") == F.col("id"), "left_semi")
+    out = stored(sets.join(second, F.col("doc_id") == F.col("id"), "left_semi"))
+    free(first, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
@@ -505,20 +558,23 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, limi
     points = stored(docs.mapInArrow(_points(k), "doc_id long, n_shingles long, a long, b long"))
     known = points.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(known.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    unfiltered = stored(_candidates(docs, points, classes, k, percent))
+    unfiltered = _candidates(docs, points, classes, k, percent)
     order = spark.sparkContext.broadcast(frequency_levels(unfiltered))
     posts = stored(unfiltered.mapInArrow(_cells(order, percent), "doc_id long, cells array<long>").select("doc_id", F.explode("cells").alias("cell")))
-    cells = posts.groupBy("cell").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre < last")
-    stars = posts.join(cells, "cell").filter("doc_id != centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    regions = components(stars).select(F.col("node").alias("id"), F.col("root").alias("region"))
+    regions = _joined(posts)
     sets = stored(unfiltered.join(regions, F.col("doc_id") == F.col("id")).select("doc_id", "region", "set"))
     free(posts, unfiltered)
     order.unpersist()
-    weights = stored(sets.groupBy("region").agg(F.sum(F.octet_length("set") / 8).cast("long").alias("weight")).filter(F.col("weight") > limit))
+    weights = _weights(sets, limit)
     if weights.isEmpty():
         links = _regions(sets, percent, limit)
     else:
-        links = _regions(sets.join(weights, "region", "left_anti"), percent, limit).unionByName(_large(sets.join(weights, "region"), percent, limit))
+        links = _regions(sets.join(weights, "region", "left_anti"), percent, limit)
+        parted = _parted(sets.join(weights, "region"), percent)
+        weights = _weights(parted, limit)
+        links = links.unionByName(_regions(parted.join(weights, "region", "left_anti"), percent, limit))
+        if not weights.isEmpty():
+            links = links.unionByName(_large(parted.join(weights, "region"), percent, limit))
     links = stored(links)
     # from names of sets to documents; a document with several texts joins their components
     one = classes.select(F.col("a").alias("name"), "rep")
